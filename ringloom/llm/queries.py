@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from ringloom.llm import mixing, quality
+from ringloom.llm import mixing, pieces, quality, secrets
 
 
 def queries() -> dict:
     return {
+        "op1_sentencepiece": pieces.op1_sentencepiece,
         "op4_mixing": mixing.op4_mixing,
         "op5_quality_rules": quality.op5_quality_rules,
+        "op9_secrets": secrets.op9_secrets,
     }
 
 
