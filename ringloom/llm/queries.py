@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ringloom.llm import mixing, pieces, quality, secrets
+from ringloom.llm import embeddings, mixing, pieces, quality, secrets, shingles
 
 
 def queries() -> dict:
@@ -10,7 +10,9 @@ def queries() -> dict:
         "op1_sentencepiece": pieces.op1_sentencepiece,
         "op4_mixing": mixing.op4_mixing,
         "op5_quality_rules": quality.op5_quality_rules,
+        "op8_embedding_near_dedup": embeddings.op8_embedding_near_dedup,
         "op9_secrets": secrets.op9_secrets,
+        "op10_jaccard_join": shingles.op10_jaccard_join,
     }
 
 
