@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ringloom.llm import embeddings, mixing, pieces, quality, secrets, shingles
+from ringloom.llm import archives, classifier, embeddings, mixing, pieces, quality, secrets, shingles
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op1_sentencepiece": pieces.op1_sentencepiece,
         "op4_mixing": mixing.op4_mixing,
         "op5_quality_rules": quality.op5_quality_rules,
+        "op6_quality_classifier": classifier.op6_quality_classifier,
+        "op7_warc": archives.op7_warc,
         "op8_embedding_near_dedup": embeddings.op8_embedding_near_dedup,
         "op9_secrets": secrets.op9_secrets,
         "op10_jaccard_join": shingles.op10_jaccard_join,
@@ -17,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.OP4_SQL}
+    return {"op4_mixing": mixing.OP4_SQL, "op7_warc": archives.OP7_SQL}
