@@ -2,10 +2,444 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ringloom.functions import PLAIN_PRIME, PRIMES, REMAINDER_PRIME, SHORT_PRIMES, border, is_primitive, phrase_hash
+from ringloom.operators import circular_sa, conjugates, inverse, merge, phrases, runs, triggers
+from ringloom.operators.durable import settle
+from ringloom.plans import api, sql
+from ringloom.sources import check_strict, from_table, with_starts
+
+W, P = 4, 10
+#: Remainders of the query on several of them; any set would do.
+REMAINDERS = (0, 3, 7)
+#: Primes of the query on several of them.
+THREE = PRIMES[:3]
+
+
+def _seqs(spark: SparkSession, d: str, table: str, key, text: str, mode: str = "bytes") -> DataFrame:
+    return from_table(spark.read.parquet(f"{d}/{table}.parquet"), key, text, mode)
+
+
+def _parts(spark, d, mode="letters"):
+    return _seqs(spark, d, "part", "p_partkey", "p_name", mode)
+
+
+def _nations(spark, d):
+    return _seqs(spark, d, "nation", "n_nationkey", "n_name")
+
+
+def _customers(spark, d):
+    return _seqs(spark, d, "customer", "c_custkey", "c_name")
+
+
+def _documents(spark, d):
+    return _seqs(spark, d, "documents", "doc_id", "text", "letters")
+
+
+PARTS = sql.seqs("part", "p_partkey", "p_name", "letters")
+PARTS_BYTES = sql.seqs("part", "p_partkey", "p_name")
+NATIONS = sql.seqs("nation", "n_nationkey", "n_name")
+CUSTOMERS = sql.seqs("customer", "c_custkey", "c_name")
+SUPPLIERS = sql.seqs("supplier", "s_suppkey", "s_name")
+DOCUMENTS = sql.seqs("documents", "doc_id", "text", "letters")
+PARSED = ",".join([PARTS, sql.ends(W, P, (PLAIN_PRIME,)), sql.phrases(W), sql.DICTIONARY])
+
+Q: dict = {}
+SQL: dict[str, str] = {}
+
+
+def _query(name: str, oracle: str | None = None):
+    def add(f):
+        Q[name] = f
+        if oracle:
+            SQL[name] = oracle
+        return f
+
+    return add
+
+
+# ---- collections ----
+
+
+@_query("sequences_clean", f"WITH {DOCUMENTS} SELECT seq_id, length(seq)::BIGINT AS length, md5(seq) AS seq_md5 FROM seqs")
+def sequences_clean(spark, d):
+    return _documents(spark, d).select("seq_id", F.length("seq").cast("long").alias("length"), F.md5("seq").alias("seq_md5"))
+
+
+@_query(
+    "sequences_conversations",
+    f"""SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS seq_id, conv_id || '/' || turn AS name, md5(seq) AS seq_md5 FROM (
+        SELECT conv_id, turn, regexp_replace(translate(text, '{sql.LOW}', '{sql.UP}'), '[^A-Z]', '', 'g') AS seq FROM conversations) WHERE seq <> ''""",
+)
+def sequences_conversations(spark, d):
+    return _seqs(spark, d, "conversations", ["conv_id", "turn"], "text", "letters").select("seq_id", "name", F.md5("seq").alias("seq_md5"))
+
+
+@_query("strict_violations", f"WITH {CUSTOMERS} SELECT seq_id, seq, 'not a letter' AS reason FROM seqs WHERE regexp_matches(seq, '[^A-Z]')")
+def strict_violations(spark, d):
+    return check_strict(_customers(spark, d), letters=True)
+
+
+@_query("sequence_starts", f"WITH {DOCUMENTS} SELECT seq_id, (sum(length(seq)) OVER (ORDER BY seq_id) - length(seq))::BIGINT AS start_pos, length(seq)::BIGINT AS length FROM seqs")
+def sequence_starts(spark, d):
+    return with_starts(_documents(spark, d))
+
+
+@_query("nonprimitive_filter", f"WITH {DOCUMENTS} SELECT seq_id, position(seq IN substr(seq, 2) || substr(seq, 1, length(seq) - 1)) = 0 AS is_primitive FROM seqs")
+def nonprimitive_filter(spark, d):
+    return _documents(spark, d).select("seq_id", is_primitive(F.col("seq")).alias("is_primitive"))
+
+
+@_query(
+    "borders",
+    f"""WITH {PARTS}, b AS (SELECT seq_id, seq, unnest(range(0, length(seq))) AS n FROM seqs)
+        SELECT seq_id, max(n)::BIGINT AS border FROM b WHERE substr(seq, 1, n::INT) = substr(seq, (length(seq) - n + 1)::INT, n::INT) GROUP BY seq_id""",
+)
+def borders(spark, d):
+    return _parts(spark, d).select("seq_id", border(F.col("seq")).cast("long").alias("border"))
+
+
+# ---- hashes and triggers ----
+
+
+@_query("window_hash_w4", f"WITH {PARTS}, {sql.hashes(4, PLAIN_PRIME)} SELECT seq_id, e::BIGINT AS end_pos, hash FROM h")
+def window_hash_w4(spark, d):
+    return triggers.window_hashes_sql(_parts(spark, d), 4)
+
+
+@_query("window_hash_w10", f"WITH {CUSTOMERS}, {sql.hashes(10, PLAIN_PRIME)} SELECT seq_id, e::BIGINT AS end_pos, hash FROM h")
+def window_hash_w10(spark, d):
+    return triggers.window_hashes(_customers(spark, d), 10)
+
+
+@_query("trigger_positions", f"WITH {PARTS}, {sql.ends(W, P, (PLAIN_PRIME,))} SELECT seq_id, e::BIGINT AS end_pos FROM ends")
+def trigger_positions(spark, d):
+    return triggers.trigger_positions(_parts(spark, d), W, P)
+
+
+@_query("trigger_positions_documents")
+def trigger_positions_documents(spark, d):
+    return triggers.trigger_positions(_documents(spark, d), 10, 100)
+
+
+@_query("trigger_positions_multi_remainder", f"WITH {PARTS}, {sql.ends(W, P, (REMAINDER_PRIME,), REMAINDERS)} SELECT seq_id, e::BIGINT AS end_pos FROM ends")
+def trigger_positions_multi_remainder(spark, d):
+    return triggers.trigger_positions(_parts(spark, d), W, P, (REMAINDER_PRIME,), REMAINDERS)
+
+
+@_query("trigger_positions_multi_prime", f"WITH {CUSTOMERS}, {sql.ends(6, P, THREE)} SELECT seq_id, e::BIGINT AS end_pos FROM ends")
+def trigger_positions_multi_prime(spark, d):
+    return triggers.trigger_positions(_customers(spark, d), 6, P, THREE)
+
+
+@_query("remainder_histogram", f"WITH {PARTS}, {sql.hashes(W, REMAINDER_PRIME)} SELECT seq_id, hash % {P} AS remainder, count(*) AS n FROM h GROUP BY ALL")
+def remainder_histogram(spark, d):
+    return triggers.remainder_histogram(_parts(spark, d), W, P)
+
+
+_MASK_PARTS = ", ".join(sql.hashes(W, q, f"h{i}") for i, q in enumerate(SHORT_PRIMES))
+_MASK_UNION = " UNION ALL ".join(f"SELECT seq_id, {1 << i}::BIGINT AS bit FROM h{i} WHERE hash % {P} = 0" for i in range(len(SHORT_PRIMES)))
+MASKS = f"{_MASK_PARTS}, hit AS (SELECT DISTINCT * FROM ({_MASK_UNION})), masks AS (SELECT s.seq_id, coalesce(sum(bit), 0)::BIGINT AS mask FROM seqs s LEFT JOIN hit USING (seq_id) GROUP BY s.seq_id)"
+
+
+@_query("prime_hit_mask", f"WITH {PARTS}, {MASKS} SELECT seq_id, mask FROM masks")
+def prime_hit_mask(spark, d):
+    return triggers.prime_masks(_parts(spark, d), W, P)
+
+
+def _table(spark, values, *names):
+    """A few chosen values as a table."""
+    cells = ", ".join("(" + ", ".join(str(int(x)) for x in v) + ")" for v in values)
+    return spark.sql(f"SELECT {', '.join(f'cast({n} AS BIGINT) AS {n}' for n in names)} FROM VALUES {cells} AS t({', '.join(names)})")
+
+
+@_query(
+    "select_primes",
+    f"""WITH RECURSIVE {PARTS}, {MASKS},
+        pick(nth, have, chosen) AS (
+          SELECT 0::BIGINT, 1::BIGINT, 0::BIGINT
+          UNION ALL
+          SELECT p.nth + 1, p.have | (m.mask & -m.mask), log2((m.mask & -m.mask)::DOUBLE)::BIGINT
+          FROM pick p JOIN masks m ON m.seq_id = (SELECT min(x.seq_id) FROM masks x WHERE x.mask > 0 AND x.mask & p.have = 0)
+          WHERE p.nth < 4)
+        SELECT nth, chosen FROM pick""",
+)
+def select_primes(spark, d):
+    return _table(spark, enumerate(triggers.select_primes(_parts(spark, d), W, P, 5)), "nth", "chosen")
+
+
+@_query("select_remainders")
+def select_remainders(spark, d):
+    return _table(spark, enumerate(triggers.select_remainders(_parts(spark, d), W, P, 5)), "nth", "chosen")
+
+
+@_query(
+    "filtered_sequences",
+    f"""WITH {PARTS}, {sql.ends(W, P, (PLAIN_PRIME,))},
+        t AS (SELECT seq_id, seq, CASE WHEN position(seq IN substr(seq, 2) || substr(seq, 1, length(seq) - 1)) > 0 THEN 'not primitive'
+                     WHEN seq_id NOT IN (SELECT seq_id FROM ends) THEN 'no trigger' END AS reason FROM seqs)
+        SELECT * FROM t WHERE reason IS NOT NULL""",
+)
+def filtered_sequences(spark, d):
+    return triggers.filtered(_parts(spark, d), W, P, drop_nonprimitive=True)
+
+
+# ---- parsing ----
+
+
+def _phrases(spark, d):
+    return phrases.phrases(_parts(spark, d), W, P)
+
+
+def _words(spark, d):
+    found = settle(_phrases(spark, d), "phrases")
+    return found, settle(phrases.dictionary(found), "dictionary")
+
+
+def _parsed(spark, d):
+    found, words = _words(spark, d)
+    return settle(phrases.parse(found, words), "parse"), words
+
+
+@_query("phrases", f"WITH {PARSED} SELECT seq_id, idx, phrase, end_pos, len FROM phrases")
+def phrases_query(spark, d):
+    return _phrases(spark, d)
+
+
+@_query("phrases_documents")
+def phrases_documents(spark, d):
+    return phrases.phrases(_documents(spark, d), 10, 100)
+
+
+@_query("phrase_hash", f"WITH {PARSED} SELECT phrase, {sql.PHRASE_HASH} AS hash FROM dictionary")
+def phrase_hash_query(spark, d):
+    return _words(spark, d)[1].select("phrase", phrase_hash(F.col("phrase")).alias("hash"))
+
+
+@_query("phrase_hash_collisions", f"WITH {PARSED}, x AS (SELECT {sql.PHRASE_HASH} AS hash FROM dictionary) SELECT hash, count(*) AS n FROM x GROUP BY hash HAVING count(*) > 1")
+def phrase_hash_collisions(spark, d):
+    return phrases.collisions(_words(spark, d)[1])
+
+
+@_query("dictionary", f"WITH {PARSED} SELECT rank, phrase, occ FROM dictionary")
+def dictionary(spark, d):
+    return _words(spark, d)[1]
+
+
+@_query("dictionary_stats", f"WITH {PARSED} SELECT count(*) AS phrases, sum(length(phrase))::BIGINT AS symbols, sum(occ)::BIGINT AS occurrences FROM dictionary")
+def dictionary_stats(spark, d):
+    return phrases.dictionary_stats(_words(spark, d)[1])
+
+
+@_query("parse", f"WITH {PARSED} SELECT seq_id, idx, rank, end_pos, len FROM parse")
+def parse(spark, d):
+    return _parsed(spark, d)[0]
+
+
+@_query("parse_count_check", "SELECT 0::BIGINT AS rank, 0::BIGINT AS occ, 0::BIGINT AS n WHERE false")
+def parse_count_check(spark, d):
+    parsed, words = _parsed(spark, d)
+    counts = parsed.groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
+    return words.join(counts, "rank", "left").select("rank", "occ", F.coalesce("n", F.lit(0)).alias("n")).filter("occ <> n")
+
+
+@_query("start_offsets", f"WITH {PARSED} SELECT seq_id, rank, end_pos FROM parse WHERE idx = k - 1")
+def start_offsets(spark, d):
+    return phrases.start_offsets(_parsed(spark, d)[0])
+
+
+@_query("start_chars_distinct", f"WITH {PARSED} SELECT DISTINCT rank, (length(phrase) - 1 - end_pos)::BIGINT AS off FROM parse JOIN dictionary USING (rank) WHERE idx = k - 1")
+def start_chars_distinct(spark, d):
+    parsed, words = _parsed(spark, d)
+    return phrases.start_chars(parsed, words)
+
+
+# ---- order of the parse ----
+
+
+@_query("parse_circular_sa", f"WITH {PARSED}, {sql.CSA} SELECT seq_id, idx, rank, csa_class FROM csa")
+def parse_circular_sa(spark, d):
+    return circular_sa.parse_classes(_parsed(spark, d)[0])
+
+
+@_query("parse_ebwt", f"WITH {PARSED}, {sql.CSA}, {sql.PARSE_EBWT} SELECT * FROM pe")
+def parse_ebwt(spark, d):
+    return circular_sa.parse_ebwt(settle(circular_sa.parse_classes(_parsed(spark, d)[0]), "classes"))
+
+
+@_query(
+    "inverted_list",
+    f"""WITH {PARSED}, {sql.CSA}, {sql.PARSE_EBWT} SELECT row_number() OVER (ORDER BY prev_rank, csa_pos) - 1 AS il_pos, prev_rank, csa_pos,
+        csa_pos = min(csa_pos) OVER (PARTITION BY prev_rank) AS first FROM pe""",
+)
+def inverted_list(spark, d):
+    return circular_sa.inverted_list(settle(parse_ebwt(spark, d), "parse_ebwt"))
+
+
+@_query(
+    "inverted_list_bounds",
+    f"""WITH {PARSED}, {sql.CSA}, {sql.PARSE_EBWT}, il AS (SELECT row_number() OVER (ORDER BY prev_rank, csa_pos) - 1 AS il_pos, prev_rank FROM pe)
+        SELECT prev_rank, min(il_pos)::BIGINT AS first_pos, count(*) AS n FROM il GROUP BY prev_rank""",
+)
+def inverted_list_bounds(spark, d):
+    return inverted_list(spark, d).groupBy("prev_rank").agg(F.min("il_pos").alias("first_pos"), F.count(F.lit(1)).alias("n"))
+
+
+# ---- dictionary suffixes and the merge ----
+
+
+@_query("dict_suffixes", f"WITH {PARSED}, {sql.suffixes(W)} SELECT rank, off, suffix, suffix_len, bwt, occ FROM suffixes")
+def dict_suffixes(spark, d):
+    return merge.dict_suffixes(_words(spark, d)[1], W)
+
+
+@_query("suffix_groups", f"WITH {PARSED}, {sql.suffixes(W)} SELECT * FROM grouped")
+def suffix_groups(spark, d):
+    return merge.suffix_groups(dict_suffixes(spark, d))
+
+
+@_query("easy_blocks", f"WITH {PARSED}, {sql.suffixes(W)} SELECT suffix, bwt, occ AS length FROM grouped WHERE symbols = 1")
+def easy_blocks(spark, d):
+    return merge.easy_blocks(suffix_groups(spark, d))
+
+
+@_query(
+    "hard_blocks",
+    f"""WITH {PARSED}, {sql.CSA}, {sql.suffixes(W)},
+        x AS (SELECT s.suffix, c.csa_class FROM suffixes s JOIN grouped g ON g.suffix = s.suffix AND g.symbols > 1 JOIN csa p ON p.rank = s.rank
+              JOIN csa c ON c.seq_id = p.seq_id AND c.idx = (p.idx + 1) % p.k)
+        SELECT suffix, min(csa_class)::BIGINT AS first_class, max(csa_class)::BIGINT AS last_class, count(*) AS n FROM x GROUP BY suffix""",
+)
+def hard_blocks(spark, d):
+    parsed, words = _parsed(spark, d)
+    return merge.hard_groups(settle(merge.dict_suffixes(words, W), "suffixes"), settle(merge.occurrences(parsed), "occurrences"))
+
+
+# ---- the transform ----
+
+
+def _served(spark, d):
+    """Part names with a trigger, and their parse."""
+    return _parsed(spark, d)
+
+
+SERVED = f"{sql.seqs('part', 'p_partkey', 'p_name', 'letters').replace('seqs AS', 'given AS')}, " + (
+    sql.ends(W, P, (PLAIN_PRIME,)).replace("FROM seqs", "FROM given") + ", seqs AS (SELECT DISTINCT seq_id, seq FROM ends)"
+)
+
+
+def _sorted_parts(spark, d):
+    return circular_sa.sorted_rotations(_parts(spark, d, "bytes"))
+
+
+@_query("ebwt_definition", f"WITH {NATIONS}, {sql.ROTATIONS} SELECT pos, bwt, seq_id, off FROM sorted_rows")
+def ebwt_definition(spark, d):
+    return conjugates.sorted_rotations(_nations(spark, d))
+
+
+@_query("ebwt", f"WITH {PARTS_BYTES}, {sql.ROTATIONS} SELECT pos, bwt FROM sorted_rows")
+def ebwt(spark, d):
+    return _sorted_parts(spark, d).select("pos", "bwt")
+
+
+@_query("ebwt_pfp", f"WITH {SERVED}, {sql.ROTATIONS} SELECT pos, bwt, seq_id, off FROM sorted_rows")
+def ebwt_pfp(spark, d):
+    parsed, words = _served(spark, d)
+    return merge.sorted_rotations(words, parsed, W)
+
+
+@_query("ebwt_pfp_blocks", f"WITH {SERVED}, {sql.ROTATIONS} SELECT pos, bwt FROM sorted_rows")
+def ebwt_pfp_blocks(spark, d):
+    parsed, words = _served(spark, d)
+    return merge.ebwt_from_blocks(merge.blocks(words, parsed, W))
+
+
+@_query("ebwt_rle", f"WITH {PARTS_BYTES}, {sql.ROTATIONS}, {sql.RUNS} SELECT run_id, head, length, start_pos FROM runs")
+def ebwt_rle(spark, d):
+    return runs.rle(settle(ebwt(spark, d), "ebwt"))
+
+
+@_query("ebwt_rle_pfp", f"WITH {SERVED}, {sql.ROTATIONS}, {sql.RUNS} SELECT run_id, head, length, start_pos FROM runs")
+def ebwt_rle_pfp(spark, d):
+    parsed, words = _served(spark, d)
+    return merge.rle_from_blocks(settle(merge.blocks(words, parsed, W), "blocks"))
+
+
+@_query("ebwt_rle_reads", None)
+def ebwt_rle_reads(spark, d):
+    return api.build(_customers(spark, d), w=6, p=10, trigger_mode="primes", max_triggers=24, rle=True, starts=False, allow_filtered=True).rle
+
+
+@_query(
+    "ebwt_info",
+    f"""WITH {PARTS_BYTES}, {sql.ROTATIONS}, {sql.RUNS} SELECT (SELECT count(*) FROM runs) AS runs, (SELECT count(*) FROM sorted_rows) AS ebwt_length,
+        ceil(log2((SELECT count(*) FROM sorted_rows)) / 8)::BIGINT AS bytes_gca, ceil(log2((SELECT count(*) FROM seqs)) / 8)::BIGINT AS bytes_da""",
+)
+def ebwt_info(spark, d):
+    return runs.info(settle(ebwt_rle(spark, d), "runs"), _parts(spark, d, "bytes"))
+
+
+@_query("i_positions", f"WITH {CUSTOMERS}, {sql.ROTATIONS} SELECT pos FROM sorted_rows WHERE off = 0")
+def i_positions(spark, d):
+    return runs.i_positions(circular_sa.sorted_rotations(_customers(spark, d)))
+
+
+@_query("gca_full", f"WITH {CUSTOMERS}, {sql.ROTATIONS} SELECT pos, seq_id AS da, off AS gca FROM sorted_rows")
+def gca_full(spark, d):
+    return runs.gca(circular_sa.sorted_rotations(_customers(spark, d)))
+
+
+_SAMPLES = "SELECT run_id, arg_min(seq_id, pos) AS start_da, arg_min(off, pos) AS start_gca, arg_max(seq_id, pos) AS end_da, arg_max(off, pos) AS end_gca FROM numbered GROUP BY run_id"
+
+
+@_query("gca_samples", f"WITH {SUPPLIERS}, {sql.ROTATIONS}, {sql.RUNS} {_SAMPLES}")
+def gca_samples(spark, d):
+    return runs.samples(settle(circular_sa.sorted_rotations(_seqs(spark, d, "supplier", "s_suppkey", "s_name")), "rotations"))
+
+
+@_query("gca_samples_split_starts", f"WITH {SUPPLIERS}, {sql.ROTATIONS}, {sql.RUNS.replace('THEN 1 ELSE 0 END', 'OR off = 0 THEN 1 ELSE 0 END')} {_SAMPLES}")
+def gca_samples_split_starts(spark, d):
+    return runs.samples(settle(circular_sa.sorted_rotations(_seqs(spark, d, "supplier", "s_suppkey", "s_name")), "rotations"), split_starts=True)
+
+
+# ---- inversion ----
+
+
+@_query("char_histogram", f"WITH {PARTS_BYTES}, {sql.ROTATIONS} SELECT bwt, count(*) AS n FROM sorted_rows GROUP BY bwt")
+def char_histogram(spark, d):
+    return inverse.histogram(ebwt(spark, d))
+
+
+@_query("c_array", f"WITH {PARTS_BYTES}, {sql.ROTATIONS}, h AS (SELECT bwt, count(*) AS n FROM sorted_rows GROUP BY bwt) SELECT bwt, n, (sum(n) OVER (ORDER BY bwt) - n)::BIGINT AS smaller FROM h")
+def c_array(spark, d):
+    return inverse.c_array(ebwt(spark, d))
+
+
+@_query(
+    "lf_mapping",
+    f"""WITH {PARTS_BYTES}, {sql.ROTATIONS}, h AS (SELECT bwt, count(*) AS n FROM sorted_rows GROUP BY bwt), before AS (SELECT bwt, sum(n) OVER (ORDER BY bwt) - n AS smaller FROM h)
+        SELECT pos, bwt, (smaller + row_number() OVER (PARTITION BY bwt ORDER BY pos) - 1)::BIGINT AS lf FROM sorted_rows JOIN before USING (bwt)""",
+)
+def lf_mapping(spark, d):
+    return inverse.lf_mapping(ebwt(spark, d))
+
+
+@_query("invert", f"WITH {CUSTOMERS}, {sql.ROTATIONS} SELECT row_number() OVER (ORDER BY pos) - 1 AS ord, seq FROM sorted_rows JOIN seqs USING (seq_id) WHERE off = 0")
+def invert(spark, d):
+    rows = settle(circular_sa.sorted_rotations(_customers(spark, d)), "rotations")
+    return inverse.invert(rows.select("pos", "bwt"), runs.i_positions(rows))
+
+
+@_query("invert_gca", f"WITH {CUSTOMERS} SELECT seq_id, seq FROM seqs")
+def invert_gca(spark, d):
+    return inverse.invert_gca(circular_sa.sorted_rotations(_customers(spark, d)))
+
 
 def queries() -> dict:
-    return {}
+    return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
