@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,8 +44,6 @@ def chunks(text: str) -> list[str]:
 class Model:
     """A model whose pieces cross neither marks nor newlines, so that marked words can be cut one by one."""
 
-    _loaded: dict[str, Model] = {}
-
     def __init__(self, path: str) -> None:
         import sentencepiece
 
@@ -53,15 +52,10 @@ class Model:
         if any("\n" in p or re.search(f"[^{MARK}]{MARK}", p) for p in pieces):
             raise ValueError("pieces of this model cross white space; its texts can't be cut into words")
         self.mark = sp.piece_to_id(MARK)
+        self.kind = np.dtype(np.uint16 if len(pieces) <= 1 << 16 else np.uint32)
         if sp.encode("\na")[0] != self.mark or sp.normalize(" a\tb ") != f"{MARK}{MARK}a\tb{MARK}":
             raise ValueError("this model changes white space; its texts can't be cut into words")
 
-    @classmethod
-    def load(cls, path: str) -> Model:
-        if path not in cls._loaded:
-            cls._loaded[path] = cls(path)
-        return cls._loaded[path]
-
     def segment(self, keys: list[str]) -> tuple[list[list[int]], list[str]]:
         """Ids of each key, and what they decode to as part of a text: with the first mark, if there is one, as a space."""
         plain = [k.replace(MARK, " ")[1:] if k[0] == MARK else k for k in keys]
@@ -89,13 +83,21 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks, loads = [], []
         for part in np.split(order, cuts) if len(order) else []:
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as w:
                 w.write_batch(rows.take(pa.array(part)))
             blocks.append(int(block[part[0]]))
             loads.append(sink.getvalue().to_pybytes())
         yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(loads, pa.binary())], ["block", "load"])
 
 
+def _squeezed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=6).compress(data)
+
+
+def _restored(data: pa.Scalar) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data.as_py())
+
+
 def _opened(load: bytes) -> pa.Table:
     with pa.ipc.open_stream(load) as r:
         return r.read_all()
@@ -119,7 +121,7 @@ def _distinct(n: int):
                 [
                     pa.array(full, pa.int32()),
                     pa.array([block] * len(full), pa.int32()),
-                    pa.array([" ".join(shares[i]) for i in full], pa.string()),
+                    pa.array([_squeezed(" ".join(shares[i]).encode()) for i in full], pa.binary()),
                 ],
                 ["share", "block", "keys"],
             )
@@ -129,19 +131,20 @@ def _distinct(n: int):
 
 def _segment(path: str):
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model.load(path)
+        model = Model(path)
+        width = model.kind.itemsize
         table: dict[str, tuple[bytes, str | None]] = {}
         for batch in batches:
             counts, ids, odd = [], [], []
-            for joined in batch.column("keys").to_pylist():
-                keys = joined.split(" ")
+            for packed in batch.column("keys"):
+                keys = _restored(packed).decode().split(" ")
                 new = [k for k in keys if k not in table]
                 if new:
                     for k, x, back in zip(new, *model.segment(new), strict=True):
-                        table[k] = (np.array(x, np.int32).tobytes(), None if back == spelled(k) else back)
+                        table[k] = (np.array(x, model.kind).tobytes(), None if back == spelled(k) else back)
                 cut = [table[k] for k in keys]
-                counts.append(np.array([len(x) >> 2 for x, _ in cut], np.uint32).tobytes())
-                ids.append(b"".join(x for x, _ in cut))
+                counts.append(_squeezed(np.array([len(x) // width for x, _ in cut], np.uint32).tobytes()))
+                ids.append(_squeezed(b"".join(x for x, _ in cut)))
                 odd.append([{"key": k, "back": b} for k, (_, b) in zip(keys, cut, strict=True) if b is not None])
             kind = pa.list_(pa.struct([("key", pa.string()), ("back", pa.string())]))
             yield pa.RecordBatch.from_arrays(
@@ -158,10 +161,12 @@ def _join(schema: pa.Schema):
         odd: dict[str, str] = {}
         counts, ids = [np.zeros(0, np.uint32)], [np.zeros(0, np.int32)]
         for i in range(words.num_rows):
-            for key in words.column("keys")[i].as_py().split(" "):
+            for key in _restored(words.column("keys")[i]).decode().split(" "):
                 at[key] = len(at)
-            counts.append(np.frombuffer(words.column("counts")[i].as_buffer(), np.uint32))
-            ids.append(np.frombuffer(words.column("ids")[i].as_buffer(), np.int32))
+            counts.append(np.frombuffer(_restored(words.column("counts")[i]), np.uint32))
+            flat = _restored(words.column("ids")[i])
+            kind = np.uint16 if len(flat) == 2 * counts[-1].sum() else np.uint32
+            ids.append(np.frombuffer(flat, kind).astype(np.int32))
             for x in words.column("odd")[i].as_py() or []:
                 odd[x["key"]] = x["back"]
         size, flat = np.concatenate(counts).astype(np.int64), np.concatenate(ids)
@@ -204,22 +209,23 @@ def encode(docs: DataFrame, columns=("doc_id",), model: str | None = None) -> Da
     key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
     held = docs.select(*columns, F.col("text").alias("_text"), F.pmod(key, F.lit(n)).cast("int").alias("_block"))
     packed = held.mapInArrow(_pack, "block int, load binary").repartition(n, "block")
-    asked = packed.mapInArrow(_distinct(n), "share int, block int, keys string")
+    asked = packed.mapInArrow(_distinct(n), "share int, block int, keys binary")
     told = asked.repartition(n, "share").mapInArrow(
-        _segment(model), "block int, keys string, counts binary, ids binary, odd array<struct<key:string,back:string>>"
+        _segment(model), "block int, keys binary, counts binary, ids binary, odd array<struct<key:string,back:string>>"
     )
     kept = docs.select(*columns).schema
     schema = kept.add("ids", T.ArrayType(T.IntegerType())).add("decoded", T.StringType())
     return packed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_join(to_arrow_schema(schema)), schema)
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens and the hashes of ids and decoded text."""
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
+    """doc_id, n_tokens, the hashes of ids and decoded text, and `more` columns."""
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        *more,
     )
 
 
