@@ -97,7 +97,7 @@ def boundary(least: int = LEAST) -> int:
 
 
 def subset_keys(s: np.ndarray, most: int, least: int = LEAST) -> np.ndarray:
-    """Hashes that name the pair of sizes and the subset. Sets share one exactly if they are linked and the smaller has `most` elements at most."""
+    """Hashes that name a pair of sizes and a subset, with the set's side in the two lowest bits: 0 where the sizes are equal, 1 for the smaller size, 2 for the larger. Two sets, of which one has `most` elements at most, are linked exactly if they have a key in common, but for its side, and either sides 0 or different ones."""
     n, keys = len(s), []
     mixed = _mixed(s + _MIX[2])
     for m in partners(n, least):
@@ -106,7 +106,8 @@ def subset_keys(s: np.ndarray, most: int, least: int = LEAST) -> np.ndarray:
             continue
         gone = np.array(list(itertools.combinations(range(n), n - c)), np.int64).reshape(comb(n, n - c), n - c)
         seed = np.uint64((min(n, m) << 32 | max(n, m)) * int(_MIX[0]) & 2**64 - 1)
-        keys.append(_mixed(mixed.sum(keepdims=True, dtype=np.uint64) - mixed[gone].sum(axis=1, dtype=np.uint64) + seed))
+        key = _mixed(mixed.sum(keepdims=True, dtype=np.uint64) - mixed[gone].sum(axis=1, dtype=np.uint64) + seed)
+        keys.append(key << np.uint64(2) | np.uint64(0 if n == m else 1 if n < m else 2))
     return np.unique(np.concatenate(keys)) if keys else s[:0]
 
 
@@ -353,8 +354,12 @@ def classes(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFram
     same = settle(known.select("doc_id", "k1", "k2").join(first, ["k1", "k2"]).select("doc_id", "doc").distinct(), "same")
 
     # light sets
-    keys = known.select("doc_id", F.explode("keys").alias("key"))
-    least_doc = keys.groupBy("key").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    keys = known.select("doc_id", F.explode("keys").alias("key")).select(
+        "doc_id", F.shiftright("key", 2).alias("key"), F.col("key").bitwiseAND(F.lit(3)).alias("side")
+    )
+    # all sets of one side are linked with all of the other, so where both are there, the key's sets are connected
+    least_doc = keys.groupBy("key").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("c"), F.min("side").alias("x"), F.max("side").alias("y"))
+    least_doc = least_doc.filter("c > 1 AND (y = 0 OR x < y)").select("key", "b")
     sure = keys.join(least_doc, "key").select(F.col("doc_id").alias("a"), "b").filter("a <> b")
     sure = sure.union(same.select(F.col("doc_id").alias("a"), F.col("doc").alias("b")).filter("a <> b"))
 
