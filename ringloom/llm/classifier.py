@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ringloom.llm.common import lean_batches
+
 #: The classifier is fitted on so many positive and so many unlabelled documents at most, chosen by a hash of doc_id.
 POSITIVES, UNLABELLED = 6000, 12000
 #: Rows of labels of this fold of FOLDS are never looked at when fitting.
@@ -59,7 +61,7 @@ class Featurizer:
     def _learn(self, words: list[str]) -> None:
         if len(self.at) > self.MOST:
             self._forget()
-        new = set(words) - self.at.keys()
+        new = [w for w in set(words) if w not in self.at]
         if len(self.at) + len(new) > len(self.known):
             self.known = np.concatenate([self.known, np.zeros((max(len(self.known), len(new)), 5), np.int64)])
         for w in new:
@@ -188,6 +190,7 @@ def scored(docs: DataFrame, labels: DataFrame, **sizes: int) -> DataFrame:
 
     Scores come from the whole text alone. A null text counts as an empty one; rows that repeat score alike; a null doc_id is scored and never used for fitting; an empty table gives no rows; only doc_id and text of `docs`, and doc_id and quality of `labels`, are read. The weights that are broadcast have a fixed size.
     """
+    lean_batches(docs.sparkSession)
     m = train(docs, labels, **sizes)
     weights = docs.sparkSession.sparkContext.broadcast((m.mean, m.scale, m.weights, m.bias))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(weights), "doc_id long, score double")
