@@ -9,13 +9,13 @@ from ringloom.operators.durable import drop_table, settle
 from ringloom.operators.ranking import dense_ranks, row_numbers
 
 
-def classes(symbols: DataFrame, symbol: str) -> DataFrame:
-    """(seq_id, idx, class) from (seq_id, idx, `symbol`, k): the dense rank, from 0, of the rotation of its string that starts at each place; equal rotations share it. k is the string's length.
+def classes(symbols: DataFrame, symbol: str, width: int = 1) -> DataFrame:
+    """(seq_id, idx, class) from (seq_id, idx, `symbol`, k): the dense rank, from 0, of the rotation of its string that starts at each place; equal rotations share it. k is the string's length, and `symbol` tells the first `width` places of the rotation.
 
     Ranks of windows of h symbols give ranks of windows of 2h by one join on (seq_id, idx) and a rank of distinct pairs, until no class splits any more; then none ever does. So there are at most log2(longest) + 2 rounds, each written before the next.
     """
     now = settle(dense_ranks(symbols.select("seq_id", "idx", "k", symbol), [symbol], "class").select("seq_id", "idx", "k", "class"), "classes")
-    found, h = now.agg(F.max("class")).first()[0], 1
+    found, h = now.agg(F.max("class")).first()[0], width
     while found is not None:
         ahead = now.select("seq_id", F.pmod(F.col("idx") - h, F.col("k")).alias("idx"), F.col("class").alias("next"))
         pairs = now.join(ahead, ["seq_id", "idx"]).withColumnRenamed("class", "old")
@@ -29,17 +29,24 @@ def classes(symbols: DataFrame, symbol: str) -> DataFrame:
     return now.select("seq_id", "idx", "class")
 
 
-def characters(seqs: DataFrame) -> DataFrame:
-    """(seq_id, idx, k, symbol, bwt) of each character and the one before it, around the string."""
-    rows = seqs.select("seq_id", F.length("seq").cast("long").alias("k"), F.posexplode(F.filter(F.split("seq", ""), lambda c: c != "")), F.substring("seq", F.length("seq"), F.lit(1)).alias("last"), "seq")
-    before = F.when(F.col("pos") == 0, F.col("last")).otherwise(F.expr("substring(seq, pos, 1)"))
-    return rows.select("seq_id", F.col("pos").cast("long").alias("idx"), "k", F.col("col").alias("symbol"), before.alias("bwt"))
+#: Symbols of the first windows: three rounds of doubling fewer.
+WIDTH = 8
+
+
+def characters(seqs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(seq_id, idx, k, window, bwt) of each character: the `width` symbols from it on, and the one before it, around the string. The string is split once, so the work is linear in its length."""
+    n = F.size("_c")
+    at = lambda i: F.get("_c", F.pmod(i, n))
+    cells = F.transform("_c", lambda _, i: F.struct(F.concat(*[at(i + j) for j in range(width)]).alias("window"), at(i - 1).alias("bwt")))
+    split = seqs.select("seq_id", F.filter(F.split("seq", ""), lambda c: c != "").alias("_c"))
+    rows = split.select("seq_id", n.cast("long").alias("k"), F.posexplode(cells))
+    return rows.select("seq_id", F.col("pos").cast("long").alias("idx"), "k", "col.window", "col.bwt")
 
 
 def sorted_rotations(seqs: DataFrame) -> DataFrame:
     """(pos, bwt, seq_id, off): what conjugates.sorted_rotations() gives, for collections of any size."""
     chars = settle(characters(seqs), "characters")
-    placed = classes(chars.select("seq_id", "idx", "k", "symbol"), "symbol").join(chars, ["seq_id", "idx"])
+    placed = classes(chars.select("seq_id", "idx", "k", "window"), "window", WIDTH).join(chars, ["seq_id", "idx"])
     rows = placed.select("class", "seq_id", F.col("idx").alias("off"), "bwt")
     return row_numbers(rows, ["class", "seq_id", "off"], "pos").select("pos", "bwt", "seq_id", "off")
 
