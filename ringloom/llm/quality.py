@@ -80,8 +80,7 @@ def base_failed(m: str) -> Column:
 def bucket(v: Column) -> Column:
     """The sketch's bucket of a count: counts below 32 have their own, larger ones share one with all that agree in their five leading bits."""
     shift = F.greatest(F.length(F.bin(v)) - 5, F.lit(0))
-    low = F.expr("0")
-    return shift.cast("long") * 32 + F.floor(v / F.pow(F.lit(2.0), shift)).cast("long") + low
+    return shift.cast("long") * 32 + F.floor(v / F.pow(F.lit(2.0), shift)).cast("long")
 
 
 def bucket_top(b: Column) -> Column:
@@ -172,3 +171,39 @@ def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
         "doc_id", *[F.col("measures")[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         base_failed("measures").alias("base_failed"), "kept",
     )
+
+
+def _limits_sql() -> str:
+    levels = []
+    for i, keys in enumerate((["lang", "source", "ratio"], ["lang", "ratio"], ["ratio"])):
+        k = ", ".join(keys)
+        levels.append(f"""
+g{i} AS (SELECT {k}, b, sum(n)::BIGINT AS n FROM sketch GROUP BY {k}, b),
+r{i} AS (SELECT *, sum(n) OVER (PARTITION BY {k}) AS total, sum(n) OVER (PARTITION BY {k} ORDER BY b) AS run,
+                CASE WHEN b < 32 THEN b ELSE ((b - (b - 16) // 32 * 32 + 1) << ((b - 16) // 32)) - 1 END AS top FROM g{i}),
+l{i} AS (SELECT {k}, max(total) AS total, min(top) FILTER (run * 100 >= total * {HIGH}) * {1 + SPREADS} - min(top) FILTER (run * 100 >= total * {MIDDLE}) * {SPREADS} AS top FROM r{i} GROUP BY {k})""")
+    return ",".join(levels)
+
+
+_GAP_SQL = r"[\x20\x09-\x0D]"
+OP5_SQL = rf"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+win AS (SELECT doc_id, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+twice AS (SELECT *, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM win),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice WHERE n > 1) GROUP BY doc_id),
+m AS (SELECT doc_id, lang, source, len(words)::BIGINT AS n_words, length(regexp_replace(text, '{_GAP_SQL}+', '', 'g'))::BIGINT AS word_chars,
+             length(regexp_replace(text, '[^{SYMBOLS}]+', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+             coalesce(n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN covered USING (doc_id)),
+f AS (SELECT *, n_words < {FEWEST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM m),
+v AS (SELECT doc_id, lang, source, unnest(['symbols', 'repeated', 'word_length']) AS ratio,
+             unnest([floor(n_symbols * 10000 / word_chars), floor(n_repeat_words * 10000 / n_words), floor(word_chars * 10000 / n_words)])::BIGINT AS v FROM f WHERE NOT base_failed),
+sketch AS (SELECT lang, source, ratio, greatest(length(bin(v)) - 5, 0) * 32 + (v >> greatest(length(bin(v)) - 5, 0)::INT) AS b, count(*) AS n FROM v GROUP BY ALL),
+{_limits_sql().strip()},
+lim AS (SELECT a.lang, a.source, a.ratio,
+               CASE WHEN a.total >= {LEAST_GROUP} THEN a.top WHEN b.total >= {LEAST_GROUP} THEN b.top ELSE c.top END
+               + CASE a.ratio WHEN 'symbols' THEN {SLACK['symbols']} WHEN 'repeated' THEN {SLACK['repeated']} ELSE {SLACK['word_length']} END AS top
+        FROM l0 a JOIN l1 b ON a.ratio = b.ratio AND a.lang IS NOT DISTINCT FROM b.lang JOIN l2 c ON a.ratio = c.ratio),
+high AS (SELECT DISTINCT v.doc_id FROM v JOIN lim ON v.ratio = lim.ratio AND v.lang IS NOT DISTINCT FROM lim.lang AND v.source IS NOT DISTINCT FROM lim.source AND v.v > lim.top)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM high) AS kept FROM f
+"""

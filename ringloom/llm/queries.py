@@ -19,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.OP4_SQL, "op7_warc": archives.OP7_SQL}
+    return {"op4_mixing": mixing.OP4_SQL, "op5_quality_rules": quality.OP5_SQL, "op7_warc": archives.OP7_SQL}
