@@ -68,7 +68,8 @@ def mix(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, total: float = TOTAL
     """The mixture itself: the rows of `docs`, each as often as plan() takes it, with the columns of `docs` whatever their names."""
     row = fresh(docs, "row")
     sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"))
-    goals = targets(sized, weights, total, most)
+    # written, so that its size is known and the texts need not be shuffled to meet it
+    goals = settle(targets(sized, weights, total, most), "goals")
     rows = docs.select("doc_id", "source", F.struct(*[docs[c] for c in docs.columns]).alias(row))
     taken = _with_copies(rows, goals, seed).filter("copies > 0")
     return taken.select(row, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(f"{row}.*")

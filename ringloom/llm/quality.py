@@ -154,7 +154,8 @@ def verdicts(docs: DataFrame, columns=("doc_id", "lang", "source")) -> DataFrame
     The texts are read and measured once; thresholds and verdicts come from the written measures. Null languages and null sources are groups of their own; a null text counts as an empty one and fails; rows that repeat are judged alike; an empty table gives no rows; a column of `docs` that isn't named in `columns` is not read.
     """
     measured = settle(docs.select(*columns, measures(F.col("text")).alias("measures")), "measures")
-    return judge(measured, "measures", thresholds(sketches(measured, "measures")))
+    # the limits are written, so that their size is known and the rows need not be shuffled to meet them
+    return judge(measured, "measures", settle(thresholds(sketches(measured, "measures")), "limits"))
 
 
 def filtered(docs: DataFrame) -> DataFrame:
