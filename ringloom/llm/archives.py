@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringloom.llm.common import new_path
+from ringloom.llm.common import lean_batches, new_path
 
 #: Field names of an ARC record's header line, by the version that the archive's first record declares.
 ARC_FIELDS = {
@@ -261,6 +261,7 @@ def archived(pages: DataFrame) -> DataFrame:
     A null html is an empty payload, a null url `urn:none`, and a null page_id a response without one; texts of any length stay whole; rows that repeat a page_id and html are responses both if the id is the smallest of its payload; an empty table gives no rows; other columns are not read.
     """
     spark = pages.sparkSession
+    lean_batches(spark)
     path = new_path(spark, "warc")
     write_warc(arc_to_warc(pages_to_arc(pages)), path)
     return read_warc(spark, path)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ringloom.operators.durable import drop_table, new_path, partitions, settle, shared_dir  # noqa: F401
+
 #: A word is a run of anything but the six ASCII white-space characters; words are parted by runs of those.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -18,36 +17,18 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, GAP), "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session's ``spark.checkpoint.dir``; a temporary one is set only where it is unset."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="ringloom-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+#: Bytes of an Arrow batch on its way to Python, so that memory doesn't follow the length of texts.
+BATCH_BYTES = 8 << 20
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once as Parquet in the shared folder and read it back: what follows neither recomputes it nor depends on the executors that made it."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Delete a table that settle() wrote and nothing reads any more."""
-    spark = df.sparkSession
-    hadoop = spark._jsc.hadoopConfiguration()
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(hadoop).delete(path, True)
+def lean_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to BATCH_BYTES, unless they are smaller already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "64m").lower()
+    digits = int("".join(c for c in now if c.isdigit()) or 0)
+    size = digits * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now.rstrip("b")[-1:], 1)
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -58,10 +39,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def unit_hash(seed: str, key: Column) -> Column:
     """A number in [0, 1) from the first 52 bits of md5 of ``seed:key``; a null key counts as an empty one."""
     text = F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("")))

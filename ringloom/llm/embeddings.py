@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringloom.llm.common import components, settle
+from ringloom.llm.common import components, lean_batches, settle
 from ringloom.llm.shingles import _runs
 
 LEAST_COSINE = 0.93
@@ -127,6 +127,7 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFram
 
     Null, zero, or not wholly finite vectors, null labels and null ids link with nothing; vectors of different lengths don't link; a null vec_id has a null component and isn't kept; rows that repeat vec_id, label and vector are one vector; an empty table gives no rows; other columns are not read.
     """
+    lean_batches(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     good = rows.filter("vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL").filter(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ringloom.llm.common import partitions
+from ringloom.llm.common import lean_batches, partitions
 
 MARK = "▁"
 #: What a text with runs of white space is cut into: a newline and what follows it up to a mark, or marks and what follows them.
@@ -204,6 +204,7 @@ def encode(docs: DataFrame, columns=("doc_id",), model: str | None = None) -> Da
 
     A null text counts as an empty one and has no ids; texts of any length stay whole; rows that repeat give rows that repeat; an empty table gives no rows; columns that aren't named are not read, but `columns` may not hold ids or decoded.
     """
+    lean_batches(docs.sparkSession)
     n = partitions(docs.sparkSession)
     model = model or default_model()
     key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))

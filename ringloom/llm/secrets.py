@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringloom.llm.common import fresh, settle
+from ringloom.llm.common import fresh, lean_batches, settle
 
 #: Kinds in the order in which spans with one start are listed; the last is the method's own.
 KINDS = ("assign", "access", "hex", "owned")
@@ -77,6 +77,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def candidates(docs: DataFrame, columns=("doc_id", "source")) -> DataFrame:
     """`columns` of each row with `_row`, a number of its own, and `_spans`, its candidates; written once, so numbers stay as they are."""
+    lean_batches(docs.sparkSession)
     held = docs.select(*columns, F.monotonically_increasing_id().alias("_row"), F.col("text").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields if f.name != "_text")
     return settle(held.mapInPandas(_scan, f"{schema}, _spans array<{SPAN}>"), "secrets")
