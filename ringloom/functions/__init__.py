@@ -72,3 +72,12 @@ def border(col: Column) -> Column:
 def byte_width(n: Column) -> Column:
     """Bytes that hold numbers up to n: ceil(log2(n) / 8)."""
     return F.ceil(F.log2(n.cast("double")) / 8).cast("long")
+
+
+def packed_int(col: Column) -> Column:
+    """The number that little-endian bytes stand for, of up to 7 bytes: how other tools keep positions in binary files."""
+    return F.aggregate(
+        F.sequence(F.length(col), F.lit(1), F.lit(-1)),
+        F.lit(0).cast("long"),
+        lambda a, i: a * 256 + F.conv(F.hex(F.substring(col, i, F.lit(1))), 16, 10).cast("long"),
+    )

@@ -48,3 +48,12 @@ def with_starts(seqs: DataFrame, block: int = 1 << 16) -> DataFrame:
     return rows.withColumn("_own", own).join(offsets, "_block").select(
         "seq_id", (F.col("_own") + F.col("_before")).alias("start_pos"), "length"
     )
+
+
+def concat(*collections: DataFrame) -> DataFrame:
+    """Several collections one after the other, numbered anew."""
+    parts = [c.select(F.lit(i).alias("part"), "seq_id", "name", "seq") for i, c in enumerate(collections)]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return row_numbers(every.withColumnRenamed("seq_id", "old"), ["part", "old"], "seq_id").select("seq_id", "name", "seq")

@@ -2,7 +2,8 @@ import gzip
 
 import pytest
 
-from ringloom.sources import check_strict, from_table, read_fasta, read_fastq, read_sequences, with_starts
+from ringloom.functions import packed_int
+from ringloom.sources import check_strict, concat, from_table, read_fasta, read_fastq, read_sequences, with_starts
 
 FASTA = ">s1 first\r\nACgt\r\nAC\r\n>s2\r\nTTT\r\n>s3 empty\r\n>s4\r\nA-C1\r\n"
 
@@ -36,6 +37,13 @@ def test_tables(spark):
         from_table(df, "k", "s", "other")
 
 
+def test_concat_and_packed(spark):
+    a = spark.createDataFrame([(4, "x", "A"), (2, "y", "B")], "seq_id long, name string, seq string")
+    assert rows(concat(a, a)) == [(0, "y", "B"), (1, "x", "A"), (2, "y", "B"), (3, "x", "A")]
+    packed = spark.createDataFrame([(bytearray((2**33 + 258).to_bytes(5, "little")),)], "b binary")
+    assert packed.select(packed_int(packed.b)).first()[0] == 2**33 + 258
+
+
 def test_starts_and_strictness(spark):
     df = spark.createDataFrame([(0, "ABC"), (1, "D"), (5, "E\x01"), (9, "F1")], "seq_id long, seq string")
     want = [(0, 0, 3), (1, 3, 1), (5, 4, 2), (9, 6, 2)]
