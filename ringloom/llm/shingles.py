@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-import re
-import string
 from collections.abc import Iterator
 from math import comb
 
@@ -14,12 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringloom.llm.common import components, settle
+from ringloom.llm.common import components, drop_table, lean_batches, settle
 
 #: Words in a shingle, and the least Jaccard similarity of linked sets in 100.
 WIDTH, LEAST = 3, 90
-_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
-_WORD = re.compile("[^\x20\x09-\x0d]+")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 #: log2 of the buckets in which shingles are counted to put rare ones first; the counts are 4 MB, whatever the corpus.
 COUNT_BITS = 20
@@ -47,12 +43,13 @@ class Shingler:
         self.width, self.known = width, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = _WORD.findall((text or "").translate(_LOWER))
+        # on bytes, lower() and split() know ASCII letters and white space only
+        words = (text or "").encode("utf-8", "replace").lower().split()
         known = self.known
         if len(known) > self.MOST:
             known.clear()
-        for w in set(words) - known.keys():
-            known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+        for w in (w for w in set(words) if w not in known):
+            known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         n = min(self.width, len(words))
         if not n:
@@ -141,11 +138,12 @@ def _longs(values: np.ndarray) -> np.ndarray:
 
 def _counts(width: int):
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, total, some = Shingler(width), np.zeros(1 << COUNT_BITS, np.int32), False
+        shingler, total, some = Shingler(width), np.zeros(1 << COUNT_BITS, np.int64), False
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                s, some = shingler(text), True
-                np.add.at(total, (s >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
+            found = [shingler(text) for text in batch.column("text").to_pylist()]
+            if found:
+                some = True
+                total += np.bincount((np.concatenate(found) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(total))
         if some:
             parts = total.reshape(256, -1)
             yield pa.RecordBatch.from_arrays(
@@ -173,7 +171,7 @@ def _summary(width: int, least: int, light: int, counts):
         shingler, common = Shingler(width), counts.value
         widest = partners(light, least).stop - 1
         for batch in batches:
-            n, k1, k2, tokens, keys = [], [], [], [], []
+            n, k1, k2, tokens, keys, bits = [], [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingler(text)
                 h = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
@@ -181,6 +179,7 @@ def _summary(width: int, least: int, light: int, counts):
                 k1.append(int.from_bytes(h[:8], "little", signed=True))
                 k2.append(int.from_bytes(h[8:], "little", signed=True))
                 first = s[:0]
+                bits.append(parity(s).tobytes() if len(s) > light else b"")
                 if len(s) > light:
                     order = np.lexsort((s, common[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]))
                     first = s[order[: prefix(len(s), least)]]
@@ -188,8 +187,8 @@ def _summary(width: int, least: int, light: int, counts):
                 keys.append(_longs(subset_keys(s, light, least) if 0 < len(s) <= widest else s[:0]))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(tokens, longs), pa.array(keys, longs)],
-                ["doc_id", "n", "k1", "k2", "tokens", "keys"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(tokens, longs), pa.array(keys, longs), pa.array(bits, pa.binary())],
+                ["doc_id", "n", "k1", "k2", "tokens", "keys", "bits"],
             )
 
     return summary
@@ -203,8 +202,7 @@ def _sets(width: int, wanted):
             rows = batch.filter(pa.array((bits[h >> 3] >> (h & 7)) & 1 == 1))
             found = [shingler(t) for t in rows.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([parity(s).tobytes() for s in found], pa.binary())],
-                ["doc", "elements", "bits"],
+                [rows.column("doc_id"), pa.array([s.tobytes() for s in found], pa.binary())], ["doc", "elements"]
             )
 
     return sets
@@ -222,6 +220,21 @@ def _verify(least: int):
     return verify
 
 
+def _likely(least: int):
+    """Of pairs with their sizes and bitmaps, those that the bitmaps don't rule out."""
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            differ = np.zeros(batch.num_rows, np.int64)
+            for i, (x, y) in enumerate(zip(batch.column("ba").to_pylist(), batch.column("bb").to_pylist(), strict=True)):
+                width = min(len(x), len(y))
+                differ[i] = np.bitwise_count(_folded(x, width) ^ _folded(y, width)).sum(dtype=np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(may_link(na, nb, differ, least)))
+
+    return likely
+
+
 def _across(least: int):
     """Of rows sorted by list and pair of blocks, the pairs of members of different components that size and bitmap don't rule out."""
 
@@ -239,7 +252,9 @@ def _across(least: int):
                 for at, row in zip(i, x, strict=True):
                     differ[at, j] = np.bitwise_count(row[None, :] ^ y).sum(axis=1, dtype=np.int64)
         na, nb = n[a][:, None], n[b][None, :]
+        rest = np.minimum((n - rows["place"])[a][:, None], (n - rows["place"])[b][None, :])
         ok = (comp[a][:, None] != comp[b][None, :]) & (100 * np.minimum(na, nb) >= least * np.maximum(na, nb)) & may_link(na, nb, differ, least)
+        ok &= rest >= -(-least * (na + nb) // (100 + least))
         if right is None:
             ok &= np.triu(np.ones(ok.shape, bool), 1)
         i, j = np.nonzero(ok)
@@ -328,7 +343,12 @@ def _bit(doc):
     return F.pmod(F.xxhash64(doc), F.lit(1 << FILTER_BITS))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, width: int, least: int) -> DataFrame:
+    """Those of the settled `pairs` (a, b) whose whole sets are linked. Only documents in pairs are shingled again and sent."""
+    names = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+    wanted = docs.sparkSession.sparkContext.broadcast(_bit_filter(names))
+    text = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", _bit(F.col("doc_id")).alias("h"))
+    sets = settle(text.mapInArrow(_sets(width, wanted), "doc long, elements binary").join(names, "doc").dropDuplicates(["doc"]), "sets")
     a = sets.select(F.col("doc").alias("a"), F.col("elements").alias("ea"))
     b = sets.select(F.col("doc").alias("b"), F.col("elements").alias("eb"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ea", "eb").mapInArrow(_verify(least), "a long, b long")
@@ -342,10 +362,11 @@ def classes(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFram
     Equal sets count as one throughout. Words are runs of anything but ASCII white space, with A-Z lower-cased; a text of fewer words is one shingle; a null, empty or blank text has no shingles and no links. Rows that repeat a doc_id are one document. A null doc_id has no component (null). An empty table gives no rows; only doc_id and text are read.
     """
     spark = docs.sparkSession
+    lean_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     light = boundary(least)
     counts = spark.sparkContext.broadcast(shingle_counts(docs, width))
-    schema = "doc_id long, n long, k1 long, k2 long, tokens array<long>, keys array<long>"
+    schema = "doc_id long, n long, k1 long, k2 long, tokens array<long>, keys array<long>, bits binary"
     table = settle(docs.mapInArrow(_summary(width, least, light, counts), schema), "shingles")
     known = table.filter("doc_id IS NOT NULL AND n > 0")
 
@@ -364,47 +385,51 @@ def classes(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFram
     sure = sure.union(same.select(F.col("doc_id").alias("a"), F.col("doc").alias("b")).filter("a <> b"))
 
     # heavy sets: lists of at least two different sets of like size
-    listed = known.select("doc_id", "n", F.explode("tokens").alias("token"))
+    listed = known.select("doc_id", "n", F.posexplode("tokens").alias("place", "token"))
     shared = listed.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / (least - 1)))).cast("int")
     members = (
-        listed.join(shared, "token").join(same, "doc_id").select("token", "doc", "n").distinct()
-        .select("token", "doc", "n", F.explode(F.array(size_class, size_class + 1)).alias("class"))
+        listed.join(shared, "token").join(same, "doc_id").select("token", "doc", "n", "place").distinct()
+        .select("token", "doc", "n", "place", F.explode(F.array(size_class, size_class + 1)).alias("class"))
     )
     members = settle(members, "lists")
-    heads = members.groupBy("token", "class").agg(F.min(F.struct("doc", "n")).alias("head"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    members = settle(members.join(heads, ["token", "class"]), "lists")
+    heads = members.groupBy("token", "class").agg(F.min(F.struct("doc", "n", "place")).alias("head"), F.count(F.lit(1)).alias("c"))
+    lists = settle(members.join(heads.filter("c > 1"), ["token", "class"]), "lists")
+    drop_table(members)
+
+    # all of a list against its smallest. The first element that two sets share leaves room for the overlap that they need
+    need = F.ceil(F.lit(least) * (F.col("n") + F.col("head.n")) / F.lit(100 + least))
+    room = F.least(F.col("n") - F.col("place"), F.col("head.n") - F.col("head.place")) >= need
     near = F.lit(100) * F.least("n", "head.n") >= F.lit(least) * F.greatest("n", "head.n")
-    stars = settle(
-        members.filter(near).select(F.col("doc").alias("a"), F.col("head.doc").alias("b")).filter("a <> b").distinct(), "stars"
-    )
-    wanted = spark.sparkContext.broadcast(_bit_filter(members.select("doc")))
-    text = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", _bit(F.col("doc_id")).alias("h"))
-    sets = settle(
-        text.mapInArrow(_sets(width, wanted), "doc long, elements binary, bits binary").dropDuplicates(["doc"]), "sets"
-    )
-    links = sure.union(_verified(stars, sets, least))
+    stars = lists.filter(near & room & (F.col("doc") != F.col("head.doc")))
+    stars = settle(stars.select(F.col("doc").alias("a"), F.col("head.doc").alias("b"), F.col("n").alias("na"), F.col("head.n").alias("nb")).distinct(), "stars")
+    bits = settle(known.select(F.col("doc_id").alias("doc"), "bits").join(lists.select("doc").distinct(), "doc").dropDuplicates(["doc"]), "bits")
+    told = stars.join(bits.select(F.col("doc").alias("a"), F.col("bits").alias("ba")), "a").join(bits.select(F.col("doc").alias("b"), F.col("bits").alias("bb")), "b")
+    likely = settle(told.mapInArrow(_likely(least), "a long, b long"), "likely")
+    links = sure.union(_verified(likely, docs, width, least))
     parts = settle(components(links), "parts")
 
-    # lists that still hold several components
-    placed = members.join(parts.withColumnRenamed("node", "doc"), "doc", "left").select(
-        "token", "class", "doc", "n", F.coalesce("component", "doc").alias("comp")
+    # lists that still hold several components, across these
+    placed = lists.join(parts.withColumnRenamed("node", "doc"), "doc", "left").select(
+        "token", "class", "doc", "n", "place", F.coalesce("component", "doc").alias("comp")
     )
     placed = settle(placed, "placed")
+    drop_table(lists)
     mixed = placed.groupBy("token", "class").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("c")).filter("x < y")
     blocks = F.ceil(F.col("c") / F.lit(BLOCK)).cast("int")
     dealt = placed.join(mixed.select("token", "class", "c"), ["token", "class"]).withColumn("blocks", blocks)
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("token", "class", "doc", "n", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select(
         "token", "class", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"), "doc", "n", "comp",
-    ).join(sets.select("doc", "bits"), "doc")
+        (F.col("own") > F.col("other")).cast("int").alias("side"), "doc", "n", "place", "comp",
+    ).join(bits, "doc")
+    keys = ["token", "class", "i", "j"]
     crossing = (
-        dealt.repartition("token", "class", "i", "j").sortWithinPartitions("token", "class", "i", "j")
-        .mapInArrow(_across(least), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
+        dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_across(least), "a long, b long").distinct()
+        .join(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
     )
-    more = settle(_verified(crossing, sets, least), "more")
+    more = settle(_verified(settle(crossing, "crossing"), docs, width, least), "more")
     whole = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     out = table.select("doc_id", F.col("n").alias("n_shingles")).join(whole, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

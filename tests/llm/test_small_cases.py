@@ -338,7 +338,7 @@ def brute_classes(rows):
     sets = {}
     for i, t in rows:
         if i is not None:
-            w = WORD.findall((t or "").translate(shingles._LOWER))
+            w = WORD.findall(re.sub("[A-Z]", lambda c: c[0].lower(), t or ""))
             sets[i] = {tuple(w[j : j + 3]) for j in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set())
     low = {i: i for i in sets}
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
