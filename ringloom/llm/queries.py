@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from ringloom.llm import archives, classifier, embeddings, mixing, pieces, quality, secrets, shingles
+from ringloom.llm import archives, classifier, embeddings, losses, mixing, pieces, quality, secrets, shingles, urls
 
 
 def queries() -> dict:
     return {
         "op1_sentencepiece": pieces.op1_sentencepiece,
+        "op2_cross_entropy_difference": losses.op2_cross_entropy_difference,
+        "op3_url_filter": urls.op3_url_filter,
         "op4_mixing": mixing.op4_mixing,
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_quality_classifier": classifier.op6_quality_classifier,
@@ -19,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.OP4_SQL, "op5_quality_rules": quality.OP5_SQL, "op7_warc": archives.OP7_SQL}
+    return {"op3_url_filter": urls.OP3_SQL, "op4_mixing": mixing.OP4_SQL, "op5_quality_rules": quality.OP5_SQL, "op7_warc": archives.OP7_SQL}
