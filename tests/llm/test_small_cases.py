@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ringloom.llm import archives, classifier, common, embeddings, mixing, pieces, quality, secrets, shingles
+from ringloom.llm import archives, classifier, common, embeddings, losses, mixing, pieces, quality, secrets, shingles, urls
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, kept string, row string"
@@ -411,3 +411,87 @@ def test_components(spark):
     got = dict(map(tuple, common.components(edges).collect()))
     assert got == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8} | {100 + i: 100 for i in range(41)}
     assert common.components(edges.limit(0)).count() == 0
+
+
+# ---- losses ----
+
+
+def witten_bell(texts):
+    """The same estimate from dictionaries."""
+    seen = [Counter(), Counter(), Counter()]
+    for t in texts:
+        b = b"\0\0" + (t or "").encode()
+        for i in range(2, len(b)):
+            for k in range(3):
+                seen[k][b[i - k : i + 1]] += 1
+    follow = Counter(), Counter()
+    kinds = Counter(), Counter()
+    for k in (1, 2):
+        for g, n in seen[k].items():
+            follow[k - 1][g[:-1]] += n
+            kinds[k - 1][g[:-1]] += 1
+    total = sum(seen[0].values())
+
+    def p(gram):
+        value = (seen[0][gram[-1:]] + 1) / (total + 256)
+        for k in (1, 2):
+            c = gram[2 - k : 2]
+            if kinds[k - 1][c]:
+                value = (seen[k][gram[2 - k :]] + kinds[k - 1][c] * value) / (follow[k - 1][c] + kinds[k - 1][c])
+        return value
+
+    return p
+
+
+def test_losses(spark, docs):
+    target = spark.createDataFrame([(8,), (10,), (10,), (15,), (None,), (77777,)], "doc_id long")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    background, chosen = witten_bell([t for _, t in rows]), witten_bell([t for i, t in rows if i in (8, 10, 15)])
+    got = plain(losses.cross_entropy_difference(docs, target))
+    assert len(got) == len(rows)
+    texts_of = {i: t for i, t in rows}
+    for r in got:
+        if r["doc_id"] in (1, 7, 13, 15, 16, 40):
+            b = b"\0\0" + (texts_of[r["doc_id"]] or "").encode()
+            n = len(b) - 2
+            mean = lambda p: -sum(np.log2(p(b[i : i + 3])) for i in range(n)) / max(1, n)
+            assert r["n_tokens"] == n
+            assert r["target_loss"] == pytest.approx(mean(chosen), rel=1e-4)
+            assert r["background_loss"] == pytest.approx(mean(background), rel=1e-4)
+            assert r["score"] == r["target_loss"] - r["background_loss"]
+    score = {r["doc_id"]: r["score"] for r in got}
+    assert score[15] < 0 < score[13]
+    assert losses.cross_entropy_difference(docs.limit(0), target).count() == 0
+    assert losses.cross_entropy_difference(docs, target.limit(0)).count() == len(rows)
+
+
+# ---- urls ----
+
+
+def test_urls(spark):
+    events = [("block", "b.com", 10, "add"), ("block", "b.com", 20, "remove"), ("block", "b.com", 20, "add"), ("block", "b.com", 200, "add"), ("block", "b.com", 300, "remove"),
+              ("allow", "a.b.com", 250, "add"), ("block", "a.b.com", 250, "add"), ("block", "x", 0, "add"), (None, "b.com", 0, "add"), ("block", None, 0, "add"), ("block", "b.com", None, "add")]
+    events += [("block", f"m{i}.net", i, "add") for i in range(0, 90, 3)] + [events[0]]
+    urls_ = ["http://b.com/x", "HTTPS://u:p@A.B.com.:80/?q", "http://c.b.com", "http://x/", "ftp://m3.net#f", "no host", None, "", "http://", "http://bb.com", "http://b.com"]
+    captures = [(i, u, d, "clash") for i, u in enumerate(urls_) for d in (0, 10, 19, 20, 199, 200, 260, 299, 300, 30_000, None)] + [(None, urls_[0], 15, "clash"), (0, urls_[0], 10, "clash")]
+
+    def verdict(host, day):
+        if not host or day is None:
+            return (0, None, "keep")
+        labels = host.split(".")
+        domains = [".".join(labels[i:]) for i in range(max(1, len(labels) - 1))]
+        active = []
+        for kind in ("block", "allow"):
+            for d in domains:
+                past = sorted((t, a) for k, n, t, a in events if k == kind and n == d and t is not None and t <= day)
+                if past and past[-1][1] == "add":
+                    active.append((len(d), kind == "allow", d))
+        best = max(active, default=None)
+        return (len(active), best and best[2], "drop" if best and not best[1] else "keep")
+
+    hosts = ["b.com", "a.b.com", "c.b.com", "x", "m3.net", None, None, None, None, "bb.com", "b.com"]
+    got = plain(urls.evaluate(spark.createDataFrame(captures, "page_id long, url string, day int, list string"), spark.createDataFrame(events, "list string, domain string, day int, action string")))
+    want = [(i, hosts[urls_.index(u)] if u is not None else None, d, *verdict(hosts[urls_.index(u)] if u is not None else None, d)) for i, u, d, _ in captures]
+    assert sorted(map(repr, (tuple(r.values()) for r in got))) == sorted(map(repr, want))
+    none = spark.createDataFrame([], "list string, domain string, day int, action string")
+    assert urls.evaluate(spark.createDataFrame(captures, "page_id long, url string, day int, list string"), none).filter("verdict = 'keep'").count() == len(captures)
