@@ -235,40 +235,62 @@ def _likely(least: int):
     return likely
 
 
+LISTED = "token long, class int, i int, j int, side int, doc long, n long, place int, comp long"
+_LIST = ("token", "class", "i", "j")
+
+
+def _sides(rows: dict) -> tuple[np.ndarray, np.ndarray]:
+    left = np.flatnonzero(rows["side"] == 0)
+    return left, left if rows["i"][0] == rows["j"][0] else np.flatnonzero(rows["side"] == 1)
+
+
+def _possible(rows: dict, a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+    """Which of `a` and `b`, of one list, belong to different components, and have sizes and places of the list's element that leave room for the overlap that they need."""
+    n, comp, rest = rows["n"], rows["comp"], rows["n"] - rows["place"]
+    na, nb = n[a][:, None], n[b][None, :]
+    ok = (comp[a][:, None] != comp[b][None, :]) & (100 * np.minimum(na, nb) >= least * np.maximum(na, nb))
+    ok &= np.minimum(rest[a][:, None], rest[b][None, :]) >= -(-least * (na + nb) // (100 + least))
+    return np.triu(ok, 1) if a is b else ok
+
+
+def _with_partner(least: int):
+    """Of rows sorted by list and pair of blocks, those with a possible partner."""
+
+    def with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, _LIST):
+            a, b = _sides(rows)
+            if len(a) and len(b):
+                ok = _possible(rows, a, b, least)
+                if ok.any():
+                    keep = np.union1d(a[ok.any(axis=1)], b[ok.any(axis=0)])
+                    yield pa.RecordBatch.from_pydict({k: v[keep] for k, v in rows.items()})
+
+    return with_partner
+
+
 def _across(least: int):
-    """Of rows sorted by list and pair of blocks, the pairs of members of different components that size and bitmap don't rule out."""
-
-    def candidates(rows: dict, left: np.ndarray, right: np.ndarray | None):
-        doc, comp, n, bits = rows["doc"], rows["comp"], rows["n"], rows["bits"]
-        a, b = (left, left) if right is None else (left, right)
-        differ = np.empty((len(a), len(b)), np.int64)
-        wide_a, wide_b = np.array([len(bits[x]) for x in a]), np.array([len(bits[x]) for x in b])
-        for wa in np.unique(wide_a):
-            for wb in np.unique(wide_b):
-                # bitmaps are compared at the narrower width; wider ones fold by exclusive or
-                i, j, width = np.flatnonzero(wide_a == wa), np.flatnonzero(wide_b == wb), min(wa, wb)
-                x = np.stack([_folded(bits[k], width) for k in a[i]]).view(np.uint64)
-                y = np.stack([_folded(bits[k], width) for k in b[j]]).view(np.uint64)
-                for at, row in zip(i, x, strict=True):
-                    differ[at, j] = np.bitwise_count(row[None, :] ^ y).sum(axis=1, dtype=np.int64)
-        na, nb = n[a][:, None], n[b][None, :]
-        rest = np.minimum((n - rows["place"])[a][:, None], (n - rows["place"])[b][None, :])
-        ok = (comp[a][:, None] != comp[b][None, :]) & (100 * np.minimum(na, nb) >= least * np.maximum(na, nb)) & may_link(na, nb, differ, least)
-        ok &= rest >= -(-least * (na + nb) // (100 + least))
-        if right is None:
-            ok &= np.triu(np.ones(ok.shape, bool), 1)
-        i, j = np.nonzero(ok)
-        return doc[a[i]], doc[b[j]]
+    """Of rows sorted by list and pair of blocks, the possible pairs that the bitmaps don't rule out either."""
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, ("token", "class", "i", "j")):
-            side = rows["side"]
-            left = np.flatnonzero(side == 0)
-            right = None if rows["i"][0] == rows["j"][0] else np.flatnonzero(side == 1)
-            if len(left) and (right is None or len(right)):
-                x, y = candidates(rows, left, right)
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
+        for rows in _runs(batches, _LIST):
+            a, b = _sides(rows)
+            if not len(a) or not len(b):
+                continue
+            ok, bits, n = _possible(rows, a, b, least), rows["bits"], rows["n"]
+            wide_a, wide_b = np.array([len(bits[k]) for k in a]), np.array([len(bits[k]) for k in b])
+            for wa in np.unique(wide_a):
+                for wb in np.unique(wide_b):
+                    # bitmaps are compared at the narrower width; wider ones fold by exclusive or
+                    i, j, width = np.flatnonzero(wide_a == wa), np.flatnonzero(wide_b == wb), min(wa, wb)
+                    x = np.stack([_folded(bits[k], width) for k in a[i]]).view(np.uint64)
+                    y = np.stack([_folded(bits[k], width) for k in b[j]]).view(np.uint64)
+                    for at, row in zip(i, x, strict=True):
+                        differ = np.bitwise_count(row[None, :] ^ y).sum(axis=1, dtype=np.int64)
+                        ok[at, j] &= may_link(n[a[at]], n[b[j]], differ, least)
+            i, j = np.nonzero(ok)
+            if len(i):
+                x, y = rows["doc"][a[i]], rows["doc"][b[j]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
 
     return across
 
@@ -321,7 +343,7 @@ def shingle_counts(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
     """How often shingles of each of 2^COUNT_BITS hash buckets occur, over all documents. Buckets are added up on the executors; 4 MB reach the driver, whatever the corpus."""
     parts = docs.select("text").mapInArrow(_counts(width), "part int, counts binary").repartition(64, "part")
     total = np.zeros((256, (1 << COUNT_BITS) // 256), np.int64)
-    for row in parts.mapInArrow(_added, "part int, counts binary").toLocalIterator():
+    for row in parts.mapInArrow(_added, "part int, counts binary").collect():
         total[row.part] = np.frombuffer(row.counts, "<i4")
     return total.reshape(-1).astype(np.int32)
 
@@ -333,7 +355,7 @@ def _bit_filter(ids: DataFrame) -> np.ndarray:
         F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")
     )
     out = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
-    for row in rows.toLocalIterator():
+    for row in rows.collect():
         at = (row.bucket - 1) * 4096
         out[at : at + 4096] = np.frombuffer(row.bits, np.uint8)
     return out
@@ -423,10 +445,12 @@ def classes(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFram
     dealt = dealt.select(
         "token", "class", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         (F.col("own") > F.col("other")).cast("int").alias("side"), "doc", "n", "place", "comp",
-    ).join(bits, "doc")
-    keys = ["token", "class", "i", "j"]
+    )
+    # bitmaps are sent only for rows that sizes and places leave a partner
+    left = settle(dealt.repartition(*_LIST).sortWithinPartitions(*_LIST).mapInArrow(_with_partner(least), LISTED), "left")
+    drop_table(placed)
     crossing = (
-        dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_across(least), "a long, b long").distinct()
+        left.join(bits, "doc").repartition(*_LIST).sortWithinPartitions(*_LIST).mapInArrow(_across(least), "a long, b long").distinct()
         .join(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
     )
     more = settle(_verified(settle(crossing, "crossing"), docs, width, least), "more")
