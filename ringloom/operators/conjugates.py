@@ -20,7 +20,7 @@ def rotations(seqs: DataFrame) -> DataFrame:
 def sorted_rotations(seqs: DataFrame) -> DataFrame:
     """(pos, bwt, seq_id, off): all rotations in omega-order, equal ones by seq_id and off.
 
-    A rotation repeated to twice the longest length settles every comparison, so keys take 2 N max(L) symbols, and one window sorts them: small collections only; indexing.suffix classes do the same for large ones.
+    A rotation repeated to twice the longest length settles every comparison, so keys take 2 N max(L) symbols, and one window sorts them: small collections only; circular_sa.sorted_rotations() does the same for large ones.
     """
     rot = rotations(seqs)
     longest = seqs.agg((F.max(F.length("seq")) * 2).cast("int").alias("k"))

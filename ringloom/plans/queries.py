@@ -1,4 +1,4 @@
-"""The registered queries on the reference tables and their SQL."""
+"""The registered queries on the given tables and their SQL."""
 
 from __future__ import annotations
 
