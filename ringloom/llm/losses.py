@@ -40,7 +40,8 @@ def counts(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     Each task sends a row for each 3-gram that it saw, and rows are added up by 3-gram. There are at most 2^24 of them, whatever the corpus.
     """
     ids = target_ids.select("doc_id").filter("doc_id IS NOT NULL").distinct().withColumn("target", F.lit(True))
-    flagged = docs.select("doc_id", "text").join(ids, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    # a merge join at every size: ids may be as many as documents, and one plan serves small and large
+    flagged = docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     each = flagged.mapInArrow(_counted, "target boolean, gram long, n long")
     return each.groupBy("gram").agg(F.sum("n").alias("background"), F.sum(F.when(F.col("target"), F.col("n")).otherwise(0)).alias("target"))
 
