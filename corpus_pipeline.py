@@ -15,6 +15,10 @@ from ringloom.llm import mixing, pieces, quality, secrets, shingles
 from ringloom.llm.common import settle
 
 
+#: Words in a shingle, and the least Jaccard similarity of near-duplicates in 100. op10 alone, with its defaults, is held to other ones.
+WIDTH, LEAST = 5, 80
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the thresholds of their language and source."""
     return quality.filtered(docs)
@@ -22,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group of near-duplicates."""
-    return shingles.one_of_each(docs)
+    return shingles.one_of_each(docs, WIDTH, LEAST)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

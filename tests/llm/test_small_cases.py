@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ringloom.llm import archives, classifier, common, embeddings, losses, mixing, pieces, quality, secrets, shingles, urls
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -379,6 +380,29 @@ def test_one_of_each(docs):
     assert shingles.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_pipeline_stage_joins_five_words_at_four_fifths(spark):
+    rows = []
+    for g, n in enumerate([7, 9, 12, 30, 60, 200, 400] * 3):
+        words = prose(n, 500 + g).split()
+        rows.append((10 * g, " ".join(words)))
+        for i in range(1, 5):  # the more words are replaced, the lower the similarity
+            near = list(words)
+            for at in range(0, len(near), max(5, n // i)):
+                near[at] = f"other{i}"
+            rows.append((10 * g + i, " ".join(near)))
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in rows if (w := t.split())}
+    low = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    given = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted(i for i in low if low[i] == i)
+    at_op10 = brute_classes(rows)
+    assert want != sorted(i for i in at_op10 if at_op10[i][1] == i)
+    assert sorted(r.doc_id for r in corpus_pipeline.jaccard_join(spark, given, "").collect()) == want
+
+
 def test_subsets_decide_links():
     rng = random.Random(2)
     most = shingles.boundary()
