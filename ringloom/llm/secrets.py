@@ -26,8 +26,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 LONG = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 LEAST_VALUE, LEAST_ACCESS = 6, 20
 LEAST_ENTROPY = 3.0
-#: What so many owners, or so many repositories, have is a copied example.
-EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 2, 5
+#: What so many owners have is a copied example; what one owner alone has is its own, however many of its repositories hold it.
+EXAMPLE_OWNERS = 2
 
 SPAN = "struct<kind:int,start:int,end:int,hash:binary>"
 
@@ -76,33 +76,30 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def candidates(docs: DataFrame, columns=("doc_id", "source")) -> DataFrame:
-    """`columns` of each row with `_row`, a number of its own, and `_spans`, its candidates; written once, so numbers stay as they are."""
+    """`columns` of each row with `_row`, a number of its own, `_copy`, a hash of its text, and `_spans`, its candidates; written once, so numbers stay as they are."""
     lean_batches(docs.sparkSession)
-    held = docs.select(*columns, F.monotonically_increasing_id().alias("_row"), F.col("text").alias("_text"))
+    held = docs.select(*columns, F.monotonically_increasing_id().alias("_row"), F.xxhash64("text").alias("_copy"), F.col("text").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields if f.name != "_text")
     return settle(held.mapInPandas(_scan, f"{schema}, _spans array<{SPAN}>"), "secrets")
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """For each candidate's hash, its distinct repositories (doc_id) and owners (source), and whether it is a copied example: hash, repositories, owners, example.
+    """For each candidate's hash, its distinct repositories (texts; copies of one text are one) and owners (source), and whether it is a copied example: hash, repositories, owners, example. Spread over owners decides; repositories are told.
 
-    Counts go up in steps, (hash, owner, repository), (hash, owner), (hash), each summed in part before its shuffle, so a string that a third of the corpus copies is not gathered anywhere.
+    Counts go up in steps, (hash, owner, text), (hash, owner) and (hash, text), (hash), each summed in part before its shuffle, so a string that a third of the corpus copies is not gathered anywhere.
     """
-    each = found.select("doc_id", "source", F.explode("_spans").alias("s")).select("doc_id", "source", "s.hash").distinct()
-    by_owner = each.groupBy("hash", "source").agg(F.count(F.lit(1)).alias("repositories"))
-    return (
-        by_owner.groupBy("hash")
-        .agg(F.sum("repositories").alias("repositories"), F.count(F.lit(1)).alias("owners"))
-        .withColumn("example", (F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repositories") >= EXAMPLE_REPOSITORIES))
-    )
+    each = found.select("_copy", "source", F.explode("_spans").alias("s")).select("_copy", "source", "s.hash").distinct()
+    owners = each.select("hash", "source").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("owners"))
+    repositories = each.select("hash", "_copy").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("repositories"))
+    return repositories.join(owners, "hash").withColumn("example", F.col("owners") >= EXAMPLE_OWNERS)
 
 
 def scan(docs: DataFrame, columns=("doc_id", "source")) -> DataFrame:
     """`columns` of each row of `docs` and its `spans`: array of (kind, start, end, hash, example), by start, then kind.
 
-    Base spans are always kept and labelled with whether their secret is a widely copied example; a random-looking long token becomes a span of kind `owned` only if it isn't one. Positions are code points, ends exclusive. A null text counts as an empty one and has no spans; null owners and null repositories count as one each; rows that repeat have the same spans; an empty table gives no rows. `columns` must hold doc_id and source.
+    Base spans are always kept and labelled with whether their secret is a widely copied example; a random-looking long token becomes a span of kind `owned` only if it isn't one. Positions are code points, ends exclusive. A null text counts as an empty one and has no spans; null owners count as one; rows that repeat have the same spans; an empty table gives no rows. `columns` must hold doc_id and source.
     """
-    return _labelled(candidates(docs, columns)).drop("_row")
+    return _labelled(candidates(docs, columns)).drop("_row", "_copy")
 
 
 def _labelled(found: DataFrame) -> DataFrame:

@@ -327,6 +327,19 @@ def test_secrets(docs):
     assert secrets.redacted(docs.limit(0)).count() == 0
 
 
+def test_one_owner_is_no_example(spark):
+    own, spread = "Zk3mQ9vT1xR7pL5wB2nY8s", "Aa1Bb2Cc3Dd4Ee5Ff6Gg7Hh8"
+    rows = [(i, f"copy of {own} here", "a") for i in range(7)] + [(10 + i, f"text {i} with {own} too", "a") for i in range(6)]
+    rows += [(20, f"first {spread}", "a"), (21, f"second {spread}", "b"), (22, f"second {spread}", None), (23, f"second {spread}", None)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out = {r.doc_id: [s.kind for s in r.spans] for r in secrets.scan(given).collect()}
+    assert out == {i: ["owned"] if i < 20 else [] for i, _, _ in rows}
+    told = sorted((r.repositories, r.owners, r.example) for r in secrets.ownership(secrets.candidates(given)).collect())
+    assert told == [(2, 3, True), (7, 1, False)]
+    clean = {r.doc_id: r.text for r in secrets.redacted(given).collect()}
+    assert all((own not in clean[i]) if i < 20 else (clean[i] == t) for i, t, _ in rows)
+
+
 def test_keywords_in_any_case():
     for t in ("xPassWord:abcdef", "API-KEY=abcdefgh", "apikey = 'abcdefg'", "ſecret=abcdef", "secret==abcdef", "token : abc", "passwd=" + "a" * 5000, "SECRET='x' secret=yyyyyyy"):
         assert [(secrets.KINDS[k], s, e) for k, s, e, _ in secrets.base_spans(t)] == base(t), t
