@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringloom.llm.common import lean_batches
+from ringloom.llm.common import lean_batches, settle
+
+# ---- bytes ----
 
 #: Tokens are the bytes of a text, so both models share a vocabulary of 256, whatever the languages; an n-gram is a byte and the two before it.
 VOCABULARY, ORDER = 256, 3
@@ -34,15 +38,20 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), target)), pa.array(g), pa.array(counts[g].astype(np.int64))], ["target", "gram", "n"])
 
 
+def flagged(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """doc_id, text and `target`, whether the doc_id is in `target_ids`, for each row of `docs`."""
+    ids = target_ids.select("doc_id").filter("doc_id IS NOT NULL").distinct().withColumn("target", F.lit(True))
+    # a merge join at every size: ids may be as many as documents, and one plan serves small and large
+    told = docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left")
+    return told.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("target", F.lit(False)).alias("target"))
+
+
 def counts(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """(gram, background, target): how often each 3-gram occurs in all of `docs`, and in those whose doc_id is in `target_ids`.
 
     Each task sends a row for each 3-gram that it saw, and rows are added up by 3-gram. There are at most 2^24 of them, whatever the corpus.
     """
-    ids = target_ids.select("doc_id").filter("doc_id IS NOT NULL").distinct().withColumn("target", F.lit(True))
-    # a merge join at every size: ids may be as many as documents, and one plan serves small and large
-    flagged = docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    each = flagged.mapInArrow(_counted, "target boolean, gram long, n long")
+    each = flagged(docs, target_ids).select("text", "target").mapInArrow(_counted, "target boolean, gram long, n long")
     return each.groupBy("gram").agg(F.sum("n").alias("background"), F.sum(F.when(F.col("target"), F.col("n")).otherwise(0)).alias("target"))
 
 
@@ -100,6 +109,242 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
+# ---- words ----
+
+#: Bytes of text in a block of documents, and blocks a bucket of n-grams: neither a block nor a bucket grows with the input.
+BLOCK_BYTES, BLOCKS_A_BUCKET = 8 << 20, 2
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
+#: The most hashes of words that a task keeps from one text to the next.
+KNOWN = 400_000
+#: Kinds of rows: a block's documents, a bucket's reply to a block, a word's counts as a context, a block's word.
+DOCUMENTS, REPLY, CONTEXT, WORD = range(4)
+NUMBERS = ("n0", "total0", "kinds0", "n1", "total1", "kinds1")
+ROUTED = "kind int, block long, bucket int, data binary, word long, " + ", ".join(f"{k} long" for k in NUMBERS)
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of `a` followed by `b`."""
+    x = (a + _MIX[0]) * _MIX[1]
+    x = ((x ^ (x >> np.uint64(29))) + b) * _MIX[0]
+    return x ^ (x >> np.uint64(32))
+
+
+def _word_hashes(text: str | None, known: dict[bytes, int]) -> np.ndarray:
+    # on bytes, lower() and split() know ASCII letters and white space only
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if len(known) > KNOWN:
+        known.clear()
+    for w in (w for w in set(words) if w not in known):
+        known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Unsigned numbers, each array in the narrowest type that holds it."""
+    narrow = [a.astype(np.min_scalar_type(int(a.max())) if len(a) else np.uint8) for a in arrays]
+    return np.array([(len(a), a.itemsize) for a in narrow], "<i8").tobytes() + b"".join(a.tobytes() for a in narrow)
+
+
+def _unpacked(data: bytes, n: int) -> list[np.ndarray]:
+    at, out = 16 * n, []
+    for size, width in np.frombuffer(data, "<i8", 2 * n).reshape(n, 2).tolist():
+        out.append(np.frombuffer(data, f"<u{width}", size, at))
+        at += size * width
+    return out
+
+
+def _sums(where: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(where, values, n).astype(np.int64)
+
+
+def _rows(kind: int, n: int, **columns) -> pa.RecordBatch:
+    types = {"kind": pa.int32(), "block": pa.int64(), "bucket": pa.int32(), "data": pa.binary(), "word": pa.int64()} | dict.fromkeys(NUMBERS, pa.int64())
+    columns["kind"] = np.full(n, kind)
+    return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in types.items()], list(types))
+
+
+def _dealt(most: int):
+    """Rows in blocks of `most` bytes of text, or one text that is longer."""
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, nth = [], 0, 0
+
+        def block() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for part in held:
+                    out.write_batch(part)
+            return _rows(DOCUMENTS, 1, block=[TaskContext.get().partitionId() << 32 | nth], data=[sink.getvalue().to_pybytes()])
+
+        for batch in batches:
+            start = 0
+            for i, text in enumerate(batch.column("text")):
+                size += text.as_buffer().size if text.is_valid else 0
+                if size >= most:
+                    held.append(batch.slice(start, i + 1 - start))
+                    yield block()
+                    held, size, nth, start = [], 0, nth + 1, i + 1
+            if start < batch.num_rows:
+                held.append(batch.slice(start))
+        if held:
+            yield block()
+
+    return dealt
+
+
+class _Block:
+    """The n-grams of a block's documents. Two start marks, 0, stand before each text.
+
+    `keys` are the distinct pairs of words, as contexts or as ends of 3-grams, by bucket; `first` is the first word of each. `grams` are the distinct 3-grams in the order of their contexts, so that a reply of each bucket, one after the other, fits both.
+    """
+
+    def __init__(self, data: bytes, buckets: int, known: dict) -> None:
+        table = pa.ipc.open_stream(data).read_all()
+        self.doc_id = table.column("doc_id").combine_chunks()
+        found = [_word_hashes(t, known) for t in table.column("text").to_pylist()]
+        self.sizes = np.array([len(f) for f in found], np.int64)
+        start = np.zeros(2, np.uint64)
+        self.word = np.concatenate([start[:0], *found])
+        self.before = np.concatenate([start[:0], *(np.concatenate([start[:1], f])[: len(f)] for f in found)])
+        self.earlier = np.concatenate([start[:0], *(np.concatenate([start, f])[: len(f)] for f in found)])
+        self.target = np.repeat(np.array(table.column("target").to_pylist(), bool), self.sizes)
+        self.buckets = buckets
+
+    def count_words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        # the start mark is asked for, but doesn't count
+        words, at = np.unique(np.concatenate([np.zeros(1, np.uint64), self.word]), return_inverse=True)
+        return words, _sums(at[1:], np.ones(len(self.word)), len(words)), _sums(at[1:], self.target, len(words))
+
+    def count_grams(self) -> None:
+        n = len(self.word)
+        context, end = _joined(self.earlier, self.before), _joined(self.before, self.word)
+        keys, at, where = np.unique(np.concatenate([context, end]), return_index=True, return_inverse=True)
+        bucket = (keys % np.uint64(self.buckets)).astype(np.int64)
+        order = np.lexsort((keys, bucket))
+        place = np.empty(len(keys), np.int64)
+        place[order] = np.arange(len(keys))
+        self.keys, self.bucket = keys[order], bucket[order]
+        self.first = np.concatenate([self.earlier, self.before])[at[order]]
+        context_at, end_at = place[where[:n]], place[where[n:]]
+        grams, at, where = np.unique(_joined(context, self.word), return_index=True, return_inverse=True)
+        order = np.lexsort((grams, context_at[at]))
+        place = np.empty(len(grams), np.int64)
+        place[order] = np.arange(len(grams))
+        self.grams, self.at, self.gram_of = grams[order], at[order], place[where]
+        self.context_at, self.end_at = context_at[self.at], end_at[self.at]
+        self.pairs = [_sums(end_at, w, len(keys)) for w in (np.ones(n), self.target)]
+        self.triples = [_sums(self.gram_of, w, len(grams)) for w in (np.ones(n), self.target)]
+
+
+def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict = {}
+    for batch in batches:
+        for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            words, n0, n1 = _Block(data, 1, known).count_words()
+            yield _rows(WORD, len(words), block=np.full(len(words), block), word=words.view(np.int64), n0=n0, n1=n1)
+
+
+def _requests(buckets: int):
+    """For each bucket, a block's pairs and 3-grams with their partial counts."""
+
+    def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                b = _Block(data, buckets, known)
+                b.count_grams()
+                runs = np.bincount(b.context_at, minlength=len(b.keys))
+                ends = np.concatenate([[0], np.cumsum(runs)])
+                there, starts = np.unique(b.bucket, return_index=True)
+                packed = []
+                for s, e in zip(starts, [*starts[1:], len(b.keys)], strict=True):
+                    k, g = slice(s, e), slice(ends[s], ends[e])
+                    packed.append(_packed(b.keys[k], b.first[k], *(x[k] for x in b.pairs), runs[k], b.grams[g], *(x[g] for x in b.triples)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(there), block)), pa.array(there, pa.int32()), pa.array(packed, pa.binary())], ["block", "bucket", "data"])
+
+    return requests
+
+
+def _replies(table: pa.Table) -> pa.Table:
+    """A bucket's counts, to each block for what it asked, and what pairs tell of their first words as contexts."""
+    asked = [_unpacked(x, 8) for x in table.column("data").to_pylist()]
+    keys, first, n0, n1, runs, grams, g0, g1 = (np.concatenate(x) for x in zip(*asked, strict=True))
+    pairs, at, where = np.unique(keys, return_index=True, return_inverse=True)
+    first = first[at].astype(np.uint64)
+    context = np.repeat(where, runs.astype(np.int64))
+    triples, at, gram_where = np.unique(grams, return_index=True, return_inverse=True)
+    context = context[at]
+    told, gram_told, sums = [], [], []
+    words, word_where = np.unique(first, return_inverse=True)
+    for n, g in ((n0, g0), (n1, g1)):
+        n, g = _sums(where, n, len(pairs)), _sums(gram_where, g, len(triples))
+        told += [n, _sums(context, g, len(pairs)), _sums(context, g > 0, len(pairs))]
+        sums += [_sums(word_where, n, len(words)), _sums(word_where, n > 0, len(words))]
+        gram_told.append(g)
+    data, k, g = [], 0, 0
+    for x in asked:
+        mine, own = where[k : k + len(x[0])], gram_where[g : g + len(x[5])]
+        data.append(_packed(*(v[mine] for v in told), *(v[own] for v in gram_told)))
+        k, g = k + len(x[0]), g + len(x[5])
+    return pa.Table.from_batches([
+        _rows(REPLY, len(data), block=table.column("block").to_numpy(), bucket=table.column("bucket").to_numpy(), data=data),
+        _rows(CONTEXT, len(words), word=words.view(np.int64), total0=sums[0], kinds0=sums[1], total1=sums[2], kinds1=sums[3]),
+    ])
+
+
+def _block_scores(buckets: int, totals: tuple[int, int], vocabulary: int):
+    def scores(table: pa.Table) -> pa.Table:
+        kind = table.column("kind").to_numpy()
+        b = _Block(table.column("data")[int(np.flatnonzero(kind == DOCUMENTS)[0])].as_py(), buckets, {})
+        b.count_grams()
+        replies = table.filter(pa.array(kind == REPLY)).sort_by("bucket")
+        told = [_unpacked(x, 8) for x in replies.column("data").to_pylist()]
+        told = [np.concatenate(x).astype(np.float64) for x in zip(*told, strict=True)] or [np.zeros(0)] * 8
+        words = table.filter(pa.array(kind == WORD))
+        word = words.column("word").to_numpy().view(np.uint64)
+        order = np.argsort(word)
+        last, before = (order[np.searchsorted(word[order], x[b.at])] for x in (b.word, b.before))
+        text_of, out = np.repeat(np.arange(len(b.sizes)), b.sizes), []
+        for m in (0, 1):
+            n, total, kinds = (words.column(f"{k}{m}").to_numpy().astype(np.float64) for k in ("n", "total", "kinds"))
+            pair, pair_total, pair_kinds = told[3 * m : 3 * m + 3]
+            p = (n[last] + 1) / (totals[m] + vocabulary)
+            for count, follow, kind_ in ((pair[b.end_at], total[before], kinds[before]), (told[6 + m], pair_total[b.context_at], pair_kinds[b.context_at])):
+                room = follow + kind_
+                p = np.where(room > 0, (count + kind_ * p) / np.maximum(room, 1), p)
+            lost = np.bincount(text_of, -np.log2(p)[b.gram_of], len(b.sizes))
+            out.append(pa.array(lost / np.maximum(b.sizes, 1)))
+        return pa.Table.from_arrays([b.doc_id, pa.array(b.sizes), out[1], out[0]], ["doc_id", "n_tokens", "target_loss", "background_loss"])
+
+    return scores
+
+
+def word_cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, score) for each row of `docs`: bits a word under a word 3-gram model of the documents in `target_ids` and under one of all documents, and their difference (Moore and Lewis, 2010); lower is closer to the target.
+
+    Words are runs of anything but ASCII white space, with A-Z lower-cased; both models share one vocabulary, all distinct words of `docs`, and Witten-Bell back-off from 3-grams to pairs, words and the uniform estimate. All n-grams of all texts count, by 64-bit hashes.
+
+    Documents travel in blocks of `block_bytes` of text. Each block sends its distinct n-grams with partial counts to buckets dealt by hash of the context, so that a frequent n-gram is one entry a block; buckets add them up, with totals and kinds for back-off, and reply. Words are counted and joined as plain rows. Three totals reach the driver: words of either model and the size of the vocabulary. A null text counts as an empty one, with losses and score 0; a null doc_id is no target; rows that repeat score alike; with no targets, the target model is uniform; an empty table gives no rows; other columns are not read.
+    """
+    spark = docs.sparkSession
+    lean_batches(spark)
+    blocks = settle(flagged(docs, target_ids).mapInArrow(_dealt(block_bytes), ROUTED), "blocks")
+    buckets = max(1, -(-blocks.count() // BLOCKS_A_BUCKET))
+    asked = blocks.select("block", "data").repartition("block").mapInArrow(_requests(buckets), "block long, bucket int, data binary")
+    replies = settle(asked.groupBy("bucket").applyInArrow(_replies, ROUTED), "replies")
+    words = settle(blocks.select("block", "data").mapInArrow(_block_words, ROUTED).select("block", "word", "n0", "n1"), "words")
+    each = words.select("word", *[F.col(k) if k in ("n0", "n1") else F.lit(0).cast("long").alias(k) for k in NUMBERS])
+    each = each.union(replies.filter(F.col("kind") == CONTEXT).select("word", *[F.coalesce(k, F.lit(0)).alias(k) for k in NUMBERS]))
+    known = settle(each.groupBy("word").agg(*[F.sum(k).alias(k) for k in NUMBERS]), "vocabulary")
+    n0, n1, vocabulary = known.agg(F.coalesce(F.sum("n0"), F.lit(0)), F.coalesce(F.sum("n1"), F.lit(0)), F.count_if(F.col("n0") > 0)).first()
+    told = words.select("block", "word").join(known, "word").select(
+        F.lit(WORD).alias("kind"), "block", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("data"), "word", *NUMBERS
+    )
+    rows = blocks.union(replies.filter(F.col("kind") == REPLY)).union(told)
+    out = rows.groupBy("block").applyInArrow(_block_scores(buckets, (n0, n1), vocabulary), "doc_id long, n_tokens long, target_loss double, background_loss double")
+    return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+
+
 def op2_cross_entropy_difference(spark, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return cross_entropy_difference(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels.filter("quality = 1 AND toxic = 0"))
+    return word_cross_entropy_difference(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels.filter("quality = 1 AND toxic = 0"))

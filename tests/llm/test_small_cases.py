@@ -502,6 +502,53 @@ def test_losses(spark, docs):
     assert losses.cross_entropy_difference(docs, target.limit(0)).count() == len(rows)
 
 
+def word_model(texts, vocabulary):
+    """Witten-Bell word 3-grams from dictionaries."""
+    seen, follow, kinds = Counter(), Counter(), Counter()
+    for t in texts:
+        w = ["", "", *t]
+        for i in range(2, len(w)):
+            for k in range(3):
+                seen[tuple(w[i - k : i + 1])] += 1
+    for g, n in seen.items():
+        follow[g[:-1]] += n
+        kinds[g[:-1]] += 1
+
+    def p(g):
+        if len(g) == 1:
+            return (seen[g] + 1) / (follow[()] + vocabulary)
+        room = follow[g[:-1]] + kinds[g[:-1]]
+        return (seen[g] + kinds[g[:-1]] * p(g[1:])) / room if room else p(g[1:])
+
+    return p
+
+
+@pytest.mark.parametrize("block_bytes", [500, 8 << 20])
+def test_word_losses(spark, docs, block_bytes):
+    more = [(3000 + i, f"alpha beta gamma{i}", "en") for i in range(3)] + [(3100, "alpha beta", "en"), (3101, "beta alpha", "en")]
+    given = docs.select("doc_id", "text", "lang").union(spark.createDataFrame(more, "doc_id long, text string, lang string"))
+    chosen = {8, 10, 15, 3100}
+    target = spark.createDataFrame([(i,) for i in (*chosen, 10, None, 77777)], "doc_id long")
+    rows = [(r.doc_id, WORD.findall(re.sub("[A-Z]", lambda c: c[0].lower(), r.text or ""))) for r in given.collect()]
+    vocabulary = len({w for _, t in rows for w in t})
+    models = [word_model([t for i, t in rows if i in chosen], vocabulary), word_model([t for _, t in rows], vocabulary)]
+    want = []
+    for i, t in rows:
+        w = ["", "", *t]
+        want.append((i, len(t), *(-sum(np.log2(p(tuple(w[j : j + 3]))) for j in range(len(t))) / max(1, len(t)) for p in models)))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    got = sorted((tuple(r.values()) for r in plain(losses.word_cross_entropy_difference(given, target, block_bytes))), key=key)
+    assert len(got) == len(want)
+    for g, w in zip(got, sorted(want, key=key), strict=True):
+        assert g[:2] == w[:2] and g[2:4] == pytest.approx(w[2:], rel=1e-9) and g[4] == g[2] - g[3]
+    score = {g[0]: g[4] for g in got}
+    assert score[3100] < score[3101]  # the same letters and words in another order
+    if block_bytes > 500:
+        assert losses.word_cross_entropy_difference(given.limit(0), target).count() == 0
+        uniform = plain(losses.word_cross_entropy_difference(given, target.limit(0)))
+        assert all(r["target_loss"] == pytest.approx(np.log2(vocabulary)) for r in uniform if r["n_tokens"])
+
+
 # ---- urls ----
 
 
