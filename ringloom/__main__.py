@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 
 from ringloom import sinks
 from ringloom.plans import api
-from ringloom.sources import read_sequences
+from ringloom.sources.fasta import check_broken, read_with_broken
 
 log = logging.getLogger("ringloom")
 
@@ -34,6 +34,7 @@ def options() -> argparse.ArgumentParser:
     a.add_argument("--period", action="store_true", help="leave out powers of shorter sequences")
     a.add_argument("--doubling", action="store_true", help="rank rotations directly, without parsing")
     a.add_argument("--parsing", action="store_true", help="stop after the parse")
+    a.add_argument("--allow-broken", action="store_true", help="leave out broken FASTQ records, and write them with the reason; without it they are an error")
     a.add_argument("--invert", action="store_true", help="also write the sequences back from the transform")
     a.add_argument("--verbose", action="store_true")
     return a
@@ -43,7 +44,10 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     o = options().parse_args(args)
     logging.basicConfig(level=logging.INFO if o.verbose else logging.WARNING)
     spark = spark or SparkSession.builder.appName("ringloom").getOrCreate()
-    seqs = read_sequences(spark, o.input, "letters" if o.letters else "bytes")
+    seqs, broken = read_with_broken(spark, o.input, "letters" if o.letters else "bytes")
+    check_broken(broken, error=not o.allow_broken)
+    if broken is not None and o.allow_broken:
+        broken.write.parquet(f"{o.out}/broken")
     mode = ("remainders" if o.remainders else "primes") if o.reads else "plain"
     if o.parsing:
         sinks.write_parse(api.segment(seqs, o.w, o.p, mode, o.n, o.period), o.out)

@@ -21,3 +21,14 @@ def test_parsing_alone(spark, tmp_path):
     path.write_text(">a\n" + TEXTS[1] * 3 + "\n")
     main([str(path), str(tmp_path / "out"), "-w", "4", "-p", "10", "--reads", "-n", "24", "--parsing"], spark)
     assert spark.read.parquet(str(tmp_path / "out/dictionary")).count() > 0
+
+
+def test_broken_records_are_an_error_or_written(spark, tmp_path):
+    path = tmp_path / "x.fq"
+    path.write_text(f"@a\n{TEXTS[0]}\n+\n{'I' * len(TEXTS[0])}\n@b\nACGT\n+\nII\n")
+    args = [str(path), str(tmp_path / "out"), "--doubling"]
+    with pytest.raises(ValueError, match="1 quality length"):
+        main(args, spark)
+    main([*args, "--allow-broken"], spark)
+    assert [(r.record, r.reason) for r in spark.read.parquet(str(tmp_path / "out/broken")).collect()] == [(1, "quality length")]
+    assert spark.read.parquet(str(tmp_path / "out/info")).first().ebwt_length == len(TEXTS[0])

@@ -50,3 +50,15 @@ def test_starts_and_strictness(spark):
     for block in (2, 1 << 16):
         assert rows(with_starts(df, block)) == want
     assert [(r.seq_id, r.reason) for r in check_strict(df, letters=True).orderBy("seq_id").collect()] == [(5, "reserved byte"), (9, "not a letter")]
+
+
+def test_fastq_is_framed_by_its_lines(spark, tmp_path, caplog):
+    path = tmp_path / "x.fq"
+    path.write_text("\n@r1 x\nACGT\nAC\n+\n@III\nII\n\n@r2\nGG\n+r2\nII\n\n@r3\nAAAAA\n+\nI\n@r4\nTT\n+\nII\nstray\n@r5\nCC\n@r6\nGC\n+\nII\n@r7\nAAA\n+\n")
+    good, bad = read_fastq(spark, str(path))
+    assert rows(good) == [(0, "r1", "ACGTAC"), (1, "r2", "GG"), (2, "r4", "TT"), (3, "r6", "GC")]
+    assert sorted((r.record, r.reason) for r in bad.collect()) == [(2, "quality length"), (4, "malformed"), (5, "malformed"), (7, "quality length")]
+    with pytest.raises(ValueError, match="2 malformed"):
+        read_sequences(spark, str(path), strict=True)
+    read_sequences(spark, str(path))
+    assert "2 quality length" in caplog.text
