@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ringloom.llm import archives, classifier, common, embeddings, losses, mixing, pieces, quality, secrets, shingles, urls
+from ringloom.llm import archives, classifier, common, embeddings, losses, mixing, pieces, quality, secrets, shingles, tokens, urls
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, kept string, row string"
@@ -362,19 +362,34 @@ def brute_classes(rows):
     return {i: (len(s), low[i]) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("block", [1024, 4])
-def test_classes(spark, docs, block):
+def test_shingle_sets():
+    import pyarrow as pa
+
+    given = [*texts(), "x" * 70 + " y " + "x" * 200_000, "\x0b\x0c\x1c a\x85b"]
+    for column in (pa.array(given), pa.array(given, pa.large_string()).slice(3, 40), pa.array([], pa.string()), pa.array([None, None], pa.string())):
+        for width in (1, 3, 5):
+            want = []
+            for t in column.to_pylist():
+                w = WORD.findall(re.sub("[A-Z]", lambda c: c[0].lower(), t or ""))
+                want.append({tuple(w[j : j + width]) for j in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set()))
+            got = shingles.shingle_sets(column, width)
+            assert [len(x) for x in got] == [len(x) for x in want]
+            assert len(set(np.concatenate([*got, np.zeros(0, np.uint64)]).tolist())) == len(set().union(*want))
+
+
+@pytest.mark.parametrize(("block", "short"), [(1024, 12), (4, 2)])
+def test_classes(spark, docs, block, short):
     words = prose(400, 21).split()
     chain = []
     for i in range(40):  # neighbours are linked, ends are not
         chain.append((2000 + i, " ".join([*(f"w{j}" for j in range(i * 2)), *words[i * 2 :]])))
     more = spark.createDataFrame(chain, "doc_id long, text string")
     given = docs.select("doc_id", "text").union(more).repartition(3)
-    old, shingles.BLOCK = shingles.BLOCK, block
+    old, shingles.BLOCK, shingles.SHORT = (shingles.BLOCK, shingles.SHORT), block, short
     try:
         got = plain(shingles.classes(given))
     finally:
-        shingles.BLOCK = old
+        shingles.BLOCK, shingles.SHORT = old
     want = brute_classes([(r.doc_id, r.text) for r in given.collect()])
     assert len(got) == given.count()
     for r in got:
@@ -384,6 +399,15 @@ def test_classes(spark, docs, block):
             assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]], r
 
 
+def test_one_document_with_two_texts(spark):
+    a, b, c = prose(60, 31), prose(60, 32), prose(9, 33)
+    rows = [(5, a), (5, b), (6, a), (7, b), (8, c), (8, a), (9, c)]
+    told = [tuple(sorted((r.doc_id, r.component_id) for r in shingles.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect())) for n in (1, 3)]
+    assert told[0] == told[1] and len(told[0]) == 7
+    ids = dict(told[0])
+    assert (ids[6] == 5) != (ids[7] == 5)  # one text stands for 5
+
+
 def test_one_of_each(docs):
     want = brute_classes([(r.doc_id, r.text) for r in docs.collect()])
     left = shingles.one_of_each(docs)
@@ -424,9 +448,9 @@ def test_subsets_decide_links():
         n = rng.randint(1, 21)
         a = rng.sample(range(10**6), n)
         b = a[: n - rng.randint(0, min(2, n - 1))] + rng.sample(range(10**6, 2 * 10**6), rng.randint(0, 2))
-        x, y = (np.unique(np.array(v, np.uint64) * shingles._MIX[0]) for v in (a, b))
+        x, y = (np.unique(np.array(v, np.uint64) * tokens.MIX[0]) for v in (a, b))
         if min(len(x), len(y)) <= most:
-            sides = [{int(k) >> 2: int(k) & 3 for k in shingles.subset_keys(v, most)} for v in (x, y)]
+            sides = [{(int(k) >> 2, int(c)): int(k) & 3 for k, c in zip(*shingles.subset_keys(v, most), strict=True)} for v in (x, y)]
             shared = any(sides[0][k] == 0 or sides[0][k] != sides[1][k] for k in sides[0].keys() & sides[1].keys())
             assert shared == shingles.linked(x, y)
 
@@ -437,7 +461,7 @@ def test_bitmaps_never_rule_out_links():
         x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
         y = np.unique(np.concatenate([x[n // 25 :], rng.integers(0, 2**63, n // 30, dtype=np.uint64)]))
         assert shingles.linked(x, y)
-        bx, by = shingles.parity(x).tobytes(), shingles.parity(y).tobytes()
+        bx, by = shingles.parity(x), shingles.parity(y)
         width = min(len(bx), len(by))
         differ = int(np.bitwise_count(shingles._folded(bx, width) ^ shingles._folded(by, width)).sum())
         assert shingles.may_link(len(x), len(y), differ)
