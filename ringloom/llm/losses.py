@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,160 +10,33 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringloom.llm.common import lean_batches, settle
+from ringloom.llm.common import drop_table, lean_batches, settle
+from ringloom.llm.tokens import chained, word_hashes
 
-# ---- bytes ----
+#: Bytes of text in a block of documents (a row counts ROW_BYTES more), and blocks a bucket of n-grams: neither a block nor a bucket grows with the input.
+BLOCK_BYTES, ROW_BYTES, BLOCKS_A_BUCKET = 8 << 20, 16, 2
+#: How many observations the uniform estimate weighs in that of a word, and the estimate of a word in that of a pair.
+UNIFORM, SINGLE = 1000.0, 10.0
+#: The two lowest bits of an n-gram's hash tell its length.
+WORD, PAIR = np.uint64(1), np.uint64(2)
+REPLIES = "bucket int, block long, n binary, target binary, words long, target_words long, vocabulary long"
 
-#: Tokens are the bytes of a text, so both models share a vocabulary of 256, whatever the languages; an n-gram is a byte and the two before it.
-VOCABULARY, ORDER = 256, 3
-GRAMS = VOCABULARY**ORDER
 
+def _packed(a: np.ndarray) -> bytes:
+    """Numbers byte by byte, all lowest bytes first, so that a codec finds the zeros."""
+    planes = a.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    used = 1 + max((i for i in range(8) if planes[i].any()), default=0)
+    return bytes([used]) + planes[:used].tobytes()
 
-def grams(text: str | None) -> np.ndarray:
-    """The 3-gram that ends at each byte, as a number; two zero bytes stand before the text."""
-    b = np.frombuffer(b"\0\0" + (text or "").encode("utf-8", "replace"), np.uint8).astype(np.int64)
-    return b[:-2] << 16 | b[1:-1] << 8 | b[2:]
 
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = {True: np.zeros(GRAMS, np.int32), False: np.zeros(GRAMS, np.int32)}
-    for batch in batches:
-        for text, target in zip(batch.column("text").to_pylist(), batch.column("target").to_pylist(), strict=True):
-            g, n = np.unique(grams(text), return_counts=True)
-            total[bool(target)][g] += n.astype(np.int32)
-    for target, counts in total.items():
-        g = np.flatnonzero(counts)
-        if len(g):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), target)), pa.array(g), pa.array(counts[g].astype(np.int64))], ["target", "gram", "n"])
-
-
-def flagged(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """doc_id, text and `target`, whether the doc_id is in `target_ids`, for each row of `docs`."""
-    ids = target_ids.select("doc_id").filter("doc_id IS NOT NULL").distinct().withColumn("target", F.lit(True))
-    # a merge join at every size: ids may be as many as documents, and one plan serves small and large
-    told = docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left")
-    return told.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("target", F.lit(False)).alias("target"))
-
-
-def counts(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """(gram, background, target): how often each 3-gram occurs in all of `docs`, and in those whose doc_id is in `target_ids`.
-
-    Each task sends a row for each 3-gram that it saw, and rows are added up by 3-gram. There are at most 2^24 of them, whatever the corpus.
-    """
-    each = flagged(docs, target_ids).select("text", "target").mapInArrow(_counted, "target boolean, gram long, n long")
-    return each.groupBy("gram").agg(F.sum("n").alias("background"), F.sum(F.when(F.col("target"), F.col("n")).otherwise(0)).alias("target"))
-
-
-def losses(gram: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Bits that a Witten-Bell model of these counts takes for the last byte of each of `gram`, which are distinct.
-
-    The estimate of a 3-gram backs off to that of its last two bytes, that to that of its last byte, and that to the uniform one over the shared vocabulary, each by the number of different bytes that followed the context.
-    """
-    last, two, context = gram & 0xFF, gram & 0xFFFF, gram >> 8
-    single = np.bincount(last, count, VOCABULARY)
-    p1 = (single + 1) / (single.sum() + VOCABULARY)
-    pair = np.bincount(two, count, VOCABULARY**2)
-    pair_total, pair_kinds = pair.reshape(VOCABULARY, -1).sum(axis=1), (pair.reshape(VOCABULARY, -1) > 0).sum(axis=1)
-    first = two >> 8
-    room = pair_total[first] + pair_kinds[first]
-    p2 = np.where(room > 0, (pair[two] + pair_kinds[first] * p1[last]) / np.maximum(room, 1), p1[last])
-    total = np.bincount(context, count, VOCABULARY**2)[context]
-    kinds = np.bincount(context, count > 0, VOCABULARY**2)[context]
-    room = total + kinds
-    p3 = np.where(room > 0, (count + kinds * p2) / np.maximum(room, 1), p2)
-    return -np.log2(p3)
-
-
-def _scored(tables):
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, target, background = tables.value
-        lost = np.zeros((2, GRAMS), np.float32)
-        lost[0][gram], lost[1][gram] = target, background
-        for batch in batches:
-            n, sums = [], []
-            for text in batch.column("text").to_pylist():
-                g = grams(text)
-                n.append(len(g))
-                sums.append([float(t[g].sum(dtype=np.float64)) / max(1, len(g)) for t in lost])
-            sums = np.array(sums).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["doc_id", "n_tokens", "target_loss", "background_loss"]
-            )
-
-    return scored
-
-
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, score) for each row of `docs`: bits a byte under a model of the documents in `target_ids` and under one of all documents, and the mean of the per-byte differences (Moore and Lewis, 2010); lower is closer to the target.
-
-    Both models are counted over whole texts of all documents in one pass and share vocabulary, order and smoothing. Their tables have 2^24 entries at most, which bounds what reaches the driver and what is broadcast; a second pass scores. A null text counts as an empty one, with losses and score 0; a null doc_id is no target; rows that repeat score alike; with no targets, the target model is uniform; an empty table gives no rows; other columns are not read.
-    """
-    lean_batches(docs.sparkSession)
-    found = counts(docs, target_ids).toArrow()
-    order = np.argsort(found.column("gram").to_numpy())
-    gram, background, target = (found.column(c).to_numpy()[order] for c in ("gram", "background", "target"))
-    tables = docs.sparkSession.sparkContext.broadcast((gram, losses(gram, target).astype(np.float32), losses(gram, background).astype(np.float32)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = rows.mapInArrow(_scored(tables), "doc_id long, n_tokens long, target_loss double, background_loss double")
-    return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
-
-
-# ---- words ----
-
-#: Bytes of text in a block of documents, and blocks a bucket of n-grams: neither a block nor a bucket grows with the input.
-BLOCK_BYTES, BLOCKS_A_BUCKET = 8 << 20, 2
-_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
-#: The most hashes of words that a task keeps from one text to the next.
-KNOWN = 400_000
-#: Kinds of rows: a block's documents, a bucket's reply to a block, a word's counts as a context, a block's word.
-DOCUMENTS, REPLY, CONTEXT, WORD = range(4)
-NUMBERS = ("n0", "total0", "kinds0", "n1", "total1", "kinds1")
-ROUTED = "kind int, block long, bucket int, data binary, word long, " + ", ".join(f"{k} long" for k in NUMBERS)
-
-
-def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hashes of `a` followed by `b`."""
-    x = (a + _MIX[0]) * _MIX[1]
-    x = ((x ^ (x >> np.uint64(29))) + b) * _MIX[0]
-    return x ^ (x >> np.uint64(32))
-
-
-def _word_hashes(text: str | None, known: dict[bytes, int]) -> np.ndarray:
-    # on bytes, lower() and split() know ASCII letters and white space only
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if len(known) > KNOWN:
-        known.clear()
-    for w in (w for w in set(words) if w not in known):
-        known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
-def _packed(*arrays: np.ndarray) -> bytes:
-    """Unsigned numbers, each array in the narrowest type that holds it."""
-    narrow = [a.astype(np.min_scalar_type(int(a.max())) if len(a) else np.uint8) for a in arrays]
-    return np.array([(len(a), a.itemsize) for a in narrow], "<i8").tobytes() + b"".join(a.tobytes() for a in narrow)
-
-
-def _unpacked(data: bytes, n: int) -> list[np.ndarray]:
-    at, out = 16 * n, []
-    for size, width in np.frombuffer(data, "<i8", 2 * n).reshape(n, 2).tolist():
-        out.append(np.frombuffer(data, f"<u{width}", size, at))
-        at += size * width
-    return out
-
-
-def _sums(where: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(where, values, n).astype(np.int64)
-
-
-def _rows(kind: int, n: int, **columns) -> pa.RecordBatch:
-    types = {"kind": pa.int32(), "block": pa.int64(), "bucket": pa.int32(), "data": pa.binary(), "word": pa.int64()} | dict.fromkeys(NUMBERS, pa.int64())
-    columns["kind"] = np.full(n, kind)
-    return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in types.items()], list(types))
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros(((len(data) - 1) // data[0], 8), np.uint8)
+    out[:, : data[0]] = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1).T
+    return out.view("<u8")[:, 0]
 
 
 def _dealt(most: int):
-    """Rows in blocks of `most` bytes of text, or one text that is longer."""
+    """Rows in blocks of `most` bytes, or one text that is longer: block, ids, and the texts, compressed."""
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, nth = [], 0, 0
@@ -174,12 +46,16 @@ def _dealt(most: int):
             with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 for part in held:
                     out.write_batch(part)
-            return _rows(DOCUMENTS, 1, block=[TaskContext.get().partitionId() << 32 | nth], data=[sink.getvalue().to_pybytes()])
+            ids = pa.chunked_array([part.column("doc_id") for part in held]).to_pylist()
+            name = TaskContext.get().partitionId() << 32 | nth
+            return pa.RecordBatch.from_arrays(
+                [pa.array([name]), pa.array([ids], pa.list_(pa.int64())), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "ids", "load"]
+            )
 
         for batch in batches:
             start = 0
             for i, text in enumerate(batch.column("text")):
-                size += text.as_buffer().size if text.is_valid else 0
+                size += ROW_BYTES + (text.as_buffer().size if text.is_valid else 0)
                 if size >= most:
                     held.append(batch.slice(start, i + 1 - start))
                     yield block()
@@ -193,158 +69,145 @@ def _dealt(most: int):
 
 
 class _Block:
-    """The n-grams of a block's documents. Two start marks, 0, stand before each text.
-
-    `keys` are the distinct pairs of words, as contexts or as ends of 3-grams, by bucket; `first` is the first word of each. `grams` are the distinct 3-grams in the order of their contexts, so that a reply of each bucket, one after the other, fits both.
-    """
+    """The words and pairs of words of a block's documents: `keys` are the distinct ones, sorted; `where` is the key of each word, then of each pair; `text_of` its document."""
 
-    def __init__(self, data: bytes, buckets: int, known: dict) -> None:
-        table = pa.ipc.open_stream(data).read_all()
+    def __init__(self, load: bytes, targets: list[int] | None) -> None:
+        table = pa.ipc.open_stream(load).read_all()
         self.doc_id = table.column("doc_id").combine_chunks()
-        found = [_word_hashes(t, known) for t in table.column("text").to_pylist()]
-        self.sizes = np.array([len(f) for f in found], np.int64)
-        start = np.zeros(2, np.uint64)
-        self.word = np.concatenate([start[:0], *found])
-        self.before = np.concatenate([start[:0], *(np.concatenate([start[:1], f])[: len(f)] for f in found)])
-        self.earlier = np.concatenate([start[:0], *(np.concatenate([start, f])[: len(f)] for f in found)])
-        self.target = np.repeat(np.array(table.column("target").to_pylist(), bool), self.sizes)
-        self.buckets = buckets
-
-    def count_words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        # the start mark is asked for, but doesn't count
-        words, at = np.unique(np.concatenate([np.zeros(1, np.uint64), self.word]), return_inverse=True)
-        return words, _sums(at[1:], np.ones(len(self.word)), len(words)), _sums(at[1:], self.target, len(words))
-
-    def count_grams(self) -> None:
-        n = len(self.word)
-        context, end = _joined(self.earlier, self.before), _joined(self.before, self.word)
-        keys, at, where = np.unique(np.concatenate([context, end]), return_index=True, return_inverse=True)
-        bucket = (keys % np.uint64(self.buckets)).astype(np.int64)
-        order = np.lexsort((keys, bucket))
-        place = np.empty(len(keys), np.int64)
-        place[order] = np.arange(len(keys))
-        self.keys, self.bucket = keys[order], bucket[order]
-        self.first = np.concatenate([self.earlier, self.before])[at[order]]
-        context_at, end_at = place[where[:n]], place[where[n:]]
-        grams, at, where = np.unique(_joined(context, self.word), return_index=True, return_inverse=True)
-        order = np.lexsort((grams, context_at[at]))
-        place = np.empty(len(grams), np.int64)
-        place[order] = np.arange(len(grams))
-        self.grams, self.at, self.gram_of = grams[order], at[order], place[where]
-        self.context_at, self.end_at = context_at[self.at], end_at[self.at]
-        self.pairs = [_sums(end_at, w, len(keys)) for w in (np.ones(n), self.target)]
-        self.triples = [_sums(self.gram_of, w, len(grams)) for w in (np.ones(n), self.target)]
-
-
-def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict = {}
-    for batch in batches:
-        for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
-            words, n0, n1 = _Block(data, 1, known).count_words()
-            yield _rows(WORD, len(words), block=np.full(len(words), block), word=words.view(np.int64), n0=n0, n1=n1)
-
-
-def _requests(buckets: int):
-    """For each bucket, a block's pairs and 3-grams with their partial counts."""
+        found = [word_hashes(c) for c in table.column("text").chunks]
+        h = np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in found)])
+        self.sizes = np.concatenate([np.zeros(0, np.int64), *(x for _, x in found)])
+        text = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        #: the places of words that follow another
+        self.follows = np.flatnonzero(text[1:] == text[:-1]) + 1
+        pairs = chained(h[self.follows - 1], h[self.follows])
+        grams = np.concatenate([h & ~np.uint64(3) | WORD, pairs & ~np.uint64(3) | PAIR])
+        self.keys, self.where = np.unique(grams, return_inverse=True)
+        self.text_of = np.concatenate([text, text[self.follows]])
+        self.target = np.zeros(len(self.sizes), bool)
+        self.target[targets or []] = True
+
+    def buckets(self, bits: int) -> np.ndarray:
+        """Buckets are ranges of hashes."""
+        return (self.keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(self.keys), np.int64)
+
+
+def _requests(bits: int):
+    """For each bucket, the keys of a block that fall in it, as differences, and how often all documents and target documents of the block have them."""
 
     def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
         for batch in batches:
-            for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                b = _Block(data, buckets, known)
-                b.count_grams()
-                runs = np.bincount(b.context_at, minlength=len(b.keys))
-                ends = np.concatenate([[0], np.cumsum(runs)])
-                there, starts = np.unique(b.bucket, return_index=True)
-                packed = []
-                for s, e in zip(starts, [*starts[1:], len(b.keys)], strict=True):
-                    k, g = slice(s, e), slice(ends[s], ends[e])
-                    packed.append(_packed(b.keys[k], b.first[k], *(x[k] for x in b.pairs), runs[k], b.grams[g], *(x[g] for x in b.triples)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(there), block)), pa.array(there, pa.int32()), pa.array(packed, pa.binary())], ["block", "bucket", "data"])
+            for block, load, targets in zip(*(batch.column(c).to_pylist() for c in ("block", "load", "targets")), strict=True):
+                b = _Block(load, targets)
+                n = np.bincount(b.where, minlength=len(b.keys))
+                t = np.bincount(b.where, b.target[b.text_of], len(b.keys)).astype(np.int64)
+                there, start = np.unique(b.buckets(bits), return_index=True)
+                cuts = [slice(s, e) for s, e in zip(start, [*start[1:], len(b.keys)], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(there, pa.int32()), pa.array(np.full(len(there), block)),
+                        pa.array([_packed(np.diff(b.keys[c], prepend=np.uint64(0))) for c in cuts], pa.binary()),
+                        pa.array([_packed(n[c]) for c in cuts], pa.binary()), pa.array([_packed(t[c]) for c in cuts], pa.binary()),
+                    ],
+                    ["bucket", "block", "keys", "n", "target"],
+                )
 
     return requests
 
 
 def _replies(table: pa.Table) -> pa.Table:
-    """A bucket's counts, to each block for what it asked, and what pairs tell of their first words as contexts."""
-    asked = [_unpacked(x, 8) for x in table.column("data").to_pylist()]
-    keys, first, n0, n1, runs, grams, g0, g1 = (np.concatenate(x) for x in zip(*asked, strict=True))
-    pairs, at, where = np.unique(keys, return_index=True, return_inverse=True)
-    first = first[at].astype(np.uint64)
-    context = np.repeat(where, runs.astype(np.int64))
-    triples, at, gram_where = np.unique(grams, return_index=True, return_inverse=True)
-    context = context[at]
-    told, gram_told, sums = [], [], []
-    words, word_where = np.unique(first, return_inverse=True)
-    for n, g in ((n0, g0), (n1, g1)):
-        n, g = _sums(where, n, len(pairs)), _sums(gram_where, g, len(triples))
-        told += [n, _sums(context, g, len(pairs)), _sums(context, g > 0, len(pairs))]
-        sums += [_sums(word_where, n, len(words)), _sums(word_where, n > 0, len(words))]
-        gram_told.append(g)
-    data, k, g = [], 0, 0
-    for x in asked:
-        mine, own = where[k : k + len(x[0])], gram_where[g : g + len(x[5])]
-        data.append(_packed(*(v[mine] for v in told), *(v[own] for v in gram_told)))
-        k, g = k + len(x[0]), g + len(x[5])
-    return pa.Table.from_batches([
-        _rows(REPLY, len(data), block=table.column("block").to_numpy(), bucket=table.column("bucket").to_numpy(), data=data),
-        _rows(CONTEXT, len(words), word=words.view(np.int64), total0=sums[0], kinds0=sums[1], total1=sums[2], kinds1=sums[3]),
-    ])
-
-
-def _block_scores(buckets: int, totals: tuple[int, int], vocabulary: int):
-    def scores(table: pa.Table) -> pa.Table:
-        kind = table.column("kind").to_numpy()
-        b = _Block(table.column("data")[int(np.flatnonzero(kind == DOCUMENTS)[0])].as_py(), buckets, {})
-        b.count_grams()
-        replies = table.filter(pa.array(kind == REPLY)).sort_by("bucket")
-        told = [_unpacked(x, 8) for x in replies.column("data").to_pylist()]
-        told = [np.concatenate(x).astype(np.float64) for x in zip(*told, strict=True)] or [np.zeros(0)] * 8
-        words = table.filter(pa.array(kind == WORD))
-        word = words.column("word").to_numpy().view(np.uint64)
-        order = np.argsort(word)
-        last, before = (order[np.searchsorted(word[order], x[b.at])] for x in (b.word, b.before))
-        text_of, out = np.repeat(np.arange(len(b.sizes)), b.sizes), []
-        for m in (0, 1):
-            n, total, kinds = (words.column(f"{k}{m}").to_numpy().astype(np.float64) for k in ("n", "total", "kinds"))
-            pair, pair_total, pair_kinds = told[3 * m : 3 * m + 3]
-            p = (n[last] + 1) / (totals[m] + vocabulary)
-            for count, follow, kind_ in ((pair[b.end_at], total[before], kinds[before]), (told[6 + m], pair_total[b.context_at], pair_kinds[b.context_at])):
-                room = follow + kind_
-                p = np.where(room > 0, (count + kind_ * p) / np.maximum(room, 1), p)
-            lost = np.bincount(text_of, -np.log2(p)[b.gram_of], len(b.sizes))
-            out.append(pa.array(lost / np.maximum(b.sizes, 1)))
-        return pa.Table.from_arrays([b.doc_id, pa.array(b.sizes), out[1], out[0]], ["doc_id", "n_tokens", "target_loss", "background_loss"])
+    """A bucket's counts over all blocks, to each block for the keys that it sent, and a row without a block: words, words of targets, distinct words."""
+    asked = [np.cumsum(_unpacked(x), dtype=np.uint64) for x in table.column("keys").to_pylist()]
+    keys, where = np.unique(np.concatenate(asked), return_inverse=True)
+    ends = np.cumsum([len(x) for x in asked])[:-1]
+    words, told, sums = keys & np.uint64(3) == WORD, [], []
+    for column in ("n", "target"):
+        each = np.concatenate([_unpacked(x) for x in table.column(column).to_pylist()])
+        count = np.bincount(where, each, len(keys)).astype(np.int64)
+        told.append([*(_packed(x) for x in np.split(count[where], ends)), None])
+        sums.append(int(count[words].sum()))
+    rows, blocks = table.num_rows, [*table.column("block").to_pylist(), None]
+    last = lambda v: pa.array([None] * rows + [v], pa.int64())
+    return pa.Table.from_arrays(
+        [pa.array([table.column("bucket")[0].as_py()] * (rows + 1), pa.int32()), pa.array(blocks, pa.int64()), *(pa.array(x, pa.binary()) for x in told), last(sums[0]), last(sums[1]), last(int(words.sum()))],
+        ["bucket", "block", "n", "target", "words", "target_words", "vocabulary"],
+    )
+
+
+def _scores(totals: tuple[int, int], vocabulary: int):
+    def scores(blocks: pa.Table, replies: pa.Table) -> pa.Table:
+        b = _Block(blocks.column("load")[0].as_py(), blocks.column("targets")[0].as_py())
+        replies = replies.sort_by("bucket")
+        _, pair, times = np.unique(b.where * max(1, len(b.sizes)) + b.text_of, return_inverse=True, return_counts=True)
+        own, words = times[pair], int(b.sizes.sum())
+        out = []
+        for column, total, left_out in (("target", totals[1], b.target), ("n", totals[0], np.ones(len(b.sizes), bool))):
+            count = np.concatenate([np.zeros(0), *(_unpacked(x) for x in replies.column(column).to_pylist())])
+            # a document is scored by the counts of all others
+            count = count[b.where] - own * left_out[b.text_of]
+            p = (count[:words] + UNIFORM / max(1, vocabulary)) / ((total - b.sizes * left_out)[b.text_of[:words]] + UNIFORM)
+            p[b.follows] = (count[words:] + SINGLE * p[b.follows]) / (count[b.follows - 1] + SINGLE)
+            out.append(pa.array(np.bincount(b.text_of[:words], -np.log2(p), len(b.sizes)) / np.maximum(b.sizes, 1)))
+        return pa.Table.from_arrays([b.doc_id, pa.array(b.sizes), *out], ["doc_id", "n_tokens", "target_loss", "background_loss"])
 
     return scores
 
 
-def word_cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, score) for each row of `docs`: bits a word under a word 3-gram model of the documents in `target_ids` and under one of all documents, and their difference (Moore and Lewis, 2010); lower is closer to the target.
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, score) for each row of `docs`: bits a word under a model of the documents in `target_ids` and under one of all documents, and their difference (Moore and Lewis, 2010); lower is closer to the target.
 
-    Words are runs of anything but ASCII white space, with A-Z lower-cased; both models share one vocabulary, all distinct words of `docs`, and Witten-Bell back-off from 3-grams to pairs, words and the uniform estimate. All n-grams of all texts count, by 64-bit hashes.
+    Words are runs of anything but ASCII white space, with A-Z lower-cased. Both are models of pairs of words over one vocabulary, all distinct words of `docs`, with Dirichlet smoothing (MacKay and Peto, 1995): a pair's estimate weighs in that of its second word as SINGLE observations, that the uniform one as UNIFORM. A word's count as a context is its count. All words and pairs of all texts count, by 64-bit hashes; a document is scored by the counts of all other rows, else it would seem as likely as it is long.
 
-    Documents travel in blocks of `block_bytes` of text. Each block sends its distinct n-grams with partial counts to buckets dealt by hash of the context, so that a frequent n-gram is one entry a block; buckets add them up, with totals and kinds for back-off, and reply. Words are counted and joined as plain rows. Three totals reach the driver: words of either model and the size of the vocabulary. A null text counts as an empty one, with losses and score 0; a null doc_id is no target; rows that repeat score alike; with no targets, the target model is uniform; an empty table gives no rows; other columns are not read.
+    Documents travel in blocks of `block_bytes` of text. Each block sends its distinct words and pairs with partial counts to buckets, which are ranges of hashes, so that a frequent pair is one entry a block; buckets add them up and reply to each block. With very many blocks, the parts of a block get small; a larger `block_bytes` helps. Three totals reach the driver: words of either model and the size of the vocabulary.
+
+    A null text counts as an empty one, with losses and score 0; a null doc_id is no target; rows that repeat are documents of their own and score alike; with no targets, or none but the document itself, the target model is uniform; an empty table gives no rows; other columns are not read. Sets the session's Arrow batches to 8 MB.
     """
     spark = docs.sparkSession
     lean_batches(spark)
-    blocks = settle(flagged(docs, target_ids).mapInArrow(_dealt(block_bytes), ROUTED), "blocks")
-    buckets = max(1, -(-blocks.count() // BLOCKS_A_BUCKET))
-    asked = blocks.select("block", "data").repartition("block").mapInArrow(_requests(buckets), "block long, bucket int, data binary")
-    replies = settle(asked.groupBy("bucket").applyInArrow(_replies, ROUTED), "replies")
-    words = settle(blocks.select("block", "data").mapInArrow(_block_words, ROUTED).select("block", "word", "n0", "n1"), "words")
-    each = words.select("word", *[F.col(k) if k in ("n0", "n1") else F.lit(0).cast("long").alias(k) for k in NUMBERS])
-    each = each.union(replies.filter(F.col("kind") == CONTEXT).select("word", *[F.coalesce(k, F.lit(0)).alias(k) for k in NUMBERS]))
-    known = settle(each.groupBy("word").agg(*[F.sum(k).alias(k) for k in NUMBERS]), "vocabulary")
-    n0, n1, vocabulary = known.agg(F.coalesce(F.sum("n0"), F.lit(0)), F.coalesce(F.sum("n1"), F.lit(0)), F.count_if(F.col("n0") > 0)).first()
-    told = words.select("block", "word").join(known, "word").select(
-        F.lit(WORD).alias("kind"), "block", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("data"), "word", *NUMBERS
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    blocks = settle(rows.mapInArrow(_dealt(block_bytes), "block long, ids array<long>, load binary"), "blocks")
+    bits = max(0, (blocks.count() // BLOCKS_A_BUCKET - 1).bit_length())
+    # only ids are joined; the texts stay where they are
+    targets = target_ids.select(F.col("doc_id").cast("long").alias("id")).filter("id IS NOT NULL").distinct()
+    flags = blocks.select("block", F.posexplode("ids").alias("pos", "id")).join(targets, "id").groupBy("block").agg(F.collect_list("pos").alias("targets"))
+    marked = blocks.select("block", "load").join(settle(flags, "flags"), "block", "left")
+    asked = marked.mapInArrow(_requests(bits), "bucket int, block long, keys binary, n binary, target binary")
+    replies = settle(asked.groupBy("bucket").applyInArrow(_replies, REPLIES), "replies")
+    n, target, vocabulary = replies.filter("block IS NULL").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "target_words", "vocabulary")]).first()
+    told = replies.filter("block IS NOT NULL").select("bucket", "block", "n", "target")
+    out = marked.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
+        _scores((n, target), vocabulary), "doc_id long, n_tokens long, target_loss double, background_loss double"
     )
-    rows = blocks.union(replies.filter(F.col("kind") == REPLY)).union(told)
-    out = rows.groupBy("block").applyInArrow(_block_scores(buckets, (n0, n1), vocabulary), "doc_id long, n_tokens long, target_loss double, background_loss double")
     return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
 def op2_cross_entropy_difference(spark, sf_dir: str) -> DataFrame:
+    """Documents labelled good and not toxic are the target; losses to six places."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return word_cross_entropy_difference(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels.filter("quality = 1 AND toxic = 0"))
+    out = cross_entropy_difference(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels.filter("quality = 1 AND toxic = 0"))
+    return out.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
+
+
+OP2_SQL = rf"""
+WITH w AS (SELECT doc_id, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0) AS chosen,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+sizes AS (SELECT doc_id, chosen, len(words)::BIGINT AS n FROM w),
+t AS (SELECT doc_id, chosen, unnest(words) AS w, unnest([NULL] || words[:-2]) AS v FROM w WHERE len(words) > 0),
+own1 AS (SELECT doc_id, chosen, w, count(*)::DOUBLE AS n FROM t GROUP BY ALL),
+own2 AS (SELECT doc_id, chosen, v, w, count(*)::DOUBLE AS n FROM t WHERE v IS NOT NULL GROUP BY ALL),
+one AS (SELECT w, sum(n) AS b, coalesce(sum(n) FILTER (chosen), 0) AS t FROM own1 GROUP BY w),
+two AS (SELECT v, w, sum(n) AS b, coalesce(sum(n) FILTER (chosen), 0) AS t FROM own2 GROUP BY v, w),
+total AS (SELECT coalesce(sum(n), 0)::DOUBLE AS b, coalesce(sum(n) FILTER (chosen), 0)::DOUBLE AS t, greatest(1, (SELECT count(*) FROM one))::DOUBLE AS vocabulary FROM sizes),
+part AS (SELECT t.doc_id, t.v, t.w, CASE WHEN s.chosen THEN 1 ELSE 0 END AS c, s.n AS size FROM t JOIN sizes s USING (doc_id)),
+counts AS (SELECT p.doc_id, p.v, o.b - x.n AS b1, o.t - p.c * x.n AS t1, total.b - p.size AS nb, total.t - p.c * p.size AS nt, vocabulary,
+                  f.b - fx.n AS fb, f.t - p.c * fx.n AS ft, q.b - qx.n AS b2, q.t - p.c * qx.n AS t2
+           FROM part p CROSS JOIN total JOIN one o ON o.w = p.w JOIN own1 x ON x.doc_id = p.doc_id AND x.w = p.w
+           LEFT JOIN one f ON f.w = p.v LEFT JOIN own1 fx ON fx.doc_id = p.doc_id AND fx.w = p.v
+           LEFT JOIN two q ON q.v = p.v AND q.w = p.w LEFT JOIN own2 qx ON qx.doc_id = p.doc_id AND qx.v = p.v AND qx.w = p.w),
+single AS (SELECT *, (b1 + {UNIFORM} / vocabulary) / (nb + {UNIFORM}) AS pb, (t1 + {UNIFORM} / vocabulary) / (nt + {UNIFORM}) AS pt FROM counts),
+pairs AS (SELECT doc_id, CASE WHEN v IS NULL THEN pb ELSE (b2 + {SINGLE} * pb) / (fb + {SINGLE}) END AS pb,
+                 CASE WHEN v IS NULL THEN pt ELSE (t2 + {SINGLE} * pt) / (ft + {SINGLE}) END AS pt FROM single),
+lost AS (SELECT doc_id, avg(-log2(pt)) AS t, avg(-log2(pb)) AS b FROM pairs GROUP BY doc_id)
+SELECT s.doc_id, s.n AS n_tokens, round(coalesce(t, 0), 6) AS target_loss, round(coalesce(b, 0), 6) AS background_loss, round(coalesce(t - b, 0), 6) AS score
+FROM sizes s LEFT JOIN lost USING (doc_id)
+"""

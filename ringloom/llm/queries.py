@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": urls.OP3_SQL, "op4_mixing": mixing.OP4_SQL, "op5_quality_rules": quality.OP5_SQL, "op7_warc": archives.OP7_SQL}
+    return {"op2_cross_entropy_difference": losses.OP2_SQL, "op3_url_filter": urls.OP3_SQL, "op4_mixing": mixing.OP4_SQL, "op5_quality_rules": quality.OP5_SQL, "op7_warc": archives.OP7_SQL}

@@ -477,102 +477,54 @@ def test_components(spark):
 # ---- losses ----
 
 
-def witten_bell(texts):
-    """The same estimate from dictionaries."""
-    seen = [Counter(), Counter(), Counter()]
-    for t in texts:
-        b = b"\0\0" + (t or "").encode()
-        for i in range(2, len(b)):
-            for k in range(3):
-                seen[k][b[i - k : i + 1]] += 1
-    follow = Counter(), Counter()
-    kinds = Counter(), Counter()
-    for k in (1, 2):
-        for g, n in seen[k].items():
-            follow[k - 1][g[:-1]] += n
-            kinds[k - 1][g[:-1]] += 1
-    total = sum(seen[0].values())
-
-    def p(gram):
-        value = (seen[0][gram[-1:]] + 1) / (total + 256)
-        for k in (1, 2):
-            c = gram[2 - k : 2]
-            if kinds[k - 1][c]:
-                value = (seen[k][gram[2 - k :]] + kinds[k - 1][c] * value) / (follow[k - 1][c] + kinds[k - 1][c])
-        return value
-
-    return p
-
-
-def test_losses(spark, docs):
-    target = spark.createDataFrame([(8,), (10,), (10,), (15,), (None,), (77777,)], "doc_id long")
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    background, chosen = witten_bell([t for _, t in rows]), witten_bell([t for i, t in rows if i in (8, 10, 15)])
-    got = plain(losses.cross_entropy_difference(docs, target))
-    assert len(got) == len(rows)
-    texts_of = {i: t for i, t in rows}
-    for r in got:
-        if r["doc_id"] in (1, 7, 13, 15, 16, 40):
-            b = b"\0\0" + (texts_of[r["doc_id"]] or "").encode()
-            n = len(b) - 2
-            mean = lambda p: -sum(np.log2(p(b[i : i + 3])) for i in range(n)) / max(1, n)
-            assert r["n_tokens"] == n
-            assert r["target_loss"] == pytest.approx(mean(chosen), rel=1e-4)
-            assert r["background_loss"] == pytest.approx(mean(background), rel=1e-4)
-            assert r["score"] == r["target_loss"] - r["background_loss"]
-    score = {r["doc_id"]: r["score"] for r in got}
-    assert score[15] < 0 < score[13]
-    assert losses.cross_entropy_difference(docs.limit(0), target).count() == 0
-    assert losses.cross_entropy_difference(docs, target.limit(0)).count() == len(rows)
-
-
-def word_model(texts, vocabulary):
-    """Witten-Bell word 3-grams from dictionaries."""
-    seen, follow, kinds = Counter(), Counter(), Counter()
-    for t in texts:
-        w = ["", "", *t]
-        for i in range(2, len(w)):
-            for k in range(3):
-                seen[tuple(w[i - k : i + 1])] += 1
-    for g, n in seen.items():
-        follow[g[:-1]] += n
-        kinds[g[:-1]] += 1
-
-    def p(g):
-        if len(g) == 1:
-            return (seen[g] + 1) / (follow[()] + vocabulary)
-        room = follow[g[:-1]] + kinds[g[:-1]]
-        return (seen[g] + kinds[g[:-1]] * p(g[1:])) / room if room else p(g[1:])
-
-    return p
-
-
 @pytest.mark.parametrize("block_bytes", [500, 8 << 20])
-def test_word_losses(spark, docs, block_bytes):
-    more = [(3000 + i, f"alpha beta gamma{i}", "en") for i in range(3)] + [(3100, "alpha beta", "en"), (3101, "beta alpha", "en")]
+def test_losses(spark, docs, block_bytes):
+    more = [(3000 + i, f"alpha beta gamma{i}", "en") for i in range(3)] + [(3100, "alpha beta alpha beta", "en"), (3101, "beta alpha", "en")]
     given = docs.select("doc_id", "text", "lang").union(spark.createDataFrame(more, "doc_id long, text string, lang string"))
-    chosen = {8, 10, 15, 3100}
+    chosen = {8, 10, 15, 3100, 3000}
     target = spark.createDataFrame([(i,) for i in (*chosen, 10, None, 77777)], "doc_id long")
     rows = [(r.doc_id, WORD.findall(re.sub("[A-Z]", lambda c: c[0].lower(), r.text or ""))) for r in given.collect()]
     vocabulary = len({w for _, t in rows for w in t})
-    models = [word_model([t for i, t in rows if i in chosen], vocabulary), word_model([t for _, t in rows], vocabulary)]
-    want = []
-    for i, t in rows:
-        w = ["", "", *t]
-        want.append((i, len(t), *(-sum(np.log2(p(tuple(w[j : j + 3]))) for j in range(len(t))) / max(1, len(t)) for p in models)))
+    count = lambda t: Counter([(w,) for w in t] + list(zip(t, t[1:])))
+    models = []
+    for some in ([t for i, t in rows if i in chosen], [t for _, t in rows]):
+        models.append((sum((count(t) for t in some), Counter()), sum(map(len, some))))
+
+    def loss(model, t, left_out):
+        n, total = model
+        own = count(t) if left_out else Counter()
+        total -= len(t) * left_out
+        bits = 0
+        for j, w in enumerate(t):
+            p = (n[w,] - own[w,] + losses.UNIFORM / vocabulary) / (total + losses.UNIFORM)
+            if j:
+                v = t[j - 1]
+                p = (n[v, w] - own[v, w] + losses.SINGLE * p) / (n[v,] - own[v,] + losses.SINGLE)
+            bits -= np.log2(p)
+        return bits / max(1, len(t))
+
+    want = [(i, len(t), loss(models[0], t, i in chosen), loss(models[1], t, True)) for i, t in rows]
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
-    got = sorted((tuple(r.values()) for r in plain(losses.word_cross_entropy_difference(given, target, block_bytes))), key=key)
+    got = sorted((tuple(r.values()) for r in plain(losses.cross_entropy_difference(given, target, block_bytes))), key=key)
     assert len(got) == len(want)
     for g, w in zip(got, sorted(want, key=key), strict=True):
         assert g[:2] == w[:2] and g[2:4] == pytest.approx(w[2:], rel=1e-9) and g[4] == g[2] - g[3]
     score = {g[0]: g[4] for g in got}
-    assert score[3100] < score[3101]  # the same letters and words in another order
+    assert score[3001] < score[3101]  # the same letters and words in another order
+    lost = {g[0]: g[3] for g in got}
+    assert lost[8] < lost[15]  # 8 has copies, 15 hasn't
     if block_bytes > 500:
-        assert losses.word_cross_entropy_difference(given.limit(0), target).count() == 0
-        uniform = plain(losses.word_cross_entropy_difference(given, target.limit(0)))
+        assert losses.cross_entropy_difference(given.limit(0), target).count() == 0
+        uniform = plain(losses.cross_entropy_difference(given, target.limit(0)))
         assert all(r["target_loss"] == pytest.approx(np.log2(vocabulary)) for r in uniform if r["n_tokens"])
 
 
+def test_packed_numbers():
+    rng = np.random.default_rng(4)
+    for a in (rng.integers(0, 2**64, 50, np.uint64), np.zeros(3, np.int64), np.array([255, 256]), np.zeros(0, np.int64)):
+        assert losses._unpacked(losses._packed(a)).tolist() == a.tolist()
+
+
 # ---- urls ----
 
 
