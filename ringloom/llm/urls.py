@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Days in a bucket of the join: an interval is entered in each bucket that it touches, a capture looks in its own.
-BUCKET = 32
-#: The last day that an open interval is entered for.
-LAST_DAY = 40_000
+from ringloom.llm.common import settle
+
+#: The fewest days in a bucket of the join, and the most buckets that a closed interval is entered in: buckets get wider where captures span more days.
+LEAST_WIDTH, MOST_BUCKETS = 32, 64
 
 
 def host_of(url: Column) -> Column:
@@ -26,27 +26,33 @@ def domains_of(host: Column) -> Column:
 
 
 def intervals(events: DataFrame) -> DataFrame:
-    """(list, domain, start, stop): when each entry was active, from the day of an `add` to that of the next event of its list and domain; of events of one day, the `remove` counts."""
+    """(list, domain, start, stop): when each entry was active, from the day of an `add` to that of the next event of its list and domain, or without end (null); of events of one day, the `remove` counts."""
     w = Window.partitionBy("list", "domain").orderBy("day", "action")
-    spans = events.filter("list IS NOT NULL AND domain IS NOT NULL AND day IS NOT NULL").withColumn("stop", F.coalesce(F.lead("day").over(w), F.lit(LAST_DAY)))
-    return spans.filter("action = 'add' AND day < stop").select("list", "domain", F.col("day").alias("start"), "stop")
+    spans = events.filter("list IS NOT NULL AND domain IS NOT NULL AND day IS NOT NULL").withColumn("stop", F.lead("day").over(w))
+    return spans.filter("action = 'add' AND (stop IS NULL OR day < stop)").select("list", "domain", F.col("day").alias("start"), "stop")
 
 
 def evaluate(captures: DataFrame, events: DataFrame) -> DataFrame:
-    """(page_id, host, day, n_active, matched, verdict) for each row of `captures` (page_id, url, day), against the entries of `events` (list, domain, day, action) that were active on its day.
+    """(page_id, host, day, n_active, matched, verdict) for each row of `captures` (page_id, url, day), against the entries of `events` (list, domain, day, action) that were active on its day. Days are whole numbers of any size: days since some date, yyyymmdd or seconds.
 
     Lists are `block` and `allow`. An entry matches its domain and all below it; the longest active match decides, and of equal ones `allow`. n_active counts the active matches, matched is the deciding domain, verdict `drop` or `keep`.
 
-    Captures are first reduced to distinct (host, day). Each of their domains looks in the bucket of its day for intervals of that domain, an equi-join with a range check, so a domain with many entries or a host with a third of all captures is spread over days. Verdicts then go back to the captures by (host, day).
+    Captures are first reduced to distinct (host, day). An open interval, of which a list has one a domain at most, is one row and meets each of a capture's domains. Closed ones are cut to the days that captures have and entered in the buckets that they touch; each domain of a capture looks in the bucket of its day, an equi-join with a range check, so a domain with many entries or a host with a third of all captures is spread over days. Verdicts then go back to the captures by (host, day).
 
     A capture without host or day matches nothing and is kept; a null page_id stays; rows that repeat are told alike; repeated events count once; no events, or no captures, are fine; other columns are not read.
     """
     rows = captures.select("page_id", host_of(F.col("url")).alias("host"), F.col("day").cast("long").alias("day"))
-    asked = rows.filter("host IS NOT NULL AND day IS NOT NULL").select("host", "day").distinct()
-    asked = asked.select("host", "day", F.explode(domains_of(F.col("host"))).alias("domain"), F.floor(F.col("day") / BUCKET).alias("bucket"))
+    asked = settle(rows.filter("host IS NOT NULL AND day IS NOT NULL").select("host", "day").distinct(), "asked")
+    first, last = asked.agg(F.coalesce(F.min("day"), F.lit(0)), F.coalesce(F.max("day"), F.lit(0))).first()
+    width = max(LEAST_WIDTH, -(-(last - first + 1) // (MOST_BUCKETS - 1)))
+    bucket = lambda day: F.floor((day - F.lit(first)) / F.lit(width)).cast("long")
     spans = intervals(events.select("list", "domain", F.col("day").cast("long").alias("day"), "action").distinct())
-    entered = spans.select("list", "domain", "start", "stop", F.explode(F.sequence(F.floor(F.col("start") / BUCKET), F.floor((F.col("stop") - 1) / BUCKET))).alias("bucket"))
-    active = asked.join(entered, ["domain", "bucket"]).filter("start <= day AND day < stop")
+    spans = spans.filter(F.col("start") <= last).filter(F.col("stop").isNull() | (F.col("stop") > first))
+    touched = F.sequence(bucket(F.greatest("start", F.lit(first))), bucket(F.least(F.col("stop") - 1, F.lit(last))))
+    entered = spans.select("list", "domain", "start", "stop", F.explode(F.when(F.col("stop").isNull(), F.array(F.lit(OPEN).cast("long"))).otherwise(touched)).alias("bucket"))
+    domains = asked.select("host", "day", F.explode(domains_of(F.col("host"))).alias("domain"), F.array(F.lit(OPEN).cast("long"), bucket(F.col("day"))).alias("buckets"))
+    active = domains.select("host", "day", "domain", F.explode("buckets").alias("bucket")).join(entered, ["domain", "bucket"])
+    active = active.filter("start <= day AND (stop IS NULL OR day < stop)")
     best = F.max(F.struct(F.length("domain").alias("length"), (F.col("list") == "allow").alias("allowed"), F.col("domain").alias("domain")))
     told = active.groupBy("host", "day").agg(F.count(F.lit(1)).alias("n"), best.alias("best")).select(
         F.col("host").alias("told_host"), F.col("day").alias("told_day"), "n", "best"
@@ -58,6 +64,10 @@ def evaluate(captures: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
+#: The bucket of intervals without end.
+OPEN = -1
+
+
 def _digits(text: Column, start: int, n: int) -> Column:
     return F.conv(F.substring(F.md5(text), start, n), 16, 10).cast("long")
 
@@ -94,8 +104,8 @@ events AS (SELECT 'block' AS list, domain, first AS day, 'add' AS action FROM h
            SELECT 'block', domain, first + 1 + h9 % 150, 'remove' FROM h WHERE h1 % 4 = 0 UNION
            SELECT 'block', domain, first + 160 + h13 % 100, 'add' FROM h WHERE h1 % 8 = 0 UNION
            SELECT 'allow', domain, first, 'add' FROM h WHERE h17 % 16 = 0),
-spans AS (SELECT list, domain, action, day AS start, coalesce(lead(day) OVER (PARTITION BY list, domain ORDER BY day, action), 40000) AS stop FROM events),
-active AS (SELECT x.host, x.day, s.list, s.domain FROM (SELECT DISTINCT host, day FROM c) x JOIN up USING (host) JOIN spans s ON s.domain = up.domain AND s.action = 'add' AND s.start <= x.day AND x.day < s.stop),
+spans AS (SELECT list, domain, action, day AS start, lead(day) OVER (PARTITION BY list, domain ORDER BY day, action) AS stop FROM events),
+active AS (SELECT x.host, x.day, s.list, s.domain FROM (SELECT DISTINCT host, day FROM c) x JOIN up USING (host) JOIN spans s ON s.domain = up.domain AND s.action = 'add' AND s.start <= x.day AND (s.stop IS NULL OR x.day < s.stop)),
 ranked AS (SELECT *, count(*) OVER (PARTITION BY host, day) AS n, row_number() OVER (PARTITION BY host, day ORDER BY length(domain) DESC, list = 'allow' DESC) AS nth FROM active)
 SELECT c.page_id, c.host, c.day, coalesce(r.n, 0)::BIGINT AS n_active, r.domain AS matched, CASE WHEN r.list = 'block' THEN 'drop' ELSE 'keep' END AS verdict
 FROM c LEFT JOIN ranked r ON r.nth = 1 AND r.host = c.host AND r.day = c.day
