@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringloom.llm.common import lean_batches, new_path
+from ringloom.llm.common import BATCH_BYTES, lean_batches, new_path
 
 #: Field names of an ARC record's header line, by the version that the archive's first record declares.
 ARC_FIELDS = {
@@ -21,8 +25,10 @@ ARC_FIELDS = {
 }
 #: Payloads shorter than this are never written as revisits.
 LEAST_REVISIT = 100
-#: Records in one WARC file, and bytes of payload in one ARC, about.
-RECORDS, ARC_BYTES = 4000, 4 << 20
+#: Bytes of one WARC file before compression, and of one ARC, about.
+WARC_BYTES, ARC_BYTES = 32 << 20, 4 << 20
+#: The WARC date of a record whose ARC date is none.
+NO_DATE = "1970-01-01T00:00:00Z"
 PAGE_HEADER, ORIGINAL_HEADER = "X-Page-Id", "X-Refers-To-Page-Id"
 EPOCH = datetime(2020, 1, 1, tzinfo=UTC)
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -45,31 +51,66 @@ def arc_head(version: int, name: str) -> bytes:
     return arc_record(version, f"filedesc://{name}", "20200101000000", "text/plain", block, 0, name)
 
 
-def parse_arc(content: bytes) -> Iterator[tuple[dict, bytes, bool]]:
-    """(header fields by name, block, whether it is cut short) of each record after the first, which declares version and field names.
+#: The left part of a header line, up to the address and the date of 12 or 14 digits; a URL may hold blanks.
+_LEFT = re.compile(r"(?P<url>\S.*?) (?P<ip>[0-9A-Fa-f.:]+|-) (?P<date>\d{12}|\d{14}) (?P<kind>.*)")
+#: Header lines are no longer than this.
+LONGEST_LINE = 1 << 16
 
-    Blocks are taken by their declared length, so that nothing in them can look like a header; a URL may hold blanks, as fields are counted from the right.
+
+def opened(content: bytes) -> BinaryIO:
+    """A stream over plain or gzip-compressed bytes, of any number of members."""
+    return gzip.GzipFile(fileobj=io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
+
+
+def header_fields(line: str, names: list[str]) -> dict | None:
+    """The fields of a header line by `names`; null if it isn't one. What stands right of the content type has no blanks; the content type and the URL may have some."""
+    right = len(names) - 1 - names.index("Content-type")
+    left, *rest = line.rsplit(" ", right)
+    found = _LEFT.fullmatch(left)
+    if found is None or len(rest) != right or not rest[-1].isdigit():
+        return None
+    return dict(zip(names, [*found.groups(), *rest], strict=True))
+
+
+def parse_arc(content: bytes) -> Iterator[tuple[int, dict | str, bytes, bool]]:
+    """(byte, header fields by name, block, whether it is cut short) of each record after the first, which declares version and field names; and (byte, what is wrong, b"", False) where there is no record. Bytes are counted after decompression.
+
+    Blocks are taken by their declared length, so that nothing in them can look like a header. After lines that aren't a header, the next line that is one goes on; a run of such lines is told once. An archive is read as a stream, a record at a time.
     """
-    at, names = 0, None
-    while at < len(content):
-        if content[at : at + 1] in (b"\n", b"\r"):
-            at += 1
-            continue
-        end = content.find(b"\n", at)
-        if end < 0:
-            return
-        line = content[at:end].decode("utf-8", "replace").rstrip("\r")
-        if names is None:
-            fields = line.rsplit(" ", 9 if line.count(" ") >= 9 else 4)
-        else:
-            fields = line.rsplit(" ", len(names) - 1)
-        length = int(fields[-1])
-        block = content[end + 1 : end + 1 + length]
-        if names is None:
-            names = block.decode("ascii", "replace").splitlines()[1].split(" ")
-        else:
-            yield dict(zip(names, fields, strict=True)), block, len(block) < length
-        at = end + 1 + length
+    stream = opened(content)
+    names, lost = None, False
+    at = 0
+    try:
+        while line := stream.readline(LONGEST_LINE):
+            start, at = at, at + len(line)
+            text = line.decode("utf-8", "replace").strip("\r\n")
+            if not text:
+                continue
+            if names is None:
+                # the first record's own line has the fields of its version, which its block declares after it
+                fields = header_fields(text, ARC_FIELDS[2].split()) or header_fields(text, ARC_FIELDS[1].split())
+            else:
+                fields = header_fields(text, names)
+            if fields is None:
+                if not lost:
+                    yield start, "no header line" if names else "no first record", b"", False
+                lost = True
+                continue
+            length = int(fields["Archive-length"])
+            block = stream.read(length)
+            at += len(block)
+            lost = False
+            if names is None:
+                declared = block.decode("ascii", "replace").splitlines()
+                names = declared[1].split() if len(declared) > 1 else []
+                if names[:4] != ARC_FIELDS[1].split()[:4] or names[-1] != "Archive-length":
+                    names = ARC_FIELDS[2 if text.count(" ") >= 9 else 1].split()
+                    if not text.startswith("filedesc:"):
+                        yield start, fields, block, len(block) < length
+            else:
+                yield start, fields, block, len(block) < length
+    except (OSError, EOFError, zlib.error) as e:
+        yield at, f"broken compression: {e}", b"", False
 
 
 def _arcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,6 +151,14 @@ def pages_to_arc(pages: DataFrame) -> DataFrame:
 # ---- ARC to WARC ----
 
 
+def arc_date(digits: str) -> str:
+    """An ARC date of 12 or 14 digits as a WARC date; NO_DATE for one that is no date, as the all-zero one."""
+    try:
+        return datetime.strptime(digits.ljust(14, "0"), "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
+    except ValueError:
+        return NO_DATE
+
+
 def converted(fields: dict, block: bytes, cut: bool) -> tuple:
     """The parts of a WARC record that stand for an ARC record. Its identifier follows from URL, date and block alone, so conversions repeat."""
     head, gap, payload = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
@@ -119,29 +168,60 @@ def converted(fields: dict, block: bytes, cut: bool) -> tuple:
         key, _, value = line.partition(":")
         if key.lower() == PAGE_HEADER.lower() and value.strip().lstrip("-").isdigit():
             page = int(value)
-    when = datetime.strptime(fields["Archive-date"], "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
     name = hashlib.sha256(f"{fields['URL']} {fields['Archive-date']} ".encode() + block).digest()
     record = f"<urn:uuid:{uuid.UUID(bytes=name[:16], version=5)}>"
-    return record, fields["URL"], when, page, head, payload, len(payload), hashlib.sha256(payload).hexdigest(), cut
+    return record, fields["URL"], arc_date(fields["Archive-date"]), page, head, payload, len(payload), hashlib.sha256(payload).hexdigest(), cut
+
+
+def _columns(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+    named = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), named, strict=True)], [n for n, _ in named])
+
+
+def _in_parts(rows: Iterator[tuple], schema: str) -> Iterator[pa.RecordBatch]:
+    """Batches of some megabytes at most, or of one row that is longer."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 200 + sum(len(v) for v in row if isinstance(v, bytes))
+        if size >= BATCH_BYTES // 2:
+            yield _columns(held, schema)
+            held, size = [], 0
+    if held:
+        yield _columns(held, schema)
 
 
 def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.bool_()]
-    names = [x.split()[0] for x in RECORD.split(", ")]
     for batch in batches:
         for content in batch.column("content"):
-            found = [converted(*x) for x in parse_arc(content.as_buffer().to_pybytes())]
-            for at in range(0, len(found), 500):
-                columns = zip(*found[at : at + 500], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            found = parse_arc(content.as_buffer().to_pybytes())
+            yield from _in_parts((converted(fields, block, cut) for _, fields, block, cut in found if isinstance(fields, dict)), RECORD)
+
+
+def _errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            found = parse_arc(content.as_buffer().to_pybytes())
+            yield from _in_parts(((path, at, what) for at, what, _, _ in found if isinstance(what, str)), ERRORS)
+
+
+ERRORS = "path string, byte long, error string"
+
+
+def arc_errors(archives: DataFrame) -> DataFrame:
+    """Where ARC `archives` (path, content) have no record: path, byte (after decompression), error."""
+    return archives.select("path", "content").mapInArrow(_errors, ERRORS)
 
 
 def arc_to_warc(archives: DataFrame) -> DataFrame:
-    """The records of ARC `archives` (path, content) with WARC identifiers, dates, types and digests: the columns of RECORD, record_type, and original, (page_id, record_id) of the record that a revisit refers to.
+    """The records of ARC `archives` (path, content), plain or gzip-compressed, with WARC identifiers, dates, types and digests: the columns of RECORD, record_type, and original, (page_id, record_id) of the record that a revisit refers to.
 
     Of records with equal payloads of LEAST_REVISIT bytes or more, that with the smallest page_id is a response and the others revisit it; records without page_id are responses. Smallest ids go up as one row a digest, summed in part before the shuffle; a digest that a third of the records share is an ordinary skewed join.
+
+    A date that is none becomes NO_DATE; a record that the archive cuts short is kept and marked; lines that are no header are passed over, up to the next that is one, and told by arc_errors(), as is broken compression, which ends its archive alone. An empty or headless archive has no records.
     """
-    records = archives.mapInArrow(_convert, RECORD)
+    records = archives.select("content").mapInArrow(_convert, RECORD)
     long = records.filter((F.col("payload_bytes") >= LEAST_REVISIT) & F.col("page_id").isNotNull())
     first = long.groupBy("payload_digest").agg(F.min(F.struct("page_id", "record_id")).alias("original"), F.count(F.lit(1)).alias("n"))
     first = first.filter("n > 1").select(F.col("payload_digest").alias("first_digest"), "original")
@@ -186,84 +266,75 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             started = True
             name = str(uuid.uuid5(uuid.NAMESPACE_URL, batch.column("record_id")[0].as_py())).encode()
             yield pa.RecordBatch.from_arrays([pa.array([info % name], pa.binary())], ["record"])
-        for at in range(0, batch.num_rows, 500):
-            rows = batch.slice(at, 500).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([warc_record(r) for r in rows], pa.binary())], ["record"])
+        yield from _in_parts(((warc_record(batch.slice(i, 1).to_pylist()[0]),) for i in range(batch.num_rows)), "record binary")
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """Write the records of arc_to_warc() as gzip-compressed WARC files under `path`. Each record is a value of Spark's text sink, closed by two line ends."""
+def write_warc(records: DataFrame, path: str, record_bytes: float = 16384) -> None:
+    """Write the records of arc_to_warc() as gzip-compressed WARC files under `path`, of about WARC_BYTES before compression where records have `record_bytes` on average. Each record is a value of Spark's text sink, closed by two line ends."""
     lines = records.mapInArrow(_format, "record binary").select(F.col("record").cast("string").alias("value"))
-    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+    most = max(1, int(WARC_BYTES / (record_bytes + 600)))
+    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def parse_warc(content: bytes) -> Iterator[tuple[dict, bytes]]:
-    """(headers with lower-case names, block) of each record, blocks by their declared length."""
-    at = 0
-    while at < len(content):
-        if content[at : at + 2] == b"\r\n":
-            at += 2
+    """(headers with lower-case names, block) of each record of plain or gzip-compressed bytes, blocks by their declared length. Read as a stream, a record at a time; anything but a whole record is an error."""
+    stream = opened(content)
+    while line := stream.readline(LONGEST_LINE):
+        if line in (b"\r\n", b"\n"):
+            continue
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record at byte {stream.tell() - len(line)}")
+        headers = {}
+        while (line := stream.readline()).strip():
+            key, _, value = line.decode("utf-8", "replace").partition(":")
+            headers[key.strip().lower()] = value.strip()
+        length = int(headers["content-length"])
+        block = stream.read(length)
+        if len(block) < length:
+            raise ValueError(f"a WARC record is cut short at byte {stream.tell()}")
+        yield headers, block
+
+
+def _read_rows(content: bytes) -> Iterator[tuple]:
+    for h, block in parse_warc(content):
+        if h["warc-type"] not in ("response", "revisit"):
             continue
-        end = content.index(b"\r\n\r\n", at)
-        lines = content[at:end].decode("utf-8", "replace").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        start = end + 4
-        stop = start + int(headers["content-length"])
-        yield headers, content[start:stop]
-        at = stop
-
-
-def gunzip(content: bytes) -> bytes:
-    """All members of a gzip file."""
-    out = []
-    while content:
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(content) + d.flush())
-        content = d.unused_data
-    return b"".join(out)
+        payload, digest = block.partition(b"\r\n\r\n")[2] if block.startswith(b"HTTP/") else block, h["warc-payload-digest"].removeprefix("sha256:")
+        size = int(h["warc-payload-length"])
+        if h["warc-type"] == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
+            raise ValueError(f"record {h['warc-record-id']} doesn't have the payload that it declares")
+        page, original = h.get(PAGE_HEADER.lower()), h.get(ORIGINAL_HEADER.lower())
+        yield (
+            h["warc-record-id"], h["warc-target-uri"], h["warc-date"], None if page is None else int(page), payload, size, digest, h["warc-type"], None if original is None else int(original)
+        )
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content"):
-            data = content.as_buffer().to_pybytes()
-            rows = []
-            for h, block in parse_warc(gunzip(data) if data[:2] == b"\x1f\x8b" else data):
-                if h["warc-type"] not in ("response", "revisit"):
-                    continue
-                payload, digest = block.partition(b"\r\n\r\n")[2], h["warc-payload-digest"].removeprefix("sha256:")
-                size = int(h["warc-payload-length"])
-                if h["warc-type"] == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
-                    raise ValueError(f"record {h['warc-record-id']} doesn't have the payload that it declares")
-                page, original = h.get(PAGE_HEADER.lower()), h.get(ORIGINAL_HEADER.lower())
-                rows.append(
-                    (h["warc-record-id"], h["warc-target-uri"], h["warc-date"], None if page is None else int(page), payload, size, digest, h["warc-type"], None if original is None else int(original))
-                )
-            kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-            for at in range(0, len(rows), 500):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 500], strict=True), kinds, strict=True)], READ_NAMES)
+            yield from _in_parts(_read_rows(content.as_buffer().to_pybytes()), READ)
 
 
 READ = "record_id string, url string, date string, page_id long, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
-READ_NAMES = [x.split()[0] for x in READ.split(", ")]
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The response and revisit records of the WARC files under `path`, plain or gzip-compressed: the columns of READ. A response whose payload isn't the declared one is an error."""
+    """The response and revisit records of the WARC files under `path` that write_warc() wrote, plain or gzip-compressed: the columns of READ. A response whose payload isn't the declared one, or a file that is cut short, is an error."""
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_read, READ)
 
 
 def archived(pages: DataFrame) -> DataFrame:
     """`pages` (page_id, url, html) through legacy archives and WARC files and back: the records that read_warc() finds.
 
+    The files stay in the shared folder, as read_warc() reads them whenever its rows are asked for.
+
     A null html is an empty payload, a null url `urn:none`, and a null page_id a response without one; texts of any length stay whole; rows that repeat a page_id and html are responses both if the id is the smallest of its payload; an empty table gives no rows; other columns are not read.
     """
     spark = pages.sparkSession
     lean_batches(spark)
     path = new_path(spark, "warc")
-    write_warc(arc_to_warc(pages_to_arc(pages)), path)
+    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
+    write_warc(arc_to_warc(pages_to_arc(pages)), path, mean)
     return read_warc(spark, path)
 
 
