@@ -3,23 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ringloom.llm.common import components, lean_batches, settle
-from ringloom.llm.shingles import _runs
+from ringloom.llm.common import components, drop_table, lean_batches, settle
+from ringloom.llm.shingles import _whole_runs
+from ringloom.llm.tokens import MIX, mixed
 
 LEAST_COSINE = 0.93
-#: Projections of a table, width of their cells, and tables. Unit vectors at the least cosine are 0.374 apart and fall in one cell with probability 0.70, in one bucket of 8 cells with 0.059, and in one bucket of one of 40 tables at least with 0.91; at cosine 0.97, with 0.999. Vectors at right angles share a bucket of some table with probability 0.001.
-PROJECTIONS, CELL, TABLES = 8, 1.0, 40
+#: Projections of a table, width of their cells, and tables. Unit vectors at the least cosine are 0.374 apart and fall in one cell with probability 0.851, in one bucket of 16 cells with 0.076, and in one bucket of one of 40 tables at least with 0.957; at cosine 0.97, with 0.9998. Vectors at right angles share a bucket of some table with probability 0.0004.
+PROJECTIONS, CELL, TABLES = 16, 2.0, 40
 SEED = 20260101
-#: A bucket of more vectors than this is compared in blocks of so many.
-BLOCK = 512
+#: A bucket of more vectors than this is compared in blocks of so many; buckets of SHORT vectors are compared many at a time.
+BLOCK, SHORT = 512, 12
+_KEYS = ("key", "i", "j")
 
 
+@lru_cache(4)
 def _hashing(dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng([SEED, dim])
     a = rng.standard_normal((dim, TABLES * PROJECTIONS))
@@ -28,94 +33,119 @@ def _hashing(dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return a, b, odd
 
 
-def signatures(unit: np.ndarray) -> np.ndarray:
-    """A 64-bit bucket for each unit vector and table."""
+def signatures(unit: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """A 64-bit name of a label and bucket for each unit vector and table."""
     a, b, odd = _hashing(unit.shape[1])
     cells = np.floor((unit @ a + b) / CELL).astype(np.int64).astype(np.uint64).reshape(len(unit), TABLES, PROJECTIONS)
-    h = (cells * odd).sum(axis=2, dtype=np.uint64) + np.arange(TABLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return (h ^ (h >> np.uint64(32))).view(np.int64)
-
-
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = batch.column("embedding")
-        values, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-        starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        units: list = [None] * len(sizes)
-        signs: list = [None] * len(sizes)
-        for dim in np.unique(sizes):
-            where = np.flatnonzero(sizes == dim)
-            x = values[starts[where][:, None] + np.arange(dim)].astype(np.float64)
-            x /= np.abs(x).max(axis=1, keepdims=True)  # else squares of tiny or huge components leave the range of doubles
-            x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-            for i, u, s in zip(where, x, signatures(x), strict=True):
-                units[i], signs[i] = u.tobytes(), s.tobytes()
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("vec"), batch.column("label"), batch.column("copies"), pa.array(units, pa.binary()), pa.array(signs, pa.binary())],
-            ["vec", "label", "copies", "unit", "signs"],
-        )
-
-
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            signs = np.stack([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("signs")])
-            n = len(signs)
-            for at in range(0, n, 250):
-                part = signs[at : at + 250]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(batch.column("vec").to_numpy()[at : at + 250], TABLES)),
-                        pa.array(np.repeat(batch.column("label").to_numpy()[at : at + 250], TABLES)),
-                        pa.array(np.tile(np.arange(TABLES, dtype=np.int32), len(part))),
-                        pa.array(part.reshape(-1)),
-                    ],
-                    ["vec", "label", "nth", "bucket"],
-                )
-
-
-def _compare(least: float):
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, ("label", "nth", "bucket", "i", "j")):
-            side = rows["side"]
-            a = np.flatnonzero(side == 0)
-            b = a if rows["i"][0] == rows["j"][0] else np.flatnonzero(side == 1)
-            sizes = np.array([len(u) for u in rows["unit"]])
-            if not len(a) or not len(b) or len(sizes) < 2:
+    table = np.arange(TABLES, dtype=np.uint64) * MIX[0]
+    return mixed(mixed((cells * odd).sum(axis=2, dtype=np.uint64) + table) + label.view(np.uint64)[:, None] * MIX[2]).view(np.int64)
+
+
+def units(vectors: list[bytes], kind: str) -> np.ndarray:
+    """Vectors of one length, as bytes, at length 1 in double precision."""
+    x = np.frombuffer(b"".join(vectors), kind).reshape(len(vectors), -1).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # else squares of tiny or huge components leave the range of doubles
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _by_length(vectors: list[bytes]) -> Iterator[np.ndarray]:
+    sizes = np.array([len(v) for v in vectors])
+    for size in np.unique(sizes):
+        yield np.flatnonzero(sizes == size)
+
+
+def _flat(kind: str):
+    """Lists of numbers as bytes."""
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("embedding")
+            values, ends = lists.flatten().to_numpy(zero_copy_only=False).astype(kind), np.cumsum(np.diff(lists.offsets.to_numpy()))
+            vectors = [x.tobytes() for x in np.split(values, ends[:-1])] if len(ends) else []
+            yield batch.drop_columns(["embedding"]).append_column("vector", pa.array(vectors, pa.binary()))
+
+    return flat
+
+
+def _spread(kind: str):
+    """A row for each vector and table."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vec, label, vectors = batch.column("vec").to_numpy(), batch.column("label").to_numpy(), batch.column("vector").to_pylist()
+            for at in _by_length(vectors):
+                for part in np.array_split(at, -(-len(at) // 500)):
+                    keys = signatures(units([vectors[k] for k in part], kind), label[part])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(vec[part], TABLES)), pa.array(keys.reshape(-1))], ["vec", "key"])
+
+    return spread
+
+
+def _compare(least: float, kind: str):
+    """Of rows sorted by bucket and pair of blocks: links, the sum of copies of what a vector is linked with, and a smaller vector that it is connected with."""
+
+    def told(cols: dict, a: np.ndarray, b: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the linked rows `a` and `b` of one bucket that no earlier table brings together."""
+        first = np.zeros(len(a), bool)
+        for at in range(0, len(a), 10_000):
+            x, y = a[at : at + 10_000], b[at : at + 10_000]
+            some, where = np.unique(np.concatenate([x, y]), return_inverse=True)
+            signs = signatures(unit[some], cols["label"][some])
+            sx, sy = signs[where[: len(x)]], signs[where[len(x) :]]
+            first[at : at + 10_000] = (sx == sy).argmax(axis=1) == (sx == cols["key"][x][:, None]).argmax(axis=1)
+        return a[first], b[first]
+
+    def out(vec: np.ndarray, links: np.ndarray, peer: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(vec), pa.array(links.astype(np.int64)), pa.array(peer)], ["vec", "links", "peer"])
+
+    def short(cols: dict, rows: np.ndarray, run: np.ndarray) -> Iterator[pa.RecordBatch]:
+        unit = units([cols["vector"][k] for k in rows], kind)
+        mine = {c: cols[c][rows] for c in ("vec", "label", "copies", "key")}
+        for d in range(1, SHORT):
+            a = np.flatnonzero(run[:-d] == run[d:])
+            a = a[mine["label"][a] == mine["label"][a + d]]
+            a = a[np.einsum("ij,ij->i", unit[a], unit[a + d]) >= least]
+            a, b = told(mine, a, a + d, unit)
+            if len(a):
+                low = np.minimum(mine["vec"][a], mine["vec"][b])
+                yield out(np.concatenate([mine["vec"][a], mine["vec"][b]]), np.concatenate([mine["copies"][b], mine["copies"][a]]), np.concatenate([low, low]))
+
+    def large(rows: dict) -> Iterator[pa.RecordBatch]:
+        n = len(rows["vec"])
+        one_block = rows["i"][0] == rows["j"][0]
+        for at in _by_length(rows["vector"]):
+            unit = np.zeros((n, len(rows["vector"][at[0]]) // np.dtype(kind).itemsize))
+            unit[at] = units([rows["vector"][k] for k in at], kind)
+            x = at if one_block else at[rows["side"][at] == 0]
+            y = at if one_block else at[rows["side"][at] == 1]
+            if not len(x) or not len(y):
                 continue
-            near = np.zeros((len(sizes), len(sizes)), bool)
-            for size in np.unique(sizes):
-                x, y = a[sizes[a] == size], b[sizes[b] == size]
-                if len(x) and len(y):
-                    ux = np.stack([np.frombuffer(rows["unit"][k], np.float64) for k in x])
-                    uy = ux if b is a else np.stack([np.frombuffer(rows["unit"][k], np.float64) for k in y])
-                    near[np.ix_(x, y)] = ux @ uy.T >= least
+            near = np.zeros((n, n), bool)
+            near[np.ix_(x, y)] = (unit[x] @ unit[y].T >= least) & (rows["label"][x][:, None] == rows["label"][y][None, :])
             np.fill_diagonal(near, False)
             near |= near.T
             if not near.any():
                 continue
-            # a pair counts in the first table only in which it meets
-            i, j = np.nonzero(np.triu(near))
-            signs = np.stack([np.frombuffer(s, np.int64) for s in rows["signs"]])
-            first = np.zeros(len(i), bool)
-            for at in range(0, len(i), 20_000):
-                part = slice(at, at + 20_000)
-                first[part] = (signs[i[part]] == signs[j[part]]).argmax(axis=1) == rows["nth"][0]
-            i, j, copies = i[first], j[first], rows["copies"]
-            links = np.bincount(i, copies[j], len(sizes)) + np.bincount(j, copies[i], len(sizes))
-            peer = np.arange(len(sizes))
+            i, j = told(rows, *np.nonzero(np.triu(near)), unit)
+            links = np.bincount(i, rows["copies"][j], n) + np.bincount(j, rows["copies"][i], n)
+            peer = np.arange(n)
             while True:
-                low = np.minimum(np.where(near, peer[None, :], len(sizes)).min(axis=1), peer)
+                low = np.minimum(np.where(near, peer[None, :], n).min(axis=1), peer)
                 if (low == peer).all():
                     break
                 peer = low
-            told = np.flatnonzero((links > 0) | (peer != np.arange(len(sizes))))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows["vec"][told]), pa.array(links[told].astype(np.int64)), pa.array(rows["vec"][peer[told]])],
-                ["vec", "links", "peer"],
-            )
+            known = np.flatnonzero((links > 0) | (peer != np.arange(n)))
+            yield out(rows["vec"][known], links[known], rows["vec"][peer[known]])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols, cuts in _whole_runs(batches, _KEYS):
+            size = np.diff(cuts)
+            few = (cols["i"][cuts[:-1]] == cols["j"][cuts[:-1]]) & (size <= SHORT)
+            rows, run = np.flatnonzero(np.repeat(few & (size > 1), size)), np.repeat(np.arange(len(size)), size)
+            for at in _by_length([cols["vector"][k] for k in rows]):
+                yield from short(cols, rows[at], run[rows[at]])
+            for k in np.flatnonzero(~few & (size > 1)):
+                yield from large({c: v[cuts[k] : cuts[k + 1]] for c, v in cols.items()})
 
     return compare
 
@@ -123,12 +153,14 @@ def _compare(least: float):
 def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of `vectors` (vec_id, embedding, label).
 
-    Vectors of one label are linked where their cosine, in double precision, is `least` or more and the hashing brings them together; vectors that are equal always are. Equal vectors are hashed once and count as often as they occur. Unit vectors are put in a bucket of each table; buckets of one vector are dropped before the vectors themselves are sent; large buckets are compared block by block, so that neither a row nor a task holds a bucket of any size, and a pair counts only in the first table that brings it together. Only sums of links and one edge for each vector leave a block.
+    Vectors of one label are linked where their cosine, in double precision, is `least` or more and the hashing brings them together; vectors that are equal always are. Equal vectors are hashed once and count as often as they occur. Unit vectors are put in a bucket of each table; only ids travel for that, and vectors, once and as they came, for buckets of several. Large buckets are compared block by block, so that neither a row nor a task holds a bucket of any size, and a pair counts only in the first table that brings it together. Only sums of links and one edge for each vector leave a block.
 
-    Null, zero, or not wholly finite vectors, null labels and null ids link with nothing; vectors of different lengths don't link; a null vec_id has a null component and isn't kept; rows that repeat vec_id, label and vector are one vector; an empty table gives no rows; other columns are not read.
+    Null, zero, or not wholly finite vectors, null labels and null ids link with nothing; vectors of different lengths don't link; a null vec_id has a null component and isn't kept; rows that repeat vec_id, label and vector are one vector; an empty table gives no rows; other columns are not read. Sets the session's Arrow batches to 8 MB.
     """
     lean_batches(vectors.sparkSession)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    single = isinstance(vectors.schema["embedding"].dataType, T.ArrayType) and isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType)
+    kind, numbers = ("<f4", "array<float>") if single else ("<f8", "array<double>")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(numbers).alias("embedding"), F.col("label").cast("long").alias("label"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     good = rows.filter("vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL").filter(
         ~bad & F.exists("embedding", lambda x: x != 0)
@@ -138,25 +170,20 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFram
     first = settle(distinct.groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("vec"), F.count(F.lit(1)).alias("copies")), "vectors")
     same = settle(distinct.join(first, ["label", "k1", "k2"]).select("vec_id", "vec", "copies"), "same")
     heads = keyed.join(first.withColumnRenamed("vec", "vec_id"), ["vec_id", "label", "k1", "k2"]).dropDuplicates(["vec_id", "label", "k1", "k2"])
-    signed = settle(
-        heads.select(F.col("vec_id").alias("vec"), "label", "copies", "embedding").mapInArrow(
-            _sign, "vec long, label long, copies long, unit binary, signs binary"
-        ),
-        "signed",
-    )
-    spread = signed.select("vec", "label", "signs").mapInArrow(_spread, "vec long, label long, nth int, bucket long")
-    full = spread.groupBy("label", "nth", "bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    dealt = spread.join(full, ["label", "nth", "bucket"]).withColumn("blocks", F.ceil(F.col("c") / F.lit(BLOCK)).cast("int"))
+    heads = heads.select(F.col("vec_id").alias("vec"), "label", "copies", "embedding")
+    signed = settle(heads.mapInArrow(_flat(kind), "vec long, label long, copies long, vector binary"), "signed")
+    spread = signed.select("vec", "label", "vector").mapInArrow(_spread(kind), "vec long, key long")
+    full = spread.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    dealt = spread.join(full, "key").withColumn("blocks", F.ceil(F.col("c") / F.lit(BLOCK)).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
-        "label", "nth", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"), "vec",
-    ).join(signed.drop("label"), "vec")
-    keys = ["label", "nth", "bucket", "i", "j"]
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "vec"
+    ).join(signed, "vec")
     found = settle(
-        dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare(least), "vec long, links long, peer long"), "found"
+        dealt.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(_compare(least, kind), "vec long, links long, peer long"), "found"
     )
+    drop_table(signed)
     links = found.groupBy("vec").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("vec").alias("a"), F.col("peer").alias("b")))
     told = same.join(links, "vec", "left").join(parts, same["vec"] == F.col("node"), "left").select(
