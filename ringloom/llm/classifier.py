@@ -2,29 +2,30 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ringloom.llm.common import lean_batches
+from ringloom.llm.common import lean_batches, settle
+from ringloom.llm.tokens import chained
 
-#: The classifier is fitted on so many positive and so many unlabelled documents at most, chosen by a hash of doc_id.
-POSITIVES, UNLABELLED = 6000, 12000
 #: Rows of labels of this fold of FOLDS are never looked at when fitting.
 FOLDS, HELD_OUT = 5, 0
 CUT = 0.3
 #: Buckets of word shapes, and the other features of a text.
 SHAPES, OTHERS = 192, 12
 FEATURES = SHAPES + OTHERS
-STEPS, RATE, PENALTY, SEED = 600, 0.03, 1e-3, "pu"
-_WORD = re.compile("[^\x20\x09-\x0d]+")
+STEPS, RATE, PENALTY = 2000, 0.02, 2e-3
+#: The class prior is the least ratio of unlabelled to positive documents above a score that at least this share of the positive ones reach; scores are told in so many bins over [-REACH, REACH].
+LEAST_TAIL, BINS, REACH = 0.5, 2048, 4.0
+#: A linear score of -0.4 stands for a probability of (1 - 0.4) / 2 = 0.3, and so it does after squashing with this slope.
+SLOPE = float(np.log(0.7 / 0.3) / 0.4)
 
 
 def fold(doc_id: Column) -> Column:
@@ -47,7 +48,7 @@ def shape(word: str) -> str:
 
 
 class Featurizer:
-    """Features of whole texts: how often each word shape occurs, and ratios of length, case, digits, symbols and repetition. What is known of words is kept, up to a bound, from one text to the next."""
+    """Features of whole texts: how often each word shape occurs, and ratios of length, case, digits, symbols and repetition. What is known of words is kept, up to a bound, from one batch to the next."""
 
     MOST = 300_000
 
@@ -55,145 +56,225 @@ class Featurizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at: dict[bytes, int] = {}
         self.known = np.zeros((1024, 5), np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.at) > self.MOST:
-            self._forget()
-        new = [w for w in set(words) if w not in self.at]
+    def _learn(self, words: set[bytes]) -> None:
+        new = [w for w in words if w not in self.at]
         if len(self.at) + len(new) > len(self.known):
             self.known = np.concatenate([self.known, np.zeros((max(len(self.known), len(new)), 5), np.int64)])
-        for w in new:
+        for word in new:
+            w = word.decode("utf-8", "replace")
             letters, digits = sum(c.isalpha() for c in w), sum(c.isdigit() for c in w)
-            kind = zlib.crc32(shape(w).encode("utf-8", "replace")) % SHAPES
+            kind = zlib.crc32(shape(w).encode()) % SHAPES
             self.known[len(self.at)] = kind, len(w), sum(c.isupper() for c in w), digits, len(w) - letters - digits
-            self.at[w] = len(self.at)
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        text = text or ""
-        words = _WORD.findall(text)
-        out = np.zeros(FEATURES, np.float64)
-        n = len(words)
-        if not n:
-            out[SHAPES] = 1.0
-            return out
-        self._learn(words)
-        ids = np.fromiter(map(self.at.__getitem__, words), np.int64, n)
+            self.at[word] = len(self.at)
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        """A row of features for each text."""
+        if len(self.at) > self.MOST:
+            self._forget()
+        # on bytes, split() knows ASCII white space only
+        found = [(t or "").encode("utf-8", "replace").split() for t in texts]
+        self._learn(set(chain.from_iterable(found)))
+        n = np.array([len(f) for f in found], np.int64)
+        rows, some, count = len(n), np.maximum(n, 1), lambda row, w=None: np.bincount(row, w, len(texts))
+        ids = np.fromiter(map(self.at.__getitem__, chain.from_iterable(found)), np.int64, int(n.sum()))
+        row = np.repeat(np.arange(rows), n)
         kind, chars, upper, digits, symbols = self.known[ids].T
-        out[:SHAPES] = np.sqrt(np.bincount(kind, minlength=SHAPES) / n)
-        total = chars.sum()
-        triples = len(np.unique((ids[:-2] * 1_000_003 + ids[1:-1]) * 1_000_003 + ids[2:])) / (n - 2) if n > 2 else 1.0
-        lines = [x for x in text.split("\n") if x]
-        out[SHAPES:] = (
-            0.0, np.log1p(n), total / n, np.sqrt(chars.var()), upper.sum() / total, digits.sum() / total, symbols.sum() / total,
-            len(np.unique(ids)) / np.sqrt(n), float((ids[1:] == ids[:-1]).mean()) if n > 1 else 0.0, triples,
-            len(set(lines)) / max(1, len(lines)), np.log1p(len(lines)) - np.log1p(n),
-        )
-        return out
+        out = np.zeros((rows, FEATURES))
+        out[:, :SHAPES] = np.sqrt(np.bincount(row * SHAPES + kind, minlength=rows * SHAPES).reshape(rows, SHAPES) / some[:, None])
+        total = np.maximum(count(row, chars), 1)
+        mean = total / some
+        spread = np.sqrt(np.maximum(count(row, chars**2) / some - mean**2, 0))
+        distinct = count(np.unique(row << 40 | ids) >> 40)
+        again = count(row[1:][(ids[1:] == ids[:-1]) & (row[1:] == row[:-1])])
+        at = np.flatnonzero(row[2:] == row[:-2])
+        word = ids.astype(np.uint64)
+        triples = chained(chained(chained(row[at].astype(np.uint64), word[at]), word[at + 1]), word[at + 2])
+        _, first = np.unique(triples, return_index=True)
+        lines = [[x for x in (t or "").split("\n") if x] for t in texts]
+        n_lines = np.array([len(x) for x in lines], np.int64)
+        others = [
+            n == 0, np.log1p(n), np.log1p(mean), np.log1p(spread), count(row, upper) / total, count(row, digits) / total, count(row, symbols) / total,
+            distinct / np.sqrt(some), again / np.maximum(n - 1, 1), np.where(n > 2, count(row[at[first]]) / np.maximum(n - 2, 1), 1.0),
+            np.array([len(set(x)) for x in lines]) / np.maximum(n_lines, 1), np.log1p(n_lines) - np.log1p(n),
+        ]
+        out[:, SHAPES:] = np.stack(others, axis=1).reshape(rows, OTHERS)
+        out[n == 0, SHAPES + 1 :] = 0
+        return out.astype("<f4")
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    featurizer = Featurizer()
+    for batch in batches:
+        found = featurizer(batch.column("text").to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "features"])
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """(doc_id, features) of each row of `docs`: the texts are read once, here. Written."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return settle(rows.mapInArrow(_features, "doc_id long, features binary"), "features")
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    x = np.frombuffer(b"".join(batch.column("features").to_pylist()), "<f4").reshape(-1, FEATURES)
+    return np.concatenate([np.ones((len(x), 1)), x], axis=1)
 
 
 # ---- learning ----
 
 
+class Moments:
+    """The mean of [1, x][1, x]ᵀ over a set of documents: all that the risk of a linear score depends on under the squared loss."""
+
+    def __init__(self, mean: np.ndarray) -> None:
+        self.mean = mean
+
+    def under(self, shift: np.ndarray, scale: np.ndarray) -> Moments:
+        """Those of (x - shift) / scale."""
+        t = np.diag(np.concatenate([[1.0], 1 / scale]))
+        t[1:, 0] = -shift / scale
+        return Moments(t @ self.mean @ t.T)
+
+    def loss(self, w: np.ndarray, y: int) -> tuple[float, np.ndarray]:
+        """The mean of (w [1, x] - y)² / 4, and its gradient."""
+        g = self.mean @ w
+        return float(w @ g - 2 * y * g[0] + 1) / 4, (g - y * self.mean[0]) / 2
+
+
 class Model:
     """A linear score of standardised features, squashed to a probability."""
 
-    def __init__(self, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray, bias: float) -> None:
-        self.mean, self.scale, self.weights, self.bias = mean, scale, weights, bias
+    def __init__(self, shift: np.ndarray, scale: np.ndarray, weights: np.ndarray) -> None:
+        self.weights = np.concatenate([[weights[0] - (weights[1:] * shift / scale).sum()], weights[1:] / scale])
+
+    def linear(self, x: np.ndarray) -> np.ndarray:
+        """Of rows [1, x]."""
+        return (x * self.weights).sum(axis=1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        # one product at a time, so that a score doesn't depend on what else is in the batch
-        z = np.clip((x - self.mean) / self.scale, -8, 8)
-        g = np.array([float(np.dot(row, self.weights)) for row in z]) + self.bias
-        return 1 / (1 + np.exp(-np.clip(g, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(SLOPE * self.linear(x), -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
-    """Minimise the non-negative unbiased risk (Kiryo et al., 2017) with the logistic loss.
+def risk(w: np.ndarray, positive: Moments, unlabelled: Moments, prior: float) -> tuple[float, float]:
+    """The two parts of the unbiased risk: of positives as such, and of negatives, estimated as that of unlabelled documents as negatives less what the positives among them bring."""
+    return prior * positive.loss(w, 1)[0], unlabelled.loss(w, -1)[0] - prior * positive.loss(w, -1)[0]
 
-    The risk of unlabelled documents as negatives, less the share of it that the positives among them bring, is estimated from both samples; where that estimate falls below zero, the step goes up its gradient instead, so the model can't gain from calling positives negative. Full gradients, fixed start and steps: a fit repeats.
-    """
-    both = np.concatenate([positive, unlabelled])
-    mean, scale = both.mean(axis=0), np.maximum(both.std(axis=0), 0.02)
-    p, u = (np.clip((x - mean) / scale, -8, 8) for x in (positive, unlabelled))
-    w, b = np.zeros(p.shape[1]), 0.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    logistic = lambda g: np.logaddexp(0, -g)
-    slope = lambda g: -1 / (1 + np.exp(np.clip(g, -30, 30)))
 
-    def mean_slope(x: np.ndarray, s: np.ndarray) -> np.ndarray:
-        return np.append(s @ x, s.sum()) / len(x)
+def fit(positive: Moments, unlabelled: Moments, prior: float) -> Model:
+    """Minimise the non-negative unbiased risk (Kiryo et al., 2017) with the squared loss.
 
+    Where the estimate of the negatives' risk falls below zero, the step goes up its gradient instead, so the model can't gain from calling positives negative. Full gradients, fixed start and steps: a fit repeats.
+    """
+    shift = unlabelled.mean[0, 1:]
+    scale = np.maximum(np.sqrt(np.maximum(unlabelled.mean.diagonal()[1:] - shift**2, 0)), 0.02)
+    p, u = positive.under(shift, scale), unlabelled.under(shift, scale)
+    w = np.zeros(len(p.mean))
+    m, v = np.zeros(len(w)), np.zeros(len(w))
     for step in range(1, STEPS + 1):
-        gp, gu = p @ w + b, u @ w + b
-        negative = logistic(-gu).mean() - prior * logistic(-gp).mean()
-        up = mean_slope(u, -slope(-gu)) - prior * mean_slope(p, -slope(-gp))
-        gradient = prior * mean_slope(p, slope(gp)) + up if negative >= 0 else -up
-        gradient[:-1] += PENALTY * w
+        up = u.loss(w, -1)[1] - prior * p.loss(w, -1)[1]
+        gradient = prior * p.loss(w, 1)[1] + up if risk(w, p, u, prior)[1] >= 0 else -up
+        gradient[1:] += PENALTY * w[1:]
         m = 0.9 * m + 0.1 * gradient
         v = 0.999 * v + 0.001 * gradient**2
-        move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
-    return Model(mean, scale, w, b)
+        w = w - RATE * (1 - step / (STEPS + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return Model(shift, scale, w)
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    featurizer = Featurizer()
+def prior_of(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The class prior from counts of positive and unlabelled documents by bins of a score that parts them: where only positives are, their share of the unlabelled ones is the ratio of the two tails (Blanchard et al., 2010)."""
+    p, u = (np.cumsum(x[::-1]) / max(1, x.sum()) for x in (positive, unlabelled))
+    far = p >= LEAST_TAIL
+    return float(np.clip((u[far] / p[far]).min(), 0.02, 0.98)) if far.any() else 0.5
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each kind of document, rows of the sum of [1, x][1, x]ᵀ."""
+    total = {k: np.zeros((FEATURES + 1, FEATURES + 1)) for k in (False, True)}
     for batch in batches:
-        found = [featurizer(t).astype("<f4").tobytes() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(found, pa.binary())], ["positive", "features"])
+        for kind in total:
+            x = _matrix(batch.filter(batch.column("positive")) if kind else batch)
+            total[kind] += x.T @ x
+    for kind, rows in total.items():
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([kind] * len(rows)), pa.array(np.arange(len(rows), dtype=np.int32)), pa.array([r.astype("<f8").tobytes() for r in rows], pa.binary())], ["positive", "part", "sums"]
+        )
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[tuple, np.ndarray] = {}
+    for batch in batches:
+        for kind, part, sums in zip(*(batch.column(c).to_pylist() for c in ("positive", "part", "sums")), strict=True):
+            total[kind, part] = total.get((kind, part), 0) + np.frombuffer(sums, "<f8")
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([k for k, _ in total], pa.bool_()), pa.array([p for _, p in total], pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["positive", "part", "sums"]
+    )
+
+
+def moments(rows: DataFrame) -> tuple[Moments, Moments, int]:
+    """Of positive and of all `rows` (positive, features), and how many are positive. Tasks send sums, which are added up by rows of the matrix; 0.7 MB reach the driver, whatever the corpus."""
+    schema = "positive boolean, part int, sums binary"
+    added = rows.mapInArrow(_sums, schema).repartition(64, "positive", "part").mapInArrow(_added, schema)
+    total = {k: np.zeros((FEATURES + 1, FEATURES + 1)) for k in (False, True)}
+    for r in added.collect():
+        total[r.positive][r.part] = np.frombuffer(r.sums, "<f8")
+    return *(Moments(total[k] / max(1.0, total[k][0, 0])) for k in (True, False)), int(total[True][0, 0])
+
+
+def _binned(weights):
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {k: np.zeros(BINS, np.int64) for k in (False, True)}
+        for batch in batches:
+            at = np.clip((_matrix(batch) * weights.value).sum(axis=1) / REACH * BINS / 2 + BINS / 2, 0, BINS - 1).astype(np.int64)
+            total[False] += np.bincount(at, minlength=BINS)
+            total[True] += np.bincount(at[batch.column("positive").to_numpy(zero_copy_only=False)], minlength=BINS)
+        for kind, n in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * BINS), pa.array(np.arange(BINS, dtype=np.int32)), pa.array(n)], ["positive", "bin", "n"])
+
+    return binned
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    """Fit on a bounded sample: `positives` documents labelled 1 and `unlabelled` documents of any kind, the first by a hash of doc_id, none of the held-out fold.
+def train(found: DataFrame, labels: DataFrame) -> tuple[Model, float]:
+    """The model and the class prior, from all documents of the written `found` (doc_id, features) outside the held-out fold: those labelled 1 are the trusted positives, and all, whatever their label, the unlabelled ones. Labels of 0 are not looked at.
 
-    The class prior is the share of ones among all labels outside the held-out fold. Only the sample's features, of a size bounded by the two parameters, reach the driver. Without positives or documents, a model that scores everything with the prior is returned.
+    Under the squared loss, the risk depends on documents through sums alone, which Spark adds up over all of them: no sample is drawn. A first fit, with an even prior, parts positives from unlabelled documents; the prior is estimated from its scores, and the model fitted again with it. Without positives, a model that scores everything with 0.5 is returned.
     """
-    seen = labels.filter((fold(F.col("doc_id")) != HELD_OUT) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-    prior = seen.agg(F.avg(F.col("quality").cast("double"))).first()[0]
-    prior = min(max(0.5 if prior is None else prior, 0.05), 0.95)
-    order = F.xxhash64(F.lit(SEED), F.col("doc_id").cast("long"))
-    trusted = seen.filter("quality = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(positives).withColumn("positive", F.lit(True))
-    open_ids = docs.select("doc_id").filter(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT)).distinct()
-    anything = open_ids.orderBy(order, "doc_id").limit(unlabelled).withColumn("positive", F.lit(False))
-    sample = trusted.union(anything)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("positive", "text")
-    found = rows.mapInArrow(_features, "positive boolean, features binary").toArrow()
-    x = np.array([np.frombuffer(f, "<f4") for f in found.column("features").to_pylist()], np.float64).reshape(-1, FEATURES)
-    is_positive = np.array(found.column("positive").to_pylist(), bool)
-    x, is_positive = _sorted(x, is_positive)
-    if not is_positive.any() or is_positive.all():
-        return Model(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), float(np.log(prior / (1 - prior))))
-    return fit(x[is_positive], x[~is_positive], prior)
-
-
-def _sorted(x: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """In an order that doesn't depend on how tasks came in, so that sums repeat to the last bit."""
-    order = np.lexsort((*x.T[::-1], flag)) if len(x) else np.zeros(0, np.int64)
-    return x[order], flag[order]
+    trusted = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("id")).filter("id IS NOT NULL").distinct().withColumn("positive", F.lit(True))
+    seen = found.filter(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
+    rows = seen.join(trusted, F.col("doc_id") == F.col("id"), "left").select(F.coalesce("positive", F.lit(False)).alias("positive"), "features")
+    positive, unlabelled, n = moments(rows)
+    if not n:
+        return Model(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES + 1)), 0.5
+    weights = found.sparkSession.sparkContext.broadcast(fit(positive, unlabelled, 0.5).weights)
+    bins = rows.mapInArrow(_binned(weights), "positive boolean, bin int, n long").groupBy("positive", "bin").agg(F.sum("n").alias("n"))
+    counts = {k: np.zeros(BINS) for k in (False, True)}
+    for r in bins.collect():
+        counts[r.positive][r.bin] = r.n
+    prior = prior_of(counts[True], counts[False])
+    return fit(positive, unlabelled, prior), prior
 
 
 def _score(weights):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        featurizer, m = Featurizer(), Model(*weights.value)
+        m = Model(np.zeros(FEATURES), np.ones(FEATURES), weights.value)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            found = np.array([featurizer(t).astype("<f4") for t in texts], np.float64).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(m.score(found))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(m.score(_matrix(batch)))], ["doc_id", "score"])
 
     return score
 
 
-def scored(docs: DataFrame, labels: DataFrame, **sizes: int) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of `docs`: the probability that its label is 1, and whether that reaches CUT.
 
-    Scores come from the whole text alone. A null text counts as an empty one; rows that repeat score alike; a null doc_id is scored and never used for fitting; an empty table gives no rows; only doc_id and text of `docs`, and doc_id and quality of `labels`, are read. The weights that are broadcast have a fixed size.
+    Scores come from the whole text alone, which is read once. A null text counts as an empty one; rows that repeat score alike, and each counts when fitting; a null doc_id is scored and never used for fitting; an empty table gives no rows; only doc_id and text of `docs`, and doc_id and quality of `labels`, are read. The weights that are broadcast have a fixed size. Sets the session's Arrow batches to 8 MB.
     """
     lean_batches(docs.sparkSession)
-    m = train(docs, labels, **sizes)
-    weights = docs.sparkSession.sparkContext.broadcast((m.mean, m.scale, m.weights, m.bias))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(weights), "doc_id long, score double")
+    found = features(docs)
+    model, _ = train(found, labels)
+    weights = docs.sparkSession.sparkContext.broadcast(model.weights)
+    out = found.mapInArrow(_score(weights), "doc_id long, score double")
     return out.select(
         "doc_id", (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted")
     )
