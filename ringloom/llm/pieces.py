@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ringloom.llm.common import lean_batches, partitions
+from ringloom.llm.common import fresh, lean_batches, partitions
 
 MARK = "▁"
+#: Bytes of text in a block of documents, and for each share of the table of distinct words, about.
+BLOCK_BYTES, SHARE_BYTES = 8 << 20, 64 << 20
 #: What a text with runs of white space is cut into: a newline and what follows it up to a mark, or marks and what follows them.
 CHUNK = re.compile(f"\n[^{MARK}\n]*|{MARK}+[^{MARK}\n]*")
 
@@ -76,8 +78,8 @@ def spelled(key: str) -> str:
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        block = batch.column("_block").to_numpy()
-        rows = batch.drop_columns(["_block"])
+        block = batch.column(batch.num_columns - 1).to_numpy()
+        rows = batch.select(range(batch.num_columns - 1))
         order = np.argsort(block, kind="stable")
         cuts = np.flatnonzero(np.diff(block[order])) + 1
         blocks, loads = [], []
@@ -87,7 +89,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 w.write_batch(rows.take(pa.array(part)))
             blocks.append(int(block[part[0]]))
             loads.append(sink.getvalue().to_pybytes())
-        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(loads, pa.binary())], ["block", "load"])
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(loads, pa.binary())], ["block", "load"])
 
 
 def _squeezed(data: bytes) -> bytes:
@@ -103,40 +105,56 @@ def _opened(load: bytes) -> pa.Table:
         return r.read_all()
 
 
+def _texts(load: bytes) -> list[str | None]:
+    """The texts of a load: its last column."""
+    table = _opened(load)
+    return table.column(table.num_columns - 1).to_pylist()
+
+
 def _distinct(n: int):
+    """Of rows sorted by block, each block's distinct keys, parted in `n` shares by hash."""
+
+    def parted(block: int, keys: set[str]) -> pa.RecordBatch:
+        shares: dict[int, list[str]] = {}
+        for key in sorted(keys):
+            shares.setdefault(zlib.crc32(key.encode()) % n, []).append(key)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(list(shares), pa.int64()), pa.array([block] * len(shares), pa.int64()),
+                pa.array([_squeezed(" ".join(x).encode()) for x in shares.values()], pa.binary()),
+            ],
+            ["share", "block", "keys"],
+        )
+
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, set[str]] = {}
+        now, have = None, set()
         for batch in batches:
             for block, load in zip(batch.column("block").to_pylist(), batch.column("load"), strict=True):
-                have = seen.setdefault(block, set())
-                for text in _opened(load.as_buffer()).column("_text").to_pylist():
+                if block != now and have:
+                    yield parted(now, have)
+                    have = set()
+                now = block
+                for text in _texts(load.as_buffer()):
                     if text:
                         have.update(chunks(text))
-        for block in list(seen):
-            shares: list[list[str]] = [[] for _ in range(n)]
-            for key in sorted(seen.pop(block)):
-                shares[zlib.crc32(key.encode()) % n].append(key)
-            full = [i for i in range(n) if shares[i]]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(full, pa.int32()),
-                    pa.array([block] * len(full), pa.int32()),
-                    pa.array([_squeezed(" ".join(shares[i]).encode()) for i in full], pa.binary()),
-                ],
-                ["share", "block", "keys"],
-            )
+        if have:
+            yield parted(now, have)
 
     return distinct
 
 
 def _segment(path: str):
+    """Of rows sorted by share, the ids of their keys; each key of a share is segmented once."""
+
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(path)
         width = model.kind.itemsize
-        table: dict[str, tuple[bytes, str | None]] = {}
+        now, table = None, {}
         for batch in batches:
             counts, ids, odd = [], [], []
-            for packed in batch.column("keys"):
+            for share, packed in zip(batch.column("share").to_pylist(), batch.column("keys"), strict=True):
+                if share != now:  # no other share has its keys
+                    now, table = share, {}
                 keys = _restored(packed).decode().split(" ")
                 new = [k for k in keys if k not in table]
                 if new:
@@ -175,7 +193,7 @@ def _join(schema: pa.Schema):
         for load in docs.column("load"):
             rows = _opened(load.as_buffer())
             lists, lengths, backs = [], [], []
-            for text in rows.column("_text").to_pylist():
+            for text in rows.column(rows.num_columns - 1).to_pylist():
                 keys = chunks(text or "")
                 where = np.fromiter(map(at.__getitem__, keys), np.int64, len(keys))
                 n = size[where]
@@ -190,8 +208,8 @@ def _join(schema: pa.Schema):
                     backs.append((text or "").replace(MARK, " "))
             offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
             found = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32)))
-            rows = rows.drop_columns(["_text"]).append_column("ids", found).append_column("decoded", pa.array(backs, pa.string()))
-            tables.append(rows.select(schema.names).cast(schema))
+            rows = rows.select(range(rows.num_columns - 1)).append_column("ids", found).append_column("decoded", pa.array(backs, pa.string()))
+            tables.append(rows.cast(schema))
         return pa.concat_tables(tables) if tables else schema.empty_table()
 
     return join
@@ -200,22 +218,22 @@ def _join(schema: pa.Schema):
 def encode(docs: DataFrame, columns=("doc_id",), model: str | None = None) -> DataFrame:
     """`columns` of each row of `docs`, with ids, the ids of its text, and decoded, the text that they decode to.
 
-    Rows are dealt to blocks, a few megabytes of text each, and travel packed. Each block sends its distinct marked words, parted by hash, to the table of distinct words; there each word is segmented once, for all blocks, and its ids go back to the blocks that asked. A block then joins ids to the places of its words. A word that every document has is one row a block, so nothing grows with its count. Blocks follow doc_id, or the text where that is null.
+    Rows are dealt to blocks of about BLOCK_BYTES of text, and travel packed. Each block sends its distinct marked words, parted by hash into shares, to the table of distinct words; there each word is segmented once, for all blocks, and its ids go back to the blocks that asked. A block then joins ids to the places of its words. A word that every document has is one row a block, so nothing grows with its count. Blocks follow doc_id (the text where that is null) and the partition that a row comes from, so rows that repeat don't all fall in one.
 
-    A null text counts as an empty one and has no ids; texts of any length stay whole; rows that repeat give rows that repeat; an empty table gives no rows; columns that aren't named are not read, but `columns` may not hold ids or decoded.
+    A null text counts as an empty one and has no ids; texts of any length stay whole, each in one block; rows that repeat give rows that repeat; an empty table gives no rows; columns that aren't named are not read, but `columns` may not hold ids or decoded. Sets the session's Arrow batches to 8 MB.
     """
     lean_batches(docs.sparkSession)
     n = partitions(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks, shares = (max(n, -(-size // most)) for most in (BLOCK_BYTES, SHARE_BYTES))
     model = model or default_model()
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-    held = docs.select(*columns, F.col("text").alias("_text"), F.pmod(key, F.lit(n)).cast("int").alias("_block"))
-    packed = held.mapInArrow(_pack, "block int, load binary").repartition(n, "block")
-    asked = packed.mapInArrow(_distinct(n), "share int, block int, keys binary")
-    told = asked.repartition(n, "share").mapInArrow(
-        _segment(model), "block int, keys binary, counts binary, ids binary, odd array<struct<key:string,back:string>>"
-    )
-    kept = docs.select(*columns).schema
-    schema = kept.add("ids", T.ArrayType(T.IntegerType())).add("decoded", T.StringType())
+    key = F.xxhash64(F.spark_partition_id(), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")))
+    given = docs.select(*columns)
+    held = docs.select(*columns, F.col("text").alias(fresh(given, "text")), F.pmod(key, F.lit(blocks)).cast("long").alias(fresh(given, "block")))
+    packed = held.mapInArrow(_pack, "block long, load binary").repartition(n, "block").sortWithinPartitions("block")
+    asked = packed.mapInArrow(_distinct(shares), "share long, block long, keys binary").repartition(n, "share").sortWithinPartitions("share")
+    told = asked.mapInArrow(_segment(model), "block long, keys binary, counts binary, ids binary, odd array<struct<key:string,back:string>>")
+    schema = T.StructType(given.schema.fields).add("ids", T.ArrayType(T.IntegerType())).add("decoded", T.StringType())
     return packed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_join(to_arrow_schema(schema)), schema)
 
 
