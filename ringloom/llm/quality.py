@@ -19,8 +19,8 @@ RATIOS = {
 #: A ratio is too high above `q(HIGH) + SPREADS x (q(HIGH) - q(MIDDLE)) + slack` of its group.
 HIGH, MIDDLE, SPREADS = 80, 50, 4
 SLACK = {"symbols": 300, "repeated": 4500, "word_length": 20000}
-#: A group of fewer documents than this is judged by its language's sketch, and that by the sketch of all.
-LEAST_GROUP = 100
+#: The limit of a (lang, source) is blended with that of its language, and that with the limit of all, which weigh as much as so many documents.
+WEIGHT = 100
 
 
 def measures(text: Column) -> Column:
@@ -103,10 +103,10 @@ def sketches(measured: DataFrame, m: str) -> DataFrame:
     return rows.groupBy("lang", "source", "ratio", bucket(F.col("v")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def thresholds(sketch: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
+def thresholds(sketch: DataFrame, weight: int = WEIGHT) -> DataFrame:
     """The highest allowed value of each ratio for each (lang, source): lang, source, and a column for each ratio.
 
-    A group's sketch is merged up to its language's, and that to the sketch of all, where it has fewer than `least_group` documents.
+    Sketches are merged up to those of languages and of all. A group's limit is the mean of its own, weighed by its documents, and that of its language, weighed by `weight`; the language's is blended with that of all in the same way, so no verdict turns on a group's size as such.
     """
     levels = []
     for depth, keys in enumerate((["lang", "source"], ["lang"], [])):
@@ -124,11 +124,8 @@ def thresholds(sketch: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
     fine, mid, top = levels
     mid = mid.withColumnRenamed("lang", "mid_lang")
     joined = fine.join(mid, ["ratio"]).filter(F.col("lang").eqNullSafe(F.col("mid_lang"))).join(top, "ratio")
-    limit = (
-        F.when(F.col("total0") >= least_group, F.col("limit0"))
-        .when(F.col("total1") >= least_group, F.col("limit1"))
-        .otherwise(F.col("limit2"))
-    )
+    blended = lambda total, own, above: (F.col(total) * F.col(own) + F.lit(float(weight)) * above) / (F.col(total) + F.lit(float(weight)))
+    limit = blended("total0", "limit0", blended("total1", "limit1", F.col("limit2")))
     slack = F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv])
     joined = joined.withColumn("limit", limit + slack[F.col("ratio")])
     return joined.groupBy("lang", "source").agg(
@@ -202,7 +199,7 @@ v AS (SELECT doc_id, lang, source, unnest(['symbols', 'repeated', 'word_length']
 sketch AS (SELECT lang, source, ratio, greatest(length(bin(v)) - 5, 0) * 32 + (v >> greatest(length(bin(v)) - 5, 0)::INT) AS b, count(*) AS n FROM v GROUP BY ALL),
 {_limits_sql().strip()},
 lim AS (SELECT a.lang, a.source, a.ratio,
-               CASE WHEN a.total >= {LEAST_GROUP} THEN a.top WHEN b.total >= {LEAST_GROUP} THEN b.top ELSE c.top END
+               (a.total::DOUBLE * a.top::DOUBLE + {float(WEIGHT)} * ((b.total::DOUBLE * b.top::DOUBLE + {float(WEIGHT)} * c.top::DOUBLE) / (b.total::DOUBLE + {float(WEIGHT)}))) / (a.total::DOUBLE + {float(WEIGHT)})
                + CASE a.ratio WHEN 'symbols' THEN {SLACK['symbols']} WHEN 'repeated' THEN {SLACK['repeated']} ELSE {SLACK['word_length']} END AS top
         FROM l0 a JOIN l1 b ON a.ratio = b.ratio AND a.lang IS NOT DISTINCT FROM b.lang JOIN l2 c ON a.ratio = c.ratio),
 high AS (SELECT DISTINCT v.doc_id FROM v JOIN lim ON v.ratio = lim.ratio AND v.lang IS NOT DISTINCT FROM lim.lang AND v.source IS NOT DISTINCT FROM lim.source AND v.v > lim.top)
