@@ -1,5 +1,6 @@
 """Each operator against a plain version on a small table with nulls, empty and long texts, ties, repeated rows, and columns whose names clash."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -72,6 +73,13 @@ def test_pieces(spark, docs):
     assert digest[5001].n_tokens == len(ids)
     assert digest[5001].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
     assert pieces.encode(given.limit(0)).count() == 0
+    old, (pieces.BLOCK_BYTES, pieces.SHARE_BYTES) = (pieces.BLOCK_BYTES, pieces.SHARE_BYTES), (3000, 20_000)
+    try:
+        small = pieces.encode(given.withColumn("block", F.lit(1)).withColumnRenamed("doc_id", "x").withColumn("doc_id", F.col("x")), ("x", "block", "text"))
+        assert small.columns == ["x", "block", "text", "ids", "decoded"]
+        assert Counter((r.x, tuple(r.ids), r.decoded) for r in small.collect()) == want
+    finally:
+        pieces.BLOCK_BYTES, pieces.SHARE_BYTES = old
 
 
 # ---- mixing ----
@@ -190,31 +198,98 @@ def test_fold(spark):
     assert all(r.f == zlib.crc32(str(r.i).encode()) % 5 for r in ids.select("i", classifier.fold(F.col("i")).alias("f")).collect())
 
 
+def test_features_of_one_text_stand_alone():
+    given = [*texts(), "a b c a b c a b c", "x x x\n\nx x x"]
+    f = classifier.Featurizer()
+    together = f(given)
+    assert together.shape == (len(given), classifier.FEATURES) and np.isfinite(together).all()
+    for t, row in zip(given, together, strict=True):
+        assert np.array_equal(classifier.Featurizer()([t])[0], row), t
+        words = WORD.findall(t or "")
+        if words:
+            shapes = Counter(zlib.crc32(classifier.shape(w).encode()) % classifier.SHAPES for w in words)
+            assert row[: classifier.SHAPES] == pytest.approx([np.sqrt(shapes[k] / len(words)) for k in range(classifier.SHAPES)], rel=1e-6)
+            triples = list(zip(words, words[1:], words[2:]))
+            lines = [x for x in t.split("\n") if x]
+            assert row[classifier.SHAPES + 1 :] == pytest.approx([
+                np.log1p(len(words)), np.log1p(np.mean(list(map(len, words)))), np.log1p(np.std(list(map(len, words)))),
+                *(sum(map(k, "".join(words))) / len("".join(words)) for k in (str.isupper, str.isdigit, lambda c: not c.isalpha() and not c.isdigit())),
+                len(set(words)) / np.sqrt(len(words)), sum(x == y for x, y in zip(words, words[1:])) / max(1, len(words) - 1),
+                len(set(triples)) / len(triples) if triples else 1.0, len(set(lines)) / max(1, len(lines)), np.log1p(len(lines)) - np.log1p(len(words)),
+            ], rel=1e-5, abs=1e-5), t
+    assert f([]).shape == (0, classifier.FEATURES)
+
+
 def test_classifier(spark, docs):
     rng = random.Random(11)
     good = [(i, prose(rng.randint(60, 200), 100 + i)) for i in range(160)]
     bad = [(1000 + i, "!! ".join(prose(rng.randint(60, 200), 900 + i).upper().split())) for i in range(60)]
     rows = spark.createDataFrame([*good, *bad], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i < 1000)) for i, _ in [*good, *bad] if rng.random() < 0.8], "doc_id long, quality int")
-    out = plain(classifier.scored(rows, labels, positives=100, unlabelled=150))
+    out = plain(classifier.scored(rows, labels))
     held = [r for r in out if r["held_out"]]
     assert held and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in out)
     assert sum(r["predicted"] == int(r["doc_id"] < 1000) for r in held) >= 0.9 * len(held)
-    again = plain(classifier.scored(rows.repartition(5), labels, positives=100, unlabelled=150))
-    assert {r["doc_id"]: round(r["score"], 9) for r in again} == {r["doc_id"]: round(r["score"], 9) for r in out}
-    # flipped labels of the held-out fold change nothing
-    flipped = labels.withColumn("quality", F.when(classifier.fold(F.col("doc_id")) == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
-    assert {r["doc_id"]: r["score"] for r in plain(classifier.scored(rows, flipped, positives=100, unlabelled=150))} == pytest.approx({r["doc_id"]: r["score"] for r in out})
-    odd = plain(classifier.scored(docs, labels, positives=100, unlabelled=150))
-    assert len(odd) == docs.count() and all(r["score"] is not None and r["held_out"] is not None for r in odd)
+    again = plain(classifier.scored(rows.repartition(5), labels))
+    assert {r["doc_id"]: r["score"] for r in again} == pytest.approx({r["doc_id"]: r["score"] for r in out}, rel=1e-6)
+    # neither labels of the held-out fold nor those of 0 change anything
+    flipped = labels.withColumn("quality", F.when(classifier.fold(F.col("doc_id")) == 0, 1 - F.col("quality")).otherwise(F.col("quality"))).filter("quality = 1 OR doc_id < 1000")
+    assert {r["doc_id"]: r["score"] for r in plain(classifier.scored(rows, flipped))} == pytest.approx({r["doc_id"]: r["score"] for r in out}, rel=1e-6)
+    _, prior = classifier.train(classifier.features(rows), labels)
+    assert prior == pytest.approx(160 / 220, abs=0.12)
+    odd = plain(classifier.scored(docs, labels))
+    assert len(odd) == docs.count() and all(0 <= r["score"] <= 1 and r["held_out"] is not None for r in odd)
+    same = {}
+    for r in odd:
+        same.setdefault(r["doc_id"], set()).add(r["score"])
+    assert len(same[8]) == 1 and same[0] == same[1] and same[8] == same[9]  # repeated rows; null and empty texts; equal texts
+    none = plain(classifier.scored(docs, labels.limit(0)))
+    assert all(r["score"] == 0.5 and r["predicted"] == 1 for r in none)
     assert classifier.scored(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def sample_moments(x):
+    z = np.concatenate([np.ones((len(x), 1)), x], axis=1)
+    return classifier.Moments(z.T @ z / len(z))
+
+
+def test_risk_is_that_of_the_samples():
+    """The risk from sums against the one from single documents, and its gradient against differences."""
+    rng = np.random.default_rng(2)
+    p, u, prior = rng.normal(1, 1, (40, 5)), rng.normal(0, 2, (90, 5)), 0.6
+    for _ in range(20):
+        w = rng.normal(size=6)
+        g = lambda x: w[0] + x @ w[1:]
+        lost = lambda x, y: ((g(x) - y) ** 2 / 4).mean()
+        told = classifier.risk(w, sample_moments(p), sample_moments(u), prior)
+        assert told == pytest.approx((prior * lost(p, 1), lost(u, -1) - prior * lost(p, -1)))
+        value, slope = sample_moments(p).loss(w, 1)
+        for k in range(6):
+            moved = w + 1e-6 * np.eye(6)[k]
+            assert (sample_moments(p).loss(moved, 1)[0] - value) / 1e-6 == pytest.approx(slope[k], abs=1e-4)
+    moved = (p - 3) / 2
+    assert sample_moments(p).under(np.full(5, 3.0), np.full(5, 2.0)).mean == pytest.approx(sample_moments(moved).mean)
+
+
+def test_moments_are_sums_over_all_rows(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(500, classifier.FEATURES)).astype("<f4")
+    flags = rng.random(500) < 0.3
+    rows = spark.createDataFrame([(bool(f), bytearray(v.tobytes())) for f, v in zip(flags, x)], "positive boolean, features binary").repartition(7)
+    positive, every, n = classifier.moments(rows)
+    assert n == flags.sum()
+    assert positive.mean == pytest.approx(sample_moments(x[flags].astype(float)).mean, abs=1e-9)
+    assert every.mean == pytest.approx(sample_moments(x.astype(float)).mean, abs=1e-9)
+
+
 def test_risk_stays_non_negative():
     rng = np.random.default_rng(1)
-    p, u = rng.normal(2, 0.1, (50, 3)), np.concatenate([rng.normal(2, 0.1, (80, 3)), rng.normal(-2, 0.1, (20, 3))])
-    m = classifier.fit(p, u, 0.8)
-    assert m.score(np.full((1, 3), 2.0))[0] > 0.5 > m.score(np.full((1, 3), -2.0))[0]
+    p, u = rng.normal(2, 0.1, (500, 3)), np.concatenate([rng.normal(2, 0.1, (800, 3)), rng.normal(-2, 0.1, (200, 3))])
+    m = classifier.fit(sample_moments(p), sample_moments(u), 0.8)
+    row = lambda v: np.array([[1.0, v, v, v]])
+    assert m.score(row(2.0))[0] > 0.5 > m.score(row(-2.0))[0]
+    counts = lambda v: np.histogram(m.linear(np.concatenate([np.ones((len(v), 1)), v], axis=1)), classifier.BINS, (-classifier.REACH, classifier.REACH))[0]
+    assert classifier.prior_of(counts(p), counts(u)) == pytest.approx(0.8, abs=0.1)
 
 
 # ---- archives ----
@@ -247,12 +322,62 @@ def test_archives(spark):
 def test_arc_versions(version):
     blocks = [b"HTTP/1.0 200 OK\r\n\r\nbody\nhttp://x 0.0.0.0 20200101000000 text/html 3\n", b"", b"plain"]
     content = archives.arc_head(version, "n") + b"".join(archives.arc_record(version, "http://h/a b", "20210203040506", "text/html", b, 0, "n") for b in blocks)
-    got = list(archives.parse_arc(content))
+    got = [x[1:] for x in archives.parse_arc(content)]
     assert [b for _, b, _ in got] == blocks and all(f["URL"] == "http://h/a b" and not cut for f, _, cut in got)
     record = archives.converted(*got[0])
     assert record[2] == "2021-02-03T04:05:06Z" and record[5] == blocks[0].partition(b"\r\n\r\n")[2]
     assert archives.converted(*got[0])[0] == record[0] != archives.converted(*got[1])[0]
-    assert [cut for _, _, cut in archives.parse_arc(content[:-4])] == [False, False, True]
+    assert [cut for *_, cut in archives.parse_arc(content[:-4])] == [False, False, True]
+    members = b"".join(gzip.compress(x) for x in (content[:200], content[200:]))
+    assert [x[1:] for x in archives.parse_arc(members)] == [x[1:] for x in archives.parse_arc(gzip.compress(content))] == got
+
+
+FOREIGN = (
+    b"filedesc://other-1.arc.gz 0.0.0.0 20050101000000 text/plain 73\n1 0 Some Crawler\nURL IP-address Archive-date Content-type Archive-length\n\n"
+    b"http://a/1 1.2.3.4 202102030405 text/html; charset=utf-8 5\nhello\n"
+    b"short line\nand another 12\n"
+    b"http://a/2 1.2.3.4 00000000000000 text/html 3\nabc\n"
+    b"http://a/3 1.2.3.4 20210203040506 text/html x9\nlost block\n"
+    b"http://a/4 ::1 20210203040506 no-type 2\n\n\n\n"
+    b"http://a/5 1.2.3.4 20211332040506 text/html 4\nwxyz\n"
+)
+
+
+def test_foreign_arc(spark):
+    got = list(archives.parse_arc(FOREIGN))
+    records = [archives.converted(*x[1:]) for x in got if isinstance(x[1], dict)]
+    assert [(r[1], r[2], r[5]) for r in records] == [
+        ("http://a/1", "2021-02-03T04:05:00Z", b"hello"), ("http://a/2", archives.NO_DATE, b"abc"), ("http://a/4", "2021-02-03T04:05:06Z", b"\n\n"), ("http://a/5", archives.NO_DATE, b"wxyz"),
+    ]
+    assert next(f for _, f, *_ in got)["Content-type"] == "text/html; charset=utf-8"
+    errors = [(x[0], x[1]) for x in got if isinstance(x[1], str)]
+    assert errors == [(FOREIGN.index(b"short line"), "no header line"), (FOREIGN.index(b"http://a/3"), "no header line")]
+    packed = gzip.compress(FOREIGN)
+    given = {"plain": FOREIGN, "packed": packed, "broken": packed[:-30], "garbage": b"\x1f\x8bno", "empty": b"", "headless": FOREIGN[FOREIGN.index(b"http://a/1") :], "noise": b"abc\n\xff\xfe\n"}
+    table = spark.createDataFrame([(k, bytearray(v)) for k, v in given.items()], "path string, content binary").repartition(3)
+    urls_ = Counter(r.url for r in archives.arc_to_warc(table).collect())
+    assert urls_["http://a/2"] >= 3 and urls_["http://a/1"] >= 3
+    told = {}
+    for r in archives.arc_errors(table).collect():
+        told.setdefault(r.path, []).append((r.byte, r.error))
+    assert sorted(told["plain"]) == sorted(told["packed"]) == errors
+    assert told["garbage"][0][1].startswith("broken compression") and any(e.startswith("broken compression") for _, e in told["broken"])
+    assert told["noise"] == [(0, "no first record")] and "empty" not in told
+
+
+def test_warc_files_are_cut_by_bytes(spark):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", chr(97 + i % 26) * 50_000) for i in range(60)], "page_id long, url string, html string").coalesce(1)
+    old, archives.WARC_BYTES = archives.WARC_BYTES, 500_000
+    try:
+        path = common.new_path(spark, "warc")
+        archives.write_warc(archives.arc_to_warc(archives.pages_to_arc(pages)), path, 50_000)
+    finally:
+        archives.WARC_BYTES = old
+    assert spark.read.format("binaryFile").load(path).count() >= 6
+    assert archives.read_warc(spark, path).filter("payload_bytes = 50000").count() == 60
+    whole = gzip.compress(b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 9\r\n\r\nshort")
+    with pytest.raises(ValueError, match="cut short"):
+        list(archives.parse_warc(whole))
 
 
 # ---- embeddings ----
@@ -282,11 +407,13 @@ def test_embeddings(spark):
     low = {i: i for i in ids}
     for _ in ids:
         low = {i: min([low[i], *(low[j] for j in links[i])]) for i in ids}
-    old, embeddings.BLOCK = embeddings.BLOCK, 16
+    old, (embeddings.BLOCK, embeddings.SHORT) = (embeddings.BLOCK, embeddings.SHORT), (16, 4)
     try:
         got = plain(embeddings.near_duplicates(df))
     finally:
-        embeddings.BLOCK = old
+        embeddings.BLOCK, embeddings.SHORT = old
+    single = {r["vec_id"]: r["component_id"] for r in plain(embeddings.near_duplicates(df.filter("vec_id < 400").withColumn("embedding", F.col("embedding").cast("array<float>"))))}
+    assert sum(single[r["vec_id"]] != r["component_id"] for r in got if (r["vec_id"] or 999) < 400) <= 12
     assert len(got) == len(rows)
     found = sum(r["n_links"] for r in got if r["vec_id"] in usable)
     assert found >= 0.9 * sum(map(len, links.values()))
@@ -299,6 +426,21 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("cosine", "least"), [(0.93, 0.94), (0.935, 0.95), (0.94, 0.96), (0.95, 0.98), (0.97, 0.999), (0.99, 0.9999)])
+def test_recall_by_cosine(cosine, least):
+    """The share of pairs at a cosine that some table brings together."""
+    rng = np.random.default_rng(8)
+    x, other = rng.normal(size=(2, 4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    other -= (other * x).sum(axis=1, keepdims=True) * x
+    y = cosine * x + np.sqrt(1 - cosine**2) * other / np.linalg.norm(other, axis=1, keepdims=True)
+    label = np.zeros(len(x), np.int64)
+    met = (embeddings.signatures(x, label) == embeddings.signatures(y, label)).any(axis=1)
+    assert met.mean() >= least
+    apart = embeddings.signatures(other / np.linalg.norm(other, axis=1, keepdims=True), label)
+    assert (embeddings.signatures(x, label) == apart).any(axis=1).mean() < 0.003
+
+
 # ---- secrets ----
 
 ASSIGN = r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -327,6 +469,40 @@ def test_secrets(docs):
     assert secrets.redacted(docs.limit(0)).count() == 0
 
 
+def test_ids_and_names_stay(spark):
+    rows = [(9007199254740993, "password=hunter22 x", "a", 1, 2, "c"), (None, "nothing", None, 3, None, "d"), (9007199254740995, None, "b", None, 5, None)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, source string, _starts long, row long, `found given` string").coalesce(1)
+    out = secrets.redacted(given)
+    assert out.columns == given.columns
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([(rows[0][0], "[secret] x", *rows[0][2:]), *rows[1:]], key=repr)
+    assert {r.doc_id: len(r.spans) for r in secrets.scan(given, ("doc_id", "row", "_starts", "found given")).collect()} == {rows[0][0]: 1, None: 0, rows[2][0]: 0}
+
+
+def test_ownership_over_a_whole_table(spark):
+    kinds = {"assign": "token=Vv{}kk77", "access": "AKIA{}ABCDEFGHIJKLMNOP", "hex": "{}0123456789abcdef0123456789", "owned": "Qw{}rT9xZ1cV7bN4mK2jH6"}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "source", "text")
+    more = []
+    for j, (kind, form) in enumerate(kinds.items()):
+        for i in range(5):  # 0 is one owner's in three repositories, of which two are copies; 1 is two owners'; 2 is a null owner's
+            for n, owner in enumerate({0: ["a", "a", "a"], 1: ["a", "b"], 2: [None, None]}.get(i, ["c"])):
+                more.append((10**6 + 100 * j + 10 * i + n, owner, f"see {form.format(i)} here" + " too" * (n == 2)))
+    given = docs.union(spark.createDataFrame(more, docs.schema)).repartition(4)
+    rows = given.collect()
+    owners, repositories, spans = {}, {}, {}
+    for r in rows:
+        spans[r.doc_id] = secrets.all_spans(r.text or "")
+        for *_, secret in spans[r.doc_id]:
+            owners.setdefault(secret, set()).add(r.source)
+            repositories.setdefault(secret, set()).add(r.text)
+    got = {r.doc_id: [(s.kind, s.start, s.end, s.owners, s.repositories, s.example) for s in r.spans] for r in secrets.scan(given).collect()}
+    assert got == {
+        i: [(secrets.KINDS[k], s, e, len(owners[v]), len(repositories[v]), len(owners[v]) > 1) for k, s, e, v in found if k < 3 or len(owners[v]) == 1]
+        for i, found in spans.items()
+    }
+    told = {kind for i, found in got.items() if i >= 10**6 for kind, *_ in found}
+    assert told == set(kinds) and any(x[-1] for found in got.values() for x in found)
+
+
 def test_one_owner_is_no_example(spark):
     own, spread = "Zk3mQ9vT1xR7pL5wB2nY8s", "Aa1Bb2Cc3Dd4Ee5Ff6Gg7Hh8"
     rows = [(i, f"copy of {own} here", "a") for i in range(7)] + [(10 + i, f"text {i} with {own} too", "a") for i in range(6)]
@@ -554,4 +730,21 @@ def test_urls(spark):
     want = [(i, hosts[urls_.index(u)] if u is not None else None, d, *verdict(hosts[urls_.index(u)] if u is not None else None, d)) for i, u, d, _ in captures]
     assert sorted(map(repr, (tuple(r.values()) for r in got))) == sorted(map(repr, want))
     none = spark.createDataFrame([], "list string, domain string, day int, action string")
+    assert urls.evaluate(spark.createDataFrame([], "page_id long, url string, day int"), spark.createDataFrame(events, "list string, domain string, day int, action string")).count() == 0
     assert urls.evaluate(spark.createDataFrame(captures, "page_id long, url string, day int, list string"), none).filter("verdict = 'keep'").count() == len(captures)
+
+
+@pytest.mark.parametrize("days", [[30_000, 41_000], [20260101, 20260110], [1_700_000_000, 1_800_000_000], [-50, 7]])
+def test_days_of_any_size(spark, days):
+    start, later = days
+    events = spark.createDataFrame([("block", "a.com", start, "add"), ("block", "b.com", start, "add"), ("block", "b.com", later, "remove")], "list string, domain string, day long, action string")
+    captures = spark.createDataFrame([(10 * k + i, f"http://{h}.com", d) for k, d in enumerate([start - 1, start, later - 1, later, later + 10**6]) for i, h in enumerate("ab")], "page_id long, url string, day long")
+    got = {r.page_id: r.verdict for r in urls.evaluate(captures, events).collect()}
+    assert got == {10 * k + i: "drop" if k and (i == 0 or k < 3) else "keep" for k in range(5) for i in range(2)}
+
+
+def test_open_entries_are_a_row_each(spark):
+    events = spark.range(100_000).select(F.lit("block").alias("list"), F.concat(F.lit("d"), "id", F.lit(".com")).alias("domain"), F.col("id").alias("day"), F.lit("add").alias("action"))
+    assert urls.intervals(events).filter("stop IS NULL").count() == 100_000
+    captures = spark.createDataFrame([(1, "http://d5.com", 10**6), (2, "http://x.d99999.com", 99_998), (3, "http://x.d99999.com", 99_999)], "page_id long, url string, day long")
+    assert {r.page_id: r.verdict for r in urls.evaluate(captures, events).collect()} == {1: "drop", 2: "keep", 3: "drop"}
