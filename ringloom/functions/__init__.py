@@ -47,7 +47,7 @@ def has_other_than_letters(col: Column) -> Column:
 
 
 def string_hash(col: Column, prime: int) -> Column:
-    """The string read as a number in base 256, modulo `prime`; for ASCII strings."""
+    """The string's code points read as a number in base 256, modulo `prime`."""
     codes = F.transform(F.filter(F.split(col, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
     return F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: (a * 256 + c) % prime)
 

@@ -9,16 +9,24 @@ from ringloom.operators.durable import drop_table, settle
 from ringloom.operators.ranking import dense_ranks, row_numbers
 
 
-def classes(symbols: DataFrame, symbol: str, width: int = 1) -> DataFrame:
-    """(seq_id, idx, class) from (seq_id, idx, `symbol`, k): the dense rank, from 0, of the rotation of its string that starts at each place; equal rotations share it. k is the string's length, and `symbol` tells the first `width` places of the rotation.
+#: Symbols of the first windows: three rounds of doubling fewer.
+WIDTH = 8
+#: Symbols of a string that are handled in one row.
+CHUNK = 1 << 16
+
+
+def classes(symbols: DataFrame, symbol: str, width: int = 1, around: bool = True) -> DataFrame:
+    """(seq_id, idx, class) from (seq_id, idx, `symbol`, k): the dense rank, from 0, of the rotation of its string that starts at each place; equal rotations share it. k is the string's length, and `symbol` tells the first `width` places of the rotation. Not `around`: of the suffix that starts at each place.
 
     Ranks of windows of h symbols give ranks of windows of 2h by one join on (seq_id, idx) and a rank of distinct pairs, until no class splits any more; then none ever does. So there are at most log2(longest) + 2 rounds, each written before the next.
     """
     now = settle(dense_ranks(symbols.select("seq_id", "idx", "k", symbol), [symbol], "class").select("seq_id", "idx", "k", "class"), "classes")
     found, h = now.agg(F.max("class")).first()[0], width
     while found is not None:
-        ahead = now.select("seq_id", F.pmod(F.col("idx") - h, F.col("k")).alias("idx"), F.col("class").alias("next"))
-        pairs = now.join(ahead, ["seq_id", "idx"]).withColumnRenamed("class", "old")
+        ahead = now.select("seq_id", (F.pmod(F.col("idx") - h, F.col("k")) if around else F.col("idx") - h).alias("idx"), F.col("class").alias("next"))
+        pairs = now.join(ahead, ["seq_id", "idx"], "inner" if around else "left").withColumnRenamed("class", "old")
+        # nothing stands before anything else
+        pairs = pairs.withColumn("next", F.coalesce("next", F.lit(-1).cast("long")))
         after = settle(dense_ranks(pairs, ["old", "next"], "class").select("seq_id", "idx", "k", "class"), "classes")
         most = after.agg(F.max("class")).first()[0]
         drop_table(now)
@@ -29,18 +37,21 @@ def classes(symbols: DataFrame, symbol: str, width: int = 1) -> DataFrame:
     return now.select("seq_id", "idx", "class")
 
 
-#: Symbols of the first windows: three rounds of doubling fewer.
-WIDTH = 8
-
-
-def characters(seqs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(seq_id, idx, k, window, bwt) of each character: the `width` symbols from it on, and the one before it, around the string. The string is split once, so the work is linear in its length."""
-    n = F.size("_c")
-    at = lambda i: F.get("_c", F.pmod(i, n))
-    cells = F.transform("_c", lambda _, i: F.struct(F.concat(*[at(i + j) for j in range(width)]).alias("window"), at(i - 1).alias("bwt")))
-    split = seqs.select("seq_id", F.filter(F.split("seq", ""), lambda c: c != "").alias("_c"))
-    rows = split.select("seq_id", n.cast("long").alias("k"), F.posexplode(cells))
-    return rows.select("seq_id", F.col("pos").cast("long").alias("idx"), "k", "col.window", "col.bwt")
+def characters(seqs: DataFrame, width: int = WIDTH, around: bool = True, chunk: int = CHUNK) -> DataFrame:
+    """(seq_id, idx, k, window, bwt) of each character: the `width` symbols from it on, and the one before it, around the string; not `around`, windows end with the string, and the first symbol has an empty one before it. Strings are handled in chunks, so no row holds an entry for each symbol of a long one."""
+    k = F.length("seq")
+    rows = seqs.select("seq_id", "seq", k.cast("long").alias("k"), F.explode(F.sequence(F.lit(0), k - 1, F.lit(chunk))).alias("_from"))
+    own = F.least(F.lit(chunk), F.col("k").cast("int") - F.col("_from"))
+    first = F.col("_from") == 0
+    lead = F.when(first, F.substring("seq", F.col("k").cast("int"), F.lit(1)) if around else F.lit("")).otherwise(F.substring("seq", F.col("_from"), F.lit(1)))
+    over = F.greatest(F.lit(0), F.col("_from") + own + width - 1 - F.col("k").cast("int"))
+    wrap = F.substring(F.when(F.col("k") >= width, F.col("seq")).otherwise(F.repeat("seq", F.lit(width))), F.lit(1), over) if around else F.lit("")
+    body = F.concat(F.substring("seq", F.col("_from") + 1, own + width - 1), wrap)
+    rows = rows.select("seq_id", "k", "_from", own.alias("_own"), lead.alias("_lead"), F.filter(F.split(body, ""), lambda c: c != "").alias("_c"))
+    at = lambda i: F.coalesce(F.get("_c", i), F.lit(""))
+    cell = lambda c, i: F.struct(F.concat(*[at(i + j) for j in range(width)]).alias("window"), F.when(i == 0, F.col("_lead")).otherwise(F.get("_c", i - 1)).alias("bwt"))
+    rows = rows.select("seq_id", "k", "_from", F.posexplode(F.transform(F.slice("_c", F.lit(1), F.col("_own")), cell)))
+    return rows.select("seq_id", (F.col("_from") + F.col("pos")).cast("long").alias("idx"), "k", "col.window", "col.bwt")
 
 
 def sorted_rotations(seqs: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
-"""Rotations of a collection in omega-order, by definition: for small collections, and to test all else against."""
+"""Rotations of a collection in omega-order, by definition: for short sequences, and to test all else against."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ringloom.operators.ranking import row_numbers
+
 
 def rotations(seqs: DataFrame) -> DataFrame:
     """(seq_id, off, rot, bwt, len) of every rotation; bwt is its last symbol."""
@@ -20,10 +22,9 @@ def rotations(seqs: DataFrame) -> DataFrame:
 def sorted_rotations(seqs: DataFrame) -> DataFrame:
     """(pos, bwt, seq_id, off): all rotations in omega-order, equal ones by seq_id and off.
 
-    A rotation repeated to twice the longest length settles every comparison, so keys take 2 N max(L) symbols, and one window sorts them: small collections only; circular_sa.sorted_rotations() does the same for large ones.
+    A rotation repeated to twice the longest length settles every comparison, so keys take 2 N max(L) symbols: short sequences only; circular_sa.sorted_rotations() does the same for long ones.
     """
     rot = rotations(seqs)
     longest = seqs.agg((F.max(F.length("seq")) * 2).cast("int").alias("k"))
     keyed = rot.crossJoin(F.broadcast(longest)).withColumn("okey", F.expr("substring(repeat(rot, cast(floor(k / len) as int) + 1), 1, k)"))
-    pos = F.row_number().over(Window.orderBy("okey", "seq_id", "off")).cast("long") - 1
-    return keyed.select(pos.alias("pos"), "bwt", "seq_id", "off")
+    return row_numbers(keyed, ["okey", "seq_id", "off"], "pos").select("pos", "bwt", "seq_id", "off")

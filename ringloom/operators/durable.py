@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of the session's ``spark.checkpoint.dir``; a temporary one is set only where it is unset."""
+    """The folder of the session's ``spark.checkpoint.dir``. Where that is unset, a local session gets a temporary one; on a cluster it is an error, as executors share no local folder."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="ringloom-"))
     return sc.getCheckpointDir().rstrip("/")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ringloom.operators.circular_sa import CHUNK
 from ringloom.operators.durable import drop_table, settle
 from ringloom.operators.ranking import row_numbers
 
@@ -28,7 +29,7 @@ def lf_mapping(ebwt: DataFrame) -> DataFrame:
 def invert(ebwt: DataFrame, starts: DataFrame) -> DataFrame:
     """(ord, seq) from (pos, bwt) and (pos) of the sequences' own rotations: the sequences in the order of `starts`.
 
-    From each start, the mapping walks its sequence backwards. Each place learns its start and distance by pointer doubling: in log2(longest) + 1 rounds, each a join on the place it points to. Sequences must be primitive.
+    From each start, the mapping walks its sequence backwards. Each place learns its start and distance by pointer doubling: in log2(longest) + 1 rounds, each a join on the place it points to. Sequences must be primitive; each is one row in the end, which Spark holds to 2 GB.
     """
     lf = lf_mapping(ebwt)
     heads = starts.select(F.col("pos").alias("start"))
@@ -52,13 +53,19 @@ def invert(ebwt: DataFrame, starts: DataFrame) -> DataFrame:
         drop_table(now)
         now, rounds = after, rounds + 1
     symbols = now.join(ebwt.select("pos", "bwt"), "pos")
-    texts = symbols.groupBy(F.col("jump").alias("head")).agg(F.sort_array(F.collect_list(F.struct((-F.col("dist")).alias("d"), "bwt"))).alias("s"))
-    texts = texts.select("head", F.array_join(F.transform("s", lambda x: x["bwt"]), "").alias("seq"))
+    texts = _joined(symbols.select(F.col("jump").alias("head"), (-F.col("dist")).alias("place"), "bwt"), "head")
     return row_numbers(texts, ["head"], "ord").select("ord", "seq")
 
 
+def _joined(symbols: DataFrame, name: str, chunk: int = CHUNK) -> DataFrame:
+    """(`name`, seq): the symbols of each string in the order of `place`. Chunks of it are put together first, so that no row holds an entry for each symbol of a long one; the string itself is one row."""
+    text = lambda of: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*of))), lambda x: x[of[1]]), "")
+    parts = symbols.groupBy(name, F.floor(F.col("place") / chunk).alias("_part")).agg(text(["place", "bwt"]).alias("_text"))
+    return parts.groupBy(name).agg(text(["_part", "_text"]).alias("seq"))
+
+
 def invert_gca(sorted_rows: DataFrame) -> DataFrame:
     """(seq_id, seq) where sequence and offset of each rotation are known: the symbol before each offset, in order."""
-    rows = sorted_rows.groupBy("seq_id").agg(F.sort_array(F.collect_list(F.struct("off", "bwt"))).alias("s"))
-    turned = F.concat(F.expr("slice(s, 2, size(s))"), F.expr("slice(s, 1, 1)"))
-    return rows.select("seq_id", F.array_join(F.transform(turned, lambda x: x["bwt"]), "").alias("seq"))
+    # the symbol before offset 0 is the last
+    place = F.when(F.col("off") == 0, F.lit(1 << 62)).otherwise(F.col("off"))
+    return _joined(sorted_rows.select("seq_id", place.alias("place"), "bwt"), "seq_id")

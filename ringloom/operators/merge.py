@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringloom.operators.circular_sa import parse_classes
+from ringloom.operators.circular_sa import WIDTH, characters, classes, parse_classes
 from ringloom.operators.durable import settle
-from ringloom.operators.ranking import dense_ranks, row_numbers
+from ringloom.operators.ranking import row_numbers, sums_before
 
 
 def dict_suffixes(words: DataFrame, w: int) -> DataFrame:
-    """(rank, off, suffix, suffix_len, bwt, occ): the suffixes of each phrase that are at least w long and not the whole, and the symbol before each."""
+    """(rank, off, suffix, suffix_len, bwt, occ): the suffixes of each phrase that are at least w long and not the whole, and the symbol before each. Spelt out, for a look at them; the merge takes placed_suffixes()."""
     rows = words.select("rank", "phrase", "occ", F.length("phrase").alias("n")).filter(F.col("n") > w)
     rows = rows.withColumn("off", F.explode(F.sequence(F.lit(1), F.col("n") - w)))
     return rows.select(
@@ -20,9 +20,9 @@ def dict_suffixes(words: DataFrame, w: int) -> DataFrame:
     )
 
 
-def suffix_groups(suffixes: DataFrame) -> DataFrame:
-    """(suffix, occ, symbols, bwt): each distinct suffix with its occurrences in the text, how many symbols stand before it, and the smallest of them. A group of one symbol is easy: it is a block of that symbol, whatever the order within."""
-    return suffixes.groupBy("suffix").agg(
+def suffix_groups(suffixes: DataFrame, name: str = "suffix") -> DataFrame:
+    """(`name`, occ, symbols, bwt): each distinct suffix with its occurrences in the text, how many symbols stand before it, and the smallest of them. A group of one symbol is easy: it is a block of that symbol, whatever the order within."""
+    return suffixes.groupBy(name).agg(
         F.sum("occ").alias("occ"), F.when(F.min("bwt") == F.max("bwt"), 1).otherwise(2).cast("long").alias("symbols"), F.min("bwt").alias("bwt")
     )
 
@@ -40,11 +40,11 @@ def occurrences(parsed: DataFrame) -> DataFrame:
     return parsed.join(follow, ["seq_id", "idx"]).select("rank", "csa_class", "seq_id", "end_pos", "len")
 
 
-def expanded(suffixes: DataFrame, occurring: DataFrame) -> DataFrame:
-    """(suffix, csa_class, seq_id, off, bwt): a row for each occurrence of each suffix."""
-    rows = suffixes.select("rank", "suffix", "suffix_len", "bwt").join(occurring, "rank")
+def expanded(suffixes: DataFrame, occurring: DataFrame, name: str = "suffix") -> DataFrame:
+    """(`name`, csa_class, seq_id, off, bwt): a row for each occurrence of each suffix."""
+    rows = suffixes.select("rank", name, "suffix_len", "bwt").join(occurring, "rank")
     off = F.pmod(F.col("end_pos") - F.col("suffix_len") + 1, F.col("len"))
-    return rows.select("suffix", "csa_class", "seq_id", off.alias("off"), "bwt")
+    return rows.select(name, "csa_class", "seq_id", off.alias("off"), "bwt")
 
 
 def hard_groups(suffixes: DataFrame, occurring: DataFrame) -> DataFrame:
@@ -55,34 +55,37 @@ def hard_groups(suffixes: DataFrame, occurring: DataFrame) -> DataFrame:
     )
 
 
+def placed_suffixes(words: DataFrame, w: int) -> DataFrame:
+    """(rank, off, suffix_len, bwt, occ, group): what dict_suffixes() gives, with the rank of each suffix among all distinct ones in place of the suffix. Phrases are ordered symbol by symbol, by prefix doubling, so the work is linear in the dictionary but for a logarithm, and no suffix is spelt out."""
+    chars = settle(characters(words.select(F.col("rank").alias("seq_id"), F.col("phrase").alias("seq")), around=False), "phrases")
+    placed = classes(chars.select("seq_id", "idx", "k", "window"), "window", WIDTH, around=False).join(chars.drop("window"), ["seq_id", "idx"])
+    rows = placed.filter((F.col("idx") > 0) & (F.col("k") - F.col("idx") >= w)).join(words.select(F.col("rank").alias("seq_id"), "occ"), "seq_id")
+    return rows.select(F.col("seq_id").alias("rank"), F.col("idx").alias("off"), (F.col("k") - F.col("idx")).alias("suffix_len"), "bwt", "occ", F.col("class").alias("group"))
+
+
 def sorted_rotations(words: DataFrame, parsed: DataFrame, w: int) -> DataFrame:
     """(pos, bwt, seq_id, off) of all rotations: by suffix, then by the class of what follows; equal rotations by sequence and offset. No valid suffix is a proper prefix of another, so this is omega-order."""
-    rows = expanded(dict_suffixes(words, w), occurrences(parsed))
-    ranked = settle(dense_ranks(rows, ["suffix"], "suffix_rank").drop("suffix"), "suffixes")
-    return row_numbers(ranked, ["suffix_rank", "csa_class", "seq_id", "off"], "pos").select("pos", "bwt", "seq_id", "off")
+    rows = expanded(placed_suffixes(words, w), occurrences(parsed), "group")
+    return row_numbers(rows, ["group", "csa_class", "seq_id", "off"], "pos").select("pos", "bwt", "seq_id", "off")
 
 
 def blocks(words: DataFrame, parsed: DataFrame, w: int) -> DataFrame:
     """(start_pos, bwt, length): the transform in blocks. Occurrences are aggregated before they are expanded: easy groups are a block each, straight from the dictionary, and only hard groups are expanded and ordered."""
-    suffixes = settle(dict_suffixes(words, w), "suffixes")
-    groups = settle(row_numbers(suffix_groups(suffixes), ["suffix"], "group"), "groups")
-    hard = suffixes.join(groups.filter("symbols > 1").select("suffix", "group"), "suffix")
-    rows = expanded(hard, occurrences(parsed)).join(groups.select("suffix", "group"), "suffix")
-    easy = groups.filter("symbols = 1").select(
-        "group", F.lit(0).cast("long").alias("csa_class"), F.lit(0).cast("long").alias("seq_id"), F.lit(0).cast("long").alias("off"), "bwt", F.col("occ").alias("length")
-    )
-    every = easy.union(rows.select("group", "csa_class", "seq_id", "off", "bwt", F.lit(1).cast("long").alias("length")))
-    numbered = settle(row_numbers(every, ["group", "csa_class", "seq_id", "off"], "nth"), "blocks")
+    suffixes = settle(placed_suffixes(words, w), "suffixes")
+    groups = settle(suffix_groups(suffixes, "group"), "groups")
+    hard = suffixes.join(groups.filter("symbols > 1").select("group"), "group", "left_semi")
+    none = F.lit(0).cast("long")
+    easy = groups.filter("symbols = 1").select("group", none.alias("csa_class"), none.alias("seq_id"), none.alias("off"), "bwt", F.col("occ").alias("length"))
+    rows = expanded(hard, occurrences(parsed), "group").select("group", "csa_class", "seq_id", "off", "bwt", F.lit(1).cast("long").alias("length"))
+    numbered = settle(row_numbers(easy.union(rows), ["group", "csa_class", "seq_id", "off"], "nth"), "blocks")
     return _started(numbered).select("start_pos", "bwt", "length")
 
 
 def _started(numbered: DataFrame, block: int = 1 << 16) -> DataFrame:
-    """Running sums of length by nth, block by block; one row a block is summed in one place."""
+    """Running sums of length by nth, block by block."""
     rows = numbered.withColumn("_block", F.floor(F.col("nth") / block))
     own = F.sum("length").over(Window.partitionBy("_block").orderBy("nth")) - F.col("length")
-    totals = rows.groupBy("_block").agg(F.sum("length").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = totals.select("_block", before.alias("_before"))
+    offsets = sums_before(rows.groupBy("_block").agg(F.sum("length").alias("_n")), "_block", "_n", "_before")
     return rows.withColumn("_own", own).join(offsets, "_block").withColumn("start_pos", F.col("_own") + F.col("_before"))
 
 
@@ -97,9 +100,7 @@ def rle_from_blocks(rows: DataFrame, block: int = 1 << 16) -> DataFrame:
     own = Window.partitionBy("_block").orderBy("start_pos")
     ends = held.select((F.col("start_pos") + F.col("length")).alias("start_pos"), F.col("bwt").alias("_before_bwt"))
     held = held.join(ends, "start_pos", "left").withColumn("_new", (~F.col("bwt").eqNullSafe(F.col("_before_bwt"))).cast("long"))
-    counts = held.groupBy("_block").agg(F.sum("_new").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_block", before.alias("_before"))
+    offsets = sums_before(held.groupBy("_block").agg(F.sum("_new").alias("_n")), "_block", "_n", "_before")
     numbered = held.withColumn("_own", F.sum("_new").over(own)).join(offsets, "_block")
     return numbered.groupBy((F.col("_own") + F.col("_before") - 1).alias("run_id")).agg(
         F.first("bwt").alias("head"), F.sum("length").alias("length"), F.min("start_pos").alias("start_pos")

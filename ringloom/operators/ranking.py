@@ -11,16 +11,28 @@ from ringloom.operators.durable import partitions, settle
 def row_numbers(df: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
     """`df` with its rows numbered by `order`, whose values must differ from row to row.
 
-    Rows are dealt to key ranges and written; each range is numbered on its own, and the sizes of the ranges before it, one row a range, are added.
+    Rows are dealt to key ranges, sorted and numbered there, and written, all in one shuffle; the sizes of the ranges before, one row a range, are added.
     """
-    dealt = df.repartitionByRange(partitions(df.sparkSession), *order).withColumn("_part", F.spark_partition_id())
-    dealt = settle(dealt, "ranges")
-    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)).cast("long")
-    numbered = dealt.withColumn("_own", own).join(F.broadcast(offsets), "_part")
-    return numbered.withColumn(name, F.col("_own") - 1 + F.col("_before") + start).drop("_part", "_own", "_before")
+    dealt = df.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+    # a partition's number stands above the 33 lowest bits, a row's place in it in these
+    dealt = settle(dealt.withColumn("_id", F.monotonically_increasing_id()), "ranges").withColumn("_part", F.shiftright("_id", 33))
+    before = sums_before(dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")), "_part", "_n", "_before")
+    own = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return dealt.join(F.broadcast(before), "_part").withColumn(name, own + F.col("_before") + start).drop("_id", "_part", "_before")
+
+
+#: Keys whose sums are added up together, one after the other; only one row for so many keys is looked at in one place.
+LEVEL = 1 << 16
+
+
+def sums_before(totals: DataFrame, key: str, value: str, name: str, level: int = LEVEL) -> DataFrame:
+    """(key, name): for each whole number `key` of `totals`, the sum of `value` over all smaller ones. In two levels, so that a single task sees a row for `level` keys at most."""
+    rows = totals.select(key, value, F.floor(F.col(key) / level).alias("_top"))
+    earlier = lambda by: by.rowsBetween(Window.unboundedPreceding, -1)
+    tops = rows.groupBy("_top").agg(F.sum(value).alias("_sum"))
+    tops = tops.select("_top", F.coalesce(F.sum("_sum").over(earlier(Window.orderBy("_top"))), F.lit(0)).alias("_above"))
+    own = F.coalesce(F.sum(value).over(earlier(Window.partitionBy("_top").orderBy(key))), F.lit(0))
+    return rows.withColumn("_own", own).join(tops, "_top").select(key, (F.col("_own") + F.col("_above")).alias(name))
 
 
 def dense_ranks(df: DataFrame, keys: list[str], name: str, start: int = 0) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringloom.functions import byte_width
+from ringloom.operators.ranking import sums_before
 
-#: Positions that are looked at together; only one row for each such block is ordered in one place.
+#: Positions that are looked at together; what goes on from block to block is summed over one row each.
 BLOCK = 1 << 16
 
 
@@ -21,9 +22,7 @@ def _pieces(rows: DataFrame, break_at: Column | None, block: int) -> DataFrame:
     if break_at is not None:
         new = new | break_at
     held = held.withColumn("_new", new.cast("long"))
-    counts = held.groupBy("_block").agg(F.sum("_new").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_block", before.alias("_before"))
+    offsets = sums_before(held.groupBy("_block").agg(F.sum("_new").alias("_n")), "_block", "_n", "_before")
     run = F.sum("_new").over(own) + F.col("_before") - 1
     return held.join(offsets, "_block").withColumn("run_id", run)
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringloom.functions import PLAIN_PRIME, PRIMES, REMAINDER_PRIME, SHORT_PRIMES, border, is_primitive, phrase_hash
+from ringloom.functions import PLAIN_PRIME, PRIMES, REMAINDER_PRIME, SHORT_PRIMES, border, is_primitive, packed_int, phrase_hash
 from ringloom.operators import circular_sa, conjugates, inverse, merge, phrases, runs, triggers
-from ringloom.operators.durable import settle
+from ringloom.operators.durable import new_path, settle
+from ringloom.operators.ranking import row_numbers
 from ringloom.plans import api, sql
-from ringloom.sources import check_strict, from_table, with_starts
+from ringloom.sinks import read_index, write_index, write_lines
+from ringloom.sources import check_strict, concat, from_table, read_sequences, with_starts
 
 W, P = 4, 10
 #: Remainders of the query on several of them; any set would do.
@@ -26,10 +28,6 @@ def _parts(spark, d, mode="letters"):
     return _seqs(spark, d, "part", "p_partkey", "p_name", mode)
 
 
-def _nations(spark, d):
-    return _seqs(spark, d, "nation", "n_nationkey", "n_name")
-
-
 def _customers(spark, d):
     return _seqs(spark, d, "customer", "c_custkey", "c_name")
 
@@ -40,7 +38,6 @@ def _documents(spark, d):
 
 PARTS = sql.seqs("part", "p_partkey", "p_name", "letters")
 PARTS_BYTES = sql.seqs("part", "p_partkey", "p_name")
-NATIONS = sql.seqs("nation", "n_nationkey", "n_name")
 CUSTOMERS = sql.seqs("customer", "c_custkey", "c_name")
 SUPPLIERS = sql.seqs("supplier", "s_suppkey", "s_name")
 DOCUMENTS = sql.seqs("documents", "doc_id", "text", "letters")
@@ -101,6 +98,87 @@ def borders(spark, d):
     return _parts(spark, d).select("seq_id", border(F.col("seq")).cast("long").alias("border"))
 
 
+# ---- files and stored relations ----
+
+
+def _written(spark, seqs: DataFrame, record, kind: str, **options) -> str:
+    """Files of records in the order of a collection, in the shared folder."""
+    path = new_path(spark, kind)
+    seqs.orderBy("seq_id").select(record.alias("value")).write.options(**options).text(path)
+    return path
+
+
+_NUMBERED = "SELECT row_number() OVER (ORDER BY seq_id) - 1 AS seq_id, seq_id::VARCHAR AS name, md5(seq) AS seq_md5 FROM seqs"
+#: Sequences on lines of 60 symbols.
+WRAPPED = "rtrim('\\n', regexp_replace(seq, '(.{60})', '$1\\n'))"
+
+
+def _read_back(spark, path: str) -> DataFrame:
+    return read_sequences(spark, path, strict=True).select("seq_id", "name", F.md5("seq").alias("seq_md5"))
+
+
+@_query("fasta_files", f"WITH {DOCUMENTS} {_NUMBERED}")
+def fasta_files(spark, d):
+    """Documents as wrapped FASTA records and back."""
+    return _read_back(spark, _written(spark, _documents(spark, d), F.concat(F.lit(">"), "name", F.lit(" a comment\n"), F.expr(WRAPPED)), "fasta"))
+
+
+@_query("fasta_files_compressed", f"WITH {DOCUMENTS} {_NUMBERED}")
+def fasta_files_compressed(spark, d):
+    return _read_back(spark, _written(spark, _documents(spark, d), F.concat(F.lit(">"), "name", F.lit("\n"), "seq"), "fasta", compression="gzip"))
+
+
+@_query("fastq_files", f"WITH {PARTS} {_NUMBERED}")
+def fastq_files(spark, d):
+    """Part names as FASTQ records, every other one over several lines with a blank line after it, and back."""
+    quality = F.repeat(F.lit("I"), F.length("seq"))
+    some = lambda x: F.when(F.col("seq_id") % 2 == 0, F.concat(F.substring(x, F.lit(1), F.lit(3)), F.lit("\n"), F.substring(x, F.lit(4), F.length(x)), F.lit("\n"))).otherwise(x)
+    return _read_back(spark, _written(spark, _parts(spark, d), F.concat(F.lit("@"), "name", F.lit("\n"), some(F.col("seq")), F.lit("\n+\n"), some(quality)), "fastq"))
+
+
+@_query("mixed_files", f"WITH {PARTS} {_NUMBERED}")
+def mixed_files(spark, d):
+    """FASTA and FASTQ records in one file."""
+    fastq = F.concat(F.lit("@"), "name", F.lit("\n"), "seq", F.lit("\n+\n"), F.repeat(F.lit("I"), F.length("seq")))
+    record = F.when(F.col("seq_id") % 3 == 0, fastq).otherwise(F.concat(F.lit(">"), "name", F.lit("\n"), "seq"))
+    return _read_back(spark, _written(spark, _parts(spark, d), record, "mixed"))
+
+
+@_query("sequence_lines", f"WITH {PARTS} SELECT row_number() OVER (ORDER BY seq_id) - 1 AS line, seq FROM seqs")
+def sequence_lines(spark, d):
+    """Sequences written a line each, and the lines read in order."""
+    path = new_path(spark, "lines")
+    write_lines(_parts(spark, d), path)
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("seq"))
+    return row_numbers(settle(lines, "lines"), ["file", "split", "at"], "line").select("line", "seq")
+
+
+@_query(
+    "concatenated",
+    f"""WITH {PARTS}, c AS (SELECT c_custkey AS k, c_custkey::VARCHAR AS name, translate(c_name, '{sql.LOW}', '{sql.UP}') AS seq FROM customer WHERE c_name <> '')
+        SELECT row_number() OVER (ORDER BY part, k) - 1 AS seq_id, name, seq FROM (SELECT 0 AS part, seq_id AS k, seq_id::VARCHAR AS name, seq FROM seqs UNION ALL SELECT 1, k, name, seq FROM c)""",
+)
+def concatenated(spark, d):
+    return concat(_parts(spark, d), _customers(spark, d))
+
+
+@_query("packed_integers", "SELECT o_orderkey, o_custkey, (o_orderkey * 65536 + o_custkey)::BIGINT AS number FROM orders")
+def packed_integers(spark, d):
+    """Numbers of 7 little-endian bytes, read back."""
+    rows = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey", (F.col("o_orderkey").cast("long") * 65536 + F.col("o_custkey")).alias("n"))
+    digits = F.lpad(F.hex("n"), 14, "0")
+    little = F.unhex(F.concat(*[F.substring(digits, F.lit(13 - 2 * i), F.lit(2)) for i in range(7)]))
+    return settle(rows.select("o_orderkey", "o_custkey", little.alias("bytes")), "packed").select("o_orderkey", "o_custkey", packed_int(F.col("bytes")).alias("number"))
+
+
+@_query("stored_index", f"WITH {CUSTOMERS}, {sql.ROTATIONS} SELECT pos, bwt FROM sorted_rows")
+def stored_index(spark, d):
+    """The relations of an index, each under its name, written and read again."""
+    path = new_path(spark, "index")
+    names = write_index(api.build(_customers(spark, d), method="doubling", gca="samples"), path)
+    return read_index(spark, path, names).ebwt
+
+
 # ---- hashes and triggers ----
 
 
@@ -119,7 +197,7 @@ def trigger_positions(spark, d):
     return triggers.trigger_positions(_parts(spark, d), W, P)
 
 
-@_query("trigger_positions_documents")
+@_query("trigger_positions_documents", f"WITH {DOCUMENTS}, {sql.ends_of_long(10, 100, PLAIN_PRIME)} SELECT seq_id, e::BIGINT AS end_pos FROM ends")
 def trigger_positions_documents(spark, d):
     return triggers.trigger_positions(_documents(spark, d), 10, 100)
 
@@ -139,9 +217,7 @@ def remainder_histogram(spark, d):
     return triggers.remainder_histogram(_parts(spark, d), W, P)
 
 
-_MASK_PARTS = ", ".join(sql.hashes(W, q, f"h{i}") for i, q in enumerate(SHORT_PRIMES))
-_MASK_UNION = " UNION ALL ".join(f"SELECT seq_id, {1 << i}::BIGINT AS bit FROM h{i} WHERE hash % {P} = 0" for i in range(len(SHORT_PRIMES)))
-MASKS = f"{_MASK_PARTS}, hit AS (SELECT DISTINCT * FROM ({_MASK_UNION})), masks AS (SELECT s.seq_id, coalesce(sum(bit), 0)::BIGINT AS mask FROM seqs s LEFT JOIN hit USING (seq_id) GROUP BY s.seq_id)"
+MASKS = sql.masks(W, P, SHORT_PRIMES)
 
 
 @_query("prime_hit_mask", f"WITH {PARTS}, {MASKS} SELECT seq_id, mask FROM masks")
@@ -155,22 +231,15 @@ def _table(spark, values, *names):
     return spark.sql(f"SELECT {', '.join(f'cast({n} AS BIGINT) AS {n}' for n in names)} FROM VALUES {cells} AS t({', '.join(names)})")
 
 
-@_query(
-    "select_primes",
-    f"""WITH RECURSIVE {PARTS}, {MASKS},
-        pick(nth, have, chosen) AS (
-          SELECT 0::BIGINT, 1::BIGINT, 0::BIGINT
-          UNION ALL
-          SELECT p.nth + 1, p.have | (m.mask & -m.mask), log2((m.mask & -m.mask)::DOUBLE)::BIGINT
-          FROM pick p JOIN masks m ON m.seq_id = (SELECT min(x.seq_id) FROM masks x WHERE x.mask > 0 AND x.mask & p.have = 0)
-          WHERE p.nth < 4)
-        SELECT nth, chosen FROM pick""",
-)
+@_query("select_primes", f"WITH RECURSIVE {PARTS}, {MASKS}, {sql.picks(5)} SELECT nth, chosen FROM pick")
 def select_primes(spark, d):
     return _table(spark, enumerate(triggers.select_primes(_parts(spark, d), W, P, 5)), "nth", "chosen")
 
 
-@_query("select_remainders")
+RARE = sql.remainder_masks(W, P, REMAINDER_PRIME)
+
+
+@_query("select_remainders", f"WITH RECURSIVE {PARTS}, {RARE}, {sql.picks(5, 'm.low')} SELECT nth, chosen FROM pick")
 def select_remainders(spark, d):
     return _table(spark, enumerate(triggers.select_remainders(_parts(spark, d), W, P, 5)), "nth", "chosen")
 
@@ -208,7 +277,7 @@ def phrases_query(spark, d):
     return _phrases(spark, d)
 
 
-@_query("phrases_documents")
+@_query("phrases_documents", f"WITH {DOCUMENTS}, {sql.ends_of_long(10, 100, PLAIN_PRIME)}, {sql.phrases(10)} SELECT seq_id, idx, phrase, end_pos, len FROM phrases")
 def phrases_documents(spark, d):
     return phrases.phrases(_documents(spark, d), 10, 100)
 
@@ -238,11 +307,44 @@ def parse(spark, d):
     return _parsed(spark, d)[0]
 
 
-@_query("parse_count_check", "SELECT 0::BIGINT AS rank, 0::BIGINT AS occ, 0::BIGINT AS n WHERE false")
+@_query("parse_count_check", f"WITH {PARSED}, c AS (SELECT rank, count(*) AS n FROM parse GROUP BY rank) SELECT rank, occ, n, occ = n AS agrees FROM dictionary JOIN c USING (rank)")
 def parse_count_check(spark, d):
+    """Occurrences as the dictionary counts them and as the parse has them."""
     parsed, words = _parsed(spark, d)
     counts = parsed.groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
-    return words.join(counts, "rank", "left").select("rank", "occ", F.coalesce("n", F.lit(0)).alias("n")).filter("occ <> n")
+    rows = words.join(counts, "rank", "left").select("rank", "occ", F.coalesce("n", F.lit(0)).alias("n"))
+    return rows.withColumn("agrees", F.col("occ") == F.col("n"))
+
+
+@_query("phrases_multi_remainder", f"WITH {PARTS}, {sql.ends(W, P, (REMAINDER_PRIME,), REMAINDERS)}, {sql.phrases(W)} SELECT seq_id, idx, phrase, end_pos, len FROM phrases")
+def phrases_multi_remainder(spark, d):
+    return phrases.phrases(_parts(spark, d), W, P, (REMAINDER_PRIME,), REMAINDERS)
+
+
+@_query("phrases_multi_prime", f"WITH {CUSTOMERS}, {sql.ends(6, P, THREE)}, {sql.phrases(6)} SELECT seq_id, idx, phrase, end_pos, len FROM phrases")
+def phrases_multi_prime(spark, d):
+    return phrases.phrases(_customers(spark, d), 6, P, THREE)
+
+
+WHOLE = "position(seq IN substr(seq, 2) || substr(seq, 1, length(seq) - 1)) = 0"
+NO_POWERS = f"{PARTS.replace('seqs AS', 'every AS')}, seqs AS (SELECT * FROM every WHERE {WHOLE})"
+
+
+@_query("segment_without_powers", f"WITH {NO_POWERS}, {sql.ends(W, P, (PLAIN_PRIME,))}, {sql.phrases(W)}, {sql.DICTIONARY} SELECT seq_id, idx, rank, end_pos, len FROM parse")
+def segment_without_powers(spark, d):
+    """The whole of segmentation: what can't be parsed and what is a power goes, then phrases, dictionary and parse."""
+    return api.segment(_parts(spark, d), W, P, drop_nonprimitive=True).parsed
+
+
+#: Of customers, hashes by all primes and the primes chosen; then the triggers by these.
+CHOSEN = f"{CUSTOMERS}, {sql.masks(6, 10, PRIMES)}, {sql.picks(len(PRIMES))}, best AS (SELECT max(have) AS have FROM pick)"
+CHOSEN_ENDS = "ends AS (" + " UNION ".join(f"SELECT seq_id, seq, len, e FROM h{i} CROSS JOIN best WHERE hash % 10 = 0 AND have & {1 << i} > 0" for i in range(len(PRIMES))) + ")"
+
+
+@_query("segment_reads", f"WITH RECURSIVE {CHOSEN}, {CHOSEN_ENDS}, {sql.phrases(6)}, {sql.DICTIONARY} SELECT seq_id, idx, rank, end_pos, len FROM parse")
+def segment_reads(spark, d):
+    """The same with primes chosen one after the other, until every sequence has a trigger that can have one."""
+    return api.segment(_customers(spark, d), 6, 10, "primes", len(PRIMES)).parsed
 
 
 @_query("start_offsets", f"WITH {PARSED} SELECT seq_id, rank, end_pos FROM parse WHERE idx = k - 1")
@@ -334,9 +436,9 @@ def _sorted_parts(spark, d):
     return circular_sa.sorted_rotations(_parts(spark, d, "bytes"))
 
 
-@_query("ebwt_definition", f"WITH {NATIONS}, {sql.ROTATIONS} SELECT pos, bwt, seq_id, off FROM sorted_rows")
+@_query("ebwt_definition", f"WITH {CUSTOMERS}, {sql.ROTATIONS} SELECT pos, bwt, seq_id, off FROM sorted_rows")
 def ebwt_definition(spark, d):
-    return conjugates.sorted_rotations(_nations(spark, d))
+    return conjugates.sorted_rotations(_customers(spark, d))
 
 
 @_query("ebwt", f"WITH {PARTS_BYTES}, {sql.ROTATIONS} SELECT pos, bwt FROM sorted_rows")
@@ -367,9 +469,12 @@ def ebwt_rle_pfp(spark, d):
     return merge.rle_from_blocks(settle(merge.blocks(words, parsed, W), "blocks"))
 
 
-@_query("ebwt_rle_reads", None)
+SERVED_READS = f"{CHOSEN.replace('seqs AS', 'every AS', 1).replace('FROM seqs', 'FROM every')}, seqs AS (SELECT e.* FROM every e JOIN masks USING (seq_id) CROSS JOIN best WHERE mask & have > 0)"
+
+
+@_query("ebwt_rle_reads", f"WITH RECURSIVE {SERVED_READS}, {sql.ROTATIONS}, {sql.RUNS} SELECT run_id, head, length, start_pos FROM runs")
 def ebwt_rle_reads(spark, d):
-    return api.build(_customers(spark, d), w=6, p=10, trigger_mode="primes", max_triggers=24, rle=True, starts=False, allow_filtered=True).rle
+    return api.build(_customers(spark, d), w=6, p=10, trigger_mode="primes", max_triggers=len(PRIMES), rle=True, starts=False, allow_filtered=True).rle
 
 
 @_query(
@@ -391,6 +496,15 @@ def gca_full(spark, d):
     return runs.gca(circular_sa.sorted_rotations(_customers(spark, d)))
 
 
+SERVED_RARE = f"{PARTS.replace('seqs AS', 'every AS')}, {RARE.replace('FROM seqs', 'FROM every')}, {sql.picks(3, 'm.low')}, seqs AS (SELECT e.* FROM every e JOIN masks USING (seq_id) WHERE mask & (SELECT max(have) FROM pick) > 0)"
+
+
+@_query("build_remainders", f"WITH RECURSIVE {SERVED_RARE}, {sql.ROTATIONS} SELECT pos, seq_id AS da, off AS gca FROM sorted_rows")
+def build_remainders(spark, d):
+    """One call with remainders chosen one after the other, through the parse to the complete array."""
+    return api.build(_parts(spark, d), w=W, p=P, trigger_mode="remainders", max_triggers=3, gca="full", starts=False, allow_filtered=True).gca
+
+
 _SAMPLES = "SELECT run_id, arg_min(seq_id, pos) AS start_da, arg_min(off, pos) AS start_gca, arg_max(seq_id, pos) AS end_da, arg_max(off, pos) AS end_gca FROM numbered GROUP BY run_id"
 
 

@@ -53,6 +53,44 @@ def ends(w: int, p: int, primes, remainders=(0,)) -> str:
     return ",".join(parts) + f",\nends AS ({union})"
 
 
+def ends_of_long(w: int, p: int, prime: int) -> str:
+    """After seqs: ends(seq_id, seq, len, e), for long sequences: a window's symbols are looked up in the rows before."""
+    code = "ascii(c)::BIGINT"
+    value = code if w == 1 else "lag(code, {}) OVER s".format(w - 1)
+    for j in range(w - 2, -1, -1):
+        value = f"({value} * 256 + {f'lag(code, {j}) OVER s' if j else 'code'}) % {prime}"
+    return f"""
+ring AS (SELECT seq_id, string_split(substr(seq, (length(seq) - {w} + 2)::INT) || seq, '') AS cs FROM seqs WHERE length(seq) >= {w}),
+codes AS (SELECT seq_id, i, {code} AS code FROM (SELECT seq_id, unnest(cs) AS c, unnest(range(0, len(cs))) AS i FROM ring)),
+long_h AS (SELECT seq_id, i - {w - 1} AS e, {value} AS hash FROM codes WINDOW s AS (PARTITION BY seq_id ORDER BY i)),
+ends AS (SELECT seq_id, seq, length(seq) AS len, e FROM long_h JOIN seqs USING (seq_id) WHERE e >= 0 AND hash % {p} = 0)"""
+
+
+def masks(w: int, p: int, primes) -> str:
+    """After seqs: masks(seq_id, mask), the primes that give a sequence a trigger, as bits."""
+    parts = ", ".join(hashes(w, q, f"h{i}") for i, q in enumerate(primes))
+    union = " UNION ALL ".join(f"SELECT seq_id, {1 << i}::BIGINT AS bit FROM h{i} WHERE hash % {p} = 0" for i in range(len(primes)))
+    return f"{parts}, hit AS (SELECT DISTINCT * FROM ({union})), masks AS (SELECT s.seq_id, coalesce(sum(bit), 0)::BIGINT AS mask FROM seqs s LEFT JOIN hit USING (seq_id) GROUP BY s.seq_id)"
+
+
+def remainder_masks(w: int, p: int, prime: int) -> str:
+    """After seqs: masks(seq_id, mask, low), the remainders of a sequence's windows, as bits, and the bit of its rarest."""
+    return f"""{hashes(w, prime)},
+hist AS (SELECT seq_id, hash % {p} AS r, count(*) AS n FROM h GROUP BY ALL),
+masks AS (SELECT seq_id, sum(1::BIGINT << r::INT)::BIGINT AS mask, 1::BIGINT << arg_min(r, n * 1000 + r)::INT AS low FROM hist GROUP BY seq_id)"""
+
+
+def picks(most: int, low: str = "m.mask & -m.mask") -> str:
+    """After masks: pick(nth, have, chosen): bit 0, then, for the first sequence that none chosen serves, its `low`; to be used WITH RECURSIVE."""
+    return f"""
+pick(nth, have, chosen) AS (
+  SELECT 0::BIGINT, 1::BIGINT, 0::BIGINT
+  UNION ALL
+  SELECT p.nth + 1, p.have | ({low}), log2(({low})::DOUBLE)::BIGINT
+  FROM pick p JOIN masks m ON m.seq_id = (SELECT min(x.seq_id) FROM masks x WHERE x.mask > 0 AND x.mask & p.have = 0)
+  WHERE p.nth < {most - 1})"""
+
+
 def phrases(w: int) -> str:
     """After ends: phrases(seq_id, idx, phrase, end_pos, len)."""
     return f"""

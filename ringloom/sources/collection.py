@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringloom.functions import ascii_upper, has_other_than_letters, has_reserved
-from ringloom.operators.ranking import row_numbers
+from ringloom.operators.ranking import row_numbers, sums_before
 
 
 def cleaned(text: Column, mode: str = "bytes") -> Column:
@@ -39,11 +39,9 @@ def check_strict(seqs: DataFrame, letters: bool = False) -> DataFrame:
 
 
 def with_starts(seqs: DataFrame, block: int = 1 << 16) -> DataFrame:
-    """(seq_id, start_pos, length): where each sequence starts in the concatenation. Sums run within blocks of seq_id; only block totals, one row a block, are summed in one place."""
+    """(seq_id, start_pos, length): where each sequence starts in the concatenation. Sums run within blocks of seq_id, then over one row a block."""
     rows = seqs.select("seq_id", F.length("seq").cast("long").alias("length"), F.floor(F.col("seq_id") / block).alias("_block"))
-    totals = rows.groupBy("_block").agg(F.sum("length").alias("_n"))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    offsets = sums_before(rows.groupBy("_block").agg(F.sum("length").alias("_n")), "_block", "_n", "_before")
     own = F.sum("length").over(Window.partitionBy("_block").orderBy("seq_id")) - F.col("length")
     return rows.withColumn("_own", own).join(offsets, "_block").select(
         "seq_id", (F.col("_own") + F.col("_before")).alias("start_pos"), "length"

@@ -30,7 +30,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str, mode: str = "bytes") -> DataFrame:
-    """Records of FASTA files: a `>` line names a record, the lines after it are its sequence.."""
+    """Records of FASTA files: a `>` line names a record, the lines after it are its sequence."""
     records = spark.read.text(path, lineSep="\n>")
     rows = records.select(
         F.col("_metadata.file_path").alias("file"),
@@ -119,9 +119,8 @@ def read_fastq(spark: SparkSession, path: str, mode: str = "bytes") -> tuple[Dat
 
 
 def read_with_broken(spark: SparkSession, path: str, mode: str = "bytes") -> tuple[DataFrame, DataFrame | None]:
-    """FASTA or FASTQ by the first character of the first file; compressed files by their extension. With them, the broken records of FASTQ (file, record, reason), or None."""
-    first = spark.read.text(path).filter("value <> ''").first()
-    if first is not None and first.value.startswith("@"):
+    """FASTA, FASTQ, or files with records of both: if any line starts with `@`, which none does in FASTA, records are scanned as read_fastq() does. Compressed files are told by their extension. With them, the broken records of FASTQ (file, record, reason), or None."""
+    if spark.read.text(path).filter(F.startswith("value", F.lit("@"))).limit(1).count():
         return read_fastq(spark, path, mode)
     return read_fasta(spark, path, mode), None
 
