@@ -14,7 +14,7 @@ from ringloom.llm.common import drop_table, lean_batches, settle
 from ringloom.llm.tokens import chained, word_hashes
 
 #: Bytes of text in a block of documents (a row counts ROW_BYTES more), and blocks a bucket of n-grams: neither a block nor a bucket grows with the input.
-BLOCK_BYTES, ROW_BYTES, BLOCKS_A_BUCKET = 8 << 20, 16, 2
+BLOCK_BYTES, ROW_BYTES, BLOCKS_A_BUCKET = 4 << 20, 16, 2
 #: How many observations the uniform estimate weighs in that of a word, and the estimate of a word in that of a pair.
 UNIFORM, SINGLE = 1000.0, 10.0
 #: The two lowest bits of an n-gram's hash tell its length.
