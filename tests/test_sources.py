@@ -62,3 +62,26 @@ def test_fastq_is_framed_by_its_lines(spark, tmp_path, caplog):
         read_sequences(spark, str(path), strict=True)
     read_sequences(spark, str(path))
     assert "2 quality length" in caplog.text
+
+
+def test_fasta_records_cross_splits(spark, tmp_path):
+    rows = [(f"r{i}", "ACGT" * (i % 40 + 1)) for i in range(400)]
+    (tmp_path / "x.fa").write_text("".join(f">{n} c\n{s[:30]}\n{s[30:]}\n" for n, s in rows))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = [(r.name, r.seq) for r in sorted(read_sequences(spark, str(tmp_path / "x.fa")).collect())]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == rows
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from ringloom.operators.durable import shared_dir
+
+    conf = SimpleNamespace(get=lambda key, default: default)
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(sparkContext=context, conf=conf))

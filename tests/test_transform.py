@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from ringloom.operators import circular_sa, conjugates, inverse, merge, phrases, runs, triggers
+from ringloom.operators import circular_sa, conjugates, inverse, merge, phrases, ranking, runs, triggers
 from ringloom.functions import PHRASE_PRIME, PLAIN_PRIME, PRIMES, REMAINDER_PRIME, border, is_primitive, string_hash
 from ringloom.plans import api
 from pyspark.sql import functions as F
@@ -175,3 +175,69 @@ def test_samples(spark):
             last = b
         got = [list(r)[1:] for r in sorted(runs.samples(rows, split, 4).collect())]
         assert got == want
+
+
+def test_chunks_make_no_difference(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ABC") for _ in range(n)) for n in (1, 2, 3, 7, 8, 9, 16, 17, 40)] + ["é漢A\U0001f600B" * 3]
+    seqs = collection(spark, texts)
+    for around in (True, False):
+        want = []
+        for i, s in enumerate(texts):
+            for o in range(len(s)):
+                ring = (s[o:] + s * 8)[:8] if around else s[o : o + 8]
+                want.append((i, o, len(s), ring, s[o - 1] if o or around else ""))
+        for chunk in (3, 8, 1 << 16):
+            assert sorted(map(tuple, circular_sa.characters(seqs, 8, around, chunk).collect())) == want
+    rows = circular_sa.sorted_rotations(seqs).cache()
+    for chunk in (4, 1 << 16):
+        symbols = rows.select("seq_id", F.when(F.col("off") == 0, 1 << 62).otherwise(F.col("off")).alias("place"), "bwt")
+        assert sorted(map(tuple, inverse._joined(symbols, "seq_id", chunk).collect())) == list(enumerate(texts))
+
+
+def test_suffixes_without_spelling_them(spark):
+    rng = random.Random(12)
+    words = sorted({"".join(rng.choice("AB") for _ in range(rng.randint(4, 30))) for _ in range(25)} | {"ABAB" * 6})
+    table = spark.createDataFrame([(i + 1, p, 1 + i % 3) for i, p in enumerate(words)], "rank long, phrase string, occ long")
+    got = merge.placed_suffixes(table, 4).collect()
+    rows = [(i + 1, o, p[o:], p[o - 1]) for i, p in enumerate(words) for o in range(1, len(p) - 3)]
+    assert {(r.rank, r.off, r.suffix_len, r.bwt, r.occ) for r in got} == {(r, o, len(s), b, 1 + (r - 1) % 3) for r, o, s, b in rows}
+    group = {(r.rank, r.off): r.group for r in got}
+    spelt = sorted((s, group[r, o]) for r, o, s, _ in rows)
+    assert [g for _, g in spelt] == sorted(group.values())
+    assert len(set(spelt)) == len({s for s, _ in spelt}) == len({g for _, g in spelt})
+
+
+def test_long_sequences_in_small_memory(spark):
+    rng = random.Random(13)
+    text = "".join(rng.choices("ACGT", k=2_000_000))
+    seqs = collection(spark, [text, "ACGT" * 5])
+    found = phrases.phrases(seqs, 10, 100).filter("seq_id = 0")
+    k, total = found.agg(F.count("*"), F.sum(F.length("phrase") - 10)).first()
+    assert total == len(text) and 15_000 < k < 25_000
+    chars = circular_sa.characters(seqs)
+    assert chars.filter("seq_id = 0").agg(F.count("*"), F.max("idx"), F.sum(F.length("window"))).first() == (len(text), len(text) - 1, 8 * len(text))
+
+
+def test_hashes_agree_outside_ascii(spark):
+    seqs = collection(spark, ["ABCD漢", "ééééé", "A\U0001f600BCDE", "ABCDEFGHIJKL"])
+    for w in (4, 5, 6):
+        plain = sorted(map(tuple, triggers.window_hashes_sql(seqs, w).collect()))
+        assert plain == sorted(map(tuple, triggers.window_hashes(seqs, w).collect())) and plain
+        for i, s in enumerate(["ABCD漢", "ééééé"]):
+            for e in range(len(s)) if len(s) >= w else ():
+                h = 0
+                for c in (s + s)[(e - w + 1) % len(s) :][:w]:
+                    h = (h * 256 + ord(c)) % PLAIN_PRIME
+                assert (i, e, h) in plain
+
+
+def test_sums_before(spark):
+    rng = random.Random(14)
+    rows = sorted({rng.randint(0, 500): rng.randint(0, 9) for _ in range(90)}.items())
+    table = spark.createDataFrame(rows, "k long, n long")
+    for level in (7, 1 << 16):
+        got = sorted(map(tuple, ranking.sums_before(table, "k", "n", "b", level).collect()))
+        assert got == [(k, sum(n for x, n in rows if x < k)) for k, _ in rows]
+    assert ranking.row_numbers(table.limit(0), ["k"], "nth").count() == 0
+    assert [r.nth for r in sorted(ranking.row_numbers(table, ["k"], "nth", 5).collect())] == list(range(5, 5 + len(rows)))
