@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
-import zlib
 from collections.abc import Iterator
-from itertools import chain, groupby
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringloom.llm.common import lean_batches, settle
-from ringloom.llm.tokens import chained
+from ringloom.llm.tokens import chained, word_hashes
 
 #: Rows of labels of this fold of FOLDS are never looked at when fitting.
 FOLDS, HELD_OUT = 5, 0
@@ -36,68 +35,74 @@ def fold(doc_id: Column) -> Column:
 # ---- features ----
 
 
-def _class(c: str) -> str:
+def kind_of(c: str) -> str:
+    """The class of a character: upper-case and other letters, digits, each ASCII character that is neither, and others by category."""
     if c.isalpha():
         return "U" if c.isupper() else "l"
     return "0" if c.isdigit() else c if c.isascii() else unicodedata.category(c)[0]
 
 
-def shape(word: str) -> str:
-    """The classes of a word's characters, runs of one class as one: `THE!!` is `U!`."""
-    return "".join(k for k, _ in groupby(map(_class, word)))
+def shape_bucket(kinds: str) -> int:
+    """The bucket of a word's shape, the classes of its characters with runs of one class as one: `THE!!` is `U!`."""
+    shape = [k for k, _ in groupby(kinds)]
+    return int(sum(int(_AT[ord(k), min(i, PLACES - 1)]) for i, k in enumerate(shape)) % 2**64 % SHAPES)
 
 
-class Featurizer:
-    """Features of whole texts: how often each word shape occurs, and ratios of length, case, digits, symbols and repetition. What is known of words is kept, up to a bound, from one batch to the next."""
+#: Classes are told by the code of the character that names them; a shape's places beyond the last of PLACES count as that one.
+PLACES = 64
+_AT = np.random.default_rng(20260102).integers(0, 2**63, (128, PLACES), np.uint64)
+
 
-    MOST = 300_000
+class Featurizer:
+    """Features of whole texts: how often each word shape occurs, and ratios of length, case, digits, symbols and repetition, worked out for a column of texts at once. Words are runs of anything but ASCII white space; for repetition, A-Z count as a-z. The classes of characters seen so far are kept."""
 
     def __init__(self) -> None:
-        self._forget()
-
-    def _forget(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.known = np.zeros((1024, 5), np.int64)
-
-    def _learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.at]
-        if len(self.at) + len(new) > len(self.known):
-            self.known = np.concatenate([self.known, np.zeros((max(len(self.known), len(new)), 5), np.int64)])
-        for word in new:
-            w = word.decode("utf-8", "replace")
-            letters, digits = sum(c.isalpha() for c in w), sum(c.isdigit() for c in w)
-            kind = zlib.crc32(shape(w).encode()) % SHAPES
-            self.known[len(self.at)] = kind, len(w), sum(c.isupper() for c in w), digits, len(w) - letters - digits
-            self.at[word] = len(self.at)
-
-    def __call__(self, texts: list[str | None]) -> np.ndarray:
-        """A row of features for each text."""
-        if len(self.at) > self.MOST:
-            self._forget()
-        # on bytes, split() knows ASCII white space only
-        found = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        self._learn(set(chain.from_iterable(found)))
-        n = np.array([len(f) for f in found], np.int64)
-        rows, some, count = len(n), np.maximum(n, 1), lambda row, w=None: np.bincount(row, w, len(texts))
-        ids = np.fromiter(map(self.at.__getitem__, chain.from_iterable(found)), np.int64, int(n.sum()))
+        self.kind = np.zeros(0x110000, np.uint8)
+
+    def _kinds(self, codes: np.ndarray) -> np.ndarray:
+        out = self.kind[codes]
+        if not out.all():
+            for c in np.unique(codes[out == 0]).tolist():
+                self.kind[c] = ord(kind_of(chr(c)))
+            out = self.kind[codes]
+        return out
+
+    def __call__(self, column: pa.Array) -> np.ndarray:
+        """A row of features for each text; a null text counts as an empty one."""
+        texts, rows = [t or "" for t in column.to_pylist()], len(column)
+        hashes, n = word_hashes(column)
+        some, count = np.maximum(n, 1), lambda row, w=None: np.bincount(row, w, rows)
         row = np.repeat(np.arange(rows), n)
-        kind, chars, upper, digits, symbols = self.known[ids].T
+        codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "replace"), "<u4")
+        kinds = self._kinds(codes)
+        space = (codes == 0x20) | ((codes >= 0x09) & (codes <= 0x0D))
+        edge = np.flatnonzero(np.diff(space, prepend=True))
+        start, stop = edge[0::2], edge[1::2]
+        chars = stop - start
+        upto = lambda flag: np.concatenate([[0], np.cumsum(flag)])
+        within = lambda flag: (u := upto(flag))[stop] - u[start]
+        upper, digits, letters = (within(kinds == ord(k)) for k in "U0l")
+        new = np.diff(kinds, prepend=0) != 0
+        new[start] = True
+        new &= ~space
+        turns = np.flatnonzero(new)
+        first = np.searchsorted(turns, start)
+        place = np.arange(len(turns)) - np.repeat(first, np.diff(np.append(first, len(turns))))
+        shape = np.add.reduceat(_AT[kinds[turns], np.minimum(place, PLACES - 1)], first) if len(first) else np.zeros(0, np.uint64)
+        kind = (shape % np.uint64(SHAPES)).astype(np.int64)
         out = np.zeros((rows, FEATURES))
         out[:, :SHAPES] = np.sqrt(np.bincount(row * SHAPES + kind, minlength=rows * SHAPES).reshape(rows, SHAPES) / some[:, None])
         total = np.maximum(count(row, chars), 1)
         mean = total / some
         spread = np.sqrt(np.maximum(count(row, chars**2) / some - mean**2, 0))
-        distinct = count(np.unique(row << 40 | ids) >> 40)
-        again = count(row[1:][(ids[1:] == ids[:-1]) & (row[1:] == row[:-1])])
+        own = chained(row.astype(np.uint64), hashes)
         at = np.flatnonzero(row[2:] == row[:-2])
-        word = ids.astype(np.uint64)
-        triples = chained(chained(chained(row[at].astype(np.uint64), word[at]), word[at + 1]), word[at + 2])
-        _, first = np.unique(triples, return_index=True)
-        lines = [[x for x in (t or "").split("\n") if x] for t in texts]
+        lines = [[x for x in t.split("\n") if x] for t in texts]
         n_lines = np.array([len(x) for x in lines], np.int64)
         others = [
-            n == 0, np.log1p(n), np.log1p(mean), np.log1p(spread), count(row, upper) / total, count(row, digits) / total, count(row, symbols) / total,
-            distinct / np.sqrt(some), again / np.maximum(n - 1, 1), np.where(n > 2, count(row[at[first]]) / np.maximum(n - 2, 1), 1.0),
+            n == 0, np.log1p(n), np.log1p(mean), np.log1p(spread), count(row, upper) / total, count(row, digits) / total, count(row, chars - upper - digits - letters) / total,
+            _distinct(own, row, rows) / np.sqrt(some), count(row[1:][own[1:] == own[:-1]]) / np.maximum(n - 1, 1),
+            np.where(n > 2, _distinct(chained(chained(own[at], hashes[at + 1]), hashes[at + 2]), row[at], rows) / np.maximum(n - 2, 1), 1.0),
             np.array([len(set(x)) for x in lines]) / np.maximum(n_lines, 1), np.log1p(n_lines) - np.log1p(n),
         ]
         out[:, SHAPES:] = np.stack(others, axis=1).reshape(rows, OTHERS)
@@ -105,10 +110,16 @@ class Featurizer:
         return out.astype("<f4")
 
 
+def _distinct(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """How many different values each row has; no value is in two rows."""
+    _, first = np.unique(values, return_index=True)
+    return np.bincount(row[first], minlength=rows)
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     featurizer = Featurizer()
     for batch in batches:
-        found = featurizer(batch.column("text").to_pylist())
+        found = featurizer(batch.column("text"))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "features"])
 
 
