@@ -20,7 +20,9 @@ CUT = 0.3
 #: Buckets of word shapes, and the other features of a text.
 SHAPES, OTHERS = 192, 12
 FEATURES = SHAPES + OTHERS
-STEPS, RATE, PENALTY = 2000, 0.02, 2e-3
+STEPS, RATE = 2000, 0.02
+#: The penalty on squared weights, and what few documents add to it: so much over their number.
+PENALTY, PENALTY_OF_FEW = 2e-3, 30.0
 #: The class prior is the least ratio of unlabelled to positive documents above a score that at least this share of the positive ones reach; scores are told in so many bins over [-REACH, REACH].
 LEAST_TAIL, BINS, REACH = 0.5, 2048, 4.0
 #: A linear score of -0.4 stands for a probability of (1 - 0.4) / 2 = 0.3, and so it does after squashing with this slope.
@@ -140,14 +142,14 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
 class Moments:
     """The mean of [1, x][1, x]ᵀ over a set of documents: all that the risk of a linear score depends on under the squared loss."""
 
-    def __init__(self, mean: np.ndarray) -> None:
-        self.mean = mean
+    def __init__(self, mean: np.ndarray, n: float = np.inf) -> None:
+        self.mean, self.n = mean, n
 
     def under(self, shift: np.ndarray, scale: np.ndarray) -> Moments:
         """Those of (x - shift) / scale."""
         t = np.diag(np.concatenate([[1.0], 1 / scale]))
         t[1:, 0] = -shift / scale
-        return Moments(t @ self.mean @ t.T)
+        return Moments(t @ self.mean @ t.T, self.n)
 
     def loss(self, w: np.ndarray, y: int) -> tuple[float, np.ndarray]:
         """The mean of (w [1, x] - y)² / 4, and its gradient."""
@@ -182,12 +184,12 @@ def fit(positive: Moments, unlabelled: Moments, prior: float) -> Model:
     shift = unlabelled.mean[0, 1:]
     scale = np.maximum(np.sqrt(np.maximum(unlabelled.mean.diagonal()[1:] - shift**2, 0)), 0.02)
     p, u = positive.under(shift, scale), unlabelled.under(shift, scale)
-    w = np.zeros(len(p.mean))
+    w, penalty = np.zeros(len(p.mean)), PENALTY + PENALTY_OF_FEW / u.n
     m, v = np.zeros(len(w)), np.zeros(len(w))
     for step in range(1, STEPS + 1):
         up = u.loss(w, -1)[1] - prior * p.loss(w, -1)[1]
         gradient = prior * p.loss(w, 1)[1] + up if risk(w, p, u, prior)[1] >= 0 else -up
-        gradient[1:] += PENALTY * w[1:]
+        gradient[1:] += penalty * w[1:]
         m = 0.9 * m + 0.1 * gradient
         v = 0.999 * v + 0.001 * gradient**2
         w = w - RATE * (1 - step / (STEPS + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -231,7 +233,7 @@ def moments(rows: DataFrame) -> tuple[Moments, Moments, int]:
     total = {k: np.zeros((FEATURES + 1, FEATURES + 1)) for k in (False, True)}
     for r in added.collect():
         total[r.positive][r.part] = np.frombuffer(r.sums, "<f8")
-    return *(Moments(total[k] / max(1.0, total[k][0, 0])) for k in (True, False)), int(total[True][0, 0])
+    return *(Moments(total[k] / max(1.0, total[k][0, 0]), max(1.0, total[k][0, 0])) for k in (True, False)), int(total[True][0, 0])
 
 
 def _binned(weights):
