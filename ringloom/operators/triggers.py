@@ -15,6 +15,7 @@ from ringloom.operators.durable import settle
 
 def ring_hashes(codes: np.ndarray, w: int, prime: int) -> np.ndarray:
     """Hash of the window of w symbols that ends at each place, around the sequence, over all places at once, three symbols a step."""
+    codes = codes.astype(np.int64)
     three = (np.roll(codes, 2) * 256 + np.roll(codes, 1)) * 256 + codes
     h = np.zeros(len(codes), np.int64)
     for j in range(w - 1, w - 1 - w % 3, -1):
@@ -26,7 +27,7 @@ def ring_hashes(codes: np.ndarray, w: int, prime: int) -> np.ndarray:
 
 def codes_of(seq: str) -> np.ndarray:
     """A sequence's symbols by code point."""
-    return np.frombuffer(seq.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    return np.frombuffer(seq.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
 def window_hashes_sql(seqs: DataFrame, w: int, prime: int = PLAIN_PRIME) -> DataFrame:
@@ -59,12 +60,19 @@ def trigger_positions(seqs: DataFrame, w: int, p: int, primes=(PLAIN_PRIME,), re
     return seqs.select("seq_id", "seq").mapInArrow(_ends(w, p, tuple(primes), tuple(remainders)), "seq_id long, end_pos long")
 
 
+#: Symbols that are hashed at once, so that memory follows a sequence's length by 5 bytes a symbol only.
+PIECE = 1 << 20
+
+
 def trigger_mask(codes: np.ndarray, w: int, p: int, primes, remainders) -> np.ndarray:
-    hit = np.zeros(len(codes), bool)
-    if len(codes) >= w:
+    """Which places end a window that is a trigger."""
+    n = len(codes)
+    hit = np.zeros(n, bool)
+    for at in range(0, n if n >= w else 0, PIECE):
+        part = codes.take(np.arange(at - w + 1, min(n, at + PIECE)), mode="wrap")
         for prime in primes:
-            rest = ring_hashes(codes, w, prime) % p
-            hit |= rest == remainders[0] if len(remainders) == 1 else np.isin(rest, remainders)
+            rest = ring_hashes(part, w, prime)[w - 1 :] % p
+            hit[at : at + PIECE] |= rest == remainders[0] if len(remainders) == 1 else np.isin(rest, remainders)
     return hit
 
 

@@ -232,6 +232,19 @@ def test_hashes_agree_outside_ascii(spark):
                 assert (i, e, h) in plain
 
 
+def test_pieces_of_a_sequence_make_no_difference():
+    codes = triggers.codes_of("".join(random.Random(15).choices("ABCDE", k=500)))
+    whole = triggers.trigger_mask(codes, 7, 11, PRIMES[:2], (0, 4))
+    assert whole.any()
+    assert all(hit for h, hit in zip(triggers.ring_hashes(codes, 7, PRIMES[0]), whole) if h % 11 in (0, 4))
+    old, triggers.PIECE = triggers.PIECE, 13
+    try:
+        assert (triggers.trigger_mask(codes, 7, 11, PRIMES[:2], (0, 4)) == whole).all()
+        assert not triggers.trigger_mask(codes[:6], 7, 1, PRIMES[:1], (0,)).any()
+    finally:
+        triggers.PIECE = old
+
+
 def test_sums_before(spark):
     rng = random.Random(14)
     rows = sorted({rng.randint(0, 500): rng.randint(0, 9) for _ in range(90)}.items())
