@@ -328,7 +328,7 @@ def archived(pages: DataFrame) -> DataFrame:
 
     The files stay in the shared folder, as read_warc() reads them whenever its rows are asked for.
 
-    A null html is an empty payload, a null url `urn:none`, and a null page_id a response without one; texts of any length stay whole; rows that repeat a page_id and html are responses both if the id is the smallest of its payload; an empty table gives no rows; other columns are not read.
+    A null html is an empty payload, a null url `urn:none`, and a null page_id a response without one; texts of any length stay whole; rows that repeat a page_id and html are responses both if the id is the smallest of its payload; an empty table gives no rows; other columns are not read. Sets the session's Arrow batches to 8 MB.
     """
     spark = pages.sparkSession
     lean_batches(spark)
