@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,21 +23,26 @@ BLOCK, SHORT = 512, 12
 _KEYS = ("key", "i", "j")
 
 
-@lru_cache(4)
-def _hashing(dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rng = np.random.default_rng([SEED, dim])
-    a = rng.standard_normal((dim, TABLES * PROJECTIONS))
-    b = rng.uniform(0, CELL, TABLES * PROJECTIONS)
-    odd = rng.integers(0, 2**63, (TABLES, PROJECTIONS), dtype=np.int64).astype(np.uint64) | np.uint64(1)
-    return a, b, odd
+class Hashing:
+    """Names, of 64 bits, of a label and bucket for each unit vector and table; what is drawn for a length of vectors is kept."""
 
+    def __init__(self) -> None:
+        self.drawn: dict[int, tuple] = {}
 
-def signatures(unit: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """A 64-bit name of a label and bucket for each unit vector and table."""
-    a, b, odd = _hashing(unit.shape[1])
-    cells = np.floor((unit @ a + b) / CELL).astype(np.int64).astype(np.uint64).reshape(len(unit), TABLES, PROJECTIONS)
-    table = np.arange(TABLES, dtype=np.uint64) * MIX[0]
-    return mixed(mixed((cells * odd).sum(axis=2, dtype=np.uint64) + table) + label.view(np.uint64)[:, None] * MIX[2]).view(np.int64)
+    def _draw(self, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if dim not in self.drawn:
+            rng = np.random.default_rng([SEED, dim])
+            a = rng.standard_normal((dim, TABLES * PROJECTIONS))
+            b = rng.uniform(0, CELL, TABLES * PROJECTIONS)
+            odd = rng.integers(0, 2**63, (TABLES, PROJECTIONS), dtype=np.int64).astype(np.uint64) | np.uint64(1)
+            self.drawn[dim] = a, b, odd
+        return self.drawn[dim]
+
+    def __call__(self, unit: np.ndarray, label: np.ndarray) -> np.ndarray:
+        a, b, odd = self._draw(unit.shape[1])
+        cells = np.floor((unit @ a + b) / CELL).astype(np.int64).astype(np.uint64).reshape(len(unit), TABLES, PROJECTIONS)
+        table = np.arange(TABLES, dtype=np.uint64) * MIX[0]
+        return mixed(mixed((cells * odd).sum(axis=2, dtype=np.uint64) + table) + label.view(np.uint64)[:, None] * MIX[2]).view(np.int64)
 
 
 def units(vectors: list[bytes], kind: str) -> np.ndarray:
@@ -71,6 +75,7 @@ def _spread(kind: str):
     """A row for each vector and table."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signatures = Hashing()
         for batch in batches:
             vec, label, vectors = batch.column("vec").to_numpy(), batch.column("label").to_numpy(), batch.column("vector").to_pylist()
             for at in _by_length(vectors):
@@ -83,6 +88,7 @@ def _spread(kind: str):
 
 def _compare(least: float, kind: str):
     """Of rows sorted by bucket and pair of blocks: links, the sum of copies of what a vector is linked with, and a smaller vector that it is connected with."""
+    signatures = Hashing()
 
     def told(cols: dict, a: np.ndarray, b: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Those of the linked rows `a` and `b` of one bucket that no earlier table brings together."""

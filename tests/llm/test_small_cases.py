@@ -437,11 +437,11 @@ def test_recall_by_cosine(cosine, least):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     other -= (other * x).sum(axis=1, keepdims=True) * x
     y = cosine * x + np.sqrt(1 - cosine**2) * other / np.linalg.norm(other, axis=1, keepdims=True)
-    label = np.zeros(len(x), np.int64)
-    met = (embeddings.signatures(x, label) == embeddings.signatures(y, label)).any(axis=1)
+    label, signatures = np.zeros(len(x), np.int64), embeddings.Hashing()
+    met = (signatures(x, label) == signatures(y, label)).any(axis=1)
     assert met.mean() >= least
-    apart = embeddings.signatures(other / np.linalg.norm(other, axis=1, keepdims=True), label)
-    assert (embeddings.signatures(x, label) == apart).any(axis=1).mean() < 0.003
+    apart = signatures(other / np.linalg.norm(other, axis=1, keepdims=True), label)
+    assert (signatures(x, label) == apart).any(axis=1).mean() < 0.003
 
 
 # ---- secrets ----
@@ -751,3 +751,21 @@ def test_open_entries_are_a_row_each(spark):
     assert urls.intervals(events).filter("stop IS NULL").count() == 100_000
     captures = spark.createDataFrame([(1, "http://d5.com", 10**6), (2, "http://x.d99999.com", 99_998), (3, "http://x.d99999.com", 99_999)], "page_id long, url string, day long")
     assert {r.page_id: r.verdict for r in urls.evaluate(captures, events).collect()} == {1: "drop", 2: "keep", 3: "drop"}
+
+
+def test_functions_travel_whole(tmp_path):
+    """What runs on executors doesn't need the package there."""
+    import subprocess
+    import sys
+    from importlib import import_module
+
+    from pyspark import cloudpickle
+
+    given = []
+    for name in ("archives", "classifier", "common", "embeddings", "losses", "mixing", "pieces", "quality", "secrets", "shingles", "tokens", "urls"):
+        module = import_module(f"ringloom.llm.{name}")
+        given += [v for v in vars(module).values() if callable(v) and getattr(v, "__module__", None) == module.__name__]
+    (tmp_path / "given").write_bytes(cloudpickle.dumps(given))
+    code = "import sys; from pyspark import cloudpickle; print(len(cloudpickle.load(open(sys.argv[1], 'rb'))))"
+    told = subprocess.run([sys.executable, "-c", code, str(tmp_path / "given")], cwd=tmp_path, capture_output=True, text=True, check=True)
+    assert int(told.stdout) == len(given) > 100
