@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringloom.functions import PLAIN_PRIME, PRIMES, REMAINDER_PRIME, SHORT_PRIMES, border, is_primitive, packed_int, phrase_hash
+from ringloom.functions import PLAIN_PRIME, PRIMES, REMAINDER_PRIME, SHORT_PRIMES, is_primitive, packed_int, phrase_hash
 from ringloom.operators import circular_sa, conjugates, inverse, merge, phrases, runs, triggers
+from ringloom.operators.borders import borders as borders_of
 from ringloom.operators.durable import new_path, settle
 from ringloom.operators.ranking import row_numbers
 from ringloom.plans import api, sql
@@ -95,7 +96,7 @@ def nonprimitive_filter(spark, d):
         SELECT seq_id, max(n)::BIGINT AS border FROM b WHERE substr(seq, 1, n::INT) = substr(seq, (length(seq) - n + 1)::INT, n::INT) GROUP BY seq_id""",
 )
 def borders(spark, d):
-    return _parts(spark, d).select("seq_id", border(F.col("seq")).cast("long").alias("border"))
+    return borders_of(_parts(spark, d))
 
 
 # ---- files and stored relations ----

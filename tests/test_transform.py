@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from ringloom.operators import circular_sa, conjugates, inverse, merge, phrases, ranking, runs, triggers
+from ringloom.operators import borders, circular_sa, conjugates, inverse, merge, phrases, ranking, runs, triggers
 from ringloom.functions import PHRASE_PRIME, PLAIN_PRIME, PRIMES, REMAINDER_PRIME, border, is_primitive, string_hash
 from ringloom.plans import api
 from pyspark.sql import functions as F
@@ -101,6 +101,15 @@ def test_primitive_and_border(spark):
         assert (r.ip, r.ib) == (r.p, r.b), r.s
 
 
+def test_borders_of_any_length(spark):
+    rng = random.Random(16)
+    texts = ["A", "AB", "AA", "ABABA", "é漢é漢"] + ["".join(rng.choice("AB") for _ in range(rng.randint(1, 14))) for _ in range(60)]
+    want = [max(k for k in range(len(s)) if s[:k] == s[len(s) - k :]) for s in texts]
+    assert [r.border for r in sorted(borders.borders(collection(spark, texts)).collect())] == want
+    half = "".join(rng.choice("ACGT") for _ in range(150_000))
+    assert borders.longest_border(triggers.codes_of(half + "N" + half)) == 150_000
+
+
 def test_hashes(spark):
     known = {
         "ACGTACGTAC": (543011939, 1861354080, 9360338349508757),
