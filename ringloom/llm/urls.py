@@ -51,13 +51,14 @@ def evaluate(captures: DataFrame, events: DataFrame) -> DataFrame:
     touched = F.sequence(bucket(F.greatest("start", F.lit(first))), bucket(F.least(F.col("stop") - 1, F.lit(last))))
     entered = spans.select("list", "domain", "start", "stop", F.explode(F.when(F.col("stop").isNull(), F.array(F.lit(OPEN).cast("long"))).otherwise(touched)).alias("bucket"))
     domains = asked.select("host", "day", F.explode(domains_of(F.col("host"))).alias("domain"), F.array(F.lit(OPEN).cast("long"), bucket(F.col("day"))).alias("buckets"))
-    active = domains.select("host", "day", "domain", F.explode("buckets").alias("bucket")).join(entered, ["domain", "bucket"])
+    # merge joins: hosts and days take little room in files, and far more where they would be broadcast
+    active = domains.select("host", "day", "domain", F.explode("buckets").alias("bucket")).join(entered.hint("merge"), ["domain", "bucket"])
     active = active.filter("start <= day AND (stop IS NULL OR day < stop)")
     best = F.max(F.struct(F.length("domain").alias("length"), (F.col("list") == "allow").alias("allowed"), F.col("domain").alias("domain")))
     told = active.groupBy("host", "day").agg(F.count(F.lit(1)).alias("n"), best.alias("best")).select(
         F.col("host").alias("told_host"), F.col("day").alias("told_day"), "n", "best"
     )
-    out = rows.join(told, (F.col("host") == F.col("told_host")) & (F.col("day") == F.col("told_day")), "left")
+    out = rows.join(told.hint("merge"), (F.col("host") == F.col("told_host")) & (F.col("day") == F.col("told_day")), "left")
     return out.select(
         "page_id", "host", "day", F.coalesce("n", F.lit(0)).cast("long").alias("n_active"), F.col("best.domain").alias("matched"),
         F.when(F.col("best").isNotNull() & ~F.col("best.allowed"), "drop").otherwise("keep").alias("verdict"),
