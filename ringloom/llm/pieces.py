@@ -218,18 +218,20 @@ def _join(schema: pa.Schema):
 def encode(docs: DataFrame, columns=("doc_id",), model: str | None = None) -> DataFrame:
     """`columns` of each row of `docs`, with ids, the ids of its text, and decoded, the text that they decode to.
 
-    Rows are dealt to blocks of about BLOCK_BYTES of text, and travel packed. Each block sends its distinct marked words, parted by hash into shares, to the table of distinct words; there each word is segmented once, for all blocks, and its ids go back to the blocks that asked. A block then joins ids to the places of its words. A word that every document has is one row a block, so nothing grows with its count. Blocks follow doc_id (the text where that is null) and the partition that a row comes from, so rows that repeat don't all fall in one.
+    Rows are dealt to blocks of about BLOCK_BYTES of text, and travel packed. Each block sends its distinct marked words, parted by hash into shares, to the table of distinct words; there each word is segmented once, for all blocks, and its ids go back to the blocks that asked. A block then joins ids to the places of its words. A word that every document has is one row a block, so nothing grows with its count. A block is made of rows of one input partition, dealt by doc_id (the text where that is null), or of several small partitions; so it is made alike when a lost task is run again, its rows travel many at a time, and rows that repeat fall in as many blocks as partitions have them.
 
     A null text counts as an empty one and has no ids; texts of any length stay whole, each in one block; rows that repeat give rows that repeat; an empty table gives no rows; columns that aren't named are not read, but `columns` may not hold ids or decoded. Sets the session's Arrow batches to 8 MB.
     """
     lean_batches(docs.sparkSession)
     n = partitions(docs.sparkSession)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, shares = (max(n, -(-size // most)) for most in (BLOCK_BYTES, SHARE_BYTES))
+    parts = docs.select(F.spark_partition_id().alias("part"), F.octet_length("text").cast("long").alias("size")).groupBy("part").agg(F.sum("size").alias("size"))
+    n_parts, size, most = parts.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
+    together, split, shares = max(1, BLOCK_BYTES * n_parts // max(1, size)), max(1, -(-most // BLOCK_BYTES)), max(n, -(-size // SHARE_BYTES))
     model = model or default_model()
-    key = F.xxhash64(F.spark_partition_id(), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")))
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    block = F.floor(F.spark_partition_id() / F.lit(together)) * split + F.pmod(key, F.lit(split))
     given = docs.select(*columns)
-    held = docs.select(*columns, F.col("text").alias(fresh(given, "text")), F.pmod(key, F.lit(blocks)).cast("long").alias(fresh(given, "block")))
+    held = docs.select(*columns, F.col("text").alias(fresh(given, "text")), block.cast("long").alias(fresh(given, "block")))
     packed = held.mapInArrow(_pack, "block long, load binary").repartition(n, "block").sortWithinPartitions("block")
     asked = packed.mapInArrow(_distinct(shares), "share long, block long, keys binary").repartition(n, "share").sortWithinPartitions("share")
     told = asked.mapInArrow(_segment(model), "block long, keys binary, counts binary, ids binary, odd array<struct<key:string,back:string>>")
