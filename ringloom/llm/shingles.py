@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringloom.llm.common import components, drop_table, lean_batches, settle
+from ringloom.llm.common import components, drop_table, fresh, lean_batches, settle
 from ringloom.llm.tokens import MIX, mixed, word_hashes
 
 #: Words in a shingle, and the least Jaccard similarity of linked sets in 100.
@@ -542,8 +542,9 @@ def classes(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFram
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
     """The rows of `docs` without those whose component has a smaller doc_id; documents with no links, no words or no doc_id stay. Rows that repeat the doc_id that stays are all kept."""
-    found = classes(docs, width, least).filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = fresh(docs, "gone")
+    found = classes(docs, width, least).filter("component_id < doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(found, docs["doc_id"] == found[gone], "left_anti")
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
