@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringloom.llm.common import BATCH_BYTES, lean_batches, new_path
+from ringloom.llm.common import BATCH_BYTES, drop_table, lean_batches, new_path, settle
 
 #: Field names of an ARC record's header line, by the version that the archive's first record declares.
 ARC_FIELDS = {
@@ -52,9 +52,9 @@ def arc_head(version: int, name: str) -> bytes:
 
 
 #: The left part of a header line, up to the address and the date of 12 or 14 digits; a URL may hold blanks.
-_LEFT = re.compile(r"(?P<url>\S.*?) (?P<ip>[0-9A-Fa-f.:]+|-) (?P<date>\d{12}|\d{14}) (?P<kind>.*)")
-#: Header lines are no longer than this.
-LONGEST_LINE = 1 << 16
+_LEFT = re.compile(r"(?P<url>\S.*?) (?P<ip>[0-9A-Fa-f.:]+|-) (?P<date>\d{12}|\d{14}) (?P<kind>.*)", re.ASCII)
+#: A declared length, and a page id.
+_LENGTH, _ID = re.compile("[0-9]{1,18}"), re.compile("-?[0-9]{1,19}")
 
 
 def opened(content: bytes) -> BinaryIO:
@@ -62,12 +62,21 @@ def opened(content: bytes) -> BinaryIO:
     return gzip.GzipFile(fileobj=io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
 
 
+def taken(stream: BinaryIO, length: int) -> bytes:
+    """The next `length` bytes, or what is left; a length that no archive has asks for no more memory than its bytes."""
+    parts = []
+    while length and (part := stream.read(min(length, 1 << 20))):
+        parts.append(part)
+        length -= len(part)
+    return b"".join(parts)
+
+
 def header_fields(line: str, names: list[str]) -> dict | None:
     """The fields of a header line by `names`; null if it isn't one. What stands right of the content type has no blanks; the content type and the URL may have some."""
     right = len(names) - 1 - names.index("Content-type")
     left, *rest = line.rsplit(" ", right)
     found = _LEFT.fullmatch(left)
-    if found is None or len(rest) != right or not rest[-1].isdigit():
+    if found is None or len(rest) != right or not _LENGTH.fullmatch(rest[-1]):
         return None
     return dict(zip(names, [*found.groups(), *rest], strict=True))
 
@@ -75,13 +84,13 @@ def header_fields(line: str, names: list[str]) -> dict | None:
 def parse_arc(content: bytes) -> Iterator[tuple[int, dict | str, bytes, bool]]:
     """(byte, header fields by name, block, whether it is cut short) of each record after the first, which declares version and field names; and (byte, what is wrong, b"", False) where there is no record. Bytes are counted after decompression.
 
-    Blocks are taken by their declared length, so that nothing in them can look like a header. After lines that aren't a header, the next line that is one goes on; a run of such lines is told once. An archive is read as a stream, a record at a time.
+    Header lines have any length. Blocks are taken by their declared length, so that nothing in them can look like a header. A length that isn't 1 to 18 ASCII digits makes a line none. After lines that aren't a header, the next line that is one goes on; a run of such lines is told once. An archive is read as a stream, a record at a time.
     """
     stream = opened(content)
     names, lost = None, False
     at = 0
     try:
-        while line := stream.readline(LONGEST_LINE):
+        while line := stream.readline():
             start, at = at, at + len(line)
             text = line.decode("utf-8", "replace").strip("\r\n")
             if not text:
@@ -97,7 +106,7 @@ def parse_arc(content: bytes) -> Iterator[tuple[int, dict | str, bytes, bool]]:
                 lost = True
                 continue
             length = int(fields["Archive-length"])
-            block = stream.read(length)
+            block = taken(stream, length)
             at += len(block)
             lost = False
             if names is None:
@@ -159,15 +168,23 @@ def arc_date(digits: str) -> str:
         return NO_DATE
 
 
+def page_id(head: bytes) -> tuple[int | None, str | None]:
+    """(the page id that an HTTP head declares, if any; what is wrong with it). Ids are 64-bit numbers; of several, the last counts."""
+    page = wrong = None
+    for line in head.decode("latin-1").split("\r\n"):
+        key, _, value = line.partition(":")
+        if key.lower() == PAGE_HEADER.lower():
+            value = value.strip(" \t")
+            known = _ID.fullmatch(value) and -(2**63) <= int(value) < 2**63
+            page, wrong = (int(value), None) if known else (None, f"no page id: {value[:40]}")
+    return page, wrong
+
+
 def converted(fields: dict, block: bytes, cut: bool) -> tuple:
     """The parts of a WARC record that stand for an ARC record. Its identifier follows from URL, date and block alone, so conversions repeat."""
     head, gap, payload = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
     head += gap
-    page = None
-    for line in head.decode("latin-1").split("\r\n"):
-        key, _, value = line.partition(":")
-        if key.lower() == PAGE_HEADER.lower() and value.strip().lstrip("-").isdigit():
-            page = int(value)
+    page, _ = page_id(head)
     name = hashlib.sha256(f"{fields['URL']} {fields['Archive-date']} ".encode() + block).digest()
     record = f"<urn:uuid:{uuid.UUID(bytes=name[:16], version=5)}>"
     return record, fields["URL"], arc_date(fields["Archive-date"]), page, head, payload, len(payload), hashlib.sha256(payload).hexdigest(), cut
@@ -203,35 +220,37 @@ def _errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
             found = parse_arc(content.as_buffer().to_pybytes())
-            yield from _in_parts(((path, at, what) for at, what, _, _ in found if isinstance(what, str)), ERRORS)
+            yield from _in_parts(((path, at, wrong) for at, what, block, _ in found if (wrong := _wrong(what, block))), ERRORS)
+
+
+def _wrong(what: dict | str, block: bytes) -> str | None:
+    if isinstance(what, str):
+        return what
+    return page_id(block.partition(b"\r\n\r\n")[0])[1] if block.startswith(b"HTTP/") else None
 
 
 ERRORS = "path string, byte long, error string"
 
 
 def arc_errors(archives: DataFrame) -> DataFrame:
-    """Where ARC `archives` (path, content) have no record: path, byte (after decompression), error."""
+    """Where ARC `archives` (path, content) have no record, or one whose page id is none: path, byte (after decompression), error."""
     return archives.select("path", "content").mapInArrow(_errors, ERRORS)
 
 
 def arc_to_warc(archives: DataFrame) -> DataFrame:
     """The records of ARC `archives` (path, content), plain or gzip-compressed, with WARC identifiers, dates, types and digests: the columns of RECORD, record_type, and original, (page_id, record_id) of the record that a revisit refers to.
 
-    Of records with equal payloads of LEAST_REVISIT bytes or more, that with the smallest page_id is a response and the others revisit it; records without page_id are responses. Smallest ids go up as one row a digest, summed in part before the shuffle; a digest that a third of the records share is an ordinary skewed join.
+    Of records with equal payloads of LEAST_REVISIT bytes or more, that with the smallest page_id is a response and the others revisit it; records without page_id are responses. Archives are read once, into a table in the shared folder. Only digests and ids meet by digest, smallest ids as one row a digest, summed in part before the shuffle; a digest that a third of the records share is an ordinary skewed join of short rows. Payloads meet their verdicts by a number of their own, so evenly.
 
-    A date that is none becomes NO_DATE; a record that the archive cuts short is kept and marked; lines that are no header are passed over, up to the next that is one, and told by arc_errors(), as is broken compression, which ends its archive alone. An empty or headless archive has no records.
+    A date that is none becomes NO_DATE; a page id that is none, null; a record that the archive cuts short is kept and marked; lines that are no header are passed over, up to the next that is one. All that is told by arc_errors(), as is broken compression, which ends its archive alone. An empty or headless archive has no records.
     """
-    records = archives.select("content").mapInArrow(_convert, RECORD)
-    long = records.filter((F.col("payload_bytes") >= LEAST_REVISIT) & F.col("page_id").isNotNull())
+    records = settle(archives.select("content").mapInArrow(_convert, RECORD).withColumn("row", F.monotonically_increasing_id()), "records")
+    long = records.filter((F.col("payload_bytes") >= LEAST_REVISIT) & F.col("page_id").isNotNull()).select("payload_digest", "page_id", "record_id", "row")
     first = long.groupBy("payload_digest").agg(F.min(F.struct("page_id", "record_id")).alias("original"), F.count(F.lit(1)).alias("n"))
-    first = first.filter("n > 1").select(F.col("payload_digest").alias("first_digest"), "original")
-    told = records.join(
-        first, (F.col("payload_digest") == F.col("first_digest")) & (F.col("payload_bytes") >= LEAST_REVISIT), "left"
-    ).drop("first_digest")
-    again = F.coalesce(F.col("page_id") > F.col("original.page_id"), F.lit(False))
-    return told.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn(
-        "original", F.when(again, F.col("original"))
-    )
+    first = first.filter("n > 1").select("payload_digest", "original")
+    again = long.join(first, "payload_digest").filter(F.col("page_id") > F.col("original.page_id")).select("row", "original")
+    told = records.join(again, "row", "left").drop("row")
+    return told.withColumn("record_type", F.when(F.col("original").isNull(), "response").otherwise("revisit"))
 
 
 # ---- WARC ----
@@ -279,7 +298,7 @@ def write_warc(records: DataFrame, path: str, record_bytes: float = 16384) -> No
 def parse_warc(content: bytes) -> Iterator[tuple[dict, bytes]]:
     """(headers with lower-case names, block) of each record of plain or gzip-compressed bytes, blocks by their declared length. Read as a stream, a record at a time; anything but a whole record is an error."""
     stream = opened(content)
-    while line := stream.readline(LONGEST_LINE):
+    while line := stream.readline():
         if line in (b"\r\n", b"\n"):
             continue
         if not line.startswith(b"WARC/"):
@@ -287,9 +306,9 @@ def parse_warc(content: bytes) -> Iterator[tuple[dict, bytes]]:
         headers = {}
         while (line := stream.readline()).strip():
             key, _, value = line.decode("utf-8", "replace").partition(":")
-            headers[key.strip().lower()] = value.strip()
+            headers[key.strip().lower()] = value.strip(" \t\r\n")
         length = int(headers["content-length"])
-        block = stream.read(length)
+        block = taken(stream, length)
         if len(block) < length:
             raise ValueError(f"a WARC record is cut short at byte {stream.tell()}")
         yield headers, block
@@ -326,15 +345,19 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def archived(pages: DataFrame) -> DataFrame:
     """`pages` (page_id, url, html) through legacy archives and WARC files and back: the records that read_warc() finds.
 
-    The files stay in the shared folder, as read_warc() reads them whenever its rows are asked for.
+    The files stay in the shared folder, as read_warc() reads them whenever its rows are asked for. As many records as pages are converted, else it is an error.
 
-    A null html is an empty payload, a null url `urn:none`, and a null page_id a response without one; texts of any length stay whole; rows that repeat a page_id and html are responses both if the id is the smallest of its payload; an empty table gives no rows; other columns are not read. Sets the session's Arrow batches to 8 MB.
+    A null html is an empty payload, a null url `urn:none`, and a null page_id a response without one; texts and urls of any length stay whole (blanks and control characters of a url become %XX); rows that repeat a page_id and html are responses both if the id is the smallest of its payload; an empty table gives no rows; other columns are not read. Sets the session's Arrow batches to 8 MB.
     """
     spark = pages.sparkSession
     lean_batches(spark)
     path = new_path(spark, "warc")
-    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
-    write_warc(arc_to_warc(pages_to_arc(pages)), path, mean)
+    records = arc_to_warc(pages_to_arc(pages))
+    n, mean, given = *records.agg(F.count(F.lit(1)), F.avg("payload_bytes")).first(), pages.count()
+    if n != given:
+        raise ValueError(f"{given} pages made {n} records")
+    write_warc(records, path, mean or 0)
+    drop_table(records)
     return read_warc(spark, path)
 
 

@@ -368,6 +368,39 @@ def test_foreign_arc(spark):
     assert told["noise"] == [(0, "no first record")] and "empty" not in told
 
 
+def test_urls_of_any_length(spark):
+    """Every page comes back, with its whole url."""
+    urls_ = ["h" * n for n in (1, 65_509, 65_535, 65_536, 65_537, 70_000, 200_000)] + ["\u3000a\u00a0", "a\u0085b\u2028c", "\ud7ff\U0001f600 \x7f\x01", " ", "a - 202001010000 b 7"]
+    pages = spark.createDataFrame([(i, u, "p" * i) for i, u in enumerate(urls_)] + [(2**63 - 1, "top", "t"), (-(2**63), "low", "l")], "page_id long, url string, html string").repartition(2)
+    got = {r.page_id: r for r in archives.archived(pages).collect()}
+    assert got.keys() == {*range(len(urls_)), 2**63 - 1, -(2**63)}
+    for i, u in enumerate(urls_):
+        assert got[i].url == "".join(c if c > " " else f"%{ord(c):02X}" for c in u) and got[i].payload == b"p" * i
+
+
+def test_odd_lengths_and_ids(spark):
+    def record(length, head=b""):
+        block = b"HTTP/1.1 200 OK\r\n" + head + b"\r\nbody"
+        return f"http://a/{length} 1.2.3.4 20210203040506 text/html {length or len(block)}\n".encode() + block + b"\n"
+
+    ids = ["--5", "\u00b2\u00b2", "9" * 20, str(2**63), "", "7 7", "-12", str(2**63 - 1)]
+    lengths = ["9" * 23, "9" * 19, "\u00b2", "\u0663", "-1", "1e3"]
+    content = archives.arc_head(1, "n") + b"".join(record(x) for x in lengths) + b"".join(record(0, f"X-Page-Id: {x}\r\n".encode()) for x in ids) + record("9" * 18)
+    table = spark.createDataFrame([("x", bytearray(content))], "path string, content binary")
+    records = archives.arc_to_warc(table).collect()
+    assert [r.page_id for r in records] == [None] * 6 + [-12, 2**63 - 1, None]
+    assert [r.truncated for r in records] == [False] * 8 + [True] and all(r.payload.startswith(b"body") for r in records)
+    errors = [r.error for r in archives.arc_errors(table).collect()]
+    assert errors[0] == "no header line" and len(errors) == 7 and all(e.startswith("no page id") for e in errors[1:])
+
+
+def test_as_many_records_as_pages(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, "u", "x") for i in range(9)], "page_id long, url string, html string")
+    monkeypatch.setattr(archives, "pages_to_arc", lambda p, f=archives.pages_to_arc: f(p.filter("page_id <> 4")))
+    with pytest.raises(ValueError, match="9 pages made 8 records"):
+        archives.archived(pages)
+
+
 def test_warc_files_are_cut_by_bytes(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", chr(97 + i % 26) * 50_000) for i in range(60)], "page_id long, url string, html string").coalesce(1)
     old, archives.WARC_BYTES = archives.WARC_BYTES, 500_000
@@ -594,6 +627,9 @@ def test_one_of_each(docs):
     assert sorted(r.doc_id for r in left.filter("doc_id IS NOT NULL").select("doc_id").distinct().collect()) == sorted(i for i, (_, c) in want.items() if i == c)
     assert left.filter("doc_id IS NULL").count() == 2
     assert shingles.one_of_each(docs.limit(0)).count() == 0
+    clashing = docs.withColumn("_gone", F.lit("x")).withColumn("gone", F.lit(1)).withColumn("component_id", F.lit(2))
+    assert shingles.one_of_each(clashing).columns == clashing.columns
+    assert shingles.one_of_each(clashing).select(docs.columns).exceptAll(left).count() == 0
 
 
 def test_pipeline_stage_joins_five_words_at_four_fifths(spark):
