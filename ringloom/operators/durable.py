@@ -25,11 +25,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once as Parquet in the shared folder and read it back: what follows neither recomputes it nor depends on the executors that made it."""
+def settle(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Write `df` once as Parquet in the shared folder, packed by `codec` or as the session has it, and read it back: what follows neither recomputes it nor depends on the executors that made it."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
