@@ -244,7 +244,7 @@ def arc_to_warc(archives: DataFrame) -> DataFrame:
 
     A date that is none becomes NO_DATE; a page id that is none, null; a record that the archive cuts short is kept and marked; lines that are no header are passed over, up to the next that is one. All that is told by arc_errors(), as is broken compression, which ends its archive alone. An empty or headless archive has no records.
     """
-    records = settle(archives.select("content").mapInArrow(_convert, RECORD).withColumn("row", F.monotonically_increasing_id()), "records")
+    records = settle(archives.select("content").mapInArrow(_convert, RECORD).withColumn("row", F.monotonically_increasing_id()), "records", "zstd")
     long = records.filter((F.col("payload_bytes") >= LEAST_REVISIT) & F.col("page_id").isNotNull()).select("payload_digest", "page_id", "record_id", "row")
     first = long.groupBy("payload_digest").agg(F.min(F.struct("page_id", "record_id")).alias("original"), F.count(F.lit(1)).alias("n"))
     first = first.filter("n > 1").select("payload_digest", "original")
