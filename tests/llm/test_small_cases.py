@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ringloom.llm import archives, classifier, common, embeddings, losses, mixing, pieces, quality, secrets, shingles, tokens, urls
+from ringloom.llm import archives, classifier, common, embeddings, losses, mixing, negatives, pieces, quality, secrets, shingles, tokens, urls
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, kept string, row string"
@@ -789,6 +789,87 @@ def test_open_entries_are_a_row_each(spark):
     assert {r.page_id: r.verdict for r in urls.evaluate(captures, events).collect()} == {1: "drop", 2: "keep", 3: "drop"}
 
 
+# ---- hard negatives ----
+
+
+def brute_negatives(rows, every):
+    """rows: (id, vector, label), each once."""
+    dim = max((len(v) for _, v, _ in rows), default=0)
+    known = [(i, [int(np.floor(256 * x)) for x in v] + [0] * (dim - len(v)), label) for i, v, label in rows]
+    out = []
+    for i, q, label in known:
+        if i % every:
+            continue
+        met = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j, other) for j, v, other in known)
+        for s, p, _ in [x for x in met if x[2] == label and x[1] != i][:5]:
+            near = [x for x in met if x[2] != label and 80 * -s <= 100 * -x[0] <= 100 * -s]
+            out += [(i, p, k + 1, j, -s, -t) for k, (t, j, _) in enumerate(near[:5])]
+    return sorted(out)
+
+
+def vectors_for_negatives(kind):
+    rng = np.random.default_rng(3)
+    if kind == "clusters":
+        centres = rng.standard_normal((12, 8)) * 3
+        return [(i, list(map(float, centres[i % 12] + 0.05 * rng.standard_normal(8))), int(i % 12 // 3 + (rng.random() < 0.3))) for i in range(900)]
+    if kind == "random":
+        return [(i, list(map(float, rng.standard_normal(5))), int(rng.integers(3))) for i in range(400)]
+    if kind == "ties":
+        return [(i, [float(i % 2), 1.0, 0.0], i % 3) for i in range(300)]
+    return [(i, list(map(float, rng.standard_normal(int(rng.integers(0, 5))))), i % 2) for i in range(-50, 60)] + [(1001, [1e6, -1e6], 0), (1000, [1e6, 3e5, 1.0], 0), (1002, [1e6], 1)]
+
+
+@pytest.mark.parametrize("kind", ["clusters", "random", "ties", "lengths"])
+def test_hard_negatives(spark, monkeypatch, kind):
+    monkeypatch.setattr(negatives, "BLOCK", 40)
+    monkeypatch.setattr(negatives, "ROWS_A_CELL", 20)
+    monkeypatch.setattr(negatives, "FIRST_ROWS", 60)
+    monkeypatch.setattr(negatives, "CHUNK", 7)
+    monkeypatch.setattr(negatives, "GROWTH", 3)
+    rows = vectors_for_negatives(kind)
+    odd = [(None, [1.0], 1), (10, None, 1), (20, [1.0, None], 1), (30, [float("nan")], 1), (40, [float("inf"), 1.0], 0), (50, [1.0], None)]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows + odd + rows[:9]], "vec_id long, embedding array<double>, label int, anchor int, cell string").repartition(5)
+    got = negatives.hard_negatives(df, 10)
+    assert sorted(map(tuple, got.collect())) == brute_negatives(rows, 10)
+    assert got.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+
+
+def test_hard_negatives_of_little(spark):
+    schema = "vec_id long, embedding array<float>, label long"
+    assert negatives.hard_negatives(spark.createDataFrame([], schema), 10).count() == 0
+    assert negatives.hard_negatives(spark.createDataFrame([(0, [1.0, 1.0], 1)], schema), 10).count() == 0
+    three = spark.createDataFrame([(0, [1.0, 1.0], 1), (1, [1.0, 0.0], 1), (2, [0.5, 0.5], 2)], schema)
+    assert list(map(tuple, negatives.hard_negatives(three, 10).collect())) == [(0, 1, 1, 2, 65536, 65536)]
+    with pytest.raises(Exception, match="too large"):
+        negatives.hard_negatives(spark.createDataFrame([(0, [1e30, 1.0], 1)], schema), 10).count()
+
+
+def test_cells_come_by_falling_bounds():
+    rng = np.random.default_rng(1)
+    u, v = (np.sort(rng.integers(0, 9, n))[::-1].astype(float) for n in (7, 11))
+    got = list(negatives.visits(u, v))
+    assert sorted((a, b) for _, a, b in got) == [(a, b) for a in range(7) for b in range(11)]
+    assert all(s == u[a] + v[b] for s, a, b in got) and [s for s, *_ in got] == sorted((s for s, *_ in got), reverse=True)
+
+
+def test_clusters_leave_cells_out(spark, monkeypatch):
+    """Anchors of clustered vectors stop before they have seen them all."""
+    monkeypatch.setattr(negatives, "FIRST_ROWS", 60)
+    monkeypatch.setattr(negatives, "ROWS_A_CELL", 20)
+    rows = vectors_for_negatives("clusters")
+    blocks, books = negatives.indexed(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long").select("vec_id", "label", "embedding"), 8)
+    assert books.counts.sum() == 900 == sum(len(r.ids) // 8 for r in blocks.collect())
+    x = np.floor(256 * np.array([v for _, v, _ in rows]))
+    upper, lower = books.bounds(x)
+    own = [negatives.nearest(h, c) for h, c in zip(books.halves(x), books.centres, strict=True)]
+    for i in range(0, 900, 90):
+        s = x @ x[i]
+        top = upper[0][i][own[0]] + upper[1][i][own[1]]
+        assert (s <= top).all() and (s >= lower[0][i][own[0]] + lower[1][i][own[1]]).all()
+        fifth = np.sort(s)[-6]
+        assert (top >= fifth).mean() < 0.5
+
+
 def test_functions_travel_whole(tmp_path):
     """What runs on executors doesn't need the package there."""
     import subprocess
