@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ringloom.llm import archives, classifier, embeddings, losses, mixing, negatives, pieces, quality, secrets, shingles, urls
+from ringloom.llm import archives, classifier, embeddings, losses, mixing, negatives, pieces, quality, resampling, secrets, shingles, urls
 
 
 def queries() -> dict:
@@ -18,8 +18,17 @@ def queries() -> dict:
         "op9_secrets": secrets.op9_secrets,
         "op10_jaccard_join": shingles.op10_jaccard_join,
         "op11_hard_negatives": negatives.op11_hard_negatives,
+        "op12_importance_resampling": resampling.op12_importance_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_cross_entropy_difference": losses.OP2_SQL, "op3_url_filter": urls.OP3_SQL, "op4_mixing": mixing.OP4_SQL, "op5_quality_rules": quality.OP5_SQL, "op7_warc": archives.OP7_SQL, "op11_hard_negatives": negatives.OP11_SQL}
+    return {
+        "op2_cross_entropy_difference": losses.OP2_SQL,
+        "op3_url_filter": urls.OP3_SQL,
+        "op4_mixing": mixing.OP4_SQL,
+        "op5_quality_rules": quality.OP5_SQL,
+        "op7_warc": archives.OP7_SQL,
+        "op11_hard_negatives": negatives.OP11_SQL,
+        "op12_importance_resampling": resampling.OP12_SQL,
+    }

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ringloom.llm import archives, classifier, common, embeddings, losses, mixing, negatives, pieces, quality, secrets, shingles, tokens, urls
+from ringloom.llm import archives, classifier, common, embeddings, losses, mixing, negatives, pieces, quality, resampling, secrets, shingles, tokens, urls
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, kept string, row string"
@@ -870,6 +870,81 @@ def test_clusters_leave_cells_out(spark, monkeypatch):
         assert (top >= fifth).mean() < 0.5
 
 
+# ---- importance resampling ----
+
+TERM = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+ODD_TEXTS = [None, "", " \n", "a", "A b-C", "Ünï Größe\u00a0x", "漢字 \U0001f600y", "x" * 70 + " " + "y" * 64 + "z" * 5000, "tab\there\x00null\x7fdel", "end ", " start", "9 9 9"]
+
+
+def terms(text):
+    return TERM.findall("".join(c.lower() if c.isascii() else c for c in text or ""))
+
+
+def runs(text, longest):
+    w = terms(text)
+    return [" ".join(w[i : i + n]) for n in range(1, longest + 1) for i in range(len(w) - n + 1)]
+
+
+@pytest.mark.parametrize("longest", [1, 3])
+def test_features(longest):
+    import pyarrow as pa
+
+    found, sizes, words = resampling.features(pa.array(ODD_TEXTS), longest, 10_000)
+    assert list(words) == [len(terms(t)) for t in ODD_TEXTS] and list(sizes) == [len(runs(t, longest)) for t in ODD_TEXTS]
+    assert [sorted(x) for x in np.split(found, np.cumsum(sizes)[:-1])] == [sorted(zlib.crc32(f.encode()) % 10_000 for f in runs(t, longest)) for t in ODD_TEXTS]
+    assert [len(x) for x in resampling.features(pa.array([], pa.string()), longest, 7)] == [0, 0, 0]
+
+
+@pytest.mark.parametrize(("longest", "share"), [(1, 10), (2, 35), (1, 0)])
+def test_resampling(spark, docs, monkeypatch, longest, share):
+    monkeypatch.setattr(resampling, "cutoff", lambda keys, n, f=resampling.cutoff: f(keys, n, 3))
+    more = spark.createDataFrame([(9000 + i, t) for i, t in enumerate(ODD_TEXTS)] + [(8, "another text of the same id " * 9), (2**62, prose(30, 4))], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").union(more).withColumn("score", F.lit(1)).withColumn("row", F.lit("x")).repartition(5)
+    target = spark.createDataFrame([(1, prose(500, 11), "c"), (2, None, "c")], "item_id long, text string, weight string")
+    got = resampling.resampled(rows, target, longest, 500, 7, 20, share)
+
+    def counted(texts):
+        return Counter(zlib.crc32(f.encode()) % 500 for t in texts for f in runs(t, longest))
+
+    given = [(r.doc_id, r.text) for r in rows.collect()]
+    s, t = counted(x for _, x in given), counted([prose(500, 11)])
+    n, m = sum(s.values()) + 500, sum(t.values()) + 500
+    want = []
+    for i, text in given:
+        fs = runs(text, longest)
+        weight = sum(int(np.floor(1000 * np.log((t[b] + 1) * n / ((s[b] + 1) * m)))) for b in (zlib.crc32(f.encode()) % 500 for f in fs))
+        h = int(hashlib.sha256(f"7:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        want.append((i, len(fs), weight, weight + int(np.floor(-1000 * np.log(-np.log((h + 0.5) / 2**32)))), len(terms(text)) >= 20))
+    able = sorted((-x[3], x[0] is None, x[0] or 0, x[1]) for x in want if x[4])
+    drawn = able[: len(able) * share // 100]
+    ranks = [(-k[0], k[2], k[3], i + 1) for i, k in enumerate(drawn)]
+    out = got.collect()
+    assert sorted(map(repr, ((r.doc_id, r.n_features, r.weight, r.score) for r in out))) == sorted(map(repr, (x[:4] for x in want)))
+    assert sorted((r.score, r.doc_id or 0, r.n_features, r["rank"]) for r in out if r["rank"] is not None) == sorted(ranks)
+    assert resampling.resampled(rows.limit(0), target).count() == 0
+    assert {r["rank"] for r in resampling.resampled(rows.limit(2), target.limit(0)).collect()} == {None}
+
+
+@pytest.mark.parametrize("n", [1, 2, 137, 500, 999, 1000])
+def test_cutoff(spark, n):
+    rng = random.Random(n)
+    keys = [(rng.randint(0, 5), rng.randint(0, 3), rng.randint(0, 2), i) for i in range(1000)]
+    # partitions of very different sizes, some empty
+    df = spark.createDataFrame(keys, "k0 long, k1 long, k2 long, k3 long").repartitionByRange(7, "k0", "k1").withColumn("more", F.lit("x"))
+    assert resampling.cutoff(df, n, 5) == list(sorted(keys)[n - 1])
+
+
+def test_weighted_median():
+    assert resampling.weighted_median([([3], 1), ([1], 1), ([2], 10)]) == [2]
+    rng = random.Random(5)
+    for _ in range(200):
+        parts = [[[rng.randint(0, 50), i, j] for j in range(rng.randint(1, 9))] for i in range(rng.randint(1, 8))]
+        everything = sorted(k for p in parts for k in p)
+        pivot = resampling.weighted_median([(resampling._middle(np.array(p)), len(p)) for p in parts])
+        at = everything.index(pivot)
+        assert min(at, len(everything) - 1 - at) >= len(everything) // 4 - len(parts)
+
+
 def test_functions_travel_whole(tmp_path):
     """What runs on executors doesn't need the package there."""
     import subprocess
