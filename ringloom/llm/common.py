@@ -17,6 +17,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, GAP), "")
 
 
+def let(value: Column, body) -> Column:
+    """`body` of `value`, which is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 #: Bytes of an Arrow batch on its way to Python, so that memory doesn't follow the length of texts.
 BATCH_BYTES = 8 << 20
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringloom.llm.common import fresh, settle, words
+from ringloom.llm.common import fresh, let, settle, words
 
 SYMBOLS = "#*$%&|<>"
 #: Rules that hold for all documents: fewest words, and most words in repeated windows in 100.
@@ -37,7 +37,7 @@ def measures(text: Column) -> Column:
 
         def places(h: Column) -> Column:
             pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-            marked = _let(
+            marked = let(
                 pairs,
                 lambda s: F.filter(
                     s, lambda x, i: (F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"])
@@ -46,7 +46,7 @@ def measures(text: Column) -> Column:
             covered = F.flatten(F.transform(marked, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
             return F.size(F.array_distinct(covered))
 
-        found = _let(
+        found = let(
             hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(places(h))
         )
         return F.when(F.size(w) < 4, F.lit(0)).otherwise(found)
@@ -55,23 +55,18 @@ def measures(text: Column) -> Column:
     for c in " \t\n\x0b\x0c\r":
         bare = F.replace(bare, F.lit(c), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return _let(
+    return let(
         words(text),
         lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.length(bare).cast("long").alias("word_chars"),
             F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
-            _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             repeated(w).cast("long").alias("n_repeat_words"),
         ),
     )
 
 
-def _let(value: Column, body) -> Column:
-    """`body` of `value`, which is worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def base_failed(m: str) -> Column:
     c = F.col(m)
     return (c["n_words"] < FEWEST_WORDS) | (100 * c["n_repeat_words"] > MOST_REPEATED * c["n_words"])

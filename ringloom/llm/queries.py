@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ringloom.llm import archives, classifier, embeddings, losses, mixing, negatives, pieces, quality, resampling, secrets, shingles, urls
+from ringloom.llm import archives, classifier, embeddings, licenses, losses, mixing, negatives, pieces, quality, resampling, secrets, shingles, urls
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_jaccard_join": shingles.op10_jaccard_join,
         "op11_hard_negatives": negatives.op11_hard_negatives,
         "op12_importance_resampling": resampling.op12_importance_resampling,
+        "op13_license_scan": licenses.op13_license_scan,
     }
 
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_warc": archives.OP7_SQL,
         "op11_hard_negatives": negatives.OP11_SQL,
         "op12_importance_resampling": resampling.OP12_SQL,
+        "op13_license_scan": licenses.OP13_SQL,
     }

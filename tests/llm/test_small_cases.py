@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ringloom.llm import archives, classifier, common, embeddings, losses, mixing, negatives, pieces, quality, resampling, secrets, shingles, tokens, urls
+from ringloom.llm import archives, classifier, common, embeddings, licenses, losses, mixing, negatives, pieces, quality, resampling, secrets, shingles, tokens, urls
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, kept string, row string"
@@ -945,6 +945,84 @@ def test_weighted_median():
         assert min(at, len(everything) - 1 - at) >= len(everything) // 4 - len(parts)
 
 
+# ---- licenses ----
+
+
+def brute_spans(text, templates, width, band, least):
+    w = terms(text)
+    good, out = [], []
+    for no, (label, place, t) in enumerate(templates):
+        tw = terms(t)
+        k = min(width, len(tw))
+        lines = {}
+        for i in range(len(w)):
+            for j in range(len(tw) - k + 1):
+                if w[i : i + k] == tw[j : j + k]:
+                    lines.setdefault(i - j, []).append((i, j))
+        bands = {}
+        for d in lines:
+            votes = sorted(lines[d] if place else (v for e in lines if d <= e <= d + band for v in lines[e]))
+            at, end, met = -1, 0, 0
+            for _, j in votes:
+                if j > at:
+                    met += j + k - max(end, j)
+                    at, end = j, j + k
+            bands[d] = met, votes[0][0], max(i for i, _ in votes) + k
+        for d, (met, start, end) in bands.items():
+            if met == len(tw) if place else met * 100 >= len(tw) * least and met * 100 >= (end - start) * least and (not any(abs(e - d) <= band and (bands[e][0], -e) > (met, -d) for e in bands)):
+                good.append((start, end, label, place, met, len(tw), no))
+    rank = lambda g: (g[0], -g[1], -g[4], g[6])
+    for g in good:
+        if g[3] or not any(not h[3] and rank(h) < rank(g) and (h[1], h[4]) > (g[1], g[4]) for h in good):
+            out.append(g[:6])
+    return sorted(out)
+
+
+def license_texts():
+    rng = random.Random(2)
+    long = [t for *_, t in licenses.TEMPLATES if len(t.split()) > 20]
+    out = [None, "", "-- \n", "cc", "CC BY", "cc by cc by-nc. CC_BY 4.0", "cc\u00a0by", "All Rights  RESERVED all rights reserved", "x " * 60_000 + "all rights reserved"]
+    out += [t for *_, t in licenses.TEMPLATES] + [t.upper() for *_, t in licenses.TEMPLATES]
+    for t in long:
+        words = t.split()
+        for _ in range(4):
+            noisy = list(words)
+            for _ in range(rng.randint(1, 9)):
+                i = rng.randrange(len(noisy))
+                noisy[i : i + rng.randint(0, 1)] = rng.choice([[], ["new"], ["two", "words"]])
+            out.append(prose(30, 5) + " " + " ".join(noisy) + " " + prose(30, 6))
+        out += [" ".join(words[: len(words) // 2]), t + " " + t, " ".join(words[::-1]), " ".join(rng.sample(words, len(words)))]
+    return out + ["the software the software and the software " * 40, "Licensed under the Foo License", "licensed under the apache license version 2"]
+
+
+def test_licenses(spark):
+    rows = [(i, t, "x", 3) for i, t in enumerate(license_texts())] + [(None, "cc by", "x", 1), (5, "cc by", "x", 1), (5, "cc by", "x", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, pos string, row int").repartition(4)
+    got = licenses.spans(df, ("doc_id", "row", "pos"))
+    told = lambda spans: sorted((s.start, s.end, s.label, s.place, s.met, s["size"]) for s in spans)
+    want = Counter((i, n, x, len(terms(t)), tuple(brute_spans(t, licenses.TEMPLATES, 3, 8, 75))) for i, t, x, n in rows)
+    assert Counter((r.doc_id, r.row, r.pos, r.n_words, tuple(told(r.spans))) for r in got.collect()) == want
+    by_text = {r.text: r for r in licenses.scanned(df.withColumn("spans", F.lit(1)), ("text", "doc_id")).collect()}
+    assert (by_text["cc by cc by-nc. CC_BY 4.0"].n_base, by_text["cc by cc by-nc. CC_BY 4.0"].labels, by_text["cc by cc by-nc. CC_BY 4.0"].last_word) == (3, "cc-by,cc-by-nc", 5)
+    assert by_text["Licensed under the Foo License"].labels == "" and by_text["licensed under the apache license version 2"].labels == "apache-2.0"
+    for label, _, t in licenses.TEMPLATES:
+        assert label in by_text[t].labels.split(",") and by_text[t].score == 1
+    assert (by_text[None].n_words, by_text[None].n_base, by_text[None].first_word, by_text[None].base_labels, by_text[None].score) == (0, 0, None, "", 0)
+    assert licenses.scanned(df.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="n_words"):
+        licenses.spans(df.withColumn("N_Words", F.lit(1)), ("N_Words",))
+
+
+@pytest.mark.parametrize(("width", "band", "least"), [(1, 2, 50), (2, 0, 90), (5, 20, 40)])
+def test_licenses_of_other_widths(spark, width, band, least):
+    templates = [("a", False, "a b c d e f"), ("b", True, "c d"), ("c", False, ""), ("d", False, "f e d c b a f")]
+    rng = random.Random(width)
+    rows = [(i, " ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 60)))) for i in range(60)]
+    got = licenses.spans(spark.createDataFrame(rows, "doc_id long, text string"), templates=templates, width=width, band=band, least=least)
+    for r in got.collect():
+        assert sorted((s.start, s.end, s.label, s.place, s.met, s["size"]) for s in r.spans) == brute_spans(rows[r.doc_id][1], [t for t in templates if t[2]], width, band, least)
+
+
 def test_functions_travel_whole(tmp_path):
     """What runs on executors doesn't need the package there."""
     import subprocess
