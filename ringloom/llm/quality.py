@@ -10,15 +10,17 @@ from ringloom.llm.common import fresh, let, settle, words
 SYMBOLS = "#*$%&|<>"
 #: Rules that hold for all documents: fewest words, and most words in repeated windows in 100.
 FEWEST_WORDS, MOST_REPEATED = 50, 50
-#: The ratios that get thresholds, in 10,000ths.
+#: The ratios that get thresholds, in 10,000ths: a count, what it is a share of, and by how much the least event raises the count: a symbol, a repeated line, a 3-word window that comes again. None raises the mean length of words.
 RATIOS = {
-    "symbols": lambda m: F.floor(F.col(m)["n_symbols"] * 10000 / F.col(m)["word_chars"]),
-    "repeated": lambda m: F.floor(F.col(m)["n_repeat_words"] * 10000 / F.col(m)["n_words"]),
-    "word_length": lambda m: F.floor(F.col(m)["word_chars"] * 10000 / F.col(m)["n_words"]),
+    "symbols": ("n_symbols", "word_chars", 1),
+    "repeated": ("n_repeat_words", "n_words", 6),
+    "dup_lines": ("n_dup_lines", "n_words", 1),
+    "word_length": ("word_chars", "n_words", 0),
 }
-#: A ratio is too high above `q(HIGH) + SPREADS x (q(HIGH) - q(MIDDLE)) + slack` of its group.
-HIGH, MIDDLE, SPREADS = 80, 50, 4
-SLACK = {"symbols": 300, "repeated": 4500, "word_length": 20000}
+#: Sizes of which groups have medians.
+SIZES = ("word_chars", "n_words")
+#: A ratio is too high above `q(HIGH) + SPREADS x (q(HIGH) - q(MIDDLE))` of its group and what SPREADS events make of a document, of the group's median size or its own if that is less.
+HIGH, MIDDLE, SPREADS = 80, 50, 8
 #: The limit of a (lang, source) is blended with that of its language, and that with the limit of all, which weigh as much as so many documents.
 WEIGHT = 100
 
@@ -72,72 +74,75 @@ def base_failed(m: str) -> Column:
     return (c["n_words"] < FEWEST_WORDS) | (100 * c["n_repeat_words"] > MOST_REPEATED * c["n_words"])
 
 
+#: Leading bits that the counts of a sketch's bucket agree in.
+BITS = 8
+
+
 def bucket(v: Column) -> Column:
-    """The sketch's bucket of a count: counts below 32 have their own, larger ones share one with all that agree in their five leading bits."""
-    shift = F.greatest(F.length(F.bin(v)) - 5, F.lit(0))
-    return shift.cast("long") * 32 + F.floor(v / F.pow(F.lit(2.0), shift)).cast("long")
+    """The sketch's bucket of a count: counts below 2^BITS have their own, larger ones share one with all that agree in their BITS leading bits."""
+    shift = F.greatest(F.length(F.bin(v)) - BITS, F.lit(0))
+    return shift.cast("long") * (1 << BITS) + F.floor(v / F.pow(F.lit(2.0), shift)).cast("long")
 
 
 def bucket_top(b: Column) -> Column:
     """The largest count in a bucket."""
-    shift = F.floor((b - 16) / 32).cast("long")
-    shift = F.when(b < 32, F.lit(0)).otherwise(shift)
-    return ((b - shift * 32 + 1) * F.pow(F.lit(2.0), shift)).cast("long") - 1
+    shift = F.floor((b - (1 << BITS - 1)) / (1 << BITS)).cast("long")
+    shift = F.when(b < 1 << BITS, F.lit(0)).otherwise(shift)
+    return ((b - shift * (1 << BITS) + 1) * F.pow(F.lit(2.0), shift)).cast("long") - 1
+
+
+def ratio(m: str, name: str) -> Column:
+    count, of, _ = RATIOS[name]
+    return F.floor(F.col(m)[count] * 10000 / F.col(m)[of]).cast("long")
 
 
 def sketches(measured: DataFrame, m: str) -> DataFrame:
-    """Quantile sketches of each ratio for each (lang, source), as rows: lang, source, ratio, bucket, n.
+    """Quantile sketches of each ratio and size for each (lang, source), as rows: lang, source, name, bucket, n.
 
-    A sketch is a histogram over logarithmic buckets, at most a 16th of the value wide. Sketches are merged by adding their rows, so Spark builds them in part on each task, and a source with a third of all rows sends a few hundred rows a task. Documents that failed the base rules, and those without words, are left out.
+    A sketch is a histogram over logarithmic buckets, at most a 128th of the value wide. Sketches are merged by adding their rows, so Spark builds them in part on each task, and a source with a third of all rows sends a row a bucket and task, some thousands at most. Documents that failed the base rules, and those without words, are left out.
     """
-    rows = measured.filter(~base_failed(m)).select(
-        "lang",
-        "source",
-        F.explode(F.create_map(*[x for k, f in RATIOS.items() for x in (F.lit(k), f(m).cast("long"))])).alias("ratio", "v"),
-    )
-    return rows.groupBy("lang", "source", "ratio", bucket(F.col("v")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    values = {k: ratio(m, k) for k in RATIOS} | {k: F.col(m)[k] for k in SIZES}
+    rows = measured.filter(~base_failed(m)).select("lang", "source", F.explode(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)])).alias("name", "v"))
+    return rows.groupBy("lang", "source", "name", bucket(F.col("v")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def thresholds(sketch: DataFrame, weight: int = WEIGHT) -> DataFrame:
-    """The highest allowed value of each ratio for each (lang, source): lang, source, and a column for each ratio.
+    """The limit of each ratio and the median of each size for each (lang, source): lang, source, and a column for each of these.
 
-    Sketches are merged up to those of languages and of all. A group's limit is the mean of its own, weighed by its documents, and that of its language, weighed by `weight`; the language's is blended with that of all in the same way, so no verdict turns on a group's size as such.
+    Sketches are merged up to those of languages and of all. What is taken from a group's sketch, a limit or the median of a size, is the mean of its own, weighed by its documents, and that of its language, weighed by `weight`; the language's is blended with that of all in the same way, so no verdict turns on a group's size as such.
     """
     levels = []
     for depth, keys in enumerate((["lang", "source"], ["lang"], [])):
-        merged = sketch.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
-        w = Window.partitionBy(*keys, "ratio")
+        merged = sketch.groupBy(*keys, "name", "bucket").agg(F.sum("n").alias("n"))
+        w = Window.partitionBy(*keys, "name")
         run = F.sum("n").over(w.orderBy("bucket"))
         placed = merged.withColumn("total", F.sum("n").over(w)).withColumn("run", run)
         q = {
             p: F.min(F.when(F.col("run") * 100 >= F.col("total") * p, bucket_top(F.col("bucket")))) for p in (HIGH, MIDDLE)
         }
-        limit = q[HIGH] * (1 + SPREADS) - q[MIDDLE] * SPREADS
+        limit = F.when(F.col("name").isin(*SIZES), q[MIDDLE]).otherwise(q[HIGH] * (1 + SPREADS) - q[MIDDLE] * SPREADS)
         levels.append(
-            placed.groupBy(*keys, "ratio").agg(F.max("total").alias(f"total{depth}"), limit.alias(f"limit{depth}"))
+            placed.groupBy(*keys, "name").agg(F.max("total").alias(f"total{depth}"), limit.alias(f"limit{depth}"))
         )
     fine, mid, top = levels
     mid = mid.withColumnRenamed("lang", "mid_lang")
-    joined = fine.join(mid, ["ratio"]).filter(F.col("lang").eqNullSafe(F.col("mid_lang"))).join(top, "ratio")
+    joined = fine.join(mid, ["name"]).filter(F.col("lang").eqNullSafe(F.col("mid_lang"))).join(top, "name")
     blended = lambda total, own, above: (F.col(total) * F.col(own) + F.lit(float(weight)) * above) / (F.col(total) + F.lit(float(weight)))
-    limit = blended("total0", "limit0", blended("total1", "limit1", F.col("limit2")))
-    slack = F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv])
-    joined = joined.withColumn("limit", limit + slack[F.col("ratio")])
-    return joined.groupBy("lang", "source").agg(
-        *[F.max(F.when(F.col("ratio") == k, F.col("limit"))).alias(f"limit_{k}") for k in RATIOS]
-    )
+    joined = joined.withColumn("limit", blended("total0", "limit0", blended("total1", "limit1", F.col("limit2"))))
+    return joined.groupBy("lang", "source").agg(*[F.max(F.when(F.col("name") == k, F.col("limit"))).alias(f"limit_{k}") for k in (*RATIOS, *SIZES)])
 
 
 def judge(measured: DataFrame, m: str, limits: DataFrame) -> DataFrame:
-    """`measured` with the column kept: passed the base rules and no ratio above its group's limit."""
+    """`measured` with the column kept: passed the base rules, and no ratio above its group's limit and the room for SPREADS events. Where a symbol is rare, its quantiles are 0, and the room, from the sketch of sizes, decides."""
     limits = limits.withColumnRenamed("lang", "limit_lang").withColumnRenamed("source", "limit_source")
     same = F.col("lang").eqNullSafe(F.col("limit_lang")) & F.col("source").eqNullSafe(F.col("limit_source"))
     high = F.lit(False)
-    for k, f in RATIOS.items():
-        high = high | F.coalesce(f(m) > F.col(f"limit_{k}"), F.lit(False))
+    for k, (_, of, step) in RATIOS.items():
+        room = F.lit(float(SPREADS * step * 10000)) / F.least(F.col(m)[of].cast("double"), F.col(f"limit_{of}"))
+        high = high | F.coalesce(ratio(m, k) > F.col(f"limit_{k}") + room, F.lit(False))
     keep = fresh(measured, "kept")
     joined = measured.join(limits, same, "left").withColumn(keep, ~base_failed(m) & ~high)
-    return joined.drop("limit_lang", "limit_source", *[f"limit_{k}" for k in RATIOS])
+    return joined.drop("limit_lang", "limit_source", *[f"limit_{k}" for k in (*RATIOS, *SIZES)])
 
 
 def verdicts(docs: DataFrame, columns=("doc_id", "lang", "source")) -> DataFrame:
@@ -168,17 +173,20 @@ def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 def _limits_sql() -> str:
     levels = []
-    for i, keys in enumerate((["lang", "source", "ratio"], ["lang", "ratio"], ["ratio"])):
+    for i, keys in enumerate((["lang", "source", "name"], ["lang", "name"], ["name"])):
         k = ", ".join(keys)
         levels.append(f"""
 g{i} AS (SELECT {k}, b, sum(n)::BIGINT AS n FROM sketch GROUP BY {k}, b),
 r{i} AS (SELECT *, sum(n) OVER (PARTITION BY {k}) AS total, sum(n) OVER (PARTITION BY {k} ORDER BY b) AS run,
-                CASE WHEN b < 32 THEN b ELSE ((b - (b - 16) // 32 * 32 + 1) << ((b - 16) // 32)) - 1 END AS top FROM g{i}),
-l{i} AS (SELECT {k}, max(total) AS total, min(top) FILTER (run * 100 >= total * {HIGH}) * {1 + SPREADS} - min(top) FILTER (run * 100 >= total * {MIDDLE}) * {SPREADS} AS top FROM r{i} GROUP BY {k})""")
+                CASE WHEN b < {1 << BITS} THEN b ELSE ((b - (b - {1 << BITS - 1}) // {1 << BITS} * {1 << BITS} + 1) << ((b - {1 << BITS - 1}) // {1 << BITS})) - 1 END AS top FROM g{i}),
+q{i} AS (SELECT {k}, max(total) AS total, min(top) FILTER (run * 100 >= total * {HIGH}) AS high, min(top) FILTER (run * 100 >= total * {MIDDLE}) AS middle FROM r{i} GROUP BY {k}),
+l{i} AS (SELECT {k}, total, CASE WHEN name IN {SIZES} THEN middle ELSE high * {1 + SPREADS} - middle * {SPREADS} END AS top FROM q{i})""")
     return ",".join(levels)
 
 
 _GAP_SQL = r"[\x20\x09-\x0D]"
+_RATIO_SQL = ", ".join(f"floor({count} * 10000 / {of})" for count, of, _ in RATIOS.values())
+_ROOM_SQL = " ".join(f"WHEN '{k}' THEN {float(SPREADS * step * 10000)}::DOUBLE / least(v.{of}::DOUBLE, s.{of})" for k, (_, of, step) in RATIOS.items())
 OP5_SQL = rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
@@ -189,14 +197,14 @@ m AS (SELECT doc_id, lang, source, len(words)::BIGINT AS n_words, length(regexp_
              length(regexp_replace(text, '[^{SYMBOLS}]+', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
              coalesce(n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN covered USING (doc_id)),
 f AS (SELECT *, n_words < {FEWEST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM m),
-v AS (SELECT doc_id, lang, source, unnest(['symbols', 'repeated', 'word_length']) AS ratio,
-             unnest([floor(n_symbols * 10000 / word_chars), floor(n_repeat_words * 10000 / n_words), floor(word_chars * 10000 / n_words)])::BIGINT AS v FROM f WHERE NOT base_failed),
-sketch AS (SELECT lang, source, ratio, greatest(length(bin(v)) - 5, 0) * 32 + (v >> greatest(length(bin(v)) - 5, 0)::INT) AS b, count(*) AS n FROM v GROUP BY ALL),
+v AS (SELECT doc_id, lang, source, n_words, word_chars, unnest({[*RATIOS, *SIZES]}) AS name, unnest([{_RATIO_SQL}, {', '.join(SIZES)}])::BIGINT AS v FROM f WHERE NOT base_failed),
+sketch AS (SELECT lang, source, name, greatest(length(bin(v)) - {BITS}, 0) * {1 << BITS} + (v >> greatest(length(bin(v)) - {BITS}, 0)::INT) AS b, count(*) AS n FROM v GROUP BY ALL),
 {_limits_sql().strip()},
-lim AS (SELECT a.lang, a.source, a.ratio,
-               (a.total::DOUBLE * a.top::DOUBLE + {float(WEIGHT)} * ((b.total::DOUBLE * b.top::DOUBLE + {float(WEIGHT)} * c.top::DOUBLE) / (b.total::DOUBLE + {float(WEIGHT)}))) / (a.total::DOUBLE + {float(WEIGHT)})
-               + CASE a.ratio WHEN 'symbols' THEN {SLACK['symbols']} WHEN 'repeated' THEN {SLACK['repeated']} ELSE {SLACK['word_length']} END AS top
-        FROM l0 a JOIN l1 b ON a.ratio = b.ratio AND a.lang IS NOT DISTINCT FROM b.lang JOIN l2 c ON a.ratio = c.ratio),
-high AS (SELECT DISTINCT v.doc_id FROM v JOIN lim ON v.ratio = lim.ratio AND v.lang IS NOT DISTINCT FROM lim.lang AND v.source IS NOT DISTINCT FROM lim.source AND v.v > lim.top)
+blend AS (SELECT a.lang, a.source, a.name,
+               (a.total::DOUBLE * a.top::DOUBLE + {float(WEIGHT)} * ((b.total::DOUBLE * b.top::DOUBLE + {float(WEIGHT)} * c.top::DOUBLE) / (b.total::DOUBLE + {float(WEIGHT)}))) / (a.total::DOUBLE + {float(WEIGHT)}) AS top
+        FROM l0 a JOIN l1 b ON a.name = b.name AND a.lang IS NOT DISTINCT FROM b.lang JOIN l2 c ON a.name = c.name),
+s AS (SELECT lang, source, max(top) FILTER (name = 'word_chars') AS word_chars, max(top) FILTER (name = 'n_words') AS n_words FROM blend GROUP BY lang, source),
+high AS (SELECT DISTINCT v.doc_id FROM v JOIN blend b ON v.name = b.name AND v.lang IS NOT DISTINCT FROM b.lang AND v.source IS NOT DISTINCT FROM b.source
+         JOIN s ON v.lang IS NOT DISTINCT FROM s.lang AND v.source IS NOT DISTINCT FROM s.source WHERE v.v > b.top + CASE v.name {_ROOM_SQL} END)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM high) AS kept FROM f
 """
