@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringloom.operators.circular_sa import WIDTH, characters, classes, parse_classes
@@ -69,16 +69,57 @@ def sorted_rotations(words: DataFrame, parsed: DataFrame, w: int) -> DataFrame:
     return row_numbers(rows, ["group", "csa_class", "seq_id", "off"], "pos").select("pos", "bwt", "seq_id", "off")
 
 
-def blocks(words: DataFrame, parsed: DataFrame, w: int) -> DataFrame:
-    """(start_pos, bwt, length): the transform in blocks. Occurrences are aggregated before they are expanded: easy groups are a block each, straight from the dictionary, and only hard groups are expanded and ordered."""
+def start_suffixes(words: DataFrame, parsed: DataFrame, w: int) -> DataFrame:
+    """Distinct (rank, suffix_len) of the suffixes with which a sequence starts somewhere: those as long as the way from the sequence's first symbol to the phrase's end, around it any number of times."""
+    rows = parsed.join(words.select("rank", F.length("phrase").cast("long").alias("n")), "rank")
+    first = F.col("end_pos") + 1
+    low, high = F.ceil((F.lit(w) - first) / F.col("len")), F.floor((F.col("n") - 1 - first) / F.col("len"))
+    rows = rows.select("rank", "len", first.alias("first"), low.alias("low"), high.alias("high")).filter("low <= high")
+    rows = rows.select("rank", "len", "first", F.explode(F.sequence("low", "high")).alias("turns"))
+    return rows.select("rank", (F.col("first") + F.col("turns") * F.col("len")).alias("suffix_len")).distinct()
+
+
+def _bounds(occurring: DataFrame) -> DataFrame:
+    """(rank, first, last): the occurrences of each phrase that come first and last in the order of what follows, as structs of csa_class, seq_id, end_pos, len, times. What follows is the same at several places of a sequence only if it is a power; then these are len / times apart, and each phrase's suffixes there are too."""
+    each = occurring.groupBy("rank", "csa_class", "seq_id").agg(F.min("end_pos").alias("end_pos"), F.min("len").alias("len"), F.count(F.lit(1)).alias("times"))
+    place = F.struct("csa_class", "seq_id", "end_pos", "len", "times")
+    return each.groupBy("rank").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+
+
+def group_ends(suffixes: DataFrame, occurring: DataFrame) -> DataFrame:
+    """(group, low, high): the first and the last occurrence of each group of `suffixes`, as (csa_class, seq_id, off), by the bounds of its phrases alone: a row for each suffix, none for each occurrence."""
+    rows = suffixes.select("group", "rank", "suffix_len").join(_bounds(occurring), "rank")
+    step = lambda x: F.floor(F.col(x)["len"] / F.col(x)["times"])
+    off = lambda x: F.pmod(F.col(x)["end_pos"] - F.col("suffix_len") + 1, step(x))
+    low = F.struct(F.col("first.csa_class"), F.col("first.seq_id"), off("first").alias("off"))
+    high = F.struct(F.col("last.csa_class"), F.col("last.seq_id"), (off("last") + (F.col("last.times") - 1) * step("last")).alias("off"))
+    return rows.groupBy("group").agg(F.min(low).alias("low"), F.max(high).alias("high"))
+
+
+def blocks(words: DataFrame, parsed: DataFrame, w: int, starts: bool = False, ends: bool = False) -> DataFrame:
+    """(start_pos, bwt, length): the transform in blocks. Occurrences are aggregated before they are expanded: easy groups are a block each, straight from the dictionary, and only hard groups are expanded and ordered.
+
+    With `ends`, also first_seq, first_off, last_seq and last_off, the rotations at both ends of a block. With `starts`, groups in which a sequence starts are expanded too, and is_start tells the blocks, of one rotation, that are a sequence's own.
+    """
     suffixes = settle(placed_suffixes(words, w), "suffixes")
     groups = settle(suffix_groups(suffixes, "group"), "groups")
-    hard = suffixes.join(groups.filter("symbols > 1").select("group"), "group", "left_semi")
-    none = F.lit(0).cast("long")
-    easy = groups.filter("symbols = 1").select("group", none.alias("csa_class"), none.alias("seq_id"), none.alias("off"), "bwt", F.col("occ").alias("length"))
-    rows = expanded(hard, occurrences(parsed), "group").select("group", "csa_class", "seq_id", "off", "bwt", F.lit(1).cast("long").alias("length"))
-    numbered = settle(row_numbers(easy.union(rows), ["group", "csa_class", "seq_id", "off"], "nth"), "blocks")
-    return _started(numbered).select("start_pos", "bwt", "length")
+    spread = groups.filter("symbols > 1").select("group")
+    if starts:
+        spread = spread.union(suffixes.join(start_suffixes(words, parsed, w), ["rank", "suffix_len"]).select("group")).distinct()
+    occurring = settle(occurrences(parsed), "occurrences")
+    none = F.lit(None).cast("struct<csa_class: bigint, seq_id: bigint, off: bigint>")
+    whole = groups.join(spread, "group", "left_anti")
+    whole = whole.join(group_ends(suffixes, occurring), "group") if ends else whole.withColumns({"low": none, "high": none})
+    zero = F.lit(0).cast("long")
+    key = ("group", "csa_class", "seq_id", "off")
+    easy = whole.select("group", *[zero.alias(c) for c in key[1:]], "bwt", F.col("occ").alias("length"), "low", "high", F.lit(False).alias("is_start"))
+    own = F.struct("csa_class", "seq_id", "off")
+    rows = expanded(suffixes.join(spread, "group", "left_semi"), occurring, "group").select(
+        *key, "bwt", F.lit(1).cast("long").alias("length"), own.alias("low"), own.alias("high"), (F.col("off") == 0).alias("is_start")
+    )
+    numbered = settle(row_numbers(easy.union(rows), list(key), "nth"), "blocks")
+    shown = [F.col(f"{x}.{c}").alias(f"{y}_{n}") for x, y in (("low", "first"), ("high", "last")) for c, n in (("seq_id", "seq"), ("off", "off"))] if ends else []
+    return _started(numbered).select("start_pos", "bwt", "length", *shown, *(["is_start"] if starts else []))
 
 
 def _started(numbered: DataFrame, block: int = 1 << 16) -> DataFrame:
@@ -94,14 +135,37 @@ def ebwt_from_blocks(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.sequence(F.col("start_pos"), F.col("start_pos") + F.col("length") - 1)).alias("pos"), "bwt")
 
 
-def rle_from_blocks(rows: DataFrame, block: int = 1 << 16) -> DataFrame:
-    """(run_id, head, length, start_pos): neighbouring blocks of one symbol made one, without a row for each position."""
+def _run_blocks(rows: DataFrame, break_at: Column | None, block: int) -> DataFrame:
+    """The blocks with run_id, from 0: neighbours of one symbol have the same, unless `break_at` begins another."""
     held = rows.withColumn("_block", F.floor(F.col("start_pos") / block))
     own = Window.partitionBy("_block").orderBy("start_pos")
     ends = held.select((F.col("start_pos") + F.col("length")).alias("start_pos"), F.col("bwt").alias("_before_bwt"))
-    held = held.join(ends, "start_pos", "left").withColumn("_new", (~F.col("bwt").eqNullSafe(F.col("_before_bwt"))).cast("long"))
+    new = ~F.col("bwt").eqNullSafe(F.col("_before_bwt"))
+    if break_at is not None:
+        new = new | break_at
+    held = held.join(ends, "start_pos", "left").withColumn("_new", new.cast("long"))
     offsets = sums_before(held.groupBy("_block").agg(F.sum("_new").alias("_n")), "_block", "_n", "_before")
     numbered = held.withColumn("_own", F.sum("_new").over(own)).join(offsets, "_block")
-    return numbered.groupBy((F.col("_own") + F.col("_before") - 1).alias("run_id")).agg(
+    return numbered.withColumn("run_id", F.col("_own") + F.col("_before") - 1)
+
+
+def rle_from_blocks(rows: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """(run_id, head, length, start_pos): neighbouring blocks of one symbol made one, without a row for each position."""
+    return _run_blocks(rows, None, block).groupBy("run_id").agg(
         F.first("bwt").alias("head"), F.sum("length").alias("length"), F.min("start_pos").alias("start_pos")
     )
+
+
+def samples_from_blocks(rows: DataFrame, split_starts: bool = False, block: int = 1 << 16) -> DataFrame:
+    """runs.samples() from blocks with their ends and, for `split_starts`, their starts."""
+    runs = _run_blocks(rows, F.col("is_start") if split_starts else None, block).groupBy("run_id").agg(
+        F.min_by(F.struct("first_seq", "first_off"), "start_pos").alias("s"), F.max_by(F.struct("last_seq", "last_off"), "start_pos").alias("e")
+    )
+    return runs.select(
+        "run_id", F.col("s.first_seq").alias("start_da"), F.col("s.first_off").alias("start_gca"), F.col("e.last_seq").alias("end_da"), F.col("e.last_off").alias("end_gca")
+    )
+
+
+def i_positions_from_blocks(rows: DataFrame) -> DataFrame:
+    """(pos) of the rotations that are the sequences themselves, from blocks with their starts."""
+    return rows.filter("is_start").select(F.col("start_pos").alias("pos"))

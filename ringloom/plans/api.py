@@ -85,7 +85,7 @@ def build(
 ) -> Index:
     """The transform of a collection (seq_id, seq).
 
-    method: `parse` goes through prefix-free parsing, whose work falls with repetition; `doubling` ranks all rotations directly and takes any sequence. With `parse`, sequences that can't be parsed are an error unless `allow_filtered`; with drop_nonprimitive, powers are left out by either. gca: `none`, `samples` at both ends of runs, or `full`. rle gives runs instead of the plain transform. sample_starts begins a sample at each sequence's own rotation as well. Without gca and starts, the parse never expands groups that don't need it.
+    method: `parse` goes through prefix-free parsing, whose work falls with repetition; `doubling` ranks all rotations directly and takes any sequence. With `parse`, sequences that can't be parsed are an error unless `allow_filtered`; with drop_nonprimitive, powers are left out by either. gca: `none`, `samples` at both ends of runs, or `full`. rle gives runs instead of the plain transform. sample_starts begins a sample at each sequence's own rotation as well. But for the full array, `parse` keeps the transform in blocks, with the rotations at their ends, and expands only groups with several symbols before them or in which a sequence starts.
     """
     if gca not in ("none", "samples", "full"):
         raise ValueError(f"unknown gca {gca!r}")
@@ -104,10 +104,19 @@ def build(
         if not allow_filtered and left_out.filter("reason = 'no trigger'").limit(1).count():
             raise ValueError("some sequences have no trigger; use several triggers, method='doubling', or allow_filtered")
         seqs = seqs.join(left_out.select("seq_id"), "seq_id", "left_anti")
-        if gca == "none" and not starts:
-            spans = settle(merge.blocks(parts.words, parts.parsed, w), "blocks")
+        if gca != "full":
+            sampled, marked = gca == "samples", starts or sample_starts
+            spans = settle(merge.blocks(parts.words, parts.parsed, w, starts=marked, ends=sampled), "blocks")
             found = settle(merge.rle_from_blocks(spans), "runs")
-            return Index(None if rle else merge.ebwt_from_blocks(spans), found if rle else None, None, None, None, runs.info(found, seqs), left_out)
+            return Index(
+                ebwt=None if rle else merge.ebwt_from_blocks(spans),
+                rle=found if rle else None,
+                i_positions=merge.i_positions_from_blocks(spans) if starts else None,
+                gca=None,
+                samples=merge.samples_from_blocks(spans, sample_starts) if sampled else None,
+                info=runs.info(found, seqs),
+                filtered=left_out,
+            )
         ordered = settle(merge.sorted_rotations(parts.words, parts.parsed, w), "rotations")
     found = settle(runs.rle(ordered), "runs")
     return Index(

@@ -519,6 +519,27 @@ def gca_samples_split_starts(spark, d):
     return runs.samples(settle(circular_sa.sorted_rotations(_seqs(spark, d, "supplier", "s_suppkey", "s_name")), "rotations"), split_starts=True)
 
 
+def _blocks(spark, d, **how):
+    parsed, words = _served(spark, d)
+    return settle(merge.blocks(words, parsed, W, **how), "blocks")
+
+
+@_query("gca_samples_pfp", f"WITH {SERVED}, {sql.ROTATIONS}, {sql.RUNS} {_SAMPLES}")
+def gca_samples_pfp(spark, d):
+    """Samples through the parse, from blocks of the transform."""
+    return merge.samples_from_blocks(_blocks(spark, d, ends=True))
+
+
+@_query("gca_samples_split_starts_pfp", f"WITH {SERVED}, {sql.ROTATIONS}, {sql.RUNS.replace('THEN 1 ELSE 0 END', 'OR off = 0 THEN 1 ELSE 0 END')} {_SAMPLES}")
+def gca_samples_split_starts_pfp(spark, d):
+    return merge.samples_from_blocks(_blocks(spark, d, ends=True, starts=True), split_starts=True)
+
+
+@_query("i_positions_pfp", f"WITH {SERVED}, {sql.ROTATIONS} SELECT pos FROM sorted_rows WHERE off = 0")
+def i_positions_pfp(spark, d):
+    return merge.i_positions_from_blocks(_blocks(spark, d, starts=True))
+
+
 # ---- inversion ----
 
 

@@ -82,6 +82,41 @@ def test_merge_is_the_definition(spark, seed):
     rows = spark.createDataFrame([(p, b) for p, b, _, _ in want], "pos long, bwt string")
     expected = sorted(map(tuple, runs.rle(rows).collect()))
     assert sorted(map(tuple, merge.rle_from_blocks(spans, 4).collect())) == expected
+    rows = spark.createDataFrame(want, "pos long, bwt string, seq_id long, off long").cache()
+    ends = merge.blocks(words, parsed, 4, ends=True).cache()
+    both = merge.blocks(words, parsed, 4, starts=True, ends=True).cache()
+    assert sorted(map(tuple, both.select("start_pos", "bwt", "length").collect())) != [] and both.count() >= ends.count() == spans.count()
+    for block in (4, 1 << 16):
+        assert sorted(map(tuple, merge.samples_from_blocks(ends, block=block).collect())) == sorted(map(tuple, runs.samples(rows).collect()))
+        assert sorted(map(tuple, merge.samples_from_blocks(both, True, block).collect())) == sorted(map(tuple, runs.samples(rows, True).collect()))
+    assert sorted(r.pos for r in merge.i_positions_from_blocks(both).collect()) == [p for p, _, _, o in want if o == 0]
+
+
+def test_samples_of_powers(spark):
+    """Equal rotations of one sequence, cut by its own end or not."""
+    rng = random.Random(31)
+    texts = []
+    for _ in range(8):
+        base = "".join(rng.choice("ABC") for _ in range(rng.randint(5, 9)))
+        turn = rng.randrange(len(base))
+        texts += [base * rng.randint(1, 4), (base[turn:] + base[:turn]) * rng.randint(1, 3)]
+    index = api.build(collection(spark, texts), w=4, p=10, trigger_mode="remainders", max_triggers=10, gca="samples", sample_starts=True, rle=True)
+    want = by_definition(texts)
+    rows = spark.createDataFrame(want, "pos long, bwt string, seq_id long, off long").cache()
+    assert sorted(map(tuple, index.samples.collect())) == sorted(map(tuple, runs.samples(rows, True).collect()))
+    assert sorted(r.pos for r in index.i_positions.collect()) == [p for p, _, _, o in want if o == 0]
+
+
+def test_blocks_follow_groups(spark):
+    """Starts and samples of a repetitive collection without a row for each of its rotations."""
+    rng = random.Random(32)
+    text = "".join(rng.choice("ACGT") for _ in range(3000))
+    texts = [text[:i] + "T" + text[i + 1 :] for i in range(0, 3000, 75)]
+    parts = api.segment(collection(spark, texts), 6, 20)
+    spans = merge.blocks(parts.words, parts.parsed, 6, starts=True, ends=True).cache()
+    assert spans.agg(F.sum("length")).first()[0] == 120_000
+    assert spans.count() < 12_000
+    assert spans.filter("is_start").count() == 40
 
 
 def test_inversion(spark):
