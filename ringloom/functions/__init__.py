@@ -57,9 +57,12 @@ def phrase_hash(col: Column) -> Column:
 
 
 def is_primitive(col: Column) -> Column:
-    """Whether a string is no power of a shorter one: it doesn't occur inside its own square but at both ends."""
-    inner = F.concat(F.substring(col, F.lit(2), F.length(col)), F.substring(col, F.lit(1), F.length(col) - 1))
-    return ~F.contains(inner, col)
+    """Whether a string is no power of a shorter one: no proper divisor of its length is a shift that leaves it as it is. A comparison for each divisor, of which there are few, so long strings take time in proportion to their length. An empty string isn't; a null one is null."""
+    n = F.length(col)
+    small = F.filter(F.sequence(F.lit(1), F.floor(F.sqrt(n.cast("double"))).cast("int")), lambda d: n % d == 0)
+    shifts = F.filter(F.concat(small, F.transform(small, lambda d: (n / d).cast("int"))), lambda d: d < n)
+    power = F.exists(shifts, lambda d: F.substring(col, d + 1, n - d) == F.substring(col, F.lit(1), n - d))
+    return F.when(n == 0, F.lit(False)).when(n == 1, F.lit(True)).otherwise(~power)
 
 
 def border(col: Column) -> Column:

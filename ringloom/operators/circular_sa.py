@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringloom.operators.durable import drop_table, settle
-from ringloom.operators.ranking import dense_ranks, row_numbers
+from ringloom.operators.durable import scratch, settle
+from ringloom.operators.ranking import dense_ranks, row_numbers, sums_in_order
 
 
 #: Symbols of the first windows: three rounds of doubling fewer.
@@ -16,25 +18,38 @@ CHUNK = 1 << 16
 
 
 def classes(symbols: DataFrame, symbol: str, width: int = 1, around: bool = True) -> DataFrame:
-    """(seq_id, idx, class) from (seq_id, idx, `symbol`, k): the dense rank, from 0, of the rotation of its string that starts at each place; equal rotations share it. k is the string's length, and `symbol` tells the first `width` places of the rotation. Not `around`: of the suffix that starts at each place.
+    """(seq_id, idx, class) from (seq_id, idx, `symbol`, k): how many rotations are smaller than that of its string that starts at each place; equal rotations share it. k is the string's length, and `symbol` tells the first `width` places of the rotation. Not `around`: of the suffix that starts at each place.
 
-    Ranks of windows of h symbols give ranks of windows of 2h by one join on (seq_id, idx) and a rank of distinct pairs, until no class splits any more; then none ever does. So there are at most log2(longest) + 2 rounds, each written before the next.
+    A class tells where its rotations stand, so it stays as it is once it can't split any more: when it has one member, or when its windows are so long that equal ones are equal rotations (two periods), or suffixes (all of it). Such rows leave the rounds. For the others, ranks of windows of h symbols give ranks of windows of 2h by one join on (seq_id, idx) and sums over the distinct pairs of ranks, until no class splits; then none ever does. So there are at most log2(longest) + 2 rounds, each writes the rows that were still open, and a row leaves with a round that is a few times the length of its longest repeat.
     """
-    now = settle(dense_ranks(symbols.select("seq_id", "idx", "k", symbol), [symbol], "class").select("seq_id", "idx", "k", "class"), "classes")
-    found, h = now.agg(F.max("class")).first()[0], width
-    while found is not None:
-        ahead = now.select("seq_id", (F.pmod(F.col("idx") - h, F.col("k")) if around else F.col("idx") - h).alias("idx"), F.col("class").alias("next"))
-        pairs = now.join(ahead, ["seq_id", "idx"], "inner" if around else "left").withColumnRenamed("class", "old")
-        # nothing stands before anything else
-        pairs = pairs.withColumn("next", F.coalesce("next", F.lit(-1).cast("long")))
-        after = settle(dense_ranks(pairs, ["old", "next"], "class").select("seq_id", "idx", "k", "class"), "classes")
-        most = after.agg(F.max("class")).first()[0]
-        drop_table(now)
-        now, h = after, 2 * h
-        if most == found:
-            break
-        found = most
-    return now.select("seq_id", "idx", "class")
+    spark = symbols.sparkSession
+    needs = 2 * F.col("k") if around else F.col("k") - F.col("idx")
+    ended = lambda h: (F.col("n") == 1) | (F.col("longest") <= h)
+    groups = lambda rows, keys: rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(needs).alias("longest"))
+    with scratch(spark) as keep:
+        ranked = sums_in_order(groups(symbols, [symbol]), [symbol], "n", "class")
+        placed = symbols.select("seq_id", "idx", "k", symbol).join(ranked, symbol)
+        now = keep(settle(placed.select("seq_id", "idx", "k", "class", ended(width).alias("done")), "classes"))
+        closed, h = [], width
+        while now.filter("NOT done").limit(1).count():
+            with scratch(spark) as keep_round:
+                closed.append(now.filter("done"))
+                open_ = now.filter("NOT done").select("seq_id", "idx", "k", "class")
+                ahead = F.pmod(F.col("idx") + h, F.col("k")) if around else F.col("idx") + h
+                known = reduce(DataFrame.union, [x.select("seq_id", F.col("idx").alias("ahead"), F.col("class").alias("next")) for x in (*closed, open_)])
+                pairs = open_.withColumn("ahead", ahead).join(known, ["seq_id", "ahead"], "inner" if around else "left")
+                # nothing stands before anything else
+                pairs = pairs.select("seq_id", "idx", "k", "class", F.coalesce("next", F.lit(-1).cast("long")).alias("next"))
+                ranked = sums_in_order(groups(pairs, ["class", "next"]), ["class", "next"], "n", "before")
+                parts = ranked.groupBy("class").agg(F.min("before").alias("base"), F.count(F.lit(1)).alias("parts"))
+                moved = ranked.join(parts, "class").select("class", "next", (F.col("class") + F.col("before") - F.col("base")).alias("to"), ended(2 * h).alias("done"))
+                after = keep_round(settle(pairs.join(moved, ["class", "next"]).select("seq_id", "idx", "k", F.col("to").alias("class"), "done"), "classes"))
+                split = parts.filter("parts > 1").limit(1).count()
+            keep(after)
+            now, h = after, 2 * h
+            if not split:
+                break
+        return reduce(DataFrame.union, [x.select("seq_id", "idx", "class") for x in (*closed, now)])
 
 
 def characters(seqs: DataFrame, width: int = WIDTH, around: bool = True, chunk: int = CHUNK) -> DataFrame:
@@ -56,21 +71,23 @@ def characters(seqs: DataFrame, width: int = WIDTH, around: bool = True, chunk:
 
 def sorted_rotations(seqs: DataFrame) -> DataFrame:
     """(pos, bwt, seq_id, off): what conjugates.sorted_rotations() gives, for collections of any size."""
-    chars = settle(characters(seqs), "characters")
-    placed = classes(chars.select("seq_id", "idx", "k", "window"), "window", WIDTH).join(chars, ["seq_id", "idx"])
-    rows = placed.select("class", "seq_id", F.col("idx").alias("off"), "bwt")
-    return row_numbers(rows, ["class", "seq_id", "off"], "pos").select("pos", "bwt", "seq_id", "off")
+    with scratch(seqs.sparkSession) as keep:
+        chars = settle(characters(seqs), "characters")
+        placed = classes(chars.select("seq_id", "idx", "k", "window"), "window", WIDTH).join(chars, ["seq_id", "idx"])
+        rows = placed.select("class", "seq_id", F.col("idx").alias("off"), "bwt")
+        return keep(row_numbers(rows, ["class", "seq_id", "off"], "pos")).select("pos", "bwt", "seq_id", "off")
 
 
 # ---- the parse ----
 
 
 def parse_classes(parse: DataFrame) -> DataFrame:
-    """(seq_id, idx, rank, csa_class) from (seq_id, idx, rank): the order of the rotations of each sequence of phrase ranks."""
+    """(seq_id, idx, rank, csa_class) from (seq_id, idx, rank): the order of the rotations of each sequence of phrase ranks, equal ones alike, without gaps from 0."""
     sizes = parse.groupBy("seq_id").agg(F.count(F.lit(1)).alias("k"))
     symbols = parse.select("seq_id", "idx", "rank").join(sizes, "seq_id")
-    found = classes(symbols, "rank").withColumnRenamed("class", "csa_class")
-    return parse.select("seq_id", "idx", "rank").join(found, ["seq_id", "idx"])
+    with scratch(parse.sparkSession) as keep:
+        found = dense_ranks(classes(symbols, "rank"), ["class"], "csa_class").select("seq_id", "idx", "csa_class")
+        return keep(settle(parse.select("seq_id", "idx", "rank").join(found, ["seq_id", "idx"]), "classes"))
 
 
 def parse_ebwt(placed: DataFrame) -> DataFrame:

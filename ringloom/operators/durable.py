@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,21 +28,63 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables that the innermost scratch() has seen written.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def settle(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
-    """Write `df` once as Parquet in the shared folder, packed by `codec` or as the session has it, and read it back: what follows neither recomputes it nor depends on the executors that made it."""
+    """Write `df` once as Parquet in the shared folder, packed by `codec` or as the session has it, and read it back: what follows neither recomputes it nor depends on the executors that made it. The table goes with the session at the latest."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path, compression=codec)
-    return spark.read.schema(df.schema).parquet(path)
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    file.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(file)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
+    return at(spark.read.schema(df.schema).parquet(path), path)
+
+
+def at(df: DataFrame, path: str) -> DataFrame:
+    """`df`, marked as read from the table at `path`."""
+    df.settled_at = path
+    return df
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete the tables that settle() writes inside, at its end, but for those that are handed to the function that it gives; these are left to the scratch() around it, if any."""
+    made: list[str] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.settled_at)
+        return df
+
+    token = _MADE.set(made)
+    try:
+        yield keep
+    finally:
+        _MADE.reset(token)
+        outer = _MADE.get()
+        for path in made:
+            if path not in kept:
+                _delete(spark, path)
+            elif outer is not None:
+                outer.append(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = file.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.delete(file, True)
+    system.cancelDeleteOnExit(file)
 
 
 def drop_table(df: DataFrame) -> None:
-    """Delete a table that settle() wrote and nothing reads any more."""
-    spark = df.sparkSession
-    hadoop = spark._jsc.hadoopConfiguration()
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(hadoop).delete(path, True)
+    """Delete a table that settle() wrote and nothing reads any more; or that which `df`, derived from it, reads first."""
+    path = getattr(df, "settled_at", None) or next((f.rpartition("/")[0] for f in df.inputFiles()), None)
+    if path:
+        _delete(df.sparkSession, path)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringloom.operators.circular_sa import CHUNK
-from ringloom.operators.durable import drop_table, settle
+from ringloom.operators.durable import drop_table, scratch, settle
 from ringloom.operators.ranking import row_numbers
 
 
@@ -26,35 +28,92 @@ def lf_mapping(ebwt: DataFrame) -> DataFrame:
     return row_numbers(ebwt.select("pos", "bwt"), ["bwt", "pos"], "lf").select("pos", "bwt", "lf")
 
 
-def invert(ebwt: DataFrame, starts: DataFrame) -> DataFrame:
+#: Rows that are few enough for pointer doubling as they are.
+FEW = 1 << 17
+
+
+def invert(ebwt: DataFrame, starts: DataFrame, few: int = FEW) -> DataFrame:
     """(ord, seq) from (pos, bwt) and (pos) of the sequences' own rotations: the sequences in the order of `starts`.
 
-    From each start, the mapping walks its sequence backwards. Each place learns its start and distance by pointer doubling: in log2(longest) + 1 rounds, each a join on the place it points to. Sequences must be primitive; each is one row in the end, which Spark holds to 2 GB.
+    From each start, the mapping walks its sequence backwards. Each place learns its start and distance by list ranking: ranked(). Sequences must be primitive; each is one row in the end, which Spark holds to 2 GB.
     """
-    lf = lf_mapping(ebwt)
-    heads = starts.select(F.col("pos").alias("start"))
-    steps = lf.select(F.col("lf").alias("pos"), F.col("pos").alias("jump")).join(heads, F.col("pos") == F.col("start"), "left")
-    is_head = F.col("start").isNotNull()
-    now = settle(
-        steps.select("pos", F.when(is_head, F.col("pos")).otherwise(F.col("jump")).alias("jump"), F.when(is_head, 0).otherwise(1).cast("long").alias("dist"), is_head.alias("done")),
-        "jumps",
-    )
-    rounds = 0
+    spark = ebwt.sparkSession
+    with scratch(spark) as keep:
+        lf = settle(lf_mapping(ebwt), "mapping")
+        heads = settle(starts.select("pos").distinct(), "heads")
+        placed = ranked(lf.select("pos", F.col("lf").alias("prev")), heads, few)
+        texts = _joined(placed.join(lf.select("pos", "bwt"), "pos").select("head", (-F.col("dist")).alias("place"), "bwt"), "head")
+        return keep(row_numbers(texts, ["head"], "ord")).select("ord", "seq")
+
+
+#: No place.
+NONE = -1
+
+
+def ranked(lists: DataFrame, heads: DataFrame, few: int = FEW) -> DataFrame:
+    """(pos, head, dist) from (pos, prev), a permutation, and (pos) of `heads`, one in each of its cycles: which head a place comes to, against `prev`, and in how many steps. A cycle without a head is an error.
+
+    Places whose hash is smaller than that of both neighbours, a third, leave the lists; their neighbours are joined across the gap. So rows fall to two thirds a round, and all rounds together shuffle a few times as many rows as there are places, however long the lists are. What is left in the end is ranked by pointer doubling; then places come back round by round, each from the neighbour that it left.
+    """
+    spark = lists.sparkSession
+    end = F.lit(NONE).cast("long")
+    with scratch(spark) as keep:
+        follow = lists.select(F.col("prev").alias("pos"), F.col("pos").alias("next"))
+        held = lists.join(follow, "pos").join(heads.withColumnRenamed("pos", "head"), F.col("pos") == F.col("head"), "left")
+        held = held.join(heads.withColumnRenamed("pos", "to"), F.col("prev") == F.col("to"), "left")
+        # lists end at heads, and begin before them
+        is_head = F.col("head").isNotNull()
+        now = settle(
+            held.select(
+                "pos", F.when(is_head, end).otherwise(F.col("next")).alias("next"), F.when(F.col("to").isNotNull(), end).otherwise(F.col("prev")).alias("prev"),
+                F.when(is_head, 0).otherwise(1).cast("long").alias("step"),
+            ),
+            "lists",
+        )
+        gone: list[DataFrame] = []
+        open_ = now.filter("next >= 0").count()
+        while open_ > few:
+            drawn = lambda c, i=len(gone): F.xxhash64(c, F.lit(i))
+            low = (F.col("next") >= 0) & (drawn("pos") < drawn("next")) & ((F.col("prev") < 0) | (drawn("pos") < drawn("prev")))
+            marked = settle(now.withColumn("gone", low), "lists")
+            out = marked.filter("gone")
+            none = F.lit(None).cast("long")
+            told = marked.filter("NOT gone").select("pos", "next", "prev", "step", none.alias("next2"), none.alias("more"), none.alias("prev2"))
+            told = told.union(out.filter("prev >= 0").select(F.col("prev").alias("pos"), none, none, none, "next", "step", none))
+            told = told.union(out.select(F.col("next").alias("pos"), none, none, none, none, none, "prev"))
+            met = told.groupBy("pos").agg(*[F.max(c).alias(c) for c in told.columns[1:]])
+            after = settle(
+                met.select("pos", F.coalesce("next2", "next").alias("next"), F.coalesce("prev2", "prev").alias("prev"), (F.col("step") + F.coalesce("more", F.lit(0))).alias("step")), "lists"
+            )
+            drop_table(now)
+            left = after.filter("next >= 0").count()
+            gone.append(out.select("pos", "next", "step"))
+            now = after
+            if left == open_:
+                break
+            open_ = left
+        found = [_doubled(now)]
+        for out in reversed(gone):
+            known = reduce(DataFrame.union, found).select(F.col("pos").alias("next"), "head", "dist")
+            found.append(settle(out.join(known, "next").select("pos", "head", (F.col("dist") + F.col("step")).alias("dist")), "ranked"))
+        return keep(settle(reduce(DataFrame.union, found), "ranked"))
+
+
+def _doubled(lists: DataFrame) -> DataFrame:
+    """(pos, head, dist) of (pos, next, step) by pointer doubling. Places that have come to their head leave the rounds."""
+    start = lists.select("pos", F.when(F.col("next") < 0, F.col("pos")).otherwise(F.col("next")).alias("head"), F.col("step").alias("dist"), (F.col("next") < 0).alias("done"))
+    now, closed, rounds = settle(start, "jumps"), [], 0
+    most = now.count().bit_length()
     while now.filter("NOT done").limit(1).count():
-        if rounds > 64:
+        if rounds > most:
             raise ValueError("a cycle has no start")
-        to = now.select(F.col("pos").alias("jump"), F.col("jump").alias("jump2"), F.col("dist").alias("dist2"), F.col("done").alias("done2"))
-        after = settle(
-            now.filter("NOT done").join(to, "jump").select(
-                "pos", F.col("jump2").alias("jump"), (F.col("dist") + F.col("dist2")).alias("dist"), F.col("done2").alias("done")
-            ).union(now.filter("done")),
-            "jumps",
-        )
-        drop_table(now)
-        now, rounds = after, rounds + 1
-    symbols = now.join(ebwt.select("pos", "bwt"), "pos")
-    texts = _joined(symbols.select(F.col("jump").alias("head"), (-F.col("dist")).alias("place"), "bwt"), "head")
-    return row_numbers(texts, ["head"], "ord").select("ord", "seq")
+        closed.append(now.filter("done"))
+        known = reduce(DataFrame.union, [*closed, now.filter("NOT done")])
+        known = known.select(F.col("pos").alias("head"), F.col("head").alias("head2"), F.col("dist").alias("dist2"), F.col("done").alias("done2"))
+        met = now.filter("NOT done").join(known, "head")
+        now = settle(met.select("pos", F.col("head2").alias("head"), (F.col("dist") + F.col("dist2")).alias("dist"), F.col("done2").alias("done")), "jumps")
+        rounds += 1
+    return reduce(DataFrame.union, [*closed, now]).select("pos", "head", "dist")
 
 
 def _joined(symbols: DataFrame, name: str, chunk: int = CHUNK) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringloom.operators.circular_sa import WIDTH, characters, classes, parse_classes
-from ringloom.operators.durable import settle
+from ringloom.operators.durable import scratch, settle
 from ringloom.operators.ranking import row_numbers, sums_before
 
 
@@ -34,7 +34,7 @@ def easy_blocks(groups: DataFrame) -> DataFrame:
 
 def occurrences(parsed: DataFrame) -> DataFrame:
     """(rank, csa_class, seq_id, end_pos, len): each occurrence of a phrase, and the class of the parse rotation that follows it."""
-    placed = settle(parse_classes(parsed), "parse")
+    placed = parse_classes(parsed)
     sizes = parsed.groupBy("seq_id").agg(F.count(F.lit(1)).alias("k"))
     follow = placed.join(sizes, "seq_id").select("seq_id", F.pmod(F.col("idx") - 1, F.col("k")).alias("idx"), "csa_class")
     return parsed.join(follow, ["seq_id", "idx"]).select("rank", "csa_class", "seq_id", "end_pos", "len")
@@ -56,7 +56,7 @@ def hard_groups(suffixes: DataFrame, occurring: DataFrame) -> DataFrame:
 
 
 def placed_suffixes(words: DataFrame, w: int) -> DataFrame:
-    """(rank, off, suffix_len, bwt, occ, group): what dict_suffixes() gives, with the rank of each suffix among all distinct ones in place of the suffix. Phrases are ordered symbol by symbol, by prefix doubling, so the work is linear in the dictionary but for a logarithm, and no suffix is spelt out."""
+    """(rank, off, suffix_len, bwt, occ, group): what dict_suffixes() gives, with how many suffixes are smaller in place of the suffix. Phrases are ordered symbol by symbol, by prefix doubling, so the work is linear in the dictionary but for a logarithm, and no suffix is spelt out."""
     chars = settle(characters(words.select(F.col("rank").alias("seq_id"), F.col("phrase").alias("seq")), around=False), "phrases")
     placed = classes(chars.select("seq_id", "idx", "k", "window"), "window", WIDTH, around=False).join(chars.drop("window"), ["seq_id", "idx"])
     rows = placed.filter((F.col("idx") > 0) & (F.col("k") - F.col("idx") >= w)).join(words.select(F.col("rank").alias("seq_id"), "occ"), "seq_id")
@@ -65,8 +65,9 @@ def placed_suffixes(words: DataFrame, w: int) -> DataFrame:
 
 def sorted_rotations(words: DataFrame, parsed: DataFrame, w: int) -> DataFrame:
     """(pos, bwt, seq_id, off) of all rotations: by suffix, then by the class of what follows; equal rotations by sequence and offset. No valid suffix is a proper prefix of another, so this is omega-order."""
-    rows = expanded(placed_suffixes(words, w), occurrences(parsed), "group")
-    return row_numbers(rows, ["group", "csa_class", "seq_id", "off"], "pos").select("pos", "bwt", "seq_id", "off")
+    with scratch(words.sparkSession) as keep:
+        rows = expanded(placed_suffixes(words, w), occurrences(parsed), "group")
+        return keep(row_numbers(rows, ["group", "csa_class", "seq_id", "off"], "pos")).select("pos", "bwt", "seq_id", "off")
 
 
 def start_suffixes(words: DataFrame, parsed: DataFrame, w: int) -> DataFrame:
@@ -101,25 +102,26 @@ def blocks(words: DataFrame, parsed: DataFrame, w: int, starts: bool = False, en
 
     With `ends`, also first_seq, first_off, last_seq and last_off, the rotations at both ends of a block. With `starts`, groups in which a sequence starts are expanded too, and is_start tells the blocks, of one rotation, that are a sequence's own.
     """
-    suffixes = settle(placed_suffixes(words, w), "suffixes")
-    groups = settle(suffix_groups(suffixes, "group"), "groups")
-    spread = groups.filter("symbols > 1").select("group")
-    if starts:
-        spread = spread.union(suffixes.join(start_suffixes(words, parsed, w), ["rank", "suffix_len"]).select("group")).distinct()
-    occurring = settle(occurrences(parsed), "occurrences")
-    none = F.lit(None).cast("struct<csa_class: bigint, seq_id: bigint, off: bigint>")
-    whole = groups.join(spread, "group", "left_anti")
-    whole = whole.join(group_ends(suffixes, occurring), "group") if ends else whole.withColumns({"low": none, "high": none})
-    zero = F.lit(0).cast("long")
-    key = ("group", "csa_class", "seq_id", "off")
-    easy = whole.select("group", *[zero.alias(c) for c in key[1:]], "bwt", F.col("occ").alias("length"), "low", "high", F.lit(False).alias("is_start"))
-    own = F.struct("csa_class", "seq_id", "off")
-    rows = expanded(suffixes.join(spread, "group", "left_semi"), occurring, "group").select(
-        *key, "bwt", F.lit(1).cast("long").alias("length"), own.alias("low"), own.alias("high"), (F.col("off") == 0).alias("is_start")
-    )
-    numbered = settle(row_numbers(easy.union(rows), list(key), "nth"), "blocks")
-    shown = [F.col(f"{x}.{c}").alias(f"{y}_{n}") for x, y in (("low", "first"), ("high", "last")) for c, n in (("seq_id", "seq"), ("off", "off"))] if ends else []
-    return _started(numbered).select("start_pos", "bwt", "length", *shown, *(["is_start"] if starts else []))
+    with scratch(words.sparkSession) as keep:
+        suffixes = settle(placed_suffixes(words, w), "suffixes")
+        groups = settle(suffix_groups(suffixes, "group"), "groups")
+        spread = groups.filter("symbols > 1").select("group")
+        if starts:
+            spread = spread.union(suffixes.join(start_suffixes(words, parsed, w), ["rank", "suffix_len"]).select("group")).distinct()
+        occurring = settle(occurrences(parsed), "occurrences")
+        none = F.lit(None).cast("struct<csa_class: bigint, seq_id: bigint, off: bigint>")
+        whole = groups.join(spread, "group", "left_anti")
+        whole = whole.join(group_ends(suffixes, occurring), "group") if ends else whole.withColumns({"low": none, "high": none})
+        zero = F.lit(0).cast("long")
+        key = ("group", "csa_class", "seq_id", "off")
+        easy = whole.select("group", *[zero.alias(c) for c in key[1:]], "bwt", F.col("occ").alias("length"), "low", "high", F.lit(False).alias("is_start"))
+        own = F.struct("csa_class", "seq_id", "off")
+        rows = expanded(suffixes.join(spread, "group", "left_semi"), occurring, "group").select(
+            *key, "bwt", F.lit(1).cast("long").alias("length"), own.alias("low"), own.alias("high"), (F.col("off") == 0).alias("is_start")
+        )
+        numbered = keep(row_numbers(easy.union(rows), list(key), "nth"))
+        shown = [F.col(f"{x}.{c}").alias(f"{y}_{n}") for x, y in (("low", "first"), ("high", "last")) for c, n in (("seq_id", "seq"), ("off", "off"))] if ends else []
+        return _started(numbered).select("start_pos", "bwt", "length", *shown, *(["is_start"] if starts else []))
 
 
 def _started(numbered: DataFrame, block: int = 1 << 16) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringloom.functions import PLAIN_PRIME, REMAINDER_PRIME, is_primitive, primes_for, string_hash
-from ringloom.operators.durable import settle
+from ringloom.operators.durable import scratch, settle
 
 
 def ring_hashes(codes: np.ndarray, w: int, prime: int) -> np.ndarray:
@@ -44,12 +44,11 @@ def window_hashes(seqs: DataFrame, w: int, prime: int = PLAIN_PRIME) -> DataFram
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for seq_id, seq in zip(batch.column("seq_id").to_pylist(), batch.column("seq").to_pylist(), strict=True):
-                if len(seq) >= w:
-                    h = ring_hashes(codes_of(seq), w, prime)
+                for start, h in hash_pieces(codes_of(seq), w, prime):
                     for at in range(0, len(h), 100_000):
                         part = h[at : at + 100_000]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(part), seq_id)), pa.array(np.arange(at, at + len(part))), pa.array(part)], ["seq_id", "end_pos", "hash"]
+                            [pa.array(np.full(len(part), seq_id)), pa.array(np.arange(start + at, start + at + len(part))), pa.array(part)], ["seq_id", "end_pos", "hash"]
                         )
 
     return seqs.select("seq_id", "seq").mapInArrow(hashed, "seq_id long, end_pos long, hash long")
@@ -64,14 +63,19 @@ def trigger_positions(seqs: DataFrame, w: int, p: int, primes=(PLAIN_PRIME,), re
 PIECE = 1 << 20
 
 
-def trigger_mask(codes: np.ndarray, w: int, p: int, primes, remainders) -> np.ndarray:
-    """Which places end a window that is a trigger."""
+def hash_pieces(codes: np.ndarray, w: int, prime: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(at, hashes) of the windows that end at the places from `at` on, a piece after the other; none if there are fewer than w places."""
     n = len(codes)
-    hit = np.zeros(n, bool)
     for at in range(0, n if n >= w else 0, PIECE):
-        part = codes.take(np.arange(at - w + 1, min(n, at + PIECE)), mode="wrap")
-        for prime in primes:
-            rest = ring_hashes(part, w, prime)[w - 1 :] % p
+        yield at, ring_hashes(codes.take(np.arange(at - w + 1, min(n, at + PIECE)), mode="wrap"), w, prime)[w - 1 :]
+
+
+def trigger_mask(codes: np.ndarray, w: int, p: int, primes, remainders) -> np.ndarray:
+    """Which places end a window that is a trigger."""
+    hit = np.zeros(len(codes), bool)
+    for prime in primes:
+        for at, h in hash_pieces(codes, w, prime):
+            rest = h % p
             hit[at : at + PIECE] |= rest == remainders[0] if len(remainders) == 1 else np.isin(rest, remainders)
     return hit
 
@@ -108,9 +112,12 @@ def remainder_histogram(seqs: DataFrame, w: int, p: int, prime: int = REMAINDER_
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for seq_id, seq in zip(batch.column("seq_id").to_pylist(), batch.column("seq").to_pylist(), strict=True):
-                if len(seq) >= w:
-                    r, n = np.unique(ring_hashes(codes_of(seq), w, prime) % p, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), seq_id)), pa.array(r), pa.array(n.astype(np.int64))], ["seq_id", "remainder", "n"])
+                n = np.zeros(p, np.int64)
+                for _, h in hash_pieces(codes_of(seq), w, prime):
+                    n += np.bincount(h % p, minlength=p)
+                r = np.flatnonzero(n)
+                if len(r):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), seq_id)), pa.array(r), pa.array(n[r])], ["seq_id", "remainder", "n"])
 
     return seqs.select("seq_id", "seq").mapInArrow(counted, "seq_id long, remainder long, n long")
 
@@ -121,30 +128,32 @@ def select_primes(seqs: DataFrame, w: int, p: int, most: int, drop_nonprimitive:
     The chosen set only grows, so the next sequence that changes it is the first one left unserved: one row a round reaches the driver.
     """
     usable = seqs.filter(is_primitive(F.col("seq"))) if drop_nonprimitive else seqs
-    masks = settle(prime_masks(usable, w, p).filter("mask > 0"), "masks")
-    chosen = [0]
-    while len(chosen) < most:
-        have = sum(1 << i for i in chosen)
-        first = masks.filter(F.col("mask").bitwiseAND(F.lit(have)) == 0).agg(F.min_by("mask", "seq_id")).first()[0]
-        if first is None:
-            break
-        chosen.append((first & -first).bit_length() - 1)
+    with scratch(seqs.sparkSession):
+        masks = settle(prime_masks(usable, w, p).filter("mask > 0"), "masks")
+        chosen = [0]
+        while len(chosen) < most:
+            have = sum(1 << i for i in chosen)
+            first = masks.filter(F.col("mask").bitwiseAND(F.lit(have)) == 0).agg(F.min_by("mask", "seq_id")).first()[0]
+            if first is None:
+                break
+            chosen.append((first & -first).bit_length() - 1)
     return chosen
 
 
 def select_remainders(seqs: DataFrame, w: int, p: int, most: int, drop_nonprimitive: bool = False) -> list[int]:
     """Remainders chosen, in the order chosen: 0, then, for the first sequence that has none of those chosen, its rarest one, the smallest of equally rare ones, until `most` are chosen."""
     usable = seqs.filter(is_primitive(F.col("seq"))) if drop_nonprimitive else seqs
-    counts = settle(remainder_histogram(usable, w, p), "remainders")
-    chosen = [0]
-    while len(chosen) < most:
-        per = counts.groupBy("seq_id").agg(
-            F.max(F.col("remainder").isin(chosen)).alias("served"), F.min(F.struct("n", "remainder")).alias("rarest")
-        )
-        first = per.filter("NOT served").agg(F.min_by("rarest.remainder", "seq_id")).first()[0]
-        if first is None:
-            break
-        chosen.append(first)
+    with scratch(seqs.sparkSession):
+        counts = settle(remainder_histogram(usable, w, p), "remainders")
+        chosen = [0]
+        while len(chosen) < most:
+            per = counts.groupBy("seq_id").agg(
+                F.max(F.col("remainder").isin(chosen)).alias("served"), F.min(F.struct("n", "remainder")).alias("rarest")
+            )
+            first = per.filter("NOT served").agg(F.min_by("rarest.remainder", "seq_id")).first()[0]
+            if first is None:
+                break
+            chosen.append(first)
     return chosen
 
 

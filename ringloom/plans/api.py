@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringloom.functions import PLAIN_PRIME, REMAINDER_PRIME, is_primitive, primes_for
 from ringloom.operators import circular_sa, inverse, merge, phrases, runs, triggers
-from ringloom.operators.durable import settle
+from ringloom.operators.durable import drop_table, scratch, settle
 
 
 @dataclass
@@ -35,6 +35,13 @@ class Index:
     samples: DataFrame | None
     info: DataFrame
     filtered: DataFrame | None
+    #: The tables that the relations are read from.
+    made: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Delete the tables that the relations are read from, which otherwise go with the session."""
+        for table in self.made:
+            drop_table(table)
 
     def invert(self) -> DataFrame:
         """(ord, seq): the sequences back from the transform, plain or run-length encoded."""
@@ -62,11 +69,12 @@ def segment(
         primes, remainders = (REMAINDER_PRIME,), tuple(triggers.select_remainders(seqs, w, p, max_triggers, drop_nonprimitive))
     elif trigger_mode != "plain":
         raise ValueError(f"unknown trigger_mode {trigger_mode!r}")
-    left_out = settle(triggers.filtered(seqs, w, p, primes, remainders, drop_nonprimitive), "filtered")
-    used = seqs.join(left_out.select("seq_id"), "seq_id", "left_anti")
-    found = settle(phrases.phrases(used, w, p, primes, remainders), "phrases")
-    words = settle(phrases.dictionary(found), "dictionary")
-    return Parse(words, settle(phrases.parse(found, words), "parse"), left_out, w, primes, remainders)
+    with scratch(seqs.sparkSession) as keep:
+        left_out = keep(settle(triggers.filtered(seqs, w, p, primes, remainders, drop_nonprimitive), "filtered"))
+        used = seqs.join(left_out.select("seq_id"), "seq_id", "left_anti")
+        found = settle(phrases.phrases(used, w, p, primes, remainders), "phrases")
+        words = keep(settle(phrases.dictionary(found), "dictionary"))
+        return Parse(words, keep(settle(phrases.parse(found, words), "parse")), left_out, w, primes, remainders)
 
 
 def build(
@@ -91,40 +99,35 @@ def build(
         raise ValueError(f"unknown gca {gca!r}")
     if method not in ("parse", "doubling"):
         raise ValueError(f"unknown method {method!r}")
-    left_out = None
-    ordered = None
-    if method == "doubling":
-        if drop_nonprimitive:
-            left_out = seqs.filter(~is_primitive(F.col("seq"))).select("seq_id", "seq", F.lit("not primitive").alias("reason"))
-            seqs = seqs.filter(is_primitive(F.col("seq")))
-        ordered = settle(circular_sa.sorted_rotations(seqs), "rotations")
-    else:
-        parts = segment(seqs, w, p, trigger_mode, max_triggers, drop_nonprimitive)
-        left_out = parts.filtered
-        if not allow_filtered and left_out.filter("reason = 'no trigger'").limit(1).count():
-            raise ValueError("some sequences have no trigger; use several triggers, method='doubling', or allow_filtered")
-        seqs = seqs.join(left_out.select("seq_id"), "seq_id", "left_anti")
-        if gca != "full":
-            sampled, marked = gca == "samples", starts or sample_starts
-            spans = settle(merge.blocks(parts.words, parts.parsed, w, starts=marked, ends=sampled), "blocks")
-            found = settle(merge.rle_from_blocks(spans), "runs")
-            return Index(
-                ebwt=None if rle else merge.ebwt_from_blocks(spans),
-                rle=found if rle else None,
-                i_positions=merge.i_positions_from_blocks(spans) if starts else None,
-                gca=None,
-                samples=merge.samples_from_blocks(spans, sample_starts) if sampled else None,
-                info=runs.info(found, seqs),
-                filtered=left_out,
-            )
-        ordered = settle(merge.sorted_rotations(parts.words, parts.parsed, w), "rotations")
-    found = settle(runs.rle(ordered), "runs")
-    return Index(
-        ebwt=None if rle else ordered.select("pos", "bwt"),
-        rle=found if rle else None,
-        i_positions=runs.i_positions(ordered) if starts else None,
-        gca=runs.gca(ordered) if gca == "full" else None,
-        samples=runs.samples(ordered, sample_starts) if gca == "samples" else None,
-        info=runs.info(found, seqs),
-        filtered=left_out,
-    )
+    with scratch(seqs.sparkSession) as keep:
+        if method == "doubling":
+            left_out = None
+            if drop_nonprimitive:
+                left_out = seqs.filter(~is_primitive(F.col("seq"))).select("seq_id", "seq", F.lit("not primitive").alias("reason"))
+                seqs = seqs.filter(is_primitive(F.col("seq")))
+            made = [settle(circular_sa.sorted_rotations(seqs), "rotations")]
+        else:
+            parts = segment(seqs, w, p, trigger_mode, max_triggers, drop_nonprimitive)
+            left_out = parts.filtered
+            if not allow_filtered and left_out.filter("reason = 'no trigger'").limit(1).count():
+                raise ValueError("some sequences have no trigger; use several triggers, method='doubling', or allow_filtered")
+            seqs = seqs.join(left_out.select("seq_id"), "seq_id", "left_anti")
+            if gca == "full":
+                made = [left_out, settle(merge.sorted_rotations(parts.words, parts.parsed, w), "rotations")]
+            else:
+                made = [left_out, settle(merge.blocks(parts.words, parts.parsed, w, starts=starts or sample_starts, ends=gca == "samples"), "blocks")]
+        rows, in_blocks = made[-1], method == "parse" and gca != "full"
+        made.append(settle(merge.rle_from_blocks(rows) if in_blocks else runs.rle(rows), "runs"))
+        index = Index(
+            ebwt=None if rle else merge.ebwt_from_blocks(rows) if in_blocks else rows.select("pos", "bwt"),
+            rle=made[-1] if rle else None,
+            i_positions=None if not starts else merge.i_positions_from_blocks(rows) if in_blocks else runs.i_positions(rows),
+            gca=runs.gca(rows) if gca == "full" else None,
+            samples=None if gca != "samples" else merge.samples_from_blocks(rows, sample_starts) if in_blocks else runs.samples(rows, sample_starts),
+            info=runs.info(made[-1], seqs),
+            filtered=left_out,
+            made=made,
+        )
+        for table in made:
+            keep(table)
+        return index

@@ -1,10 +1,12 @@
 """Rotations, runs, parsing, the merge and inversion against definitions in plain Python."""
 
+import itertools
 import random
+import time
 
 import pytest
 
-from ringloom.operators import borders, circular_sa, conjugates, inverse, merge, phrases, ranking, runs, triggers
+from ringloom.operators import borders, circular_sa, conjugates, durable, inverse, merge, phrases, ranking, runs, triggers
 from ringloom.functions import PHRASE_PRIME, PLAIN_PRIME, PRIMES, REMAINDER_PRIME, border, is_primitive, string_hash
 from ringloom.plans import api
 from pyspark.sql import functions as F
@@ -129,6 +131,91 @@ def test_inversion(spark):
     assert sorted(map(tuple, inverse.invert_gca(rows).collect())) == list(enumerate(texts))
 
 
+@pytest.mark.parametrize("few", [0, 50])
+def test_list_ranking(spark, few):
+    rng = random.Random(few)
+    places = list(range(400))
+    rng.shuffle(places)
+    lists = [places[:1], places[1:3], places[3:60], places[60:]]
+    prev = [(x, c[i - 1]) for c in lists for i, x in enumerate(c)]
+    heads = [c[0] for c in lists]
+    want = sorted((x, c[0], (len(c) - i) % len(c)) for c in lists for i, x in enumerate(c))
+    df = spark.createDataFrame(prev, "pos long, prev long").repartition(3)
+    got = inverse.ranked(df, spark.createDataFrame([(h,) for h in heads], "pos long"), few)
+    # a place comes to its head by the places that have it as prev
+    assert sorted(map(tuple, got.collect())) == want
+    with pytest.raises(ValueError, match="no start"):
+        inverse.ranked(df, spark.createDataFrame([(h,) for h in heads[:3]], "pos long"), few)
+
+
+def test_rows_of_ranking_follow_places(spark, monkeypatch):
+    """The rows that all rounds of list ranking write are a few times the places, however long the lists are."""
+    written = {}
+    for n in (500, 5000):
+        df = spark.range(n).select(F.col("id").alias("pos"), F.pmod(F.col("id") + 1, F.lit(n)).alias("prev"))
+        tables = {}
+        monkeypatch.setattr(inverse, "drop_table", lambda t: tables.setdefault(t.settled_at, t.count()))
+        inverse.ranked(df, spark.range(1).select(F.col("id").alias("pos")), 20).count()
+        written[n] = sum(tables.values()) / n
+        monkeypatch.undo()
+    assert written[5000] < 4 and abs(written[5000] - written[500]) < 1
+
+
+def test_closed_rows_leave_the_rounds(spark, monkeypatch):
+    rng = random.Random(41)
+    texts = ["".join(rng.choice("ACGT") for _ in range(4000)), "ACGT" * 30]
+    texts.append(texts[0][100:140] + "".join(rng.choice("ACGT") for _ in range(500)))
+    sizes = []
+
+    def settle(df, name, f=circular_sa.settle):
+        out = f(df, name)
+        if name == "classes":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(circular_sa, "settle", settle)
+    assert sorted(map(tuple, circular_sa.sorted_rotations(collection(spark, texts)).collect())) == by_definition(texts)
+    assert sizes[0] == sum(map(len, texts)) and all(b <= a for a, b in zip(sizes, sizes[1:], strict=False)) and sizes[2] < 0.1 * sizes[0]
+
+
+def test_used_up_tables_go(spark, tmp_path, monkeypatch):
+    def there():
+        return {f.name.rpartition("-")[0] for f in tmp_path.iterdir()}
+
+    monkeypatch.setattr(durable, "shared_dir", lambda spark: f"file://{tmp_path}")
+    seqs = collection(spark, ["BANANA", "ABRACADABRA" * 3 + "X", "A", "BANANA", "CAB"])
+    rows = circular_sa.sorted_rotations(seqs)
+    assert there() == {"ranges"}
+    rows.count()
+    durable.drop_table(rows)
+    assert there() == set()
+    index = api.build(seqs, method="doubling", gca="samples")
+    assert there() == {"rotations", "runs"}
+    back = index.invert()
+    assert there() == {"rotations", "runs", "ranges"} and back.count() == 5
+    durable.drop_table(back)
+    index.release()
+    assert there() == set()
+    index = api.build(seqs, w=4, p=10, trigger_mode="remainders", max_triggers=10, gca="samples", allow_filtered=True)
+    assert there() == {"filtered", "blocks", "runs"}
+    assert index.ebwt.count() == index.info.first().ebwt_length
+    index.release()
+    assert there() == set()
+
+
+def test_long_powers(spark):
+    """In time that follows the length."""
+    texts = ["A" * 400_000 + "C", "AC" * 200_000, "A" * 400_000, "ACGTT" * 80_000 + "A", "AB" * 65_536, "é漢" * 9, "é漢" * 9 + "é"]
+    rows = spark.createDataFrame([(t,) for t in texts], "s string").coalesce(1)
+    start = time.monotonic()
+    assert [r.p for r in rows.select(is_primitive(F.col("s")).alias("p")).collect()] == [True, False, False, True, False, False, True]
+    assert time.monotonic() - start < 20
+    some = ["", None, *("".join(c) for n in range(1, 9) for c in itertools.product("AB", repeat=n))]
+    rows = spark.createDataFrame([(t,) for t in some], "s string")
+    want = {t: None if t is None else bool(t) and (t + t).find(t, 1) == len(t) for t in some}
+    assert {r.s: r.p for r in rows.select("s", is_primitive(F.col("s")).alias("p")).collect()} == want
+
+
 def test_primitive_and_border(spark):
     table = [("A", True, 0), ("AAAA", False, 3), ("ABAB", False, 2), ("ABABA", True, 3), ("ABCABD", True, 0)]
     rows = spark.createDataFrame(table, "s string, p boolean, b int")
