@@ -29,7 +29,7 @@ def lf_mapping(ebwt: DataFrame) -> DataFrame:
 
 
 #: Rows that are few enough for pointer doubling as they are.
-FEW = 1 << 17
+FEW = 1 << 22
 
 
 def invert(ebwt: DataFrame, starts: DataFrame, few: int = FEW) -> DataFrame:
@@ -51,52 +51,45 @@ NONE = -1
 
 
 def ranked(lists: DataFrame, heads: DataFrame, few: int = FEW) -> DataFrame:
-    """(pos, head, dist) from (pos, prev), a permutation, and (pos) of `heads`, one in each of its cycles: which head a place comes to, against `prev`, and in how many steps. A cycle without a head is an error.
+    """(pos, head, dist) from the settled (pos, prev), a permutation, and (pos) of the settled `heads`, one in each of its cycles: which head a place comes to, against `prev`, and in how many steps. A cycle without a head is an error.
 
-    Places whose hash is smaller than that of both neighbours, a third, leave the lists; their neighbours are joined across the gap. So rows fall to two thirds a round, and all rounds together shuffle a few times as many rows as there are places, however long the lists are. What is left in the end is ranked by pointer doubling; then places come back round by round, each from the neighbour that it left.
+    Places whose hash is smaller than that of both neighbours, a third, leave the lists; their neighbours are joined across the gap. So rows fall to two thirds a round, and all rounds together shuffle a few times as many rows as there are places, however long the lists are. The last `few` are ranked by pointer doubling; then places come back round by round, each from the neighbour that it left.
     """
-    spark = lists.sparkSession
     end = F.lit(NONE).cast("long")
-    with scratch(spark) as keep:
-        follow = lists.select(F.col("prev").alias("pos"), F.col("pos").alias("next"))
-        held = lists.join(follow, "pos").join(heads.withColumnRenamed("pos", "head"), F.col("pos") == F.col("head"), "left")
-        held = held.join(heads.withColumnRenamed("pos", "to"), F.col("prev") == F.col("to"), "left")
-        # lists end at heads, and begin before them
-        is_head = F.col("head").isNotNull()
-        now = settle(
-            held.select(
-                "pos", F.when(is_head, end).otherwise(F.col("next")).alias("next"), F.when(F.col("to").isNotNull(), end).otherwise(F.col("prev")).alias("prev"),
-                F.when(is_head, 0).otherwise(1).cast("long").alias("step"),
-            ),
-            "lists",
-        )
-        gone: list[DataFrame] = []
-        open_ = now.filter("next >= 0").count()
-        while open_ > few:
-            drawn = lambda c, i=len(gone): F.xxhash64(c, F.lit(i))
-            low = (F.col("next") >= 0) & (drawn("pos") < drawn("next")) & ((F.col("prev") < 0) | (drawn("pos") < drawn("prev")))
-            marked = settle(now.withColumn("gone", low), "lists")
-            out = marked.filter("gone")
-            none = F.lit(None).cast("long")
-            told = marked.filter("NOT gone").select("pos", "next", "prev", "step", none.alias("next2"), none.alias("more"), none.alias("prev2"))
-            told = told.union(out.filter("prev >= 0").select(F.col("prev").alias("pos"), none, none, none, "next", "step", none))
-            told = told.union(out.select(F.col("next").alias("pos"), none, none, none, none, none, "prev"))
-            met = told.groupBy("pos").agg(*[F.max(c).alias(c) for c in told.columns[1:]])
-            after = settle(
-                met.select("pos", F.coalesce("next2", "next").alias("next"), F.coalesce("prev2", "prev").alias("prev"), (F.col("step") + F.coalesce("more", F.lit(0))).alias("step")), "lists"
-            )
-            drop_table(now)
-            left = after.filter("next >= 0").count()
-            gone.append(out.select("pos", "next", "step"))
-            now = after
-            if left == open_:
-                break
-            open_ = left
-        found = [_doubled(now)]
-        for out in reversed(gone):
-            known = reduce(DataFrame.union, found).select(F.col("pos").alias("next"), "head", "dist")
-            found.append(settle(out.join(known, "next").select("pos", "head", (F.col("dist") + F.col("step")).alias("dist")), "ranked"))
-        return keep(settle(reduce(DataFrame.union, found), "ranked"))
+    # lists end at heads, and begin before them
+    is_head = F.col("head").isNotNull()
+    now = lists.select(F.col("prev").alias("pos"), F.col("pos").alias("next")).join(heads.withColumnRenamed("pos", "head"), F.col("pos") == F.col("head"), "left")
+    now = now.select("pos", F.when(is_head, end).otherwise(F.col("next")).alias("next"), F.when(is_head, 0).otherwise(1).cast("long").alias("step"))
+    gone: list[DataFrame] = []
+    open_ = lists.count()
+    if open_ > few:
+        back = lists.join(heads.withColumnRenamed("pos", "to"), F.col("prev") == F.col("to"), "left")
+        back = back.select("pos", F.when(F.col("to").isNotNull(), end).otherwise(F.col("prev")).alias("prev"))
+        now = settle(now.join(back, "pos"), "lists")
+    while open_ > few:
+        drawn = lambda c, i=len(gone): F.xxhash64(c, F.lit(i))
+        low = (F.col("next") >= 0) & (drawn("pos") < drawn("next")) & ((F.col("prev") < 0) | (drawn("pos") < drawn("prev")))
+        marked = settle(now.withColumn("gone", low), "lists")
+        out = marked.filter("gone")
+        none = F.lit(None).cast("long")
+        told = marked.filter("NOT gone").select("pos", "next", "step", "prev", none.alias("next2"), none.alias("more"), none.alias("prev2"))
+        told = told.union(out.filter("prev >= 0").select(F.col("prev").alias("pos"), none, none, none, "next", "step", none))
+        told = told.union(out.select(F.col("next").alias("pos"), none, none, none, none, none, "prev"))
+        met = told.groupBy("pos").agg(*[F.max(c).alias(c) for c in told.columns[1:]])
+        step = F.col("step") + F.coalesce("more", F.lit(0))
+        after = settle(met.select("pos", F.coalesce("next2", "next").alias("next"), step.alias("step"), F.coalesce("prev2", "prev").alias("prev")), "lists")
+        drop_table(now)
+        left = after.filter("next >= 0").count()
+        gone.append(out.select("pos", "next", "step"))
+        now = after
+        if left == open_:
+            break
+        open_ = left
+    found = [_doubled(now)]
+    for out in reversed(gone):
+        known = reduce(DataFrame.union, found).select(F.col("pos").alias("next"), "head", "dist")
+        found.append(settle(out.join(known, "next").select("pos", "head", (F.col("dist") + F.col("step")).alias("dist")), "ranked"))
+    return reduce(DataFrame.union, found)
 
 
 def _doubled(lists: DataFrame) -> DataFrame:
