@@ -25,6 +25,7 @@ def options() -> argparse.ArgumentParser:
     a.add_argument("-p", type=int, default=100, help="modulus of window hashes, 10 at least")
     a.add_argument("-n", type=int, default=1, help="most primes, or remainders, with --reads")
     a.add_argument("--letters", action="store_true", help="keep A-Z only")
+    a.add_argument("--strict", choices=["reserved", "letters"], help="refuse sequences with reserved bytes, or with anything but A-Z")
     a.add_argument("--rle", action="store_true", help="runs in place of the plain transform")
     a.add_argument("--samples", action="store_true", help="conjugate array at both ends of runs")
     a.add_argument("--GCA", dest="gca", action="store_true", help="the whole conjugate array; goes before --samples")
@@ -48,6 +49,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     check_broken(broken, error=not o.allow_broken)
     if broken is not None and o.allow_broken:
         broken.write.parquet(f"{o.out}/broken")
+    api.check(seqs, o.strict)
     mode = ("remainders" if o.remainders else "primes") if o.reads else "plain"
     if o.parsing:
         sinks.write_parse(api.segment(seqs, o.w, o.p, mode, o.n, o.period), o.out)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ringloom.functions import PLAIN_PRIME, REMAINDER_PRIME, is_primitive, primes_for
 from ringloom.operators import circular_sa, inverse, merge, phrases, runs, triggers
 from ringloom.operators.durable import drop_table, scratch, settle
+from ringloom.sources.collection import check_strict
 
 
 @dataclass
@@ -50,6 +51,14 @@ class Index:
         return inverse.invert(self.ebwt if self.ebwt is not None else runs.expand(self.rle), self.i_positions)
 
 
+def check(seqs: DataFrame, strict: str | None) -> None:
+    """An error if a strict reader would refuse a sequence."""
+    if strict not in (None, "reserved", "letters"):
+        raise ValueError(f"unknown strict {strict!r}")
+    if strict and (bad := check_strict(seqs, strict == "letters").select("seq_id", "reason").first()):
+        raise ValueError(f"sequence {bad.seq_id}: {bad.reason}")
+
+
 def segment(
     seqs: DataFrame, w: int = 10, p: int = 100, trigger_mode: str = "plain", max_triggers: int = 1, drop_nonprimitive: bool = False
 ) -> Parse:
@@ -90,11 +99,13 @@ def build(
     sample_starts: bool = False,
     starts: bool = True,
     allow_filtered: bool = False,
+    strict: str | None = None,
 ) -> Index:
     """The transform of a collection (seq_id, seq).
 
-    method: `parse` goes through prefix-free parsing, whose work falls with repetition; `doubling` ranks all rotations directly and takes any sequence. With `parse`, sequences that can't be parsed are an error unless `allow_filtered`; with drop_nonprimitive, powers are left out by either. gca: `none`, `samples` at both ends of runs, or `full`. rle gives runs instead of the plain transform. sample_starts begins a sample at each sequence's own rotation as well. But for the full array, `parse` keeps the transform in blocks, with the rotations at their ends, and expands only groups with several symbols before them or in which a sequence starts.
+    method: `parse` goes through prefix-free parsing, whose work falls with repetition; `doubling` ranks all rotations directly and takes any sequence. With `parse`, sequences that can't be parsed are an error unless `allow_filtered`; with drop_nonprimitive, powers are left out by either. gca: `none`, `samples` at both ends of runs, or `full`. rle gives runs instead of the plain transform. sample_starts begins a sample at each sequence's own rotation as well. strict: `reserved` makes a sequence with a reserved byte (0, 1, 2) an error, `letters` one with anything but A-Z. But for the full array, `parse` keeps the transform in blocks, with the rotations at their ends, and expands only groups with several symbols before them or in which a sequence starts.
     """
+    check(seqs, strict)
     if gca not in ("none", "samples", "full"):
         raise ValueError(f"unknown gca {gca!r}")
     if method not in ("parse", "doubling"):

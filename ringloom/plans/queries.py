@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringloom.functions import PLAIN_PRIME, PRIMES, REMAINDER_PRIME, SHORT_PRIMES, is_primitive, packed_int, phrase_hash
-from ringloom.operators import circular_sa, conjugates, inverse, merge, phrases, runs, triggers
+from ringloom.operators import chunks, circular_sa, conjugates, inverse, merge, phrases, runs, triggers
 from ringloom.operators.borders import borders as borders_of
 from ringloom.operators.durable import new_path, settle
 from ringloom.operators.ranking import row_numbers
@@ -283,6 +283,12 @@ def phrases_documents(spark, d):
     return phrases.phrases(_documents(spark, d), 10, 100)
 
 
+@_query("phrases_chunks", f"WITH {DOCUMENTS}, {sql.ends_of_long(10, 100, PLAIN_PRIME)}, {sql.phrases(10)} SELECT seq_id, idx, phrase, end_pos, len FROM phrases")
+def phrases_chunks(spark, d):
+    """Phrases of documents in chunks of 1,000 symbols."""
+    return chunks.phrases_of_chunks(chunks.chunked(_documents(spark, d), 1000), 10, 100)
+
+
 @_query("phrase_hash", f"WITH {PARSED} SELECT phrase, {sql.PHRASE_HASH} AS hash FROM dictionary")
 def phrase_hash_query(spark, d):
     return _words(spark, d)[1].select("phrase", phrase_hash(F.col("phrase")).alias("hash"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringloom.operators.durable import settle
+from ringloom.operators.durable import scratch, settle
 from ringloom.operators.ranking import row_numbers
 from ringloom.sources.collection import cleaned
 
@@ -30,21 +30,30 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str, mode: str = "bytes") -> DataFrame:
-    """Records of FASTA files: a `>` line names a record, the lines after it are its sequence."""
+    """Records of FASTA files: a `>` line names a record, the lines after it are its sequence. Lines before a file's first `>` are passed over, with a warning."""
     records = spark.read.text(path, lineSep="\n>")
+    headed = F.startswith("value", F.lit(">"))
     rows = records.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("at"),
-        F.when(F.startswith("value", F.lit(">")), F.expr("substring(value, 2)")).otherwise(F.col("value")).alias("record"),
+        headed.alias("headed"),
+        F.when(headed, F.expr("substring(value, 2)")).otherwise(F.col("value")).alias("record"),
     )
     parts = rows.select(
-        "file", "split", "at",
+        "file", "split", "at", "headed",
         F.regexp_extract("record", r"^([^\s]*)", 1).alias("name"),
         F.regexp_replace(F.regexp_replace("record", r"^[^\n]*\n?", ""), r"\s", "").alias("raw"),
     )
-    seqs = parts.select("file", "split", "at", "name", cleaned(F.col("raw"), mode).alias("seq")).filter("seq <> ''")
-    return row_numbers(seqs, ["file", "split", "at"], "seq_id").select("seq_id", "name", "seq")
+    with scratch(spark) as keep:
+        held = settle(parts.select("file", "split", "at", "headed", "name", cleaned(F.col("raw"), mode).alias("seq")), "records")
+        # all but a file's first record begin after a `>`, which parts them
+        first = held.filter("split = 0").groupBy("file").agg(F.min("at").alias("at"), F.min_by("headed", "at").alias("headed"), F.min_by("name", "at").alias("name"))
+        stray = settle(first.filter("NOT headed").select("file", "at", "name"), "stray")
+        if files := stray.filter("name <> ''").count():
+            log.warning("lines before the first record of %d files are passed over", files)
+        seqs = held.join(stray, ["file", "at"], "left_anti").filter("seq <> ''")
+        return keep(row_numbers(seqs.select("file", "split", "at", "name", "seq"), ["file", "split", "at"], "seq_id")).select("seq_id", "name", "seq")
 
 
 def _records(lines: Iterator[tuple[tuple, str]]) -> Iterator[tuple[tuple, str, str, str | None]]:

@@ -1,6 +1,7 @@
 import pytest
 
 from ringloom.__main__ import main
+from ringloom.plans import api
 
 TEXTS = ["BANANABANDANA", "ABRACADABRAABRACAD", "CABCABCABA"]
 
@@ -32,3 +33,16 @@ def test_broken_records_are_an_error_or_written(spark, tmp_path):
     main([*args, "--allow-broken"], spark)
     assert [(r.record, r.reason) for r in spark.read.parquet(str(tmp_path / "out/broken")).collect()] == [(1, "quality length")]
     assert spark.read.parquet(str(tmp_path / "out/info")).first().ebwt_length == len(TEXTS[0])
+
+
+def test_strict_reading(spark, tmp_path):
+    path = tmp_path / "x.fa"
+    path.write_text(">a\nACGT\n>b\nAC\x01GT\n>c\nA-C\n")
+    with pytest.raises(ValueError, match="sequence 1: reserved byte"):
+        main([str(path), str(tmp_path / "out"), "--doubling", "--strict", "reserved"], spark)
+    seqs = spark.createDataFrame([(7, "AC-GT")], "seq_id long, seq string")
+    with pytest.raises(ValueError, match="sequence 7: not a letter"):
+        api.build(seqs, method="doubling", strict="letters")
+    with pytest.raises(ValueError, match="strict"):
+        api.build(seqs, strict="other")
+    assert api.build(seqs, method="doubling", strict="reserved").ebwt.count() == 5

@@ -20,6 +20,16 @@ def test_fasta(spark, tmp_path, packed):
     assert rows(read_fasta(spark, str(path), "letters"))[-1] == (2, "s4", "AC")
 
 
+def test_lines_before_the_first_record(spark, tmp_path, caplog):
+    (tmp_path / "a.fa").write_text("junk line\nACGT\n>a\nAC\nGT\n>b\nTT\n")
+    (tmp_path / "b.fa").write_text("\n\n>c x\nGG\n")
+    (tmp_path / "c.fa").write_text(">d\nCC\n>\nAA\n")
+    (tmp_path / "d.fa").write_text("no record at all\n")
+    (tmp_path / "e.fa").write_bytes(b"")
+    assert rows(read_fasta(spark, str(tmp_path))) == [(0, "a", "ACGT"), (1, "b", "TT"), (2, "c", "GG"), (3, "d", "CC"), (4, "", "AA")]
+    assert "first record of 2 files" in caplog.text
+
+
 def test_fastq(spark, tmp_path):
     path = tmp_path / "x.fq"
     path.write_text("@r1 x\nACGT\n+\nIIII\n@r2\nGG\n+r2\nII\n@r3\nAAA\n+\nII\n")

@@ -6,7 +6,7 @@ import time
 
 import pytest
 
-from ringloom.operators import borders, circular_sa, conjugates, durable, inverse, merge, phrases, ranking, runs, triggers
+from ringloom.operators import borders, chunks, circular_sa, conjugates, durable, inverse, merge, phrases, ranking, runs, triggers
 from ringloom.functions import PHRASE_PRIME, PLAIN_PRIME, PRIMES, REMAINDER_PRIME, border, is_primitive, string_hash
 from ringloom.plans import api
 from pyspark.sql import functions as F
@@ -216,6 +216,17 @@ def test_long_powers(spark):
     assert {r.s: r.p for r in rows.select("s", is_primitive(F.col("s")).alias("p")).collect()} == want
 
 
+@pytest.mark.parametrize(("w", "size"), [(4, 3), (4, 7), (6, 50), (5, 1000)])
+def test_phrases_of_chunks(spark, w, size):
+    rng = random.Random(w * size)
+    texts = ["".join(rng.choice("ABC") for _ in range(n)) for n in (1, 2, 3, 4, 5, 6, 7, 8, 14, 15, 16, 49, 50, 51, 52, 300, 1001)] + ["AB" * 30, "A" * 90, "é漢B" * 40]
+    seqs = collection(spark, texts)
+    for p, remainders in ((10, (0,)), (60, (0, 7)), (3, (0,))):
+        got = chunks.phrases_of_chunks(chunks.chunked(seqs, size).repartition(3), w, p, (PLAIN_PRIME,), remainders)
+        want = phrases.phrases(seqs, w, p, (PLAIN_PRIME,), remainders)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_primitive_and_border(spark):
     table = [("A", True, 0), ("AAAA", False, 3), ("ABAB", False, 2), ("ABABA", True, 3), ("ABCABD", True, 0)]
     rows = spark.createDataFrame(table, "s string, p boolean, b int")
