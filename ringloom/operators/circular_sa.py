@@ -18,9 +18,9 @@ CHUNK = 1 << 16
 
 
 def classes(symbols: DataFrame, symbol: str, width: int = 1, around: bool = True) -> DataFrame:
-    """(seq_id, idx, class) from (seq_id, idx, `symbol`, k): numbers in the order of the rotations of their strings that start at each place, with gaps; equal rotations share one. k is the string's length, and `symbol` tells the first `width` places of the rotation. Not `around`: of the suffix that starts at each place.
+    """(seq_id, idx, class) from (seq_id, idx, `symbol`, k): how many rotations are smaller than that of its string that starts at each place; equal rotations share it. k is the string's length, and `symbol` tells the first `width` places of the rotation. Not `around`: of the suffix that starts at each place.
 
-    A class is a number, and the ones after it up to its size are its own, so it stays where it is when others split. It is closed once it can't split any more: when it has one member, or when its windows are so long that equal ones are equal rotations (two periods), or suffixes (all of it). Its rows leave the rounds. For the others, ranks of windows of h symbols give ranks of windows of 2h by one join on (seq_id, idx) and a rank of distinct pairs, until no class splits; then none ever does. So there are at most log2(longest) + 2 rounds, each writes the rows that were still open, and a row leaves with a round that is a few times the length of its longest repeat.
+    A class is a number, and the ones after it up to its size are its own, so it stays where it is when others split. It is closed once it can't split any more: when it has one member, or when its windows are so long that equal ones are equal rotations (two periods), or suffixes (all of it). Its rows leave the rounds. For the others, ranks of windows of h symbols give ranks of windows of 2h by one join on (seq_id, idx) and sums over distinct pairs, until no class splits; then none ever does. So there are at most log2(longest) + 2 rounds, each writes the rows that were still open, and a row leaves with a round that is a few times the length of its longest repeat.
     """
     needs = 2 * F.col("k") if around else F.col("k") - F.col("idx")
     ended = lambda h: (F.col("n") == 1) | (F.col("longest") <= h)
@@ -44,9 +44,10 @@ def classes(symbols: DataFrame, symbol: str, width: int = 1, around: bool = True
                 pairs = open_.withColumn("ahead", ahead).join(known, ["seq_id", "ahead"], "inner" if around else "left")
                 # nothing stands before anything else
                 pairs = pairs.select("seq_id", "idx", "k", "class", F.coalesce("next", F.lit(-1).cast("long")).alias("next"))
-                nth = row_numbers(groups(pairs, ["class", "next"]), ["class", "next"], "nth")
-                parts = nth.groupBy("class").agg(F.min("nth").alias("base"), F.max("nth").alias("top"))
-                moved = nth.join(parts, "class").select("class", "next", (F.col("class") + F.col("nth") - F.col("base")).alias("to"), ended(2 * h).alias("done"), (F.col("top") > F.col("base")).alias("split"))
+                # a part of a class takes as many numbers as it has members
+                each = sums_in_order(groups(pairs, ["class", "next"]), ["class", "next"], "n", "before")
+                whole = each.groupBy("class").agg(F.min("before").alias("base"), F.max("before").alias("top"))
+                moved = each.join(whole, "class").select("class", "next", (F.col("class") + F.col("before") - F.col("base")).alias("to"), ended(2 * h).alias("done"), (F.col("top") > F.col("base")).alias("split"))
                 now = keep_round(settle(pairs.join(moved, ["class", "next"]).select("seq_id", "idx", "k", F.col("to").alias("class"), "done", "split"), "classes"))
             h *= 2
 

@@ -178,6 +178,13 @@ def test_closed_rows_leave_the_rounds(spark, monkeypatch):
     assert sizes[0] == sum(map(len, texts)) and all(b <= a for a, b in zip(sizes, sizes[1:], strict=False)) and sizes[2] < 0.1 * sizes[0]
 
 
+def test_classes_keep_apart_round_by_round(spark):
+    """Long common parts, so that classes split again and again."""
+    rng = random.Random(43)
+    texts = [f"CUSTOMER#{i:09d}" for i in range(60)] + ["A" * rng.randint(1, 70) + "B" * rng.randint(0, 2) for _ in range(12)]
+    assert sorted(map(tuple, circular_sa.sorted_rotations(collection(spark, texts)).collect())) == by_definition(texts)
+
+
 def test_used_up_tables_go(spark, tmp_path, monkeypatch):
     def there():
         return {f.name.rpartition("-")[0] for f in tmp_path.iterdir()}
