@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ringloom.llm.common import lean_batches, settle
 from ringloom.llm.tokens import chained, word_hashes
 
-#: Bytes of text in a block of documents (a row counts ROW_BYTES more), and blocks a bucket of n-grams: neither a block nor a bucket grows with the input.
+#: Bytes of text in a block of documents (a row counts ROW_BYTES more), and blocks a bucket of n-grams. A block doesn't grow with the input, nor do the n-grams of a bucket; but a bucket gets a row, shorter and shorter, from each block, so B blocks make up to B x B / 2 rows, and a frequent n-gram is an entry of each.
 BLOCK_BYTES, ROW_BYTES, BLOCKS_A_BUCKET = 4 << 20, 16, 2
 #: How many observations the uniform estimate weighs in that of a word, and the estimate of a word in that of a pair.
 UNIFORM, SINGLE = 1000.0, 10.0
