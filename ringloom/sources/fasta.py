@@ -2,33 +2,19 @@
 
 from __future__ import annotations
 
-import itertools
 import logging
-from collections import deque
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringloom.operators.durable import scratch, settle
 from ringloom.operators.ranking import row_numbers
 from ringloom.sources.collection import cleaned
+from ringloom.sources.fastq import read_fastq
 
 log = logging.getLogger("ringloom")
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their file and place. Places come from the file's own line order, which Spark keeps within a split, and splits from their offset."""
-    lines = spark.read.text(path, wholetext=False)
-    return lines.select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("split"),
-        F.monotonically_increasing_id().alias("at"),
-        F.rtrim(F.regexp_replace("value", "\r$", "")).alias("line"),
-    )
-
-
 def read_fasta(spark: SparkSession, path: str, mode: str = "bytes") -> DataFrame:
     """Records of FASTA files: a `>` line names a record, the lines after it are its sequence. Lines before a file's first `>` are passed over, with a warning."""
     records = spark.read.text(path, lineSep="\n>")
@@ -56,77 +42,6 @@ def read_fasta(spark: SparkSession, path: str, mode: str = "bytes") -> DataFrame
         return keep(row_numbers(seqs.select("file", "split", "at", "name", "seq"), ["file", "split", "at"], "seq_id")).select("seq_id", "name", "seq")
 
 
-def _records(lines: Iterator[tuple[tuple, str]]) -> Iterator[tuple[tuple, str, str, str | None]]:
-    """(place, head, sequence, reason) of each record in the lines of a file, reason null where it is whole.
-
-    `@` or `>` starts a record, sequence lines are joined up to `+`, and quality lines up to the sequence's length; empty lines are skipped. After a quality of another length, the scan goes on at the first of its lines that starts with `@`, if any.
-    """
-    again: deque[tuple[tuple, str]] = deque()
-
-    def following() -> tuple[tuple, str] | None:
-        return again.popleft() if again else next(lines, None)
-
-    stray = False
-    while (line := following()) is not None:
-        at, head = line
-        if not head.startswith(("@", ">")):
-            if head and not stray:
-                yield at, head, "", "malformed"
-            stray |= bool(head)
-            continue
-        stray, parts = False, []
-        while (line := following()) is not None and not line[1].startswith(("@", ">", "+")):
-            parts.append(line[1])
-        seq = "".join(parts)
-        if line is None or line[1][0] != "+":
-            if line is not None:
-                again.appendleft(line)
-            yield at, head, seq, None if head[0] == ">" else "malformed"
-            continue
-        quality, n = [], 0
-        while (line := following()) is not None:
-            quality.append(line)
-            n += len(line[1])
-            if n >= len(seq):
-                break
-        if n == len(seq):
-            yield at, head, seq, None
-            continue
-        back = next((i for i, (_, q) in enumerate(quality) if q.startswith("@")), len(quality))
-        again.extendleft(reversed(quality[back:]))
-        # a record of no symbols may go without a quality line
-        yield at, head, seq, None if not seq and back == 0 else "quality length"
-
-
-def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    lines = (x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("file", "split", "at", "line")), strict=True))
-    for file, own in itertools.groupby(lines, lambda x: x[0]):
-        held = []
-        for record, ((split, at), head, raw, reason) in enumerate(_records(((x[1], x[2]), x[3]) for x in own)):
-            held.append((file, split, at, record, head, raw, reason))
-            if len(held) == 1000:
-                yield _batch(held)
-                held = []
-        yield _batch(held)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = {"file": pa.string(), "split": pa.int64(), "at": pa.int64(), "record": pa.int64(), "head": pa.string(), "raw": pa.string(), "reason": pa.string()}
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types.values())], list(types))
-
-
-def read_fastq(spark: SparkSession, path: str, mode: str = "bytes") -> tuple[DataFrame, DataFrame]:
-    """Records of FASTQ files, on one line each or wrapped, and the broken ones with the reason: a quality that is missing or of another length, or a record without its `@` or `+`.
-
-    Where a record ends is known only from its start, so each file is scanned in order, by one task, a record at a time.
-    """
-    lines = _lines(spark, path).repartition("file").sortWithinPartitions("file", "split", "at")
-    rows = settle(lines.mapInArrow(_scanned, "file string, split long, at long, record long, head string, raw string, reason string"), "records")
-    good = rows.filter("reason IS NULL").select("file", "split", "at", F.regexp_extract("head", r"^[@>]([^\s]*)", 1).alias("name"), cleaned(F.col("raw"), mode).alias("seq"))
-    seqs = row_numbers(good.filter("seq <> ''"), ["file", "split", "at"], "seq_id").select("seq_id", "name", "seq")
-    return seqs, rows.filter("reason IS NOT NULL").select("file", "record", "reason")
-
-
 def read_with_broken(spark: SparkSession, path: str, mode: str = "bytes") -> tuple[DataFrame, DataFrame | None]:
     """FASTA, FASTQ, or files with records of both: if any line starts with `@`, which none does in FASTA, records are scanned as read_fastq() does. Compressed files are told by their extension. With them, the broken records of FASTQ (file, record, reason), or None."""
     if spark.read.text(path).filter(F.startswith("value", F.lit("@"))).limit(1).count():

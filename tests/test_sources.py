@@ -95,3 +95,82 @@ def test_no_local_folder_on_a_cluster():
     context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(SimpleNamespace(sparkContext=context, conf=conf))
+
+
+def framed(text):
+    """(name, seq) of the whole records of a file and (record, reason) of the others, by a plain scan of its lines."""
+    lines, i, record, stray, good, bad = [x.rstrip("\r").rstrip(" ") for x in text.removesuffix("\n").split("\n")], 0, 0, False, [], []
+    while i < len(lines):
+        if lines[i][:1] not in ("@", ">") or not lines[i]:
+            if lines[i] and not stray:
+                bad.append((record, "malformed"))
+                record += 1
+            stray |= bool(lines[i])
+            i += 1
+            continue
+        head, stray, seq, i = lines[i], False, "", i + 1
+        while i < len(lines) and (not lines[i] or lines[i][0] not in "@>+"):
+            seq, i = seq + lines[i], i + 1
+        reason = None
+        if i == len(lines) or lines[i][0] != "+":
+            reason = None if head[0] == ">" else "malformed"
+        else:
+            first = i = i + 1
+            n = 0
+            while i < len(lines):
+                n, i = n + len(lines[i]), i + 1
+                if n >= len(seq):
+                    break
+            if n != len(seq):
+                i = next((j for j in range(first, i) if lines[j].startswith("@")), i)
+                reason = None if not seq and i == first else "quality length"
+        if reason:
+            bad.append((record, reason))
+        elif seq:
+            good.append((head[1:].split(" ")[0], seq.upper()))
+        record += 1
+    return good, bad
+
+
+def random_file(r, n):
+    """Records on one line or several, with marks among the qualities, some of them broken."""
+    out = []
+    wrapped = lambda x, w: [x[i : i + w] for i in range(0, len(x), w)] or [""]
+    for i in range(n):
+        size = r.choice([0, 1, 5, 30, 80, 200])
+        seq, quality = "".join(r.choices("ACGT", k=size)), "".join(r.choices("@>+I#", k=size))
+        width = r.choice([7, 60, 1000])
+        lines = [f"@r{i} c", *wrapped(seq, width), "+", *wrapped(quality, width)] if r.random() < 0.8 else [f">f{i}", *wrapped(seq, width)]
+        broken = r.random()
+        if broken < 0.08:
+            lines.pop(r.randrange(len(lines)))
+        elif broken < 0.12:
+            lines.insert(r.randrange(len(lines)), r.choice(["", "@", "junk", "+", "@I"]))
+        out += lines
+    return "\n".join(out) + "\n"
+
+
+@pytest.mark.parametrize(("most_sent", "sizes"), [(1 << 20, [30, 1, 12]), (0, [12])])
+def test_fastq_splits_are_framed_as_one_scan_would(spark, tmp_path, most_sent, sizes):
+    import random
+
+    r = random.Random(7)
+    texts = {f"{i}.fq": random_file(r, n) for i, n in enumerate(sizes)}
+    if most_sent:
+        # a quality that opens with marks and ends in a later split, and a file that stops in it
+        texts["3.fq"] = "@long\n" + "ACGT" * 175 + "\n+\n" + ("@" + "+" * 69 + "\n") * 10 + "@next\nAC\n+\nII\n"
+        texts["4.fq"] = "@open\n" + "ACGTACGT\n" * 100 + "+\n" + "@IIIIIII\n" * 60
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "600")
+    try:
+        good, bad = read_fastq(spark, str(tmp_path), most_sent=most_sent)
+        got = [(x.name, x.seq) for x in good.orderBy("seq_id").collect()]
+        told = sorted((x.file[-4:], x.record, x.reason) for x in bad.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = {name: framed(text) for name, text in texts.items()}
+    assert got == [x for name in sorted(want) for x in want[name][0]]
+    assert told == sorted((name, *x) for name in want for x in want[name][1])
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
