@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringloom.functions import PLAIN_PRIME, PRIMES, REMAINDER_PRIME, SHORT_PRIMES, is_primitive, packed_int, phrase_hash
-from ringloom.operators import chunks, circular_sa, conjugates, inverse, merge, phrases, runs, triggers
+from ringloom.operators import chunks, circular_sa, conjugates, inverse, lcp, merge, phrases, runs, triggers
 from ringloom.operators.borders import borders as borders_of
 from ringloom.operators.durable import new_path, settle
 from ringloom.operators.ranking import row_numbers
@@ -426,6 +426,16 @@ def hard_blocks(spark, d):
     return merge.hard_groups(settle(merge.dict_suffixes(words, W), "suffixes"), settle(merge.occurrences(parsed), "occurrences"))
 
 
+@_query(
+    "dict_lcp",
+    f"""WITH {PARSED}, {sql.suffixes(W)},
+        sorted AS (SELECT rank, off, suffix, suffix_len, row_number() OVER (ORDER BY suffix, rank, off) - 1 AS pos, lag(suffix) OVER (ORDER BY suffix, rank, off) AS before FROM suffixes)
+        SELECT pos, rank, off, suffix_len, coalesce(len(list_filter(range(1, least(length(suffix), length(before)) + 1), lambda j: suffix[1:j] = before[1:j])), 0)::BIGINT AS lcp FROM sorted""",
+)
+def dict_lcp(spark, d):
+    return lcp.dict_lcp(_words(spark, d)[1], W)
+
+
 # ---- the transform ----
 
 

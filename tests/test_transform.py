@@ -403,3 +403,21 @@ def test_sums_before(spark):
         assert got == [(k, sum(n for x, n in rows if x < k)) for k, _ in rows]
     assert ranking.row_numbers(table.limit(0), ["k"], "nth").count() == 0
     assert [r.nth for r in sorted(ranking.row_numbers(table, ["k"], "nth", 5).collect())] == list(range(5, 5 + len(rows)))
+
+
+def test_common_prefixes_of_the_dictionary(spark):
+    from os.path import commonprefix
+
+    from ringloom.operators.lcp import dict_lcp
+
+    rng = random.Random(3)
+    long = "".join(rng.choices("AC", k=300))
+    words = sorted({"GGGG", "TTTTT", long, long[7:] + "C", "T" + long, "A" * 70, "A" * 90 + "C", "é😀" * 20, *random_texts(rng, "AC", 12, 5, 40)})
+    table = spark.createDataFrame([(i, x, 1) for i, x in enumerate(words, 1)], "rank long, phrase string, occ long")
+    suffixes = sorted((x[o:], i, o) for i, x in enumerate(words, 1) for o in range(1, len(x) - 3))
+    before = [None, *(s for s, _, _ in suffixes)]
+    want = [(p, i, o, len(s), len(commonprefix([s, b])) if b else 0) for p, ((s, i, o), b) in enumerate(zip(suffixes, before, strict=False))]
+    assert sorted(map(tuple, dict_lcp(table, 4).collect())) == want
+    one = spark.createDataFrame([(1, "ACGTA", 1)], "rank long, phrase string, occ long")
+    assert list(map(tuple, dict_lcp(one, 4).collect())) == [(0, 1, 1, 4, 0)]
+    assert dict_lcp(one.limit(0), 4).count() == 0
