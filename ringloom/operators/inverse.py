@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ringloom.operators.circular_sa import CHUNK
 from ringloom.operators.durable import drop_table, scratch, settle
-from ringloom.operators.ranking import row_numbers
+from ringloom.operators.ranking import row_numbers, sums_in_order
+from ringloom.operators.runs import BLOCK
 
 
 def histogram(ebwt: DataFrame) -> DataFrame:
@@ -28,6 +29,27 @@ def lf_mapping(ebwt: DataFrame) -> DataFrame:
     return row_numbers(ebwt.select("pos", "bwt"), ["bwt", "pos"], "lf").select("pos", "bwt", "lf")
 
 
+def lf_runs(runs: DataFrame) -> DataFrame:
+    """(head, length, start_pos, lf): where each run's rotations go; those of a run stay together and in order. The symbols of all runs before it, by (head, start_pos): a row for each run is ordered, none for each position."""
+    return sums_in_order(runs.select("head", "length", "start_pos"), ["head", "start_pos"], "length", "lf")
+
+
+def _mapping_of_runs(mapped: DataFrame) -> DataFrame:
+    """(pos, bwt, lf) from lf_runs(), in pieces that are no longer than a block."""
+    size = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(BLOCK).cast("long")))
+    cut = mapped.select("head", "length", "start_pos", "lf", size.alias("_from"))
+    own = F.least(F.lit(BLOCK), F.col("length") - F.col("_from"))
+    rows = cut.select("head", "start_pos", "lf", F.explode(F.sequence(F.col("_from"), F.col("_from") + own - 1)).alias("_at"))
+    return rows.select((F.col("start_pos") + F.col("_at")).alias("pos"), F.col("head").alias("bwt"), (F.col("lf") + F.col("_at")).alias("lf"))
+
+
+def invert_runs(runs: DataFrame, starts: DataFrame, few: int | None = None) -> DataFrame:
+    """What invert() gives, from the runs (head, length, start_pos): the mapping is known by run, so positions are neither sorted nor written to learn it."""
+    with scratch(runs.sparkSession) as keep:
+        mapped = settle(lf_runs(runs), "mapping")
+        return keep(_inverted(_mapping_of_runs(mapped), starts, FEW if few is None else few)).select("ord", "seq")
+
+
 #: Rows that are few enough for pointer doubling as they are.
 FEW = 1 << 22
 
@@ -37,13 +59,16 @@ def invert(ebwt: DataFrame, starts: DataFrame, few: int = FEW) -> DataFrame:
 
     From each start, the mapping walks its sequence backwards. Each place learns its start and distance by list ranking: ranked(). Sequences must be primitive; each is one row in the end, which Spark holds to 2 GB.
     """
-    spark = ebwt.sparkSession
-    with scratch(spark) as keep:
-        lf = settle(lf_mapping(ebwt), "mapping")
-        heads = settle(starts.select("pos").distinct(), "heads")
-        placed = ranked(lf.select("pos", F.col("lf").alias("prev")), heads, few)
-        texts = _joined(placed.join(lf.select("pos", "bwt"), "pos").select("head", (-F.col("dist")).alias("place"), "bwt"), "head")
-        return keep(row_numbers(texts, ["head"], "ord")).select("ord", "seq")
+    with scratch(ebwt.sparkSession) as keep:
+        return keep(_inverted(settle(lf_mapping(ebwt), "mapping"), starts, few)).select("ord", "seq")
+
+
+def _inverted(lf: DataFrame, starts: DataFrame, few: int) -> DataFrame:
+    """(ord, head, seq) from the mapping (pos, bwt, lf)."""
+    heads = settle(starts.select("pos").distinct(), "heads")
+    placed = ranked(lf.select("pos", F.col("lf").alias("prev")), heads, few)
+    texts = _joined(placed.join(lf.select("pos", "bwt"), "pos").select("head", (-F.col("dist")).alias("place"), "bwt"), "head")
+    return row_numbers(texts, ["head"], "ord")
 
 
 #: No place.
@@ -51,7 +76,7 @@ NONE = -1
 
 
 def ranked(lists: DataFrame, heads: DataFrame, few: int = FEW) -> DataFrame:
-    """(pos, head, dist) from the settled (pos, prev), a permutation, and (pos) of the settled `heads`, one in each of its cycles: which head a place comes to, against `prev`, and in how many steps. A cycle without a head is an error.
+    """(pos, head, dist) from (pos, prev), a permutation, and (pos) of the settled `heads`, one in each of its cycles: which head a place comes to, against `prev`, and in how many steps. A cycle without a head is an error.
 
     Places whose hash is smaller than that of both neighbours, a third, leave the lists; their neighbours are joined across the gap. So rows fall to two thirds a round, and all rounds together shuffle a few times as many rows as there are places, however long the lists are. The last `few` are ranked by pointer doubling; then places come back round by round, each from the neighbour that it left.
     """

@@ -35,9 +35,17 @@ def rle(ebwt: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
+def pieces_of_runs(runs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(head, length, start_pos) cut at multiples of `block`, so that no piece is longer."""
+    first, end = F.col("start_pos"), F.col("start_pos") + F.col("length")
+    cut = runs.select("head", "length", "start_pos", F.explode(F.sequence(F.floor(first / block), F.floor((end - 1) / block))).alias("_block"))
+    low, high = F.greatest(first, F.col("_block") * block), F.least(end, (F.col("_block") + 1) * block)
+    return cut.select("head", (high - low).alias("length"), low.alias("start_pos"))
+
+
 def expand(runs: DataFrame) -> DataFrame:
-    """(pos, bwt) from (head, length, start_pos)."""
-    return runs.select(F.explode(F.sequence(F.col("start_pos"), F.col("start_pos") + F.col("length") - 1)).alias("pos"), F.col("head").alias("bwt"))
+    """(pos, bwt) from (head, length, start_pos). Long runs are expanded piece by piece."""
+    return pieces_of_runs(runs).select(F.explode(F.sequence(F.col("start_pos"), F.col("start_pos") + F.col("length") - 1)).alias("pos"), F.col("head").alias("bwt"))
 
 
 def samples(sorted_rows: DataFrame, split_starts: bool = False, block: int = BLOCK) -> DataFrame:

@@ -48,7 +48,7 @@ class Index:
         """(ord, seq): the sequences back from the transform, plain or run-length encoded."""
         if self.i_positions is None:
             raise ValueError("inversion needs the start positions: build with starts=True")
-        return inverse.invert(self.ebwt if self.ebwt is not None else runs.expand(self.rle), self.i_positions)
+        return inverse.invert(self.ebwt, self.i_positions) if self.ebwt is not None else inverse.invert_runs(self.rle, self.i_positions)
 
 
 def check(seqs: DataFrame, strict: str | None) -> None:

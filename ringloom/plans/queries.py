@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringloom.functions import PLAIN_PRIME, PRIMES, REMAINDER_PRIME, SHORT_PRIMES, is_primitive, packed_int, phrase_hash
-from ringloom.operators import chunks, circular_sa, conjugates, inverse, lcp, merge, phrases, runs, triggers
+from ringloom.operators import chunks, circular_sa, conjugates, inverse, lcp, merge, phrases, ranks, runs, triggers
 from ringloom.operators.borders import borders as borders_of
 from ringloom.operators.durable import new_path, settle
 from ringloom.operators.ranking import row_numbers
@@ -584,6 +584,53 @@ def invert(spark, d):
     return inverse.invert(rows.select("pos", "bwt"), runs.i_positions(rows))
 
 
+def _part_runs(spark, d):
+    return settle(runs.rle(ebwt(spark, d)), "runs")
+
+
+@_query(
+    "lf_runs",
+    f"""WITH {PARTS_BYTES}, {sql.ROTATIONS}, {sql.RUNS} SELECT head, length, start_pos, (sum(length) OVER (ORDER BY head, start_pos) - length)::BIGINT AS lf FROM runs""",
+)
+def lf_runs(spark, d):
+    return inverse.lf_runs(_part_runs(spark, d))
+
+
+@_query("invert_rle", SQL["invert"])
+def invert_rle(spark, d):
+    """Sequences back from the runs alone."""
+    rows = settle(circular_sa.sorted_rotations(_customers(spark, d)), "rotations")
+    return inverse.invert_runs(settle(runs.rle(rows), "runs"), runs.i_positions(rows))
+
+
+@_query(
+    "rank_queries",
+    f"""WITH {PARTS_BYTES}, {sql.ROTATIONS}, total AS (SELECT count(*) AS n FROM sorted_rows), symbols AS (SELECT DISTINCT bwt FROM sorted_rows),
+        every AS (SELECT s.bwt, r.pos, coalesce(sum(CASE WHEN r.bwt = s.bwt THEN 1 ELSE 0 END) OVER (PARTITION BY s.bwt ORDER BY r.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS rank
+                  FROM sorted_rows r CROSS JOIN symbols s)
+        SELECT e.pos, e.bwt, e.rank FROM every e, total JOIN sorted_rows r ON r.pos = total.n - 1 - e.pos AND r.bwt = e.bwt""",
+)
+def rank_queries(spark, d):
+    """How often each symbol occurs before the place that is as far from the other end."""
+    rows = ebwt(spark, d)
+    asked = rows.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n")))).select((F.col("n") - 1 - F.col("pos")).alias("pos"), "bwt")
+    return ranks.rank(ranks.stored_ranks(_part_runs(spark, d)), asked).select("pos", "bwt", "rank")
+
+
+@_query("select_queries", f"WITH {PARTS_BYTES}, {sql.ROTATIONS} SELECT bwt, row_number() OVER (PARTITION BY bwt ORDER BY pos) - 1 AS k, pos FROM sorted_rows")
+def select_queries(spark, d):
+    """Where each symbol occurs for the k-th time, for every k."""
+    stored = ranks.stored_ranks(_part_runs(spark, d))
+    return ranks.select(stored, stored.totals.select("bwt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))).select("bwt", "k", "pos")
+
+
+@_query("lf_of_starts", SQL["lf_mapping"].replace("FROM sorted_rows JOIN before USING (bwt)", "FROM sorted_rows JOIN before USING (bwt) QUALIFY off = 0"))
+def lf_of_starts(spark, d):
+    """A step of the mapping from the sequences' own rotations, from the blocks that hold them."""
+    rows = settle(_sorted_parts(spark, d), "rotations")
+    return ranks.lf(ranks.stored_ranks(settle(runs.rle(rows), "runs")), runs.i_positions(rows)).select("pos", "bwt", "lf")
+
+
 @_query("invert_gca", f"WITH {CUSTOMERS} SELECT seq_id, seq FROM seqs")
 def invert_gca(spark, d):
     return inverse.invert_gca(circular_sa.sorted_rotations(_customers(spark, d)))

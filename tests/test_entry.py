@@ -13,7 +13,8 @@ SOME = ["sequences_clean", "sequence_starts", "nonprimitive_filter", "window_has
         "phrases", "dictionary", "parse", "parse_ebwt", "easy_blocks", "hard_blocks", "ebwt_definition", "ebwt_pfp", "ebwt_rle", "gca_samples", "lf_mapping", "invert",
         "fasta_files", "fastq_files", "mixed_files", "sequence_lines", "concatenated", "packed_integers", "select_remainders", "trigger_positions_documents",
         "phrases_documents", "parse_count_check", "phrases_multi_remainder", "phrases_multi_prime", "segment_without_powers", "segment_reads",
-        "phrases_chunks", "gca_samples_pfp", "gca_samples_split_starts_pfp", "i_positions_pfp", "parse_circular_sa", "gca_full", "ebwt_rle_pfp", "remainder_histogram", "dict_lcp"]
+        "phrases_chunks", "gca_samples_pfp", "gca_samples_split_starts_pfp", "i_positions_pfp", "parse_circular_sa", "gca_full", "ebwt_rle_pfp", "remainder_histogram", "dict_lcp",
+        "lf_runs", "invert_rle", "rank_queries", "select_queries", "lf_of_starts"]
 
 
 @pytest.fixture(scope="module")

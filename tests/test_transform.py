@@ -421,3 +421,39 @@ def test_common_prefixes_of_the_dictionary(spark):
     one = spark.createDataFrame([(1, "ACGTA", 1)], "rank long, phrase string, occ long")
     assert list(map(tuple, dict_lcp(one, 4).collect())) == [(0, 1, 1, 4, 0)]
     assert dict_lcp(one.limit(0), 4).count() == 0
+
+
+def test_stored_ranks(spark):
+    from ringloom.operators import ranks
+
+    rng = random.Random(5)
+    text = "".join(c * rng.choice([1, 1, 2, 30]) for c in rng.choices("ab*|é😀", k=60)) + "z" + "a" * 400
+    table = spark.createDataFrame(list(enumerate(text)), "pos long, bwt string")
+    pieces = runs.rle(table).cache()
+    assert sorted(map(tuple, runs.expand(pieces).collect())) == list(enumerate(text))
+    assert {r.length for r in runs.pieces_of_runs(pieces, 16).collect()} <= set(range(1, 17))
+    for small, group, bucket in ((8, 4, 16), (ranks.SMALL, ranks.GROUP, ranks.BUCKET)):
+        stored = ranks.stored_ranks(pieces, small, group)
+        asked = [(i, c) for i in (*range(0, len(text) + 1, 7), len(text)) for c in (*sorted(set(text)), "?")]
+        got = ranks.rank(stored, spark.createDataFrame(asked, "pos long, bwt string")).select("pos", "bwt", "rank").collect()
+        assert sorted(map(tuple, got)) == sorted((i, c, text[:i].count(c)) for i, c in asked)
+        places = {c: [i for i, x in enumerate(text) if x == c] for c in sorted(set(text))}
+        asked = [(c, k) for c, at in places.items() for k in (*range(0, len(at), 3), len(at) - 1, len(at))]
+        got = ranks.select(stored, spark.createDataFrame(asked, "bwt string, k long"), bucket).select("bwt", "k", "pos").collect()
+        assert sorted(map(str, got)) == sorted(f"Row(bwt='{c}', k={k}, pos={(places[c] + [None])[k]})" for c, k in asked)
+        order = sorted(range(len(text)), key=lambda i: (text[i], i))
+        got = ranks.lf(stored, spark.range(0, len(text), 11).withColumnRenamed("id", "pos")).select("pos", "bwt", "lf").collect()
+        assert sorted(map(tuple, got)) == [(i, text[i], order.index(i)) for i in range(0, len(text), 11)]
+        stored.release()
+    assert ranks.stored_ranks(pieces.limit(0)).blocks.count() == 0
+
+
+def test_inversion_from_runs(spark):
+    rng = random.Random(6)
+    texts = sorted({*random_texts(rng, "AC", 12, 3, 30), "A" * 5 + "G", "é😀AC"})
+    texts = [t for t in texts if t not in (t + t)[1:-1]]
+    rows = circular_sa.sorted_rotations(collection(spark, texts)).cache()
+    want = [r.seq_id for r in rows.filter("off = 0").orderBy("pos").collect()]
+    for few in (8, None):
+        back = inverse.invert_runs(runs.rle(rows), runs.i_positions(rows), few)
+        assert [(r.ord, r.seq) for r in back.orderBy("ord").collect()] == [(i, texts[s]) for i, s in enumerate(want)]
