@@ -137,6 +137,13 @@ def fastq_files(spark, d):
     return _read_back(spark, _written(spark, _parts(spark, d), F.concat(F.lit("@"), "name", F.lit("\n"), some(F.col("seq")), F.lit("\n+\n"), some(quality)), "fastq"))
 
 
+@_query("fastq_documents", f"WITH {DOCUMENTS} {_NUMBERED}")
+def fastq_documents(spark, d):
+    """Documents as FASTQ records, wrapped, with qualities that look like heads, and back."""
+    record = F.concat(F.lit("@"), "name", F.lit("\n"), F.expr(WRAPPED), F.lit("\n+\n"), F.repeat(F.lit("@"), F.length("seq")))
+    return _read_back(spark, _written(spark, _documents(spark, d), record, "fastq"))
+
+
 @_query("mixed_files", f"WITH {PARTS} {_NUMBERED}")
 def mixed_files(spark, d):
     """FASTA and FASTQ records in one file."""
