@@ -210,7 +210,7 @@ def read_fastq(spark: SparkSession, path: str, mode: str = "bytes", most_sent: i
             wanted = (F.col("split") > 0) & ~F.col("start").eqNullSafe(F.col("next"))
         left = states.groupBy("file").agg(F.max("split").alias("split"), F.max_by("state", "split").alias("start")).withColumn("line", F.lit(""))
         tables.append(left.select("file", "split", "line", "start").mapInArrow(_scanned("end"), ROWS))
-        parts = settle(_union(tables).select("file", "scanned", "split", "at", "head", "raw", "reason", "closed"), "parts")
+        parts = _union(tables).select("file", "scanned", "split", "at", "head", "raw", "reason", "closed")
         own = ["file", "split", "at"]
         whole = parts.filter("closed AND head IS NOT NULL").select(*own, "head", "raw", "reason")
         pieces = F.transform(F.sort_array(F.collect_list(F.struct("scanned", "raw"))), lambda x: x.raw)
