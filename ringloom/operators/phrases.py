@@ -11,19 +11,24 @@ from pyspark.sql import functions as F
 
 from ringloom.functions import PLAIN_PRIME, phrase_hash
 from ringloom.operators.ranking import row_numbers
-from ringloom.operators.triggers import codes_of, trigger_mask
-
-
-def cut(seq: str, ends: np.ndarray, w: int) -> list[str]:
-    """The phrases of a sequence: from the first symbol of each trigger through the last of the next, around the sequence. A single trigger gives one phrase that comes back to itself."""
-    n, out = len(seq), []
-    for j, e in enumerate(ends):
-        nxt = ends[j + 1] if j + 1 < len(ends) else ends[0]
-        d = (nxt - e - 1) % n + 1
-        start = (e - w + 1) % n
-        stop = start + w + d
-        out.append((seq * -(-int(stop) // n))[start:stop] if stop > n else seq[start:stop])
-    return out
+from ringloom.operators.triggers import packs
+
+
+def cut(seqs: list[str], row: np.ndarray, ends: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """(idx, end_pos, len, phrases) of the triggers that end at `ends` of the sequences numbered `row`, in order: from the first symbol of each trigger through the last of the next, around the sequence. A single trigger gives one phrase that comes back to itself."""
+    begins = np.flatnonzero(np.diff(row, prepend=-1))
+    count = np.diff(begins, append=len(row))
+    idx = np.arange(len(row)) - np.repeat(begins, count)
+    nxt = np.append(ends[1:], 0)
+    nxt[begins + count - 1] = ends[begins]
+    n = np.repeat(np.array([len(seqs[i]) for i in row[begins].tolist()], np.int64), count)
+    start = (ends - w + 1) % n
+    stop = start + w + (nxt - ends - 1) % n + 1
+    turns = -(-stop // n)
+    found = [
+        seqs[i][a:b] if t == 1 else (seqs[i] * t)[a:b] for i, a, b, t in zip(row.tolist(), start.tolist(), stop.tolist(), turns.tolist(), strict=True)
+    ]
+    return idx, nxt, n, found
 
 
 def phrases(seqs: DataFrame, w: int, p: int, primes=(PLAIN_PRIME,), remainders=(0,)) -> DataFrame:
@@ -35,16 +40,16 @@ def phrases(seqs: DataFrame, w: int, p: int, primes=(PLAIN_PRIME,), remainders=(
 
     def segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for seq_id, seq in zip(batch.column("seq_id").to_pylist(), batch.column("seq").to_pylist(), strict=True):
-                ends = np.flatnonzero(trigger_mask(codes_of(seq), w, p, primes, remainders))
-                found = cut(seq, ends, w)
+            ids, texts = batch.column("seq_id").to_numpy(), batch.column("seq").to_pylist()
+            for pack in packs(texts, w):
+                row, ends = pack.places(np.flatnonzero(pack.hit(p, primes, remainders)))
+                if not len(ends):
+                    continue
+                idx, nxt, n, found = cut(texts, row, ends, w)
                 for at in range(0, len(found), 10_000):
-                    part = found[at : at + 10_000]
+                    part = slice(at, at + 10_000)
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(part), seq_id)), pa.array(np.arange(at, at + len(part))), pa.array(part),
-                            pa.array(np.roll(ends, -1)[at : at + 10_000]), pa.array(np.full(len(part), len(seq))),
-                        ],
+                        [pa.array(ids[row[part]]), pa.array(idx[part]), pa.array(found[part]), pa.array(nxt[part]), pa.array(n[part])],
                         ["seq_id", "idx", "phrase", "end_pos", "len"],
                     )
 

@@ -12,7 +12,7 @@ from ringloom.operators.durable import new_path, settle
 from ringloom.operators.ranking import row_numbers
 from ringloom.plans import api, sql
 from ringloom.sinks import read_index, write_index, write_lines
-from ringloom.sources import check_strict, concat, from_table, read_sequences, with_starts
+from ringloom.sources import check_strict, concat, from_table, read_sequences, spread, with_starts
 
 W, P = 4, 10
 #: Remainders of the query on several of them; any set would do.
@@ -26,11 +26,11 @@ def _seqs(spark: SparkSession, d: str, table: str, key, text: str, mode: str = "
 
 
 def _parts(spark, d, mode="letters"):
-    return _seqs(spark, d, "part", "p_partkey", "p_name", mode)
+    return spread(_seqs(spark, d, "part", "p_partkey", "p_name", mode))
 
 
 def _customers(spark, d):
-    return _seqs(spark, d, "customer", "c_custkey", "c_name")
+    return spread(_seqs(spark, d, "customer", "c_custkey", "c_name"))
 
 
 def _documents(spark, d):

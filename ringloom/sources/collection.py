@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringloom.functions import ascii_upper, has_other_than_letters, has_reserved
+from ringloom.operators.durable import partitions
 from ringloom.operators.ranking import row_numbers, sums_before
 
 
@@ -30,6 +31,11 @@ def from_table(df: DataFrame, key: str | list[str], text: str, mode: str = "byte
     return row_numbers(out, keys, "seq_id").select("seq_id", "name", "seq")
 
 
+def spread(seqs: DataFrame) -> DataFrame:
+    """The collection dealt by seq_id over as many tasks as the session shuffles to: tables of short strings come in few row groups, and one is one task, however many rows it has."""
+    return seqs.repartition(partitions(seqs.sparkSession), "seq_id")
+
+
 def check_strict(seqs: DataFrame, letters: bool = False) -> DataFrame:
     """Sequences that a strict reader refuses, with the reason: reserved bytes anywhere, or, with `letters`, anything but A-Z."""
     bad = F.when(has_reserved(F.col("seq")), "reserved byte")

@@ -457,3 +457,47 @@ def test_inversion_from_runs(spark):
     for few in (8, None):
         back = inverse.invert_runs(runs.rle(rows), runs.i_positions(rows), few)
         assert [(r.ord, r.seq) for r in back.orderBy("ord").collect()] == [(i, texts[s]) for i, s in enumerate(want)]
+
+
+def test_short_sequences_are_hashed_together(monkeypatch):
+    """A few steps for a batch, not one a sequence, with what each sequence gives by itself."""
+    rng = random.Random(31)
+    texts = ["".join(rng.choices("ABCÄ", k=rng.choice([0, 1, 3, 4, 5, 9, 40]))) for _ in range(3000)]
+    texts[1000] = "AB" * 40_000
+    calls, real = [], triggers.ring_hashes
+    monkeypatch.setattr(triggers, "ring_hashes", lambda *a: calls.append(1) or real(*a))
+    for w, pack in ((4, 1 << 16), (1, 50), (7, 300)):
+        want = [(i, e) for i, s in enumerate(texts) for e in triggers.trigger_mask(triggers.codes_of(s), w, 3, PRIMES[:2], (0, 2)).nonzero()[0].tolist()]
+        monkeypatch.setattr(triggers, "PACK", pack)
+        calls.clear()
+        got = []
+        for each in triggers.packs(texts, w):
+            row, end = each.places(each.hit(3, PRIMES[:2], (0, 2)).nonzero()[0])
+            got += zip(row.tolist(), end.tolist())
+        assert got == want
+        assert pack < 1 << 16 or len(calls) <= 6
+    assert [triggers.is_power(s) for s in ("", "A", "AA", "ABAB", "ABA", "ABCABD")] == [True, False, True, True, False, False]
+
+
+def test_hashing_steps_of_queries(spark, monkeypatch):
+    """Masks, ends and phrases of many short sequences take few steps."""
+    from ringloom.operators.phrases import cut
+
+    seqs = ["ABCDE", "AB", "BCDEABCDE", "EDCBA"]
+    row, ends = next(((r, e) for x in triggers.packs(seqs, 4) for r, e in [x.places(x.hit(2, PRIMES[:1], (0,)).nonzero()[0])]))
+    idx, nxt, n, found = cut(seqs, row, ends, 4)
+    for i in set(row.tolist()):
+        own = ends[row == i].tolist()
+        assert idx[row == i].tolist() == list(range(len(own)))
+        assert nxt[row == i].tolist() == own[1:] + own[:1]
+        assert set(n[row == i].tolist()) == {len(seqs[i])}
+    assert len(found) == len(row)
+
+
+def test_one_row_group_is_many_tasks(spark, tmp_path):
+    """Short names come in one row group; the work on them doesn't stay in one task."""
+    from ringloom.plans import queries
+
+    spark.range(1000).selectExpr("id AS p_partkey", "'part ' || id AS p_name").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    masks = queries.prime_hit_mask(spark, str(tmp_path))
+    assert masks.select(F.spark_partition_id().alias("task")).distinct().count() > 1
