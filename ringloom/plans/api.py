@@ -80,7 +80,8 @@ def segment(
         raise ValueError(f"unknown trigger_mode {trigger_mode!r}")
     with scratch(seqs.sparkSession) as keep:
         left_out = keep(settle(triggers.filtered(seqs, w, p, primes, remainders, drop_nonprimitive), "filtered"))
-        used = seqs.join(left_out.select("seq_id"), "seq_id", "left_anti")
+        # those without a trigger have no phrases
+        used = triggers.primitive(seqs) if drop_nonprimitive else seqs
         found = settle(phrases.phrases(used, w, p, primes, remainders), "phrases")
         words = keep(settle(phrases.dictionary(found), "dictionary"))
         return Parse(words, keep(settle(phrases.parse(found, words), "parse")), left_out, w, primes, remainders)
