@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringloom.operators.durable import drop_table, scratch, settle
-from ringloom.operators.runs import pieces_of_runs
+from ringloom.operators.durable import drop_table, partitions, scratch, settle
+from ringloom.operators.runs import BLOCK, pieces_of_runs
 
 #: Symbols of a block, blocks of a group, and occurrences of a symbol that select() looks up together.
 SMALL, GROUP, BUCKET = 1 << 12, 1 << 10, 1 << 10
@@ -70,18 +70,25 @@ def rank(ranks: Ranks, asked: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.col("before") + F.coalesce(own, F.lit(0))).drop("block", "text", "before")
 
 
+def every(ranks: Ranks) -> DataFrame:
+    """(bwt, k) of each occurrence of each symbol, made in as many tasks as the session shuffles to."""
+    top = F.col("n") - 1
+    parts = ranks.totals.select("bwt", top.alias("_top"), F.explode(F.sequence(F.lit(0).cast("long"), top, F.lit(BLOCK).cast("long"))).alias("_from"))
+    parts = parts.repartition(partitions(parts.sparkSession), "bwt", "_from")
+    return parts.select("bwt", F.explode(F.sequence("_from", F.least(F.col("_from") + BLOCK - 1, F.col("_top")))).alias("k"))
+
+
 def select(ranks: Ranks, asked: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """`asked` with `pos`: where the symbol `bwt` occurs for the `k`-th time, from 0; null if it occurs less often. Groups are entered under each bucket of occurrences that they have some of, at most `bucket` groups in one."""
-    held = ranks.groups.filter("n > 0")
-    held = held.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("before") / bucket), F.floor((F.col("before") + F.col("n") - 1) / bucket))))
+    """`asked` with `pos`: where the symbol `bwt` occurs for the `k`-th time, from 0; null if it occurs less often. Blocks are entered under each bucket of occurrences that they have some of, at most `bucket` blocks in one, so an occurrence meets few blocks and walks no list of counts."""
+    held = ranks.groups.filter("n > 0").select("bwt", "group", "before", F.explode("counts").alias("_c")).select("bwt", "group", "before", "_c.block", "_c.n")
+    first = F.col("before") + F.sum("n").over(Window.partitionBy("bwt", "group").orderBy("block")) - F.col("n")
+    held = held.withColumn("first", first).select("bwt", "block", "n", "first")
+    held = held.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("first") / bucket), F.floor((F.col("first") + F.col("n") - 1) / bucket))))
     asked = asked.withColumn("_id", F.monotonically_increasing_id())
     asked = settle(asked, "asked")
     met = asked.select("_id", "bwt", "k", F.floor(F.col("k") / bucket).alias("_bucket")).join(held, ["bwt", "_bucket"])
-    met = met.filter((F.col("before") <= F.col("k")) & (F.col("k") < F.col("before") + F.col("n")))
-    start = F.struct((F.col("k") - F.col("before")).alias("left"), F.lit(None).cast("long").alias("block"))
-    # the block of the occurrence, and how many the blocks before it have
-    step = lambda x, c: F.when(x["block"].isNotNull(), x).when(x["left"] < c["n"], F.struct(x["left"].alias("left"), c["block"].alias("block"))).otherwise(F.struct((x["left"] - c["n"]).alias("left"), x["block"].alias("block")))
-    met = met.withColumn("_at", F.aggregate("counts", start, step)).select("_id", "bwt", F.col("_at.left").alias("left"), F.col("_at.block").alias("block")).join(ranks.blocks, "block")
+    met = met.filter((F.col("first") <= F.col("k")) & (F.col("k") < F.col("first") + F.col("n")))
+    met = met.select("_id", "bwt", (F.col("k") - F.col("first")).alias("left"), "block").join(ranks.blocks, "block")
     place = F.length(F.expr("substring_index(text, bwt, CAST(left AS INT) + 1)"))
     found = met.select("_id", (F.col("block") * ranks.small + place).alias("pos"))
     return asked.join(found, "_id", "left").drop("_id")

@@ -628,7 +628,7 @@ def rank_queries(spark, d):
 def select_queries(spark, d):
     """Where each symbol occurs for the k-th time, for every k."""
     stored = ranks.stored_ranks(_part_runs(spark, d))
-    return ranks.select(stored, stored.totals.select("bwt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))).select("bwt", "k", "pos")
+    return ranks.select(stored, ranks.every(stored)).select("bwt", "k", "pos")
 
 
 @_query("lf_of_starts", SQL["lf_mapping"].replace("FROM sorted_rows JOIN before USING (bwt)", "FROM sorted_rows JOIN before USING (bwt) QUALIFY off = 0"))

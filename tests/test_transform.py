@@ -501,3 +501,18 @@ def test_one_row_group_is_many_tasks(spark, tmp_path):
     spark.range(1000).selectExpr("id AS p_partkey", "'part ' || id AS p_name").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     masks = queries.prime_hit_mask(spark, str(tmp_path))
     assert masks.select(F.spark_partition_id().alias("task")).distinct().count() > 1
+
+
+def test_select_meets_blocks(spark):
+    """Every occurrence is made in several tasks and found by a join with blocks; no list of counts is walked for each."""
+    from ringloom.operators import ranks
+
+    rng = random.Random(41)
+    text = "".join(rng.choice("ABC") * rng.randint(1, 9) for _ in range(60))
+    found = [(i, c) for i, c in enumerate(text)]
+    stored = ranks.stored_ranks(runs.rle(spark.createDataFrame(found, "pos long, bwt string")), small=4, group=3)
+    asked = ranks.every(stored)
+    assert asked.select(F.spark_partition_id().alias("task")).distinct().count() > 1
+    got = ranks.select(stored, asked, bucket=2)
+    assert "aggregate(counts" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.bwt, r.k, r.pos) for r in got.collect()) == sorted((c, text[:i].count(c), i) for i, c in found)
