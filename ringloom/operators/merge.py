@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringloom.operators.circular_sa import WIDTH, characters, classes, parse_classes
+from ringloom.operators.circular_sa import WIDE, characters, classes, parse_classes
 from ringloom.operators.durable import scratch, settle
-from ringloom.operators.ranking import row_numbers, sums_before
+from ringloom.operators.ranking import row_numbers, sums_before, sums_in_order
 
 
 def dict_suffixes(words: DataFrame, w: int) -> DataFrame:
@@ -32,12 +32,10 @@ def easy_blocks(groups: DataFrame) -> DataFrame:
     return groups.filter("symbols = 1").select("suffix", "bwt", F.col("occ").alias("length"))
 
 
-def occurrences(parsed: DataFrame) -> DataFrame:
+def occurrences(parsed: DataFrame, dense: bool = True) -> DataFrame:
     """(rank, csa_class, seq_id, end_pos, len): each occurrence of a phrase, and the class of the parse rotation that follows it."""
-    placed = parse_classes(parsed)
-    sizes = parsed.groupBy("seq_id").agg(F.count(F.lit(1)).alias("k"))
-    follow = placed.join(sizes, "seq_id").select("seq_id", F.pmod(F.col("idx") - 1, F.col("k")).alias("idx"), "csa_class")
-    return parsed.join(follow, ["seq_id", "idx"]).select("rank", "csa_class", "seq_id", "end_pos", "len")
+    placed = parse_classes(parsed, ("rank", "end_pos", "len"), dense)
+    return placed.select(F.col("prev_rank").alias("rank"), "csa_class", "seq_id", F.col("prev_end_pos").alias("end_pos"), F.col("prev_len").alias("len"))
 
 
 def expanded(suffixes: DataFrame, occurring: DataFrame, name: str = "suffix") -> DataFrame:
@@ -57,8 +55,8 @@ def hard_groups(suffixes: DataFrame, occurring: DataFrame) -> DataFrame:
 
 def placed_suffixes(words: DataFrame, w: int) -> DataFrame:
     """(rank, off, suffix_len, bwt, occ, group): what dict_suffixes() gives, with how many suffixes are smaller in place of the suffix. Phrases are ordered symbol by symbol, by prefix doubling, so the work is linear in the dictionary but for a logarithm, and no suffix is spelt out."""
-    chars = settle(characters(words.select(F.col("rank").alias("seq_id"), F.col("phrase").alias("seq")), around=False), "phrases")
-    placed = classes(chars.select("seq_id", "idx", "k", "window"), "window", WIDTH, around=False).join(chars.drop("window"), ["seq_id", "idx"])
+    chars = settle(characters(words.select(F.col("rank").alias("seq_id"), F.col("phrase").alias("seq")), WIDE, around=False), "phrases")
+    placed = classes(chars, "window", WIDE, around=False, carry=("k", "bwt"))
     rows = placed.filter((F.col("idx") > 0) & (F.col("k") - F.col("idx") >= w)).join(words.select(F.col("rank").alias("seq_id"), "occ"), "seq_id")
     return rows.select(F.col("seq_id").alias("rank"), F.col("idx").alias("off"), (F.col("k") - F.col("idx")).alias("suffix_len"), "bwt", "occ", F.col("class").alias("group"))
 
@@ -66,7 +64,7 @@ def placed_suffixes(words: DataFrame, w: int) -> DataFrame:
 def sorted_rotations(words: DataFrame, parsed: DataFrame, w: int) -> DataFrame:
     """(pos, bwt, seq_id, off) of all rotations: by suffix, then by the class of what follows; equal rotations by sequence and offset. No valid suffix is a proper prefix of another, so this is omega-order."""
     with scratch(words.sparkSession) as keep:
-        rows = expanded(placed_suffixes(words, w), occurrences(parsed), "group")
+        rows = expanded(placed_suffixes(words, w), occurrences(parsed, dense=False), "group")
         return keep(row_numbers(rows, ["group", "csa_class", "seq_id", "off"], "pos")).select("pos", "bwt", "seq_id", "off")
 
 
@@ -108,28 +106,20 @@ def blocks(words: DataFrame, parsed: DataFrame, w: int, starts: bool = False, en
         spread = groups.filter("symbols > 1").select("group")
         if starts:
             spread = spread.union(suffixes.join(start_suffixes(words, parsed, w), ["rank", "suffix_len"]).select("group")).distinct()
-        occurring = settle(occurrences(parsed), "occurrences")
-        none = F.lit(None).cast("struct<csa_class: bigint, seq_id: bigint, off: bigint>")
+        occurring = occurrences(parsed, dense=False)
         whole = groups.join(spread, "group", "left_anti")
-        whole = whole.join(group_ends(suffixes, occurring), "group") if ends else whole.withColumns({"low": none, "high": none})
+        if ends:
+            whole = whole.join(group_ends(suffixes, occurring), "group")
         zero = F.lit(0).cast("long")
         key = ("group", "csa_class", "seq_id", "off")
-        easy = whole.select("group", *[zero.alias(c) for c in key[1:]], "bwt", F.col("occ").alias("length"), "low", "high", F.lit(False).alias("is_start"))
+        told = [*(["low", "high"] if ends else []), *(["is_start"] if starts else [])]
+        easy = whole.withColumn("is_start", F.lit(False)).select("group", *[zero.alias(c) for c in key[1:]], "bwt", F.col("occ").alias("length"), *told)
         own = F.struct("csa_class", "seq_id", "off")
-        rows = expanded(suffixes.join(spread, "group", "left_semi"), occurring, "group").select(
-            *key, "bwt", F.lit(1).cast("long").alias("length"), own.alias("low"), own.alias("high"), (F.col("off") == 0).alias("is_start")
-        )
-        numbered = keep(row_numbers(easy.union(rows), list(key), "nth"))
+        rows = expanded(suffixes.join(spread, "group", "left_semi"), occurring, "group").withColumns({"low": own, "high": own, "is_start": F.col("off") == 0})
+        rows = rows.select(*key, "bwt", F.lit(1).cast("long").alias("length"), *told)
+        started = keep(sums_in_order(easy.union(rows), list(key), "length", "start_pos"))
         shown = [F.col(f"{x}.{c}").alias(f"{y}_{n}") for x, y in (("low", "first"), ("high", "last")) for c, n in (("seq_id", "seq"), ("off", "off"))] if ends else []
-        return _started(numbered).select("start_pos", "bwt", "length", *shown, *(["is_start"] if starts else []))
-
-
-def _started(numbered: DataFrame, block: int = 1 << 16) -> DataFrame:
-    """Running sums of length by nth, block by block."""
-    rows = numbered.withColumn("_block", F.floor(F.col("nth") / block))
-    own = F.sum("length").over(Window.partitionBy("_block").orderBy("nth")) - F.col("length")
-    offsets = sums_before(rows.groupBy("_block").agg(F.sum("length").alias("_n")), "_block", "_n", "_before")
-    return rows.withColumn("_own", own).join(offsets, "_block").withColumn("start_pos", F.col("_own") + F.col("_before"))
+        return started.select("start_pos", "bwt", "length", *shown, *(["is_start"] if starts else []))
 
 
 def ebwt_from_blocks(rows: DataFrame) -> DataFrame:
@@ -141,11 +131,12 @@ def _run_blocks(rows: DataFrame, break_at: Column | None, block: int) -> DataFra
     """The blocks with run_id, from 0: neighbours of one symbol have the same, unless `break_at` begins another."""
     held = rows.withColumn("_block", F.floor(F.col("start_pos") / block))
     own = Window.partitionBy("_block").orderBy("start_pos")
-    ends = held.select((F.col("start_pos") + F.col("length")).alias("start_pos"), F.col("bwt").alias("_before_bwt"))
-    new = ~F.col("bwt").eqNullSafe(F.col("_before_bwt"))
+    # a block's first row is held against the last of the block before it, wherever that began
+    ends = held.groupBy("_block").agg(F.max_by(F.struct((F.col("start_pos") + F.col("length")).alias("start_pos"), F.col("bwt").alias("_last")), "start_pos").alias("e")).select("e.*")
+    new = ~F.col("bwt").eqNullSafe(F.coalesce("_lag", "_last"))
     if break_at is not None:
         new = new | break_at
-    held = held.join(ends, "start_pos", "left").withColumn("_new", new.cast("long"))
+    held = held.withColumn("_lag", F.lag("bwt").over(own)).join(ends, "start_pos", "left").withColumn("_new", new.cast("long"))
     offsets = sums_before(held.groupBy("_block").agg(F.sum("_new").alias("_n")), "_block", "_n", "_before")
     numbered = held.withColumn("_own", F.sum("_new").over(own)).join(offsets, "_block")
     return numbered.withColumn("run_id", F.col("_own") + F.col("_before") - 1)

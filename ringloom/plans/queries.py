@@ -382,7 +382,7 @@ def parse_circular_sa(spark, d):
 
 @_query("parse_ebwt", f"WITH {PARSED}, {sql.CSA}, {sql.PARSE_EBWT} SELECT * FROM pe")
 def parse_ebwt(spark, d):
-    return circular_sa.parse_ebwt(settle(circular_sa.parse_classes(_parsed(spark, d)[0]), "classes"))
+    return circular_sa.parse_ebwt(circular_sa.parse_classes(_parsed(spark, d)[0], ("rank",)))
 
 
 @_query(

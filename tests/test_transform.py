@@ -516,3 +516,57 @@ def test_select_meets_blocks(spark):
     got = ranks.select(stored, asked, bucket=2)
     assert "aggregate(counts" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.bwt, r.k, r.pos) for r in got.collect()) == sorted((c, text[:i].count(c), i) for i, c in found)
+
+
+def rounds_of(monkeypatch):
+    """Names of the tables that the orders write."""
+    names, real = [], circular_sa.settle
+    monkeypatch.setattr(circular_sa, "settle", lambda df, name, codec=None: names.append(name) or real(df, name, codec))
+    return names
+
+
+def test_short_sequences_take_one_round(spark, monkeypatch):
+    """Copies of short names stay equal for ever; windows of a whole period tell that they do."""
+    texts = [f"CUSTOMER#{i:09d}" for i in (1, 2, 1, 33, 33, 1)] + ["ABAB", "AB", "BOLT", "BOLT"]
+    names = rounds_of(monkeypatch)
+    assert sorted(map(tuple, circular_sa.sorted_rotations(collection(spark, texts)).collect())) == by_definition(texts)
+    assert names.count("classes") == 1
+    names.clear()
+    seqs = collection(spark, texts[:6])
+    parts = api.segment(seqs, 4, 10, "primes", 24)
+    assert sorted(map(tuple, merge.sorted_rotations(parts.words, parts.parsed, 4).collect())) == by_definition(texts[:6])
+    # a round for the phrases and one for the parse, and the classes themselves
+    assert names == ["classes", "windows", "classes", "classes"]
+
+
+@pytest.mark.parametrize("chunk", [4, 5, 1 << 16])
+def test_windows_of_the_parse(spark, chunk):
+    """Sequences of phrases around themselves, in chunks or whole, with the phrase before each."""
+    rng = random.Random(51)
+    ranks = [[rng.randint(1, 3) for _ in range(k)] for k in (1, 2, 3, 4, 5, 7, 8, 9, 10, 12, 13, 16, 21)]
+    rows = [(i, j, r, 100 * i + j, len(x)) for i, x in enumerate(ranks) for j, r in enumerate(x)]
+    rng.shuffle(rows)
+    parse = spark.createDataFrame(rows, "seq_id long, idx long, rank long, end_pos long, len long")
+    got = [
+        (r.seq_id, r.idx, r.k, r.rank, [int.from_bytes(r.window[8 * j : 8 * j + 8], "big") for j in range(4)], r.prev_rank, r.prev_end_pos)
+        for r in circular_sa.parse_windows(parse, ("rank", "end_pos"), 4, chunk).collect()
+    ]
+    want = [(i, j, len(x), x[j], [x[(j + d) % len(x)] for d in range(4)], x[j - 1], 100 * i + (j - 1) % len(x)) for i, x in enumerate(ranks) for j in range(len(x))]
+    assert sorted(got) == want
+    k = 2 * max(map(len, ranks))
+    keys = {(i, j): tuple((x[j:] + x[:j]) * k)[:k] for i, x in enumerate(ranks) for j in range(len(x))}
+    order = {key: n for n, key in enumerate(sorted(set(keys.values())))}
+    assert {(r.seq_id, r.idx): r.csa_class for r in circular_sa.parse_classes(parse).collect()} == {at: order[key] for at, key in keys.items()}
+
+
+@pytest.mark.parametrize("block", [1, 3, 7, 1 << 16])
+def test_runs_of_blocks_longer_than_what_is_looked_at_together(spark, block):
+    rng = random.Random(52)
+    given, at = [], 0
+    for _ in range(60):
+        n = rng.choice((1, 1, 2, 5, 20))
+        given.append((at, rng.choice("AB"), n))
+        at += n
+    want = [(h, sum(1 for _ in g)) for h, g in itertools.groupby("".join(b * n for _, b, n in given))]
+    got = sorted(merge.rle_from_blocks(spark.createDataFrame(given, "start_pos long, bwt string, length long"), block).collect())
+    assert [(r.run_id, r["head"], r.length) for r in got] == [(i, h, n) for i, (h, n) in enumerate(want)]
