@@ -25,12 +25,17 @@ def _seqs(spark: SparkSession, d: str, table: str, key, text: str, mode: str = "
     return from_table(spark.read.parquet(f"{d}/{table}.parquet"), key, text, mode)
 
 
+def _names(spark: SparkSession, d: str, table: str, key: str, text: str, mode: str = "bytes") -> DataFrame:
+    """_seqs() of a table of short strings, as it is read dealt over tasks and cleaned there."""
+    return from_table(spread(spark.read.parquet(f"{d}/{table}.parquet").select(key, text), key), key, text, mode)
+
+
 def _parts(spark, d, mode="letters"):
-    return spread(_seqs(spark, d, "part", "p_partkey", "p_name", mode))
+    return _names(spark, d, "part", "p_partkey", "p_name", mode)
 
 
 def _customers(spark, d):
-    return spread(_seqs(spark, d, "customer", "c_custkey", "c_name"))
+    return _names(spark, d, "customer", "c_custkey", "c_name")
 
 
 def _documents(spark, d):

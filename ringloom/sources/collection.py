@@ -20,20 +20,26 @@ def cleaned(text: Column, mode: str = "bytes") -> Column:
     raise ValueError(f"unknown mode {mode!r}")
 
 
+def _leaves_any(text: Column, mode: str) -> Column:
+    """Whether cleaned() leaves a symbol; it need not be run to know, and a filter by what it gives would run it once more for each row."""
+    return text.rlike("[A-Za-z]") if mode == "letters" else text != ""
+
+
 def from_table(df: DataFrame, key: str | list[str], text: str, mode: str = "bytes", name: str | None = None) -> DataFrame:
     """The collection of a string column. The order of the collection is that of `key`: an integer column is seq_id itself, several columns are numbered in their order. Null and empty strings are left out."""
     keys = [key] if isinstance(key, str) else key
     label = F.col(name) if name else F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
+    symbols = cleaned(F.col(text), mode).alias("seq")
+    df = df.filter(_leaves_any(F.col(text), mode))
     if len(keys) == 1:
-        out = df.select(F.col(keys[0]).cast("long").alias("seq_id"), label.alias("name"), cleaned(F.col(text), mode).alias("seq"))
-        return out.filter("seq <> ''")
-    out = df.select(*keys, label.alias("name"), cleaned(F.col(text), mode).alias("seq")).filter("seq <> ''")
+        return df.select(F.col(keys[0]).cast("long").alias("seq_id"), label.alias("name"), symbols)
+    out = df.select(*keys, label.alias("name"), symbols)
     return row_numbers(out, keys, "seq_id").select("seq_id", "name", "seq")
 
 
-def spread(seqs: DataFrame) -> DataFrame:
-    """The collection dealt by seq_id over as many tasks as the session shuffles to: tables of short strings come in few row groups, and one is one task, however many rows it has."""
-    return seqs.repartition(partitions(seqs.sparkSession), "seq_id")
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table dealt by `key` over as many tasks as the session shuffles to: tables of short strings come in few row groups, and one is one task, however many rows it has. To be done before from_table(), so that they aren't cleaned in that task either."""
+    return df.repartition(partitions(df.sparkSession), key)
 
 
 def check_strict(seqs: DataFrame, letters: bool = False) -> DataFrame:

@@ -1,6 +1,7 @@
 import gzip
 
 import pytest
+from pyspark.sql import functions as F
 
 from ringloom.functions import packed_int
 from ringloom.sources import check_strict, concat, from_table, read_fasta, read_fastq, read_sequences, with_starts
@@ -174,3 +175,27 @@ def test_fastq_splits_are_framed_as_one_scan_would(spark, tmp_path, most_sent, s
     assert got == [x for name in sorted(want) for x in want[name][0]]
     assert told == sorted((name, *x) for name in want for x in want[name][1])
     assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+
+
+def test_what_is_left_out_is_told_without_cleaning(spark):
+    """What would be empty goes, as by cleaning it."""
+    from ringloom.sources.collection import cleaned
+
+    texts = [None, "", " ", "\n", "7-7", "é", "ſ", "K", "ａ", "a", "Z", "[", "`", "@{", "ß\nq", "0x0"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, s string")
+    for mode in ("bytes", "letters"):
+        want = df.select("k", cleaned(F.col("s"), mode).alias("seq")).filter("seq <> ''")
+        got = from_table(df, "k", "s", mode)
+        assert sorted(map(tuple, got.select("seq_id", "seq").collect())) == sorted(map(tuple, want.collect()))
+        assert sorted(r.seq for r in from_table(df, ["k", "s"], "s", mode).collect()) == sorted(r.seq for r in want.collect())
+
+
+@pytest.mark.parametrize("query", ["trigger_positions_multi_remainder", "phrases_multi_remainder", "_phrases"])
+def test_names_are_cleaned_once_and_where_they_are_dealt_to(spark, tmp_path, query):
+    """One row group is one task, so nothing is cleaned before names are dealt, nor a second time to know what is empty."""
+    from ringloom.plans import queries
+
+    spark.range(10).selectExpr("id AS p_partkey", "'part ' || id AS p_name").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    plan = getattr(queries, query)(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
+    assert plan.index("regexp_replace") < plan.index("Repartition")
