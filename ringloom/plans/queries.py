@@ -276,12 +276,13 @@ def _phrases(spark, d):
 
 
 def _words(spark, d):
-    found = settle(_phrases(spark, d), "phrases")
-    return found, settle(phrases.dictionary(found), "dictionary")
+    """The dictionary alone: phrases are counted as they are cut, and not written."""
+    return settle(phrases.dictionary(_phrases(spark, d)), "dictionary")
 
 
 def _parsed(spark, d):
-    found, words = _words(spark, d)
+    found = settle(_phrases(spark, d), "phrases")
+    words = settle(phrases.dictionary(found), "dictionary")
     return settle(phrases.parse(found, words), "parse"), words
 
 
@@ -303,22 +304,22 @@ def phrases_chunks(spark, d):
 
 @_query("phrase_hash", f"WITH {PARSED} SELECT phrase, {sql.PHRASE_HASH} AS hash FROM dictionary")
 def phrase_hash_query(spark, d):
-    return _words(spark, d)[1].select("phrase", phrase_hash(F.col("phrase")).alias("hash"))
+    return _words(spark, d).select("phrase", phrase_hash(F.col("phrase")).alias("hash"))
 
 
 @_query("phrase_hash_collisions", f"WITH {PARSED}, x AS (SELECT {sql.PHRASE_HASH} AS hash FROM dictionary) SELECT hash, count(*) AS n FROM x GROUP BY hash HAVING count(*) > 1")
 def phrase_hash_collisions(spark, d):
-    return phrases.collisions(_words(spark, d)[1])
+    return phrases.collisions(_words(spark, d))
 
 
 @_query("dictionary", f"WITH {PARSED} SELECT rank, phrase, occ FROM dictionary")
 def dictionary(spark, d):
-    return _words(spark, d)[1]
+    return _words(spark, d)
 
 
 @_query("dictionary_stats", f"WITH {PARSED} SELECT count(*) AS phrases, sum(length(phrase))::BIGINT AS symbols, sum(occ)::BIGINT AS occurrences FROM dictionary")
 def dictionary_stats(spark, d):
-    return phrases.dictionary_stats(_words(spark, d)[1])
+    return phrases.dictionary_stats(_words(spark, d))
 
 
 @_query("parse", f"WITH {PARSED} SELECT seq_id, idx, rank, end_pos, len FROM parse")
@@ -413,7 +414,7 @@ def inverted_list_bounds(spark, d):
 
 @_query("dict_suffixes", f"WITH {PARSED}, {sql.suffixes(W)} SELECT rank, off, suffix, suffix_len, bwt, occ FROM suffixes")
 def dict_suffixes(spark, d):
-    return merge.dict_suffixes(_words(spark, d)[1], W)
+    return merge.dict_suffixes(_words(spark, d), W)
 
 
 @_query("suffix_groups", f"WITH {PARSED}, {sql.suffixes(W)} SELECT * FROM grouped")
@@ -445,7 +446,7 @@ def hard_blocks(spark, d):
         SELECT pos, rank, off, suffix_len, coalesce(len(list_filter(range(1, least(length(suffix), length(before)) + 1), lambda j: suffix[1:j] = before[1:j])), 0)::BIGINT AS lcp FROM sorted""",
 )
 def dict_lcp(spark, d):
-    return lcp.dict_lcp(_words(spark, d)[1], W)
+    return lcp.dict_lcp(_words(spark, d), W)
 
 
 # ---- the transform ----

@@ -570,3 +570,27 @@ def test_runs_of_blocks_longer_than_what_is_looked_at_together(spark, block):
     want = [(h, sum(1 for _ in g)) for h, g in itertools.groupby("".join(b * n for _, b, n in given))]
     got = sorted(merge.rle_from_blocks(spark.createDataFrame(given, "start_pos long, bwt string, length long"), block).collect())
     assert [(r.run_id, r["head"], r.length) for r in got] == [(i, h, n) for i, (h, n) in enumerate(want)]
+
+
+@pytest.mark.parametrize("query", ["dictionary", "dict_suffixes", "phrase_hash_collisions"])
+def test_phrases_are_not_written_to_be_counted(spark, tmp_path, monkeypatch, query):
+    """A dictionary is read from counts of what tasks cut, each sequence cut once; phrases aren't written first."""
+    from ringloom.operators import ranking
+    from ringloom.plans import queries
+
+    names = []
+    for module in (queries, ranking):
+        monkeypatch.setattr(module, "settle", lambda df, name, codec=None, real=module.settle: names.append(name) or real(df, name, codec))
+    cut = spark.sparkContext.accumulator(0)
+
+    def counted(rows):
+        for batch in rows:
+            cut.add(batch.num_rows)
+            yield batch
+
+    real = queries._parts
+    monkeypatch.setattr(queries, "_parts", lambda *a: real(*a).select("seq_id", "seq").mapInArrow(counted, "seq_id long, seq string"))
+    spark.range(300).selectExpr("id AS p_partkey", "'large ring' || chr(97 + id % 7) AS p_name").write.parquet(f"{tmp_path}/part.parquet")
+    getattr(queries, query)(spark, str(tmp_path)).collect()
+    assert names == ["ranges", "dictionary"]
+    assert cut.value == 300
